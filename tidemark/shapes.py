@@ -236,6 +236,159 @@ SHAPES = {
                CASE WHEN p_size > 45 THEN 'Y' ELSE 'N' END AS temporary,
                p_size BETWEEN 40 AND 42 AS is_external
         FROM $part""",
+    "sequences": """
+        SELECT p_brand AS sequence_owner, 'SEQ' || p_partkey AS sequence_name, CAST(1 AS BIGINT) AS min_value,
+               CAST(p_size AS BIGINT) * 100 AS max_value,
+               CAST(floor(p_retailprice * p_size / 11) AS BIGINT) AS last_number FROM $part""",
+    "wait_chains": """
+        SELECT CAST(floor(c_custkey / 5) AS BIGINT) AS chain_id, c_custkey AS waiter,
+               CASE WHEN c_acctbal < 6000 THEN c_custkey + 1 END AS blocker,
+               CASE WHEN c_acctbal > 5000 THEN c_nationkey % 4 ELSE 0 END AS num_waiters,
+               CAST(floor(abs(c_acctbal) / 100) AS BIGINT) AS in_wait_secs, c_mktsegment AS wait_event_text
+        FROM $customer""",
+    # Snapshot history of events and of the time model, for the share-of-time check.
+    "event_history": """
+        SELECT inst_id % 2 + 1 AS dbid, inst_id AS instance_number, snap_id, name AS event_name,
+               time_waited * 200000 AS time_waited_micro, total_waits FROM $counter_snapshots""",
+    "time_model": """
+        SELECT inst_id % 2 + 1 AS dbid, inst_id AS instance_number, snap_id, 'DB time' AS stat_name,
+               CAST(sum(time_waited) AS BIGINT) * 200000 AS value FROM $counter_snapshots GROUP BY 1, 2, 3
+        UNION ALL
+        SELECT inst_id % 2 + 1, inst_id, snap_id, 'Parse Time', time_waited * 180000 FROM $counter_snapshots
+        WHERE name = 'view'""",
+    # --- frames for the health reports
+    "databases": """
+        SELECT upper(s_name) AS name, 'U' || s_suppkey AS unq_name, CASE WHEN s_acctbal < 0 THEN 'MOUNTED' ELSE 'READ WRITE' END
+                   AS open_mode, 'ARCHIVELOG' AS log_mode, 'Linux x86 64-bit' AS platform_name, s_suppkey * 1000 AS scn
+        FROM $supplier""",
+    "db_instances": """
+        SELECT s_suppkey % 3 + 1 AS inst_id, lower(s_name) AS instance_name, 'host' || s_suppkey || '.example.org' AS host_name,
+               s_nationkey || '.2' AS version, s_suppkey AS instance_number,
+               CAST('2024-01-01 00:00:00' AS $NTZ) + s_suppkey * INTERVAL '1' HOUR AS startup_time
+        FROM $supplier WHERE s_nationkey > 1""",
+    "parameters": """
+        SELECT s_suppkey % 3 + 1 AS inst_id, CASE WHEN s_nationkey < 8 THEN 'memory_target' WHEN s_nationkey < 16 THEN 'sga_target'
+               ELSE 'pga_aggregate_target' END AS name, CAST(floor(abs(s_acctbal)) AS BIGINT) * 1048576 AS value
+        FROM $supplier""",
+    "data_files": """
+        SELECT p_type || (p_size % 7) AS tablespace_name, p_partkey AS file_no,
+               CAST(floor(p_retailprice * 10000) AS BIGINT) AS bytes FROM $part""",
+    "free_space": """
+        SELECT p_type || (p_size % 7) AS tablespace_name, CAST(floor(p_retailprice) AS BIGINT) * p_size * 150 AS bytes
+        FROM $part WHERE p_size % 7 <> 3""",
+    "temp_files": """
+        SELECT 'TEMP' || s_nationkey AS tablespace_name, CAST(floor(abs(s_acctbal)) AS BIGINT) * 1000 + 1 AS bytes
+        FROM $supplier""",
+    "temp_header": """
+        SELECT 'TEMP' || s_nationkey AS tablespace_name,
+               CAST(floor(abs(s_acctbal)) AS BIGINT) * 300 AS bytes_free, CAST(floor(abs(s_acctbal)) AS BIGINT) * 700 AS bytes_used
+        FROM $supplier""",
+    "osstat": """
+        SELECT c_custkey % 3 + 1 AS inst_id, CASE WHEN c_nationkey < 8 THEN 'NUM_CPU_CORES' WHEN c_nationkey < 16 THEN 'NUM_CPUS'
+               ELSE 'PHYSICAL_MEMORY_BYTES' END AS stat_name, c_nationkey * CAST(67108864 AS BIGINT) AS value FROM $customer""",
+    "components_registry": """
+        SELECT s_suppkey AS comp_id, s_name AS comp_name, CASE WHEN s_acctbal < 0 THEN 'INVALID' ELSE 'VALID' END AS status,
+               s_nationkey || '.0' AS version FROM $supplier""",
+    "registry_history": """
+        SELECT o_orderdate AS action_time, CASE WHEN o_orderstatus = 'F' THEN 'APPLY' ELSE 'ROLLBACK' END AS action,
+               'SERVER' AS namespace, o_orderkey AS id, o_orderpriority AS comments FROM $orders""",
+    "backup_jobs": """
+        SELECT o_orderkey AS session_recid, o_orderkey * 2 AS session_stamp, o_orderdate AS start_time,
+               o_orderdate + (o_orderkey % 7200) * INTERVAL '1' SECOND AS end_time,
+               CAST(floor(o_totalprice) AS BIGINT) * 1024 AS output_bytes,
+               CASE WHEN o_orderstatus = 'P' THEN 'FAILED' ELSE 'COMPLETED' END AS status, 'DB FULL' AS input_type,
+               o_orderkey % 7200 AS elapsed_seconds FROM $orders""",
+    "backup_sets": """
+        SELECT l_orderkey AS session_recid, l_orderkey * 2 AS session_stamp,
+               CASE l_returnflag WHEN 'A' THEN 'D' WHEN 'N' THEN 'I' ELSE 'L' END AS backup_type,
+               CASE WHEN l_linestatus = 'O' THEN CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 END END AS incremental_level,
+               CASE WHEN l_linenumber = 1 THEN 'YES' ELSE 'NO' END AS controlfile_included, l_linenumber AS pieces,
+               CASE WHEN l_tax > 0.07 THEN 'YES' ELSE 'NO' END AS input_file_scan_only, l_suppkey % 3 + 1 AS inst_id
+        FROM $lineitem""",
+    "recovery_area": """
+        SELECT s_name AS name, CAST(floor(abs(s_acctbal)) + 1 AS BIGINT) * 1073741824 AS space_limit,
+               CAST(floor(abs(s_acctbal) * 0.8) AS BIGINT) * 1073741824 AS space_used,
+               CAST(floor(abs(s_acctbal) * 0.1) AS BIGINT) * 1073741824 AS space_reclaimable FROM $supplier""",
+    "disk_groups": """
+        SELECT s_name AS group_name, s_suppkey AS group_number, CASE WHEN s_nationkey < 12 THEN 'NORMAL' ELSE 'EXTERN' END AS type,
+               CASE WHEN s_acctbal < 0 THEN 'DISMOUNTED' ELSE 'MOUNTED' END AS state,
+               CAST(floor(abs(s_acctbal)) AS BIGINT) + 10 AS total_mb, CAST(floor(abs(s_acctbal) * 0.4) AS BIGINT) AS free_mb
+        FROM $supplier""",
+    "memory_components": """
+        SELECT p_name AS component, p_partkey AS component_no, CAST(floor(p_retailprice) AS BIGINT) * 1048576 AS current_size,
+               CAST(p_size AS BIGINT) * 1048576 AS min_size, p_type AS last_oper_type FROM $part""",
+    "sgastat": """
+        SELECT p_partkey % 3 + 1 AS inst_id, p_type AS pool, CASE WHEN p_size < 10 THEN 'free memory' ELSE p_name END AS name,
+               CAST(floor(p_retailprice * 100000) AS BIGINT) AS bytes FROM $part""",
+    "long_ops": """
+        SELECT l_orderkey AS sid, l_linenumber AS serial_no, l_partkey AS target, l_suppkey AS opname,
+               CAST(floor(l_quantity) AS BIGINT) AS totalwork, CAST(floor(l_quantity * (1 - l_discount)) AS BIGINT) AS sofar,
+               CAST(floor(l_extendedprice / 100) AS BIGINT) AS elapsed_seconds, CAST(floor(l_extendedprice) AS BIGINT) % 600 AS time_remaining
+        FROM $lineitem WHERE l_linestatus = 'O'""",
+    "resource_limits": """
+        SELECT s_suppkey % 3 + 1 AS inst_id, CASE WHEN s_nationkey < 8 THEN 'sessions' WHEN s_nationkey < 16 THEN 'processes'
+               ELSE 'locks' END AS resource_name, s_suppkey AS current_utilization, s_suppkey * 2 AS max_utilization FROM $supplier""",
+    "alert_log": """
+        SELECT ts AS originating_timestamp, user_id % 3 + 1 AS inst_id, event_id,
+               CASE WHEN event_type = 'view' THEN 'other' ELSE 'rdbms' END AS component_id,
+               CASE event_type WHEN 'error' THEN 'ORA-' || (user_id + 600) || ': failed' ELSE 'ok ' || event_type END AS message_text,
+               'host' || user_id AS host_id, '/adr/' || user_id AS adr_home FROM $events""",
+    "system_event": """
+        SELECT l_suppkey % 3 + 1 AS inst_id,
+               CASE l_linenumber WHEN 1 THEN 'direct path read temp' WHEN 2 THEN 'direct path write' WHEN 3 THEN 'db file sequential read'
+                    WHEN 4 THEN 'log file sync' WHEN 5 THEN 'pmon timer' WHEN 6 THEN 'SQL*Net message from client'
+                    ELSE 'latch free' END AS event,
+               CASE l_linenumber WHEN 1 THEN 'User I/O' WHEN 2 THEN 'User I/O' WHEN 3 THEN 'User I/O' WHEN 4 THEN 'Commit'
+                    WHEN 5 THEN 'Idle' WHEN 6 THEN 'Idle' ELSE 'Concurrency' END AS wait_class,
+               count(*) AS total_waits, sum(l_linenumber) AS total_timeouts,
+               CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) * 100 AS BIGINT) AS time_waited_micro
+        FROM $lineitem GROUP BY 1, 2, 3""",
+    "sys_time_model": """
+        SELECT l_suppkey % 3 + 1 AS inst_id, CASE l_returnflag WHEN 'A' THEN 'background cpu time' WHEN 'N' THEN 'DB CPU'
+               ELSE 'DB time' END AS stat_name, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) * 10000 AS BIGINT) AS value
+        FROM $lineitem GROUP BY 1, 2""",
+    "sysmetric": """
+        SELECT user_id % 3 + 1 AS inst_id, CASE event_type WHEN 'view' THEN 'Executions Per Sec' WHEN 'click' THEN 'Logons Per Sec'
+               WHEN 'error' THEN 'Host CPU Usage Per Sec' ELSE 'Unlisted Metric' END AS metric_name, 'Per Second' AS metric_unit,
+               CASE WHEN value < 30 THEN 2 ELSE 3 END AS group_id, value, event_id FROM $events""",
+    "transactions": """
+        SELECT o_custkey % 3 + 1 AS inst_id, 'S' || o_custkey AS ses_addr, o_orderkey % 50 AS xidusn,
+               CAST(floor(o_totalprice / 10) AS BIGINT) AS used_ublk, o_orderkey AS used_urec FROM $orders WHERE o_orderstatus = 'O'""",
+    "rollback_segments": """
+        SELECT s_suppkey AS usn, '_SEG' || s_suppkey AS segment_name, s_suppkey * 8192 AS rssize,
+               CASE WHEN s_acctbal < 0 THEN 'OFFLINE' ELSE 'ONLINE' END AS status FROM $supplier""",
+    "sort_usage": """
+        SELECT o_custkey % 3 + 1 AS inst_id, 'user' || o_custkey AS username, 'sql' || o_custkey AS sql_id, 'S' || o_custkey AS session_addr,
+               'TEMP' || (o_custkey % 5) AS tablespace, CAST(floor(o_totalprice / 1000) AS BIGINT) AS blocks FROM $orders""",
+    "tablespaces": """
+        SELECT DISTINCT 'TEMP' || (s_nationkey % 5) AS tablespace_name, 8192 AS block_size FROM $supplier""",
+    "sesstat": """
+        SELECT o_custkey % 3 + 1 AS inst_id, o_custkey AS sid, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 2 END AS statistic_no,
+               CAST(sum(floor(o_totalprice)) AS BIGINT) AS value FROM $orders GROUP BY 1, 2, 3""",
+    "statname": """
+        SELECT DISTINCT CASE o_orderstatus WHEN 'F' THEN 1 ELSE 2 END AS statistic_no,
+               CASE o_orderstatus WHEN 'F' THEN 'CPU used by this session' ELSE 'redo size' END AS name FROM $orders""",
+    "locked_objects": """
+        SELECT c_custkey % 3 + 1 AS inst_id, c_custkey AS object_id, c_custkey AS session_id, c_nationkey % 8 AS locked_mode,
+               CASE WHEN c_acctbal < 0 THEN NULL ELSE c_name END AS username, 'os' || c_nationkey AS os_user_name FROM $customer""",
+    "sysstat": """
+        SELECT l_suppkey % 3 + 1 AS inst_id, CASE l_linenumber WHEN 1 THEN 'gc blocks lost' WHEN 2 THEN 'gc cr blocks received'
+               WHEN 3 THEN 'gc current blocks served' ELSE 'physical reads' END AS name,
+               CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS BIGINT) AS value FROM $lineitem GROUP BY 1, 2""",
+    "latches": """
+        SELECT l_partkey % 3 + 1 AS inst_id, 'latch' || l_partkey AS name,
+               CAST(sum(CASE WHEN l_discount > 0.01 THEN floor(l_quantity) ELSE 0 END) AS BIGINT) * 10 AS gets,
+               CAST(sum(CASE WHEN l_returnflag = 'A' THEN l_linenumber ELSE 0 END) AS BIGINT) AS misses,
+               CAST(sum(CASE WHEN l_returnflag = 'N' THEN l_linenumber ELSE 0 END) AS BIGINT) AS sleeps,
+               CAST(sum(l_linenumber) AS BIGINT) AS spin_gets, count(*) AS sleep1,
+               CAST(sum(CASE WHEN l_linestatus = 'O' THEN floor(l_quantity) ELSE 0 END) AS BIGINT) AS immediate_gets,
+               CAST(sum(CASE WHEN l_tax > 0.06 THEN 1 ELSE 0 END) AS BIGINT) AS immediate_misses,
+               CAST(sum(floor(l_extendedprice)) AS BIGINT) AS wait_time FROM $lineitem GROUP BY 1, 2""",
+    "shared_cursors": """
+        SELECT l_suppkey % 3 + 1 AS inst_id, 'sql' || l_suppkey AS sql_id FROM $lineitem
+        WHERE l_returnflag = 'R' AND l_discount > 0.045""",
+    "sql_profiles": """
+        SELECT 'prof' || o_orderkey AS name, o_orderdate AS created, o_orderstatus AS status, o_orderpriority AS sql_text FROM $orders""",
     "metric_values": """
         SELECT 'host' || user_id || CASE WHEN event_type = 'view' THEN '' ELSE '.example.org' END AS entity_name,
                CASE WHEN event_type IN ('view', 'click') THEN 'host' ELSE 'database' END AS entity_type,
@@ -345,5 +498,9 @@ class Tables:
         if name in BASE_TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         if name in SHAPES:
-            return self.spark.sql(render(SHAPES[name], "spark", self.sf_dir))
+            return self.sql(SHAPES[name])
         raise AttributeError(name)
+
+    def sql(self, text: str) -> DataFrame:
+        """A SELECT over tables and shapes."""
+        return self.spark.sql(render(text, "spark", self.sf_dir))
