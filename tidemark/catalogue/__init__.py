@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("generic", "counters")
+MODULES = ("generic", "counters", "health")
 
 for _name in MODULES:
     importlib.import_module(f"tidemark.catalogue.{_name}")

@@ -184,10 +184,13 @@ def days_hms(sql: str) -> str:
     return f"(({sql}) // 86400) || '  Day  ' || {hms(f'({sql}) % 86400')}"
 
 
-@query("gap_extremes", f"""
+HMS_OF = f"""
     SELECT {days_hms("min(s)")} AS min_interval, {days_hms("max(s)")} AS max_interval FROM (
         SELECT CAST(epoch(completion_time - first_time) AS BIGINT) AS s FROM $archived_log
-        WHERE sequence_no <> (SELECT max(sequence_no) FROM $archived_log)) g""")
+        WHERE sequence_no <> (SELECT max(sequence_no) FROM $archived_log)) g"""
+
+
+@query("gap_extremes", HMS_OF)
 def _(t):
     return D.gap_extremes(t.archived_log, "first_time", "completion_time", "sequence_no")
 

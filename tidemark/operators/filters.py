@@ -19,6 +19,11 @@ def trailing_window(ts: Column, as_of: Column, seconds: int) -> Column:
     return ts.between(as_of - F.expr(f"INTERVAL '{int(seconds)}' SECOND"), as_of)
 
 
+def since(ts: Column, as_of: Column, seconds: int) -> Column:
+    """True later than ``seconds`` before ``as_of``, and not after ``as_of``."""
+    return (ts > as_of - F.expr(f"INTERVAL '{int(seconds)}' SECOND")) & (ts <= as_of)
+
+
 def same_day(ts: Column, as_of: str | datetime.datetime) -> Column:
     """True on the calendar day of ``as_of``, as a half-open range that a scan can use for pruning."""
     start = datetime.datetime.fromisoformat(str(as_of)).replace(hour=0, minute=0, second=0, microsecond=0)
