@@ -89,8 +89,8 @@ def version_numbers(version: Column) -> Column:
 
 
 def version_suffix(version: Column) -> Column:
-    """What follows the first dash of a version, or null."""
-    return F.when(F.instr(version, "-") > 0, F.regexp_extract(version, "-(.*)$", 1))
+    """What follows the first dash of a version in lower case, or null."""
+    return F.when(F.instr(version, "-") > 0, F.lower(F.regexp_extract(version, "-(.*)$", 1)))
 
 
 def version_compare(left: Column, right: Column) -> Column:

@@ -121,10 +121,10 @@ def gate(observations: Sequence[tuple[Rule, DataFrame]]) -> DataFrame:
     """One row per rule from frames of one number each: what was seen, what is required, and the verdict."""
 
     def judge(rule: Rule, seen: DataFrame) -> DataFrame:
-        observed = F.col(seen.columns[0]).cast("double")
+        observed = F.col("seen").cast("double")
         required = F.lit(float(rule.required))
         verdict = F.coalesce(COMPARISONS[rule.comparison](observed, required), F.lit(False))
-        return seen.select(
+        return seen.toDF("seen").select(
             F.lit(rule.name).alias("rule"), observed.alias("observed"), F.lit(rule.comparison).alias("comparison"),
             required.alias("required"), verdict.alias("passed"),
         )
@@ -157,20 +157,26 @@ def host_mapping_audit(declared: DataFrame, resolved: DataFrame) -> DataFrame:
     return joined.select("host_name", "ip", "resolved_ip", "domain", "resolved_domain", verdict.alias("verdict"))
 
 
-def domain_audit(components: DataFrame) -> DataFrame:
-    """Whether the admin and the client domain of a component agree."""
-    admin, client = F.trim(F.coalesce("admin_domain", F.lit(""))), F.trim(F.coalesce("client_domain", F.lit("")))
+def domain_audit(domains: DataFrame) -> DataFrame:
+    """Whether the domain found by lookup (``found``) and the one set on the host (``configured``) agree."""
+
+    def known(name: str) -> Column:
+        text = F.trim(F.coalesce(F.col(name), F.lit("")))
+        return F.when((text == "") | text.contains("(none)"), "").otherwise(text)
+
+    found, configured = known("found"), known("configured")
     verdict = (
-        F.when(admin == "", "admin empty").when(client == "", "client empty")
-        .when(F.lower(admin) == F.lower(client), "same").otherwise("different")
+        F.when((found == "") & (configured == ""), "both empty").when(found == configured, "same")
+        .when(found == "", "found empty").when(configured == "", "configured empty").otherwise("different")
     )
-    return components.withColumn("verdict", verdict)
+    judged = domains.withColumn("verdict", verdict)
+    return judged.withColumn("passed", F.col("verdict").isin("same", "configured empty"))
 
 
 def cipher_audit(nodes: DataFrame, expected: Sequence[str]) -> DataFrame:
-    """Whether a node offers at least one expected cipher; ``ciphers`` is a list joined by commas or colons."""
-    offered = F.transform(F.split(F.upper("ciphers"), "[,:]"), F.trim)
-    wanted = F.array(*[F.lit(c.upper()) for c in expected])
+    """Whether a node offers at least one expected cipher; ``ciphers`` is a list joined by commas."""
+    offered = F.split(F.regexp_replace("ciphers", "[ \t]", ""), ",")
+    wanted = F.array(*[F.lit(c) for c in expected])
     common = F.array_sort(F.array_intersect(offered, wanted))
     return nodes.select(
         "node", F.array_join(common, ",").alias("matching"), (F.size(common) > 0).alias("passed")

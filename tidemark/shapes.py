@@ -389,6 +389,160 @@ SHAPES = {
         WHERE l_returnflag = 'R' AND l_discount > 0.045""",
     "sql_profiles": """
         SELECT 'prof' || o_orderkey AS name, o_orderdate AS created, o_orderstatus AS status, o_orderpriority AS sql_text FROM $orders""",
+    # --- collected cluster text
+    "roster": """
+        SELECT c_custkey + 1 AS id, 'node' || (c_custkey + 1) AS name,
+               CASE WHEN c_acctbal < 2000 THEN 'Leaf' ELSE 'Hub' END AS role FROM $customer""",
+    "cluster_log": """
+        SELECT 'node' || (user_id + 1) AS node, 'log' AS file, event_id AS line_no, ts,
+               CAST(ts AS VARCHAR(40)) || ': ' || CASE event_type
+                 WHEN 'signup' THEN CASE user_id % 4
+                   WHEN 0 THEN 'clssgmCMReconfig: reconfiguration successful, incarnation 7 with 3 nodes, master node node' || (user_id + 1) || ', own number 1'
+                   WHEN 1 THEN 'I AM THE NEW OCR MASTER at incar 4' WHEN 2 THEN 'NEW OCR MASTER IS ' || (user_id + 1)
+                   ELSE 'CRSPE: PE MASTER NAME: node' || (user_id + 1) END
+                 WHEN 'view' THEN CASE user_id % 6
+                   WHEN 0 THEN 'I AM A STANDBY MASTER' WHEN 1 THEN 'CURRENT STANDBY SERVERS: node' || (user_id + 1)
+                   WHEN 2 THEN 'ctsselect_msccb3: node' || (user_id + 1) || ' is the CTSS master'
+                   WHEN 3 THEN 'Master change notification has received. New master: ' || (user_id + 1)
+                   WHEN 4 THEN 'ONSPROC CssSemMM::tryMaster I am the master'
+                   ELSE 'ONSNETPROC CssSemMM::tryMaster I am the master' END
+                 WHEN 'click' THEN 'CRSPE:1: PE Role|State Update: old role [' || CASE WHEN value < 20 THEN 'SLAVE' ELSE 'INVALID' END ||
+                   '] new [' || CASE WHEN value < 40 THEN 'MASTER' ELSE 'STANDBY' END || ']; old state [Starting] new [Running]'
+                 WHEN 'error' THEN 'OCRMAS: Rank of OCR:[1]. Rank of ASM Instance:[2]. My Rank:[' ||
+                   (CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 10) || ']. Min Rank:[' || (user_id % 10) || '].'
+                 ELSE CASE user_id % 7
+                   WHEN 0 THEN 'clssbnmc_PeriodicPing_CB: Sending a ping msg to host node' || (event_id % 90 + 1) || ', number 1, using handle'
+                   WHEN 1 THEN 'clssscPipeConnect: Successfully connected to node with connection string gipcha://node' || (event_id % 90 + 1) || ':'
+                   WHEN 2 THEN 'clssscPipeConnect: Initiated connect to node with connection string gipcha://node' || (event_id % 90 + 1) || ':bcm_x'
+                   WHEN 3 THEN 'clssgmSendEventsToClients: Group haip.rim.cluster_interconnect.node' || (event_id % 90 + 1) || ', member count'
+                   ELSE 'clssgmGetMemberAttr:grock #CSS_BCNG memnum ' || (event_id % 150 + 1) || ' attrtype 8 len 4 value (' || (user_id + 1) || '/1/0x1)' END
+               END AS line
+        FROM $events""",
+    # Two lines per event: its time and what happened.
+    "storage_log": """
+        SELECT 'node' || (user_id % 3 + 1) AS node, 'alert' AS file, event_id * 2 AS line_no,
+               CAST(CAST(CAST(ts AS DATE) AS $NTZ) AS VARCHAR(40)) AS line FROM $events
+        UNION ALL
+        SELECT 'node' || (user_id % 3 + 1), 'alert', event_id * 2 + 1,
+               CASE WHEN event_type = 'view' THEN 'other line' ELSE 'NOTE: client c' || user_id || ' opening storage' END FROM $events""",
+    "disks": """
+        SELECT p_partkey % 100 AS group_number, p_partkey AS disk_no, '/dev/disk' || p_partkey AS path FROM $part""",
+    "volumes": """
+        SELECT 'VOL' || (p_partkey % 500) AS volume_name, p_partkey % 100 AS group_number,
+               CASE WHEN p_size > 10 THEN '/mnt/' || p_type END AS mountpath, CASE WHEN p_size < 30 THEN p_type END AS usage,
+               CASE WHEN p_size <> 5 THEN p_retailprice END AS size_mb FROM $part""",
+    "storage_users": """
+        SELECT s_suppkey AS group_number, 'client' || s_nationkey AS client FROM $supplier WHERE s_acctbal > 3000""",
+    "roster_lines": """
+        SELECT c_custkey AS line_no, 'node' || c_custkey || '  ' || c_custkey || '  ' ||
+               CASE WHEN c_acctbal < 0 THEN 'Inactive  None' WHEN c_acctbal < 4000 THEN 'Active  Leaf'
+                    WHEN c_acctbal < 9500 THEN 'Active   Hub' ELSE 'broken' END AS line FROM $customer""",
+    "css_lines": """
+        SELECT 'node' || (c_custkey % 40) AS node, c_custkey AS line_no, 'CRS-4678: Successful get ' ||
+               CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'diagwait' WHEN 'BUILDING' THEN 'disktimeout' WHEN 'FURNITURE' THEN 'misscount'
+                    WHEN 'HOUSEHOLD' THEN 'leafmisscount' ELSE 'reboottime' END || ' ' || (c_nationkey + 1) ||
+               ' for Cluster Synchronization Services.' AS line FROM $customer""",
+    "getif_lines": """
+        SELECT 'node' || s_nationkey AS node, s_suppkey AS line_no, CASE WHEN s_acctbal < 0 THEN 'Only in OCR: eth' || s_suppkey
+               ELSE 'eth' || s_suppkey || '  10.0.' || s_nationkey || '.0  global  public' END AS line FROM $supplier""",
+    "iflist_lines": """
+        SELECT 'node' || s_nationkey AS node, s_suppkey AS line_no, 'eth' || s_suppkey || '  10.0.' ||
+               CASE WHEN s_acctbal > 8000 THEN 99 ELSE s_nationkey END || '.0  255.255.255.0' AS line FROM $supplier""",
+    "location_lines": """
+        SELECT 'node' || (p_partkey % 50) AS node, p_partkey AS line_no,
+               ' ' || (p_partkey % 5 + 1) || '. ONLINE   ' || md5(p_brand) || ' (/dev/' || p_type || ') [' || p_brand || ']' AS line
+        FROM $part""",
+    "fact_lines": """
+        SELECT 'node' || (o_custkey % 200) AS node, o_orderkey AS line_no, CASE o_orderpriority
+               WHEN '1-URGENT' THEN 'Active version on the cluster is [' || (o_custkey % 9 + 10) || '.2.0.1.0]'
+               WHEN '2-HIGH' THEN 'SCAN name: scan' || o_custkey || '.example.org, Network: 1'
+               WHEN '3-MEDIUM' THEN 'Cluster is running in "' || CASE WHEN o_orderstatus = 'F' THEN 'flex' ELSE 'standard' END || '" mode'
+               WHEN '4-NOT SPECIFIED' THEN 'Listener LISTENER is running on node(s): node' || o_custkey
+               ELSE 'GNS domain: d' || o_custkey || '.example.org' END AS line FROM $orders""",
+    "db_config_lines": """
+        SELECT 'db' || s_suppkey AS host, 1 AS line_no, 'Database name: db' || s_suppkey AS line FROM $supplier
+        UNION ALL SELECT 'db' || s_suppkey, 2, 'Disk Groups: DATA' || s_nationkey || ',data' || s_nationkey || ',FRA' FROM $supplier
+        UNION ALL SELECT 'db' || s_suppkey, 3, 'Database role: ' || CASE WHEN s_acctbal < 0 THEN '' ELSE 'PRIMARY' END FROM $supplier
+        UNION ALL SELECT 'db' || s_suppkey, 4, 'Domain: example.org' FROM $supplier""",
+    "monitor_answers": """
+        SELECT s_suppkey AS node_order, s_nationkey % 4 AS cluster_no, CASE WHEN s_acctbal < 4000 THEN 'old key' ELSE 'new key' END AS question,
+               CASE WHEN s_nationkey < 10 THEN '' ELSE 'node' || s_suppkey END AS answer,
+               CASE WHEN s_acctbal < 4000 THEN '11.2.0.4' ELSE '12.1.0.2' END AS version FROM $supplier""",
+    "instance_roster_lines": """
+        SELECT 'node' || (p_partkey % 300) AS node, p_partkey AS line_no, CASE WHEN p_size < 10 THEN '+ASM' || (p_partkey % 9) || ':/home:N'
+               ELSE '# other' END AS line FROM $part""",
+    "process_lines": """
+        SELECT 'node' || (p_partkey % 300) AS node, p_partkey AS line_no, CASE WHEN p_size > 20 THEN 'grid 1 asm_pmon_+ASM' || (p_partkey % 9)
+               ELSE 'root 2 init' END AS line FROM $part""",
+    "param_lines": """
+        SELECT s_suppkey AS line_no, CASE WHEN s_nationkey < 8 THEN 'EM_CELLS=(cel' || s_suppkey || ' cel' || s_nationkey || 'b )'
+               WHEN s_nationkey < 14 THEN 'swiib' || s_suppkey || '.name=sw' || s_suppkey WHEN s_nationkey < 20 THEN 'pdu1 name=pdu' || s_suppkey
+               ELSE 'OTHER=1' END AS line FROM $supplier""",
+    # Stanzas of three lines and a blank one; some lack a field.
+    "stanza_lines": """
+        SELECT 'node' || (c_nationkey % 2) AS node, c_custkey * 4 AS line_no, 'NAME=vip' || c_custkey AS line FROM $customer
+        UNION ALL SELECT 'node' || (c_nationkey % 2), c_custkey * 4 + 1, CASE WHEN c_acctbal < 0 THEN 'STATE=x' ELSE 'ADDRESS: 10.0.0.' || c_nationkey END FROM $customer
+        UNION ALL SELECT 'node' || (c_nationkey % 2), c_custkey * 4 + 2, 'version=' || c_mktsegment FROM $customer
+        UNION ALL SELECT 'node' || (c_nationkey % 2), c_custkey * 4 + 3, '' FROM $customer""",
+    "compaction_log": """
+        SELECT 'exec' || (user_id % 4) AS thread, event_id AS line_no, ts AS logged_at, event_type,
+               CASE event_type WHEN 'signup' THEN 'CompactionTask - Compacting [files]' WHEN 'view' THEN 'CompactionTask - Compacting [files]'
+                    WHEN 'error' THEN 'CompactionTask - Compacted to [file]' WHEN 'click' THEN 'CompactionTask - Compacted to [file]'
+                    ELSE 'flush' END AS line FROM $events""",
+    "ttl_rows": """
+        SELECT o_orderkey AS key, CASE o_orderstatus WHEN 'F' THEN 'short' WHEN 'O' THEN 'long' ELSE 'none' END AS table_name,
+               o_orderdate AS write_ts, CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(3600 AS BIGINT) END AS ttl FROM $orders""",
+    "declared_hosts": """
+        SELECT s_name AS host_name, '10.1.0.' || s_nationkey AS ip, 'example.org' AS domain FROM $supplier""",
+    "resolved_hosts": """
+        SELECT s_name AS host_name, '10.1.0.' || CASE WHEN s_acctbal > 8000 THEN 99 ELSE s_nationkey END AS ip,
+               CASE WHEN s_acctbal < 1000 THEN 'other.org' ELSE 'EXAMPLE.org' END AS domain FROM $supplier WHERE s_nationkey <> 5""",
+    "host_domains": """
+        SELECT c_custkey AS host_id, CASE WHEN c_nationkey < 8 THEN 'example.org' WHEN c_nationkey < 12 THEN '(none)' ELSE 'other.org' END AS found,
+               CASE WHEN c_acctbal < 2000 THEN '' WHEN c_acctbal < 6000 THEN 'example.org' ELSE 'other.org' END AS configured FROM $customer""",
+    "node_ciphers": """
+        SELECT 'node' || c_custkey AS node, CASE WHEN c_nationkey < 8 THEN 'aes128-ctr, aes256-ctr' WHEN c_nationkey < 16 THEN 'aes256-cbc,3des-cbc'
+               ELSE '3des-cbc' END AS ciphers FROM $customer""",
+    # --- the monitored fleet: ten hosts, one database per customer
+    "fleet_targets": """
+        SELECT 'db' || c_custkey || '_site' AS target_name, 'host' || (c_custkey % 10) || '.example.org' AS machine_name FROM $customer""",
+    "fleet_metrics": """
+        SELECT CASE WHEN event_type IN ('view', 'click') THEN 'host' || (user_id % 10) || CASE WHEN user_id % 3 = 0 THEN '' ELSE '.example.org' END
+                    ELSE 'db' || user_id || '_site' END AS entity_name,
+               CASE WHEN event_type IN ('view', 'click') THEN 'host' ELSE 'oracle_database' END AS entity_type,
+               CASE event_type WHEN 'view' THEN CASE k % 3 WHEN 0 THEN 'CPU Utilization (%)' WHEN 1 THEN 'Swap Utilization (%)'
+                                                          ELSE 'Total Disk I/O made across all disks (per second)' END
+                    WHEN 'click' THEN 'Filesystem Space Available (%)' WHEN 'signup' THEN 'Tablespace Space Used (%)'
+                    WHEN 'error' THEN 'Total Foreground Wait Time (second)' ELSE 'Database Time Spent Waiting (%)' END AS metric_column_label,
+               CASE event_type WHEN 'view' THEN ' ' WHEN 'click' THEN CASE k % 5 WHEN 0 THEN '/' WHEN 1 THEN '/u0' WHEN 2 THEN '/u1' WHEN 3 THEN '/u2'
+                                                          ELSE '/u0/arch' END
+                    WHEN 'signup' THEN 'ts' || (k % 4) WHEN 'error' THEN 'event ' || (k % 6) ELSE 'class ' || (k % 3) END AS metric_key_value,
+               ts AS collection_time, value
+        FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM $events) e""",
+    "fleet_thresholds": """
+        SELECT 'db' || c_custkey || '_site' AS target_name, 'ts' || (c_custkey % 4) AS key_value, '50' AS warning_threshold,
+               '80' AS critical_threshold FROM $customer
+        UNION ALL SELECT 'db' || c_custkey || '_site', ' ', '30', '60.5' FROM $customer WHERE c_acctbal > 2000
+        UNION ALL SELECT 'db' || c_custkey || '_site', 'ts3', ' ', NULL FROM $customer""",
+    "fleet_datafiles": """
+        SELECT 'HOST' || (c_custkey % 10) || '.example.org' AS host_name, 'db' || c_custkey || '_site' AS target_name,
+               CASE WHEN c_nationkey < 5 THEN '+DG/data.dbf' ELSE '/u' || (c_custkey % 3) || '/data.dbf' END AS file_name,
+               '/u' || (c_custkey % 3) AS os_storage_entity FROM $customer""",
+    "fleet_parameters": """
+        SELECT 'host' || (c_custkey % 10) || '.example.org' AS host_name, 'db' || c_custkey || '_site' AS target_name,
+               CASE WHEN c_nationkey < 3 THEN 'log_archive_dest_state_1' WHEN c_nationkey < 6 THEN 'db_recovery_file_dest'
+                    ELSE 'log_archive_dest_1' END AS name,
+               CASE WHEN c_nationkey < 6 THEN '/u1/fra' WHEN c_nationkey < 10 THEN 'SERVICE=standby' WHEN c_nationkey < 12
+                    THEN 'LOCATION=USE_DB_RECOVERY_FILE_DEST' WHEN c_nationkey < 18 THEN 'location=/u0/arch/' || chr(36) || 'ORACLE_SID'
+                    ELSE 'LOCATION=/u' || (c_custkey % 3) || 'x/log' END AS value FROM $customer
+        UNION ALL
+        SELECT 'host' || (c_custkey % 10) || '.example.org', 'db' || c_custkey || '_site', 'log_archive_dest_2',
+               '/u' || (c_custkey % 3) || '/second' FROM $customer WHERE c_acctbal < 5000""",
+    "fleet_standby": """
+        SELECT 'db' || c_custkey || '_site' AS target_name, 'Apply Lag (seconds)' AS column_label, CAST(c_nationkey AS VARCHAR(9)) AS value
+        FROM $customer WHERE c_acctbal > 4000
+        UNION ALL SELECT 'db' || c_custkey || '_site', 'Transport Lag (seconds)', CAST(c_nationkey * 2 AS VARCHAR(9)) FROM $customer
+        WHERE c_acctbal > 6000""",
     "metric_values": """
         SELECT 'host' || user_id || CASE WHEN event_type = 'view' THEN '' ELSE '.example.org' END AS entity_name,
                CASE WHEN event_type IN ('view', 'click') THEN 'host' ELSE 'database' END AS entity_type,

@@ -72,3 +72,42 @@ class Rule:
     name: str
     comparison: str
     required: float
+
+
+@dataclass(frozen=True)
+class LeaderRule:
+    """A log pattern that tells who leads: the logging node itself, or the captured name or number."""
+
+    role: str
+    pattern: str
+    names: str
+
+
+# What the logs say when a role gets a new leader.
+LEADER_RULES = (
+    LeaderRule("group", r"clssgmCMReconfig: reconfiguration successful.*incarnation\s+.*master node (.*),", "name"),
+    LeaderRule("registry", r"I AM THE NEW OCR MASTER at incar", "self"),
+    LeaderRule("registry", r"NEW OCR MASTER IS (\d+)", "id"),
+    LeaderRule("policy", r"CRSPE.*PE MASTER NAME:\s+(.*)", "name"),
+    LeaderRule("standby", r"I AM A STANDBY MASTER", "self"),
+    LeaderRule("standby", r"CURRENT STANDBY SERVERS:\s*(.*)", "name"),
+    LeaderRule("time", r"ctsselect_msccb\d: (.*) is the CTSS master$", "name"),
+    LeaderRule("ui", r"Master change notification has received. New master: (\d+)$", "id"),
+    LeaderRule("notification", r"ONSPROC CssSemMM::tryMaster I am the master$", "self"),
+    LeaderRule("net notification", r"ONSNETPROC CssSemMM::tryMaster I am the master$", "self"),
+)
+
+# Log patterns that name the hub a leaf is attached to, in the order they are trusted.
+ATTACHMENT_PATTERNS = (
+    r"clssbnmc_PeriodicPing_CB: Sending a ping msg to host (\S+), number \d+, using handle",
+    r"clssscPipeConnect: Successfully connected to node with connection string gipcha://(\S+):",
+    r"clssscPipeConnect: Initiated connect to node with connection string gipcha://(\S+):bcm_",
+    r"clssgmSendEventsToClients: Group haip.rim.cluster_interconnect.(\S+), member count",
+)
+MEMBER_PATTERN = r"clssgmGetMemberAttr:grock #CSS_BCNG memnum (\d+) attrtype \d+ len \d+ value \((\d+)/"
+
+# The rank line and the role and state line.
+RANK_PATTERN = r"OCRMAS.*My Rank:\[(\d+)\]. Min Rank:\[(\d+)\]"
+STATE_PATTERN = (
+    r"CRSPE.+PE Role\|State Update: old role \[(.+)\] new \[(.+)\]; old state \[(.+)\] new \[(.+)\]$"
+)
