@@ -25,7 +25,7 @@ def threshold_fallback(
 ) -> DataFrame:
     """Adds the limits set for ``(target, key)``, or else those of the target's row with a blank key."""
     clean = thresholds.select(
-        target, F.trim(F.coalesce(F.col(key), F.lit(""))).alias(key), *[F.col(c).cast("double") for c in limits]
+        target, F.trim(F.coalesce(F.col(key), F.lit(""))).alias(key), *[F.col(c).cast("string").try_cast("double") for c in limits]
     )
     own = clean.filter(F.col(key) != "").groupBy(target, key).agg(
         *[F.max(c).alias(f"_own_{c}") for c in limits]

@@ -109,5 +109,5 @@ def html_to_text(html: Column) -> Column:
     for entity, char in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(char))
     lines = F.split(F.regexp_replace(text, "[ \t\r\u00a0]+", " "), "\n")
-    kept = F.filter(F.transform(lines, F.trim), lambda line: (line != "") & ~line.startswith("file:"))
+    kept = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda line: (line != "") & ~line.startswith("file:"))
     return F.array_join(kept, "\n")
