@@ -11,7 +11,7 @@ from tidemark.operators import rows as V
 from tidemark.operators.filters import as_ntz
 from tidemark.operators.ranking import top_n
 from tidemark.plans import gates as U
-from tidemark.session import work_folder
+from tidemark.session import work_folder, written
 from tidemark.sources import files as S
 from tidemark.sources import text as P
 from tidemark.specs import ATTACHMENT_PATTERNS, LEADER_RULES, MEMBER_PATTERN, RANK_PATTERN, STATE_PATTERN
@@ -209,7 +209,8 @@ def _(t):
                     WHEN line LIKE '%Master change%' THEN 'node' || regexp_extract(line, 'master: ([0-9]+)$', 1) ELSE node END AS who
         FROM $cluster_log) l WHERE role IS NOT NULL GROUP BY 1""")
 def _(t):
-    return C.leaders(t.cluster_log, LEADER_RULES, t.roster)
+    # Landed first, as collected logs are; the patterns then read a stored column.
+    return C.leaders(written(t.cluster_log, "cluster-log"), LEADER_RULES, t.roster)
 
 
 @query("rep_c02", r"""

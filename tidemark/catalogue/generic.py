@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tidemark.catalogue.registry import query
 from tidemark.functions import exprs as X
@@ -11,7 +10,7 @@ from tidemark.operators import aggregates as A
 from tidemark.operators import filters as P
 from tidemark.operators import joins as J
 from tidemark.operators import ranking as T
-from tidemark.operators.skew import lookup_join, with_neighbour
+from tidemark.operators.skew import lookup_join, semi_lookup, with_neighbour
 
 # --- predicates and projections
 
@@ -81,8 +80,7 @@ def _(t):
         WHERE w.request > 0 AND w.id1 = l.id1 AND w.id2 = l.id2 AND w.lock_type = l.lock_type)""")
 def _(t):
     locks = t.locks
-    wanted = locks.filter("request > 0").select("id1", "id2", "lock_type")
-    return locks.join(wanted, ["id1", "id2", "lock_type"], "left_semi").select("lock_no", "sid")
+    return semi_lookup(locks, locks.filter("request > 0"), ["id1", "id2", "lock_type"]).select("lock_no", "sid")
 
 
 @query("flt_not_exists", """

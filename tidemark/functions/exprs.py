@@ -94,13 +94,12 @@ def version_suffix(version: Column) -> Column:
 
 
 def version_compare(left: Column, right: Column) -> Column:
-    """-1, 0 or 1. Numbers first, a shorter version is lower; suffixes only break a tie."""
+    """-1, 0 or 1; null when a version is missing. A shorter version is lower; suffixes only break a tie."""
     a, b = version_numbers(left), version_numbers(right)
     sa = F.coalesce(version_suffix(left), F.lit(""))
     sb = F.coalesce(version_suffix(right), F.lit(""))
-    return (
-        F.when(a < b, -1).when(a > b, 1).when(sa < sb, -1).when(sa > sb, 1).otherwise(0)
-    )
+    order = F.when(a < b, -1).when(a > b, 1).when(sa < sb, -1).when(sa > sb, 1).otherwise(0)
+    return F.when(left.isNotNull() & right.isNotNull(), order)
 
 
 def version_at_least(version: Column, minimum: Column) -> Column:

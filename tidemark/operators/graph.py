@@ -92,37 +92,29 @@ def blocked_by(
     ``contended_locks`` lists the holders themselves. Missing parts of the resource identity match each other.
     """
     measures = [c for c in order if c != session]
-    sums = [F.max(c).alias(c) for c in measures]
-    holding = locks.filter(holds).select(*resource, session, *measures)
-    holders = holding.groupBy(*resource, session).agg(*sums) if sums else holding.distinct()
-    ranked = top_n_per_group(
-        holders, resource, [F.col(c).desc() for c in measures] + [F.col(session)], 2, "_place"
+    # Null-safe key: each part becomes a text that tells null from every value.
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in resource]
+    holding, waiting = F.coalesce(F.expr(holds), F.lit(False)), F.coalesce(F.expr(waits), F.lit(False))
+    rows = locks.select(
+        F.concat_ws("|", *parts).alias("_r"), *resource, F.col(session).alias("_s"), holding.alias("_h"),
+        waiting.alias("_w"), *[F.when(holding, F.col(c)).alias(f"_m_{c}") for c in measures],
+    ).filter("_h OR _w")
+    sessions = rows.groupBy("_r", "_s").agg(
+        F.max("_h").alias("_h"), F.max("_w").alias("_w"), *[F.max(f"_m_{c}").alias(f"_m_{c}") for c in measures],
+        *[F.min(c).alias(c) for c in resource],
     )
-    counts = holders.groupBy(*resource).agg(F.count("*").alias("_holders"))
-    pair = ranked.groupBy(*resource).agg(
-        F.max(F.when(F.col("_place") == 1, F.col(session))).alias("_first"),
-        F.max(F.when(F.col("_place") == 2, F.col(session))).alias("_second"),
+    best_first = [F.col(f"_m_{c}").desc() for c in measures] + [F.col("_s")]
+    holders = sessions.filter("_h").select("_r", "_s", *[f"_m_{c}" for c in measures])
+    leading = top_n_per_group(holders, ["_r"], best_first, 2, "_place").groupBy("_r").agg(
+        F.max(F.when(F.col("_place") == 1, F.col("_s"))).alias("_first"),
+        F.max(F.when(F.col("_place") == 2, F.col("_s"))).alias("_second"),
     )
-    names = [f"_r{i}" for i in range(len(resource))]
-
-    def keyed(df: DataFrame) -> DataFrame:
-        # Null-safe keys: each part becomes a text that tells null from every value.
-        parts = [
-            F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")).alias(n)
-            for c, n in zip(resource, names)
-        ]
-        return df.select("*", *parts)
-
-    lookup = keyed(pair).join(keyed(counts).select(*names, "_holders"), names).select(
-        *names, "_first", "_second", "_holders"
-    )
-    own = keyed(holders).select(*names, session, F.lit(1).alias("_own"))
-    waiting = keyed(locks.filter(waits).select(*resource, session).distinct())
-    found = lookup_join(waiting, lookup, names, "inner").join(own, [*names, session], "left")
-    blocker = F.when(F.col("_first") == F.col(session), F.col("_second")).otherwise(F.col("_first"))
+    counts = holders.groupBy("_r").agg(F.count("*").alias("_holders"))
+    found = lookup_join(sessions.filter("_w"), leading.join(counts, "_r"), ["_r"], "inner")
+    blocker = F.when(F.col("_first") == F.col("_s"), F.col("_second")).otherwise(F.col("_first"))
     return found.select(
-        *resource, F.col(session).alias("waiter"), blocker.alias("blocker"),
-        (F.col("_holders") - F.coalesce("_own", F.lit(0))).alias("n_blockers"),
+        *resource, F.col("_s").alias("waiter"), blocker.alias("blocker"),
+        (F.col("_holders") - F.col("_h").cast("int")).alias("n_blockers"),
     ).filter("blocker IS NOT NULL")
 
 

@@ -12,7 +12,7 @@ from tidemark.operators.aggregates import member_list
 from tidemark.operators.checks import first_match
 from tidemark.operators.joins import full_reconcile, previous_line
 from tidemark.operators.skew import with_neighbour
-from tidemark.sources.text import scan_log
+from tidemark.sources.text import scan_log, with_stamp
 from tidemark.specs import LeaderRule
 
 
@@ -23,13 +23,15 @@ def leaders(lines: DataFrame, rules: Sequence[LeaderRule], roster: DataFrame) ->
     """
     line = F.col("line")
     claims = F.array_compact(F.array(*[
-        F.when(line.rlike(rule.pattern), F.struct(
+        F.when(line.contains(rule.needle) & line.rlike(rule.pattern), F.struct(
             F.lit(rule.role).alias("role"), F.lit(rule.names).alias("names"),
             (F.col("node") if rule.names == "self" else F.trim(F.regexp_extract(line, rule.pattern, 1))).alias("who"),
         )) for rule in rules
     ]))
-    any_rule = "|".join(f"(?:{rule.pattern})" for rule in rules)
-    found = scan_log(lines, any_rule).withColumn("_c", F.explode(claims))
+    named = F.lit(False)
+    for rule in rules:
+        named = named | line.contains(rule.needle)
+    found = with_stamp(lines.filter(named)).withColumn("_c", F.explode(claims))
     newest = found.groupBy("_c.role").agg(
         F.max_by(F.struct("_c.names", "_c.who", "logged_at"), F.struct("logged_at", "node", "line_no")).alias("_l")
     )

@@ -15,13 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
-def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
-
-
 def with_neighbour(
     df: DataFrame,
     keys: Sequence[str],
@@ -107,3 +100,8 @@ def lookup_join(
     salted = facts.withColumn("_spread", F.pmod(hashed, F.lit(spread)).cast("int"))
     copies = lookup.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     return salted.join(copies, [*on, "_spread"], how).drop("_spread")
+
+
+def semi_lookup(facts: DataFrame, wanted: DataFrame, on: Sequence[str], spread: int = 8) -> DataFrame:
+    """Rows of ``facts`` whose key is in ``wanted``; keys are made distinct before they travel."""
+    return lookup_join(facts, wanted.select(*on).distinct(), on, "inner", spread).select(*facts.columns)

@@ -14,6 +14,7 @@ from tidemark.operators.filters import same_day
 from tidemark.operators.joins import longest_prefix, threshold_fallback
 from tidemark.operators.ranking import top_n_per_group
 from tidemark.operators.skew import lookup_join
+from tidemark.session import written
 
 # Entity types and metric names.
 DATABASE_TYPES = ("oracle_database", "oracle_pdb")
@@ -155,7 +156,8 @@ def scorecard(
 ) -> DataFrame:
     """All figures per target. With ``how='left'`` targets whose host has no samples stay in."""
     targets = target_list(properties)
-    series = day_series(metrics, as_of)
+    # Written once: otherwise every figure below would read the metric table again with a filter of its own.
+    series = written(day_series(metrics, as_of), "fleet-series")
     hosts = host_figures(series)
     if how == "inner":
         hosts = hosts.dropna(subset=[f"{name}_max_pc" for name in HOST_METRICS])

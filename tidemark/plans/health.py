@@ -16,7 +16,7 @@ from tidemark.operators.checks import sequence_gap
 from tidemark.operators.filters import since, trailing_window
 from tidemark.operators.joins import any_one
 from tidemark.operators.ranking import rank_top, top_n
-from tidemark.operators.skew import lookup_join
+from tidemark.operators.skew import lookup_join, semi_lookup
 
 MB = 1024 * 1024
 GB = 1024 * MB
@@ -453,8 +453,7 @@ def lock_tree(sessions: DataFrame) -> DataFrame:
 
 def lock_detail(locks: DataFrame, sessions: DataFrame, locked_objects: DataFrame, objects: DataFrame) -> DataFrame:
     """Locks on resources that somebody asks for, with decoded type and mode and the object behind them."""
-    wanted = locks.filter("request > 0").select("id1", "id2", "lock_type")
-    asked = locks.join(wanted, ["id1", "id2", "lock_type"], "left_semi")
+    asked = semi_lookup(locks, locks.filter("request > 0"), ["id1", "id2", "lock_type"])
     held = locked_objects.select("inst_id", F.col("session_id").alias("sid"), "object_id")
     named = held.join(objects.select("object_id", "object_name"), "object_id")
     owners = sessions.select("inst_id", "sid", "serial_no", "program", "osuser", "machine")

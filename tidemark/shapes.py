@@ -25,22 +25,22 @@ SHAPES = {
                p_partkey AS hash_value,
                p_partkey * 7 AS plan_hash_value,
                p_name AS sql_text,
-               coalesce(executions, 0) AS executions,
-               coalesce(elapsed_time, 0) AS elapsed_time,
-               coalesce(cpu_time, 0) AS cpu_time,
-               coalesce(buffer_gets, 0) AS buffer_gets,
-               coalesce(disk_reads, 0) AS disk_reads,
-               coalesce(rows_processed, 0) AS rows_processed,
-               coalesce(concurrency_wait_time, 0) AS concurrency_wait_time
+               CAST(coalesce(executions, 0) AS BIGINT) AS executions,
+               CAST(coalesce(elapsed_time, 0) AS BIGINT) AS elapsed_time,
+               CAST(coalesce(cpu_time, 0) AS BIGINT) AS cpu_time,
+               CAST(coalesce(buffer_gets, 0) AS BIGINT) AS buffer_gets,
+               CAST(coalesce(disk_reads, 0) AS BIGINT) AS disk_reads,
+               CAST(coalesce(rows_processed, 0) AS BIGINT) AS rows_processed,
+               CAST(coalesce(concurrency_wait_time, 0) AS BIGINT) AS concurrency_wait_time
         FROM $part LEFT JOIN (
             SELECT l_partkey,
                    sum(CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN 1 ELSE 0 END) AS executions,
-                   CAST(floor(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * 4)) AS BIGINT) AS elapsed_time,
-                   CAST(sum(CAST(l_quantity AS DECIMAL(18,2)) * 8000) AS BIGINT) AS cpu_time,
-                   CAST(sum(CAST(l_quantity AS DECIMAL(18,2)) * 100) AS BIGINT) AS buffer_gets,
+                   sum(CAST(floor(l_extendedprice * 4) AS BIGINT)) AS elapsed_time,
+                   sum(CAST(floor(l_quantity) AS BIGINT)) * 8000 AS cpu_time,
+                   sum(CAST(floor(l_quantity) AS BIGINT)) * 100 AS buffer_gets,
                    sum(CAST(l_linenumber AS BIGINT)) * 100 AS disk_reads,
                    count(*) AS rows_processed,
-                   CAST(sum(CAST(l_tax AS DECIMAL(18,2)) * 100000) AS BIGINT) AS concurrency_wait_time
+                   sum(CAST(floor(l_tax * 100 + 0.5) AS BIGINT)) * 1000 AS concurrency_wait_time
             FROM $lineitem GROUP BY l_partkey) l ON l_partkey = p_partkey""",
     # Every event is one reading of a counter; readings may fall back, as after a restart.
     "counter_readings": """
@@ -51,13 +51,13 @@ SHAPES = {
     # Daily values of counters that only grow, but restart on day 16.
     "counter_days": """
         SELECT user_id % 4 + 1 AS inst_id, event_type AS name, CAST(extract(day FROM ts) AS BIGINT) AS snap_id,
-               count(*) AS n, sum(CAST(value AS DECIMAL(18,2))) AS amount
+               count(*) AS n, sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS amount
         FROM $events GROUP BY user_id % 4 + 1, event_type, CAST(extract(day FROM ts) AS BIGINT)""",
     "counter_snapshots": """
         SELECT inst_id, name, snap_id,
                CAST(sum(n) OVER (PARTITION BY inst_id, name, CASE WHEN snap_id < 16 THEN 0 ELSE 1 END
                                  ORDER BY snap_id) AS BIGINT) AS total_waits,
-               CAST(sum(amount * 100) OVER (PARTITION BY inst_id, name, CASE WHEN snap_id < 16 THEN 0 ELSE 1 END
+               CAST(sum(amount) OVER (PARTITION BY inst_id, name, CASE WHEN snap_id < 16 THEN 0 ELSE 1 END
                                  ORDER BY snap_id) AS BIGINT) AS time_waited
         FROM $counter_days""",
     "snapshots": """
@@ -147,15 +147,14 @@ SHAPES = {
         SELECT CASE WHEN p_size < 5 THEN 'pg_toast' WHEN p_size < 8 THEN 'pg_catalog' ELSE 'app' END AS schemaname,
                'rel' || p_partkey AS relname, p_partkey AS relid,
                coalesce(ins, 0) AS n_tup_ins, coalesce(upd, 0) AS n_tup_upd, coalesce(del, 0) AS n_tup_del,
-               coalesce(ins, 0) + coalesce(upd, 0) AS n_live_tup, coalesce(dead, 0) AS n_dead_tup,
+               coalesce(ins, 0) + coalesce(upd, 0) AS n_live_tup, CAST(coalesce(dead, 0) AS BIGINT) AS n_dead_tup,
                coalesce(del, 0) - coalesce(del, 0) % 3 AS seq_scan,
                coalesce(upd, 0) - coalesce(upd, 0) % 5 AS idx_scan, last_vacuum, last_analyze
         FROM $part LEFT JOIN (
             SELECT l_partkey, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS ins,
                    sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS upd,
                    sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS del,
-                   CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS DECIMAL(18,2)) ELSE 0 END)
-                        AS BIGINT) AS dead,
+                   sum(CASE WHEN l_returnflag = 'R' THEN CAST(floor(l_quantity) AS BIGINT) ELSE 0 END) AS dead,
                    max(l_shipdate) AS last_vacuum, min(l_shipdate) AS last_analyze
             FROM $lineitem GROUP BY l_partkey) l ON l_partkey = p_partkey""",
     "pg_class": """
@@ -341,11 +340,11 @@ SHAPES = {
                CASE l_linenumber WHEN 1 THEN 'User I/O' WHEN 2 THEN 'User I/O' WHEN 3 THEN 'User I/O' WHEN 4 THEN 'Commit'
                     WHEN 5 THEN 'Idle' WHEN 6 THEN 'Idle' ELSE 'Concurrency' END AS wait_class,
                count(*) AS total_waits, sum(l_linenumber) AS total_timeouts,
-               CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) * 100 AS BIGINT) AS time_waited_micro
+               CAST(sum(CAST(floor(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS time_waited_micro
         FROM $lineitem GROUP BY 1, 2, 3""",
     "sys_time_model": """
         SELECT l_suppkey % 3 + 1 AS inst_id, CASE l_returnflag WHEN 'A' THEN 'background cpu time' WHEN 'N' THEN 'DB CPU'
-               ELSE 'DB time' END AS stat_name, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) * 10000 AS BIGINT) AS value
+               ELSE 'DB time' END AS stat_name, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) * 10000 AS BIGINT) AS value
         FROM $lineitem GROUP BY 1, 2""",
     "sysmetric": """
         SELECT user_id % 3 + 1 AS inst_id, CASE event_type WHEN 'view' THEN 'Executions Per Sec' WHEN 'click' THEN 'Logons Per Sec'
@@ -374,7 +373,7 @@ SHAPES = {
     "sysstat": """
         SELECT l_suppkey % 3 + 1 AS inst_id, CASE l_linenumber WHEN 1 THEN 'gc blocks lost' WHEN 2 THEN 'gc cr blocks received'
                WHEN 3 THEN 'gc current blocks served' ELSE 'physical reads' END AS name,
-               CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS BIGINT) AS value FROM $lineitem GROUP BY 1, 2""",
+               CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS value FROM $lineitem GROUP BY 1, 2""",
     "latches": """
         SELECT l_partkey % 3 + 1 AS inst_id, 'latch' || l_partkey AS name,
                CAST(sum(CASE WHEN l_discount > 0.01 THEN floor(l_quantity) ELSE 0 END) AS BIGINT) * 10 AS gets,
@@ -615,15 +614,22 @@ SHAPES = {
                p_size AS v1, p_partkey % 20 AS v2, CASE WHEN p_type = 'PROMO' THEN -1 ELSE p_partkey % 3 END AS v3,
                CASE WHEN p_type = 'ECONOMY' THEN CAST(p_partkey % 4 AS VARCHAR(4)) ELSE '' END AS sfx
         FROM $part""",
+    # Three replicas of every row; the second one lags for cheap orders.
+    "replica_writes": """
+        SELECT 1 AS replica, 'dc1' AS dc, o_orderkey, o_orderpriority AS payload, o_orderdate AS write_ts, o_orderstatus, o_orderpriority,
+               o_orderdate FROM $orders
+        UNION ALL
+        SELECT 2, 'dc1', o_orderkey, CASE WHEN o_totalprice < 20000 THEN 'old' ELSE o_orderpriority END,
+               CASE WHEN o_totalprice < 20000 THEN o_orderdate - INTERVAL 1 DAY ELSE o_orderdate END, o_orderstatus, o_orderpriority,
+               o_orderdate FROM $orders
+        UNION ALL
+        SELECT 3, 'dc2', o_orderkey, o_orderpriority, o_orderdate, o_orderstatus, o_orderpriority, o_orderdate FROM $orders""",
     "versioned_rows": """
-        SELECT o_orderkey AS key, replica, 'dc' || (1 + CAST(floor(replica / 3) AS INT)) AS dc,
-               CASE WHEN replica = 2 AND o_totalprice < 20000 THEN 'old' ELSE o_orderpriority END AS payload,
-               CASE WHEN replica = 2 AND o_totalprice < 20000 THEN o_orderdate - INTERVAL 1 DAY ELSE o_orderdate END
-                   AS write_ts,
+        SELECT o_orderkey AS key, replica, dc, payload, write_ts,
                CASE WHEN o_orderstatus = 'P' THEN o_orderdate END AS deleted_at,
                CASE o_orderpriority WHEN '1-URGENT' THEN o_orderdate + INTERVAL 10 DAY
                     WHEN '2-HIGH' THEN o_orderdate + INTERVAL 400 DAY END AS expires_at
-        FROM $orders CROSS JOIN (SELECT 1 AS replica UNION ALL SELECT 2 UNION ALL SELECT 3) r""",
+        FROM $replica_writes""",
 }
 
 

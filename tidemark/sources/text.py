@@ -54,11 +54,15 @@ def parse_param_lines(lines: DataFrame) -> DataFrame:
     return lines.select(*keys, kind.alias("component_type"), F.explode(hosts).alias("host"))
 
 
-def scan_log(lines: DataFrame, pattern: str) -> DataFrame:
-    """Lines that fit ``pattern``, with the time stamp they start with as ``logged_at``."""
+def with_stamp(lines: DataFrame) -> DataFrame:
+    """Adds the first time stamp of each line as ``logged_at``."""
     stamp = F.regexp_extract("line", r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d{1,6})?)", 1)
-    kept = lines.filter(F.col("line").rlike(pattern))
-    return kept.withColumn("logged_at", F.nullif(stamp, F.lit("")).try_cast("timestamp_ntz"))
+    return lines.withColumn("logged_at", F.nullif(stamp, F.lit("")).try_cast("timestamp_ntz"))
+
+
+def scan_log(lines: DataFrame, pattern: str) -> DataFrame:
+    """Lines that fit ``pattern``, with their time stamp."""
+    return with_stamp(lines.filter(F.col("line").rlike(pattern)))
 
 
 def parse_whitespace_table(lines: DataFrame, pattern: str, columns: Sequence[str]) -> DataFrame:

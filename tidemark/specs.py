@@ -76,25 +76,29 @@ class Rule:
 
 @dataclass(frozen=True)
 class LeaderRule:
-    """A log pattern that tells who leads: the logging node itself, or the captured name or number."""
+    """A log pattern that tells who leads: the logging node itself, or the captured name or number.
+
+    ``needle`` is plain text that every matching line holds; it is looked for before the pattern is tried.
+    """
 
     role: str
+    needle: str
     pattern: str
     names: str
 
 
 # What the logs say when a role gets a new leader.
 LEADER_RULES = (
-    LeaderRule("group", r"clssgmCMReconfig: reconfiguration successful.*incarnation\s+.*master node (.*),", "name"),
-    LeaderRule("registry", r"I AM THE NEW OCR MASTER at incar", "self"),
-    LeaderRule("registry", r"NEW OCR MASTER IS (\d+)", "id"),
-    LeaderRule("policy", r"CRSPE.*PE MASTER NAME:\s+(.*)", "name"),
-    LeaderRule("standby", r"I AM A STANDBY MASTER", "self"),
-    LeaderRule("standby", r"CURRENT STANDBY SERVERS:\s*(.*)", "name"),
-    LeaderRule("time", r"ctsselect_msccb\d: (.*) is the CTSS master$", "name"),
-    LeaderRule("ui", r"Master change notification has received. New master: (\d+)$", "id"),
-    LeaderRule("notification", r"ONSPROC CssSemMM::tryMaster I am the master$", "self"),
-    LeaderRule("net notification", r"ONSNETPROC CssSemMM::tryMaster I am the master$", "self"),
+    LeaderRule("group", "clssgmCMReconfig", r"reconfiguration successful.*incarnation\s+.*master node (.*),", "name"),
+    LeaderRule("registry", "I AM THE NEW OCR MASTER", r"I AM THE NEW OCR MASTER at incar", "self"),
+    LeaderRule("registry", "NEW OCR MASTER IS", r"NEW OCR MASTER IS (\d+)", "id"),
+    LeaderRule("policy", "PE MASTER NAME", r"CRSPE.*PE MASTER NAME:\s+(.*)", "name"),
+    LeaderRule("standby", "I AM A STANDBY MASTER", r"I AM A STANDBY MASTER", "self"),
+    LeaderRule("standby", "CURRENT STANDBY SERVERS", r"CURRENT STANDBY SERVERS:\s*(.*)", "name"),
+    LeaderRule("time", "is the CTSS master", r"ctsselect_msccb\d: (.*) is the CTSS master$", "name"),
+    LeaderRule("ui", "Master change notification", r"Master change notification has received. New master: (\d+)$", "id"),
+    LeaderRule("notification", "ONSPROC", r"ONSPROC CssSemMM::tryMaster I am the master$", "self"),
+    LeaderRule("net notification", "ONSNETPROC", r"ONSNETPROC CssSemMM::tryMaster I am the master$", "self"),
 )
 
 # Log patterns that name the hub a leaf is attached to, in the order they are trusted.
