@@ -70,3 +70,12 @@ def test_member_list_pages_hold_every_member(spark):
     rows = spark.range(100).select(F.lit("k").alias("k"), F.col("id").cast("string").alias("m"))
     lists = A.member_list(rows, ["k"], "m", page=F.floor(F.col("m").cast("int") / 30)).collect()
     assert len(lists) == 4 and sum(len(r.members.split(",")) for r in lists) == 100
+
+
+def test_long_exclusion_lists_are_joined(spark):
+    from tidemark.operators.filters import exclude_values
+
+    rows = spark.createDataFrame([("v1",), ("v500",), (None,)], "c string")
+    for size in (5, 400):
+        kept = exclude_values(rows, "c", [f"v{n}" for n in range(size)])
+        assert [r.c for r in kept.collect()] == ["v500"]

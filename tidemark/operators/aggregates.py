@@ -25,15 +25,12 @@ def with_totals(df: DataFrame, groups: Sequence[str], sums: Sequence[str]) -> Da
 
 def hourly_volume(df: DataFrame, groups: Sequence[str], ts: str) -> DataFrame:
     """Rows per day and hour of day: ``h00`` to ``h23`` and their total."""
-    hours = [f"h{hour:02d}" for hour in range(24)]
-    tagged = df.select(
-        *groups,
-        F.date_format(ts, "yyyy-MM-dd").alias("log_date"),
-        F.concat(F.lit("h"), F.date_format(ts, "HH")).alias("_hour"),
-    )
-    counts = tagged.groupBy(*groups, "log_date").pivot("_hour", hours).agg(F.count(F.lit(1))).na.fill(0, hours)
-    total = sum((F.col(h) for h in hours[1:]), F.col(hours[0]))
-    return counts.withColumn("total", total)
+    hours = list(range(24))
+    tagged = df.select(*groups, F.to_date(ts).alias("_day"), F.hour(ts).alias("_hour"))
+    counts = tagged.groupBy(*groups, "_day").pivot("_hour", hours).agg(F.count(F.lit(1)))
+    shown = [F.coalesce(F.col(str(h)), F.lit(0)).alias(f"h{h:02d}") for h in hours]
+    out = counts.select(*groups, F.col("_day").cast("string").alias("log_date"), *shown)
+    return out.withColumn("total", sum((F.col(f"h{h:02d}") for h in hours[1:]), F.col("h00")))
 
 
 def worst_age(df: DataFrame, keys: Sequence[str], ts: str, as_of: Column, name: str = "worst_days") -> DataFrame:

@@ -29,18 +29,18 @@ def with_neighbour(
 
     The struct is null for the first (or last) row of a key. ``chunk`` must not decrease along ``order``.
     """
-    wanted = F.struct(*[F.col(c) for c in columns])
-    position = F.struct(*[F.col(c) for c in order])
     chunked = df.withColumn("_chunk", chunk)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy("_chunk")
     step = F.lead if following else F.lag
     edge = F.min_by if following else F.max_by
-    near = chunked.withColumn("_near", step(wanted).over(inside))
-    borders = (
-        chunked.groupBy(*keys, "_chunk")
-        .agg(edge(wanted, position).alias("_edge"))
-        .withColumn("_carried", step("_edge").over(Window.partitionBy(*keys).orderBy("_chunk")))
-        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_c"), "_carried")
+    near = chunked.withColumn("_near", step(F.struct(*columns)).over(inside))
+    # One value per column rather than one struct: numbers then aggregate by hash, without a sort.
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    edges = chunked.groupBy(*keys, "_chunk").agg(*[edge(c, position).alias(f"_e_{c}") for c in columns])
+    edge_row = F.struct(*[F.col(f"_e_{c}").alias(c) for c in columns])
+    borders = edges.withColumn("_carried", step(edge_row).over(across)).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_c"), "_carried"
     )
     condition = F.col("_chunk").eqNullSafe(F.col("_c"))
     for key in keys:
