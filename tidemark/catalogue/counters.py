@@ -68,7 +68,7 @@ def _(t):
     return out.withColumn("ms_per_wait", F.round("ms_per_wait", 6))
 
 
-@query("agg_rollup_key", f"SELECT name, sum(reading) AS reading FROM ({RAW_DELTA}) d GROUP BY name")
+@query("agg_rollup_key", f"SELECT name, sum(reading)::BIGINT AS reading FROM ({RAW_DELTA}) d GROUP BY name")
 def _(t):
     deltas = D.counter_delta(t.counter_readings, KEYS, ["event_id"], ["reading"], by_hour(), "raw", "full")
     return roll_up_key(deltas, ["name"], ["reading"])

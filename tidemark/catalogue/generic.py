@@ -367,7 +367,7 @@ def _(t):
 
 
 HOURS = ", ".join(
-    f"sum(CASE WHEN extract(hour FROM first_time) = {h} THEN 1 ELSE 0 END) AS h{h:02d}" for h in range(24)
+    f"sum(CASE WHEN extract(hour FROM first_time) = {h} THEN 1 ELSE 0 END)::BIGINT AS h{h:02d}" for h in range(24)
 )
 
 
@@ -390,7 +390,7 @@ def _(t):
 
 
 @query("agg_rollup_total", """
-    SELECT owner, segment_type, sum(bytes) AS bytes, CAST(grouping_id(owner, segment_type) AS INT) AS total_level
+    SELECT owner, segment_type, sum(bytes)::BIGINT AS bytes, CAST(grouping_id(owner, segment_type) AS INT) AS total_level
     FROM $segments GROUP BY ROLLUP (owner, segment_type)""")
 def _(t):
     return A.with_totals(t.segments, ["owner", "segment_type"], ["bytes"])
@@ -406,8 +406,9 @@ def _(t):
         SELECT user_id, event_type, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*), 1) AS mean
         FROM $events GROUP BY 1, 2) m GROUP BY 1""")
 def _(t):
-    total = F.sum(F.col("value").cast("decimal(18,2)")).cast("double")
-    means = t.events.groupBy("user_id", "event_type").agg(F.round(total / F.count("*"), 1).alias("mean"))
+    # Divided as decimals, so that a mean halfway between two steps rounds up.
+    mean = F.round(F.sum(F.col("value").cast("decimal(18,2)")) / F.count("*"), 1).cast("double")
+    means = t.events.groupBy("user_id", "event_type").agg(mean.alias("mean"))
     return means.groupBy("user_id").agg(F.max("mean").alias("worst"))
 
 

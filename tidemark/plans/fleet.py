@@ -56,10 +56,9 @@ def host_figures(series: DataFrame) -> DataFrame:
 
     figures = []
     for name, label in HOST_METRICS.items():
-        mean = F.sum(of(label, F.col("total"))).cast("double") / F.sum(of(label, F.col("n")))
-        figures += [
-            F.round(F.max(of(label, F.col("high"))), 1).alias(f"{name}_max_pc"), F.round(mean, 1).alias(f"{name}_avg_pc")
-        ]
+        # Divided as decimals, so that a mean halfway between two steps rounds up.
+        mean = F.round(F.sum(of(label, F.col("total"))) / F.sum(of(label, F.col("n"))), 1).cast("double")
+        figures += [F.round(F.max(of(label, F.col("high"))), 1).alias(f"{name}_max_pc"), mean.alias(f"{name}_avg_pc")]
     return by_host.agg(*figures)
 
 
@@ -132,7 +131,7 @@ def top_wait(series: DataFrame) -> DataFrame:
     def leader(label: str, name: str) -> DataFrame:
         rows = series.filter(F.col("entity_type").isin(*DATABASE_TYPES) & (F.col("metric_column_label") == label))
         means = rows.groupBy(F.col("entity_name").alias("target_name"), "metric_key_value").agg(
-            F.round(F.sum("total").cast("double") / F.sum("n"), 1).alias("mean")
+            F.round(F.sum("total") / F.sum("n"), 1).alias("mean")
         )
         best = top_n_per_group(means, ["target_name"], [F.col("mean").desc(), F.col("metric_key_value")], 1)
         return best.select("target_name", F.col("metric_key_value").alias(name))

@@ -146,8 +146,9 @@ SHAPES = {
     "pg_user_tables": """
         SELECT CASE WHEN p_size < 5 THEN 'pg_toast' WHEN p_size < 8 THEN 'pg_catalog' ELSE 'app' END AS schemaname,
                'rel' || p_partkey AS relname, p_partkey AS relid,
-               coalesce(ins, 0) AS n_tup_ins, coalesce(upd, 0) AS n_tup_upd, coalesce(del, 0) AS n_tup_del,
-               coalesce(ins, 0) + coalesce(upd, 0) AS n_live_tup, CAST(coalesce(dead, 0) AS BIGINT) AS n_dead_tup,
+               CAST(coalesce(ins, 0) AS BIGINT) AS n_tup_ins, CAST(coalesce(upd, 0) AS BIGINT) AS n_tup_upd,
+               CAST(coalesce(del, 0) AS BIGINT) AS n_tup_del,
+               CAST(coalesce(ins, 0) + coalesce(upd, 0) AS BIGINT) AS n_live_tup, CAST(coalesce(dead, 0) AS BIGINT) AS n_dead_tup,
                coalesce(del, 0) - coalesce(del, 0) % 3 AS seq_scan,
                coalesce(upd, 0) - coalesce(upd, 0) % 5 AS idx_scan, last_vacuum, last_analyze
         FROM $part LEFT JOIN (
@@ -339,7 +340,7 @@ SHAPES = {
                     ELSE 'latch free' END AS event,
                CASE l_linenumber WHEN 1 THEN 'User I/O' WHEN 2 THEN 'User I/O' WHEN 3 THEN 'User I/O' WHEN 4 THEN 'Commit'
                     WHEN 5 THEN 'Idle' WHEN 6 THEN 'Idle' ELSE 'Concurrency' END AS wait_class,
-               count(*) AS total_waits, sum(l_linenumber) AS total_timeouts,
+               count(*) AS total_waits, CAST(sum(l_linenumber) AS BIGINT) AS total_timeouts,
                CAST(sum(CAST(floor(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS time_waited_micro
         FROM $lineitem GROUP BY 1, 2, 3""",
     "sys_time_model": """
