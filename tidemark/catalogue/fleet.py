@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+from tidemark.catalogue.generic import MEAN
 from tidemark.catalogue.registry import query
 from tidemark.plans import fleet
 
 DAY = "2024-01-20 12:00:00"
 
 
-@query("rep_fleet_scorecard", """
+@query("rep_fleet_scorecard", f"""
     WITH t AS (SELECT target_name, split_part(machine_name, '.', 1) AS host FROM $fleet_targets),
     m AS (SELECT *, split_part(entity_name, '.', 1) AS host FROM $fleet_metrics WHERE date_trunc('day', collection_time) = TIMESTAMP '2024-01-20'),
-    cpu AS (SELECT host, round(max(value), 1) AS hi, round(sum(CAST(value AS DECIMAL(18,6)))::DOUBLE / count(*), 1) AS mean FROM m
+    cpu AS (SELECT host, round(max(value), 1) AS hi, {MEAN} AS mean FROM m
             WHERE metric_column_label = 'CPU Utilization (%)' GROUP BY 1),
-    swap AS (SELECT host, round(max(value), 1) AS hi, round(sum(CAST(value AS DECIMAL(18,6)))::DOUBLE / count(*), 1) AS mean FROM m
+    swap AS (SELECT host, round(max(value), 1) AS hi, {MEAN} AS mean FROM m
              WHERE metric_column_label = 'Swap Utilization (%)' GROUP BY 1),
-    iops AS (SELECT host, round(max(value), 1) AS hi, round(sum(CAST(value AS DECIMAL(18,6)))::DOUBLE / count(*), 1) AS mean FROM m
+    iops AS (SELECT host, round(max(value), 1) AS hi, {MEAN} AS mean FROM m
              WHERE metric_column_label LIKE 'Total Disk I/O%' GROUP BY 1),
     tbs AS (SELECT entity_name, metric_key_value, value FROM (
                 SELECT *, row_number() OVER (PARTITION BY entity_name, metric_key_value ORDER BY collection_time DESC) AS rn FROM m
@@ -38,7 +39,7 @@ DAY = "2024-01-20 12:00:00"
                 SELECT target_name, used, row_number() OVER (PARTITION BY target_name ORDER BY length(mount) DESC, mount DESC) AS rn
                 FROM paths JOIN fs ON fs.host = paths.host AND (path = mount OR starts_with(path, mount || '/'))) x WHERE rn = 1),
     means AS (SELECT entity_name, metric_column_label, metric_key_value, row_number() OVER (PARTITION BY entity_name, metric_column_label
-                     ORDER BY round(sum(CAST(value AS DECIMAL(18,6)))::DOUBLE / count(*), 1) DESC, metric_key_value) AS rn
+                     ORDER BY {MEAN} DESC, metric_key_value) AS rn
               FROM m GROUP BY 1, 2, 3),
     waits AS (SELECT e.entity_name, e.metric_key_value || ' (' || c.metric_key_value || ')' AS v FROM means e JOIN means c
               ON c.entity_name = e.entity_name AND e.rn = 1 AND c.rn = 1 AND e.metric_column_label LIKE 'Total Foreground%'

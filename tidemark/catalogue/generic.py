@@ -401,10 +401,12 @@ def _(t):
     return t.orders.select("o_orderstatus", "o_orderpriority").distinct()
 
 
-@query("agg_nested", """
-    SELECT user_id, max(mean) AS worst FROM (
-        SELECT user_id, event_type, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*), 1) AS mean
-        FROM $events GROUP BY 1, 2) m GROUP BY 1""")
+# A mean with one decimal, halves up, in whole numbers: exact where a division of doubles is not.
+MEAN = "((2 * sum(CAST(round(value * 100) AS BIGINT)) + 10 * count(*)) // (20 * count(*)))::DOUBLE / 10"
+
+
+@query("agg_nested", f"""
+    SELECT user_id, max(mean) AS worst FROM (SELECT user_id, event_type, {MEAN} AS mean FROM $events GROUP BY 1, 2) m GROUP BY 1""")
 def _(t):
     # Divided as decimals, so that a mean halfway between two steps rounds up.
     mean = F.round(F.sum(F.col("value").cast("decimal(18,2)")) / F.count("*"), 1).cast("double")
