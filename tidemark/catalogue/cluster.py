@@ -10,6 +10,7 @@ from tidemark.operators import logs as C
 from tidemark.operators import rows as V
 from tidemark.operators.filters import as_ntz
 from tidemark.operators.ranking import top_n
+from tidemark.operators.skew import lookup_join
 from tidemark.plans import gates as U
 from tidemark.session import work_folder, written
 from tidemark.sources import files as S
@@ -271,7 +272,7 @@ def _(t):
            group_number, disk_no, path FROM (
         SELECT *, row_number() OVER (PARTITION BY group_number ORDER BY disk_no) AS rn FROM $disks JOIN $disk_groups USING (group_number)) d""")
 def _(t):
-    joined = t.disks.join(t.disk_groups, "group_number").select("group_name", "total_mb", "group_number", "disk_no", "path")
+    joined = lookup_join(t.disks, t.disk_groups, ["group_number"], "inner").select("group_name", "total_mb", "group_number", "disk_no", "path")
     chunk = F.floor(F.col("disk_no") / 500)
     shown = C.suppress_repeats(joined, "group_number", "disk_no", ["group_name", "total_mb"], chunk)
     return shown.orderBy("group_number", "disk_no")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import version_at_least
 from tidemark.operators.counters import SERIES, last_two_snapshots
+from tidemark.operators.skew import lookup_join
 from tidemark.specs import Rule
 
 
@@ -41,7 +42,7 @@ def wait_percent_check(
     points = two.select(*SERIES, "snap_id", "age")
 
     def growth(df: DataFrame, name: Column, value: Column, source: int) -> DataFrame:
-        picked = df.join(points, [*SERIES, "snap_id"]).groupBy(*SERIES, F.lower(name).alias("name"))
+        picked = lookup_join(df, points, [*SERIES, "snap_id"], "inner").groupBy(*SERIES, F.lower(name).alias("name"))
         change = F.max(F.when(F.col("age") == 1, value)) - F.max(F.when(F.col("age") == 2, value))
         return picked.agg((change / F.lit(1e6)).alias("sec")).filter("sec IS NOT NULL").withColumn(
             "source", F.lit(source)

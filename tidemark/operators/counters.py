@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import duration_days_hms, guarded_ratio
 from tidemark.operators.ranking import top_n_per_group
-from tidemark.operators.skew import with_neighbour, with_running_total
+from tidemark.operators.skew import lookup_join, with_neighbour, with_running_total
 from tidemark.specs import LATENCY_BUCKETS, CounterSpec
 
 
@@ -135,7 +135,7 @@ def interval_report(
     ends = pairs.select(
         *SERIES, "begin_snap", "end_snap", F.explode(F.array("begin_snap", "end_snap")).alias("snap_id")
     )
-    at_ends = counters.select(*SERIES, "snap_id", *keys, counter).join(ends, [*SERIES, "snap_id"])
+    at_ends = lookup_join(counters.select(*SERIES, "snap_id", *keys, counter), ends, [*SERIES, "snap_id"], "inner")
     value = F.col(counter)
     grown = at_ends.groupBy(*SERIES, "begin_snap", "end_snap", *keys).agg(
         (

@@ -11,7 +11,7 @@ from tidemark.functions.exprs import version_at_least
 from tidemark.operators.aggregates import member_list
 from tidemark.operators.checks import first_match
 from tidemark.operators.joins import full_reconcile, previous_line
-from tidemark.operators.skew import with_neighbour
+from tidemark.operators.skew import lookup_join, with_neighbour
 from tidemark.sources.text import scan_log, with_stamp
 from tidemark.specs import LeaderRule
 
@@ -121,7 +121,7 @@ def suppress_repeats(df: DataFrame, group: str, order: str, columns: Sequence[st
 
 def volumes(volumes: DataFrame, groups: DataFrame) -> DataFrame:
     """Distinct volumes with their disk group; missing mount points and uses get a placeholder, sizes a zero."""
-    joined = volumes.join(groups.select("group_number", "group_name"), "group_number")
+    joined = lookup_join(volumes, groups.select("group_number", "group_name"), ["group_number"], "inner")
     return joined.select(
         "volume_name", "group_name", F.coalesce("mountpath", F.lit("N/A")).alias("mountpath"),
         F.coalesce("usage", F.lit("N/A")).alias("usage"), F.round(F.coalesce("size_mb", F.lit(0.0)), 0).alias("size_mb"),

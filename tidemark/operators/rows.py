@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import with_neighbour
+from tidemark.operators.skew import lookup_join, with_neighbour
 
 
 def _seconds(amount: Column) -> Column:
@@ -72,7 +72,7 @@ def read_repair(rows: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
     """The writes that bring every lagging replica of a key to its newest version."""
     place = F.struct("write_ts", F.col("deleted_at").isNotNull().alias("dead"), "payload")
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct("payload", "write_ts", "deleted_at"), place).alias("_n"))
-    joined = rows.join(newest, list(keys))
+    joined = lookup_join(rows, newest, keys, "inner")
     behind = joined.filter(
         ~(F.col("payload").eqNullSafe(F.col("_n.payload")) & F.col("write_ts").eqNullSafe(F.col("_n.write_ts"))
           & F.col("deleted_at").eqNullSafe(F.col("_n.deleted_at")))

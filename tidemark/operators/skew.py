@@ -89,7 +89,7 @@ def lookup_join(
     how: str = "left",
     spread: int = 8,
 ) -> DataFrame:
-    """Joins ``facts`` to a ``lookup`` that has one row per key, spreading frequent keys over ``spread`` tasks.
+    """Joins ``facts`` to a ``lookup`` with one or a few rows per key, spreading frequent keys over ``spread`` tasks.
 
     The spread number comes from the row and its input partition, so that copies of one row spread too and a
     task that runs again sends its rows where it sent them before.

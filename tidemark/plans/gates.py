@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import version_compare
 from tidemark.operators.checks import gate
+from tidemark.operators.skew import lookup_join
 from tidemark.specs import Rule
 
 MB = 1024 * 1024
@@ -14,7 +15,7 @@ MB = 1024 * 1024
 
 def backup_age(backups: DataFrame, datafiles: DataFrame, as_of: Column) -> DataFrame:
     """Worst age of the newest full and the newest incremental backup over all files that have both."""
-    named = backups.join(datafiles, "file_no")
+    named = lookup_join(backups, datafiles, ["file_no"], "inner")
     level = F.col("incremental_level")
     newest = named.groupBy("name").agg(
         F.max(F.when(level == 0, F.col("completion_time"))).alias("full_time"),

@@ -220,13 +220,13 @@ def running_jobs(activity: DataFrame) -> DataFrame:
 def occupants(segments: DataFrame) -> DataFrame:
     """Space per occupant, those with none left out."""
     used = segments.groupBy(F.col("owner").alias("occupant")).agg(F.sum("bytes").alias("bytes"))
-    return used.filter("bytes > 0").select("occupant", (F.col("bytes") / MB).alias("mb")).orderBy("mb")
+    return used.filter("bytes > 0").select("occupant", (F.col("bytes") / MB).alias("mb")).orderBy("mb", "occupant")
 
 
 def long_operations(ops: DataFrame) -> DataFrame:
     return ops.filter("totalwork <> sofar").withColumn("elapsed_min", F.col("elapsed_seconds") / 60).drop(
         "elapsed_seconds"
-    ).orderBy(F.col("time_remaining").desc())
+    ).orderBy(F.col("time_remaining").desc(), "sid", "serial_no", "target")
 
 
 # --- sessions
@@ -251,7 +251,7 @@ def in_flight(sessions: DataFrame, sqlarea: DataFrame, event_like: str | None =
         "rows_processed", "event", "osuser", "program", "module", "machine", "seconds_in_wait", "state", "sql_text",
         F.date_format("logon_time", "MM-dd-yyyy HH:mm:ss").alias("logontime"),
         duration_hms(F.col("last_call_et")).alias("running_since"),
-    ).orderBy(F.col("running_since").desc())
+    ).orderBy(F.col("running_since").desc(), "inst_id", "sid")
 
 
 def with_process(sessions: DataFrame, processes: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ def inactive_detail(sessions: DataFrame, processes: DataFrame, sqlarea: DataFram
     return rows.select(
         "spid", "sid", "serial_no", (F.col("last_call_et") / 3600).alias("last_call_hours"), "status", "module",
         "program", "disk_reads", F.lpad("sql_text", 30, " ").alias("last_sql"),
-    ).orderBy("last_call_hours", "sid")
+    ).orderBy("last_call_hours", "sid", "spid")
 
 
 def sequence_exhaustion(sequences: DataFrame, excluded_owners: Sequence[str], limit: float = 90) -> DataFrame:
@@ -301,7 +301,7 @@ def alert_errors(alert_log: DataFrame, as_of: Column) -> DataFrame:
     return errors.select(
         F.date_format("originating_timestamp", "dd.MM.yyyy HH:mm:ss").alias("message_time"), "inst_id", "message_text",
         "host_id", "adr_home",
-    ).orderBy(F.col("message_time").desc())
+    ).orderBy(F.col("message_time").desc(), "inst_id", "host_id", "message_text")
 
 
 # --- waits and load
@@ -320,16 +320,17 @@ def top_events(system_event: DataFrame, n: int = 10) -> DataFrame:
 
 def load_profile(sysmetric: DataFrame, group_id: int = 2) -> DataFrame:
     kept = sysmetric.filter(F.col("metric_name").isin(list(LOAD_METRICS)) & (F.col("group_id") == group_id))
-    return kept.withColumn("w_metric_value", F.round("value", 2)).orderBy("metric_name", "inst_id")
+    return kept.withColumn("w_metric_value", F.round("value", 2)).orderBy("metric_name", "inst_id", "value")
 
 
 def undo_usage(transactions: DataFrame, sessions: DataFrame, rollback: DataFrame) -> DataFrame:
     owners = sessions.select("inst_id", F.col("saddr").alias("ses_addr"), "username", "sid", "serial_no")
     segments = rollback.withColumnRenamed("usn", "xidusn")
-    joined = transactions.join(owners, ["inst_id", "ses_addr"]).join(segments, "xidusn")
+    owned = lookup_join(transactions, owners, ["inst_id", "ses_addr"], "inner")
+    joined = lookup_join(owned, segments, ["xidusn"], "inner")
     return joined.select(
         "inst_id", "username", "sid", "serial_no", "used_ublk", "used_urec", "segment_name", "rssize", "status"
-    ).orderBy(F.col("used_ublk").desc())
+    ).orderBy(F.col("used_ublk").desc(), "inst_id", "sid", "used_urec")
 
 
 def temp_usage(
@@ -346,7 +347,7 @@ def temp_usage(
     return joined.select(
         "username", "sid", "spid", "sql_id", "sql_text", "tablespace",
         (F.col("blocks") * F.col("block_size") / MB).alias("usage_mb"),
-    ).orderBy("usage_mb")
+    ).orderBy("usage_mb", "sid", "sql_id", "tablespace")
 
 
 def temp_by_statement(samples: DataFrame, as_of: Column, seconds: int = 7200, least: int = 5 * GB) -> DataFrame:
@@ -361,7 +362,7 @@ def waiting_sessions(sessions: DataFrame, sqlarea: DataFrame) -> DataFrame:
     statements = sqlarea.select("inst_id", F.col("address").alias("sql_address"), F.col("sql_text").alias("last_sql"))
     return waiting.join(statements, ["inst_id", "sql_address"]).select(
         "inst_id", "sql_id", "sid", "state", "event", F.col("seconds_in_wait").alias("seconds"), "p1", "last_sql"
-    ).orderBy(F.col("seconds").desc())
+    ).orderBy(F.col("seconds").desc(), "inst_id", "sid")
 
 
 def top_waiting_sql(samples: DataFrame, sqlarea: DataFrame, users: DataFrame, as_of: Column, n: int = 5) -> DataFrame:
@@ -464,7 +465,7 @@ def lock_detail(locks: DataFrame, sessions: DataFrame, locked_objects: DataFrame
         "osuser", "machine", decode(F.col("lock_type"), LOCK_TYPES, F.col("lock_type")).alias("lock_type"),
         decode(F.col("lmode"), LOCK_MODES, F.col("lmode").cast("string")).alias("lock_mode"), "ctime", "object_name",
         "id1", "id2",
-    ).orderBy("id1", "id2", F.col("ctime").desc())
+    ).orderBy("id1", "id2", F.col("ctime").desc(), "lock_no")
 
 
 LOCK_RESOURCE = ("lock_type", "id1", "id2")
@@ -501,13 +502,13 @@ def lock_list(locks: DataFrame) -> DataFrame:
 
 def locked_objects(objects: DataFrame, locked: DataFrame) -> DataFrame:
     names = objects.select("object_id", F.col("owner").alias("object_owner"), "object_name")
-    joined = locked.join(names, "object_id")
+    joined = lookup_join(locked, names, ["object_id"], "inner")
     return joined.select(
         "inst_id", F.col("session_id").alias("sid"), F.coalesce("username", F.lit("(none)")).alias("username"),
         "object_owner", "object_name",
         decode(F.col("locked_mode"), LOCK_MODES_LONG, F.col("locked_mode").cast("string")).alias("locked_mode"),
         "os_user_name",
-    ).orderBy("inst_id", "sid", "username", "object_owner")
+    ).orderBy("inst_id", "sid", "username", "object_owner", "object_name")
 
 
 # --- objects and waits on them
@@ -550,7 +551,7 @@ def latch_hit_ratio(latches: DataFrame, limit: float = 0.99) -> DataFrame:
     return kept.select(
         "inst_id", F.col("name").alias("latch_name"), "hit_ratio",
         F.round(safe_ratio(F.col("sleeps"), F.col("misses")), 3).alias("sleeps_per_miss"),
-    ).orderBy("hit_ratio")
+    ).orderBy("hit_ratio", "latch_name", "inst_id")
 
 
 def latch_waits(latches: DataFrame, n: int = 10) -> DataFrame:
@@ -568,7 +569,7 @@ def latch_immediate(latches: DataFrame, limit: float = 0.99) -> DataFrame:
     return kept.filter(F.col("hit_ratio") < limit).select(
         "inst_id", F.col("name").alias("latch_name"), "hit_ratio",
         F.round(safe_ratio(F.col("sleeps"), F.col("immediate_misses")), 3).alias("sleeps_per_miss"),
-    ).orderBy("hit_ratio")
+    ).orderBy("hit_ratio", "latch_name", "inst_id")
 
 
 def unshared_cursors(cursors: DataFrame, sqlarea: DataFrame, least: int = 99) -> DataFrame:
@@ -594,7 +595,7 @@ def private_memory(samples: DataFrame, as_of: Column, seconds: int = 180, least:
         F.coalesce(F.col("qc_session_id").cast("string"), F.lit("n/a")).alias("qc"), "inst_id",
         F.col("session_id").alias("sid"), (F.col("pga_allocated") / 1024).alias("kb"), "sql_id",
         F.coalesce("module", F.concat(F.lit("<"), "program", F.lit(">"))).alias("module"),
-    ).orderBy("hhmmss", "qc", "sid")
+    ).orderBy("hhmmss", "qc", "sid", "kb", "sql_id")
 
 
 def top_segments(segments: DataFrame, n: int = 10) -> DataFrame:
@@ -644,4 +645,4 @@ def stale_statistics(statistics: DataFrame, tables: DataFrame, external: DataFra
 
 
 def invalid_objects(objects: DataFrame) -> DataFrame:
-    return objects.filter("status = 'INVALID'").orderBy("owner", "object_name")
+    return objects.filter("status = 'INVALID'").orderBy("owner", "object_name", "object_id")

@@ -73,7 +73,7 @@ def maintenance_running(activity: DataFrame, as_of: Column, least_seconds: int =
     aged = workers.select("pid", "query", "state", _age("xact_start", as_of).alias("duration"), _age("query_start", as_of).alias("_q"))
     if least_seconds:
         aged = aged.filter((F.col("state") == "active") & (F.col("_q") > least_seconds))
-    return aged.drop("_q").orderBy(F.col("duration").desc())
+    return aged.drop("_q").orderBy(F.col("duration").desc(), "pid")
 
 
 def running_statements(activity: DataFrame, as_of: Column, least_seconds: float = 1) -> DataFrame:
@@ -81,7 +81,7 @@ def running_statements(activity: DataFrame, as_of: Column, least_seconds: float
         ~F.col("state").isin("idle", "idle in transaction") & ~F.col("query").like("autovacuum:%")
     )
     aged = kept.select("pid", _age("query_start", as_of).alias("duration"), "query", "state")
-    return aged.filter(F.col("duration") > least_seconds).orderBy(F.col("duration").desc())
+    return aged.filter(F.col("duration") > least_seconds).orderBy(F.col("duration").desc(), "pid")
 
 
 def connections_by_state(activity: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def maintenance_times(tables: DataFrame) -> DataFrame:
 
 def _user_relations(classes: DataFrame, namespaces: DataFrame) -> DataFrame:
     spaces = namespaces.withColumnRenamed("oid", "relnamespace")
-    named = classes.join(spaces, "relnamespace", "left")
+    named = lookup_join(classes, spaces, ["relnamespace"])
     return named.filter(~F.col("nspname").isin(*SYSTEM_SCHEMAS))
 
 
@@ -163,7 +163,7 @@ def bloat(
     spaces = namespaces.filter("nspname <> 'information_schema'").select(
         F.col("oid").alias("relnamespace"), F.col("nspname").alias("schemaname")
     )
-    tables = classes.join(spaces, "relnamespace").select(
+    tables = lookup_join(classes, spaces, ["relnamespace"], "inner").select(
         F.col("oid").alias("indrelid"), "schemaname", F.col("relname").alias("tablename"), "reltuples", "relpages"
     )
     index_rows = indexes.join(
@@ -202,4 +202,4 @@ def long_sessions(activity: DataFrame, as_of: Column, least_seconds: int, state:
     aged = activity.withColumn("duration", _age("query_start", as_of)).filter(F.col("duration") > least_seconds)
     if state is not None:
         aged = aged.filter((F.col("state") == state) & ~F.col("query").like("autovacuum%"))
-    return aged.select("pid", "usename", "client_addr", "duration", "query", "state").orderBy(F.col("duration").desc())
+    return aged.select("pid", "usename", "client_addr", "duration", "query", "state").orderBy(F.col("duration").desc(), "pid")
