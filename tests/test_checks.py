@@ -138,3 +138,11 @@ def test_first_match_falls_back(spark):
 def test_domain(spark, found, configured, verdict, passed):
     row = G.domain_audit(spark.createDataFrame([(found, configured)], "found string, configured string")).collect()[0]
     assert (row.verdict, row.passed) == (verdict, passed)
+
+
+def test_default_version_gate(spark):
+    rows = [("cell", "11.2.2.3"), ("cell", "11.2.2"), ("switch", "1.1.3-1"), ("switch", "1.1.4"), ("agent", None), ("other", "1")]
+    got = G.version_gate(spark.createDataFrame(rows, "type string, version string")).collect()
+    assert {(r.type, r.version): r.passed for r in got} == {
+        ("cell", "11.2.2.3"): True, ("cell", "11.2.2"): False, ("switch", "1.1.3-1"): False, ("switch", "1.1.4"): True, ("agent", None): False,
+    }

@@ -72,3 +72,32 @@ def test_rank_top_keeps_ties(rows, n):
 def test_top_n_per_group_and_latest_row(rows):
     got = top_n_per_group(rows, ["k"], [F.col("n").desc()], 1).drop("rn")
     assert same(got, latest_row(rows, ["k"], ["n"]))
+
+
+@pytest.fixture
+def no_coalesce(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, before)
+
+
+def largest_share(df):
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_one_single_key_uses_many_tasks(spark, no_coalesce):
+    hot = spark.range(100000).select(F.lit("hot").alias("k"), F.col("id").alias("n"), (F.col("id") % 7).alias("v"))
+    chunk = F.floor(F.col("n") / 1000)
+    broadcast = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(broadcast)
+    spark.conf.set(broadcast, "-1")
+    try:
+        assert largest_share(with_neighbour(hot, ["k"], ["n"], ["v"], chunk)) < 0.5
+        assert largest_share(with_running_total(hot, ["k"], ["n"], F.col("v"), chunk)) < 0.5
+        lookup = spark.createDataFrame([("hot", 1)], "k string, x int")
+        assert largest_share(lookup_join(hot, lookup, ["k"])) < 0.5
+    finally:
+        spark.conf.set(broadcast, before)

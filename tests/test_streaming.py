@@ -28,3 +28,18 @@ def test_stream_equals_batch_over_restarts(spark):
     batch = counter_delta(kept, ["k"], ["snap_id"], ["v"], F.floor(F.col("snap_id") / 2), "raw", "full").filter("snap_id > 1")
     assert got == {(r.k, r.snap_id): r.v for r in batch.collect()}
     assert got[("a", 3)] == -6 and got[("c", 3)] == 4 and ("a", 2) in got
+
+
+def test_monitor_stops_after_some_polls(spark):
+    from tidemark.plans.pg import connections_by_state
+    from tidemark.streaming.counters import stop_after
+    from tidemark.streaming.monitor import stream_monitor
+
+    inbox, out, state = (work_folder(spark, n) for n in ("in", "out", "state"))
+    for n in range(4):
+        spark.createDataFrame([(n, "active")], "pid int, state string").coalesce(1).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema("pid int, state string").option("maxFilesPerTrigger", 1).parquet(inbox)
+    run = stream_monitor(stream, {"states": connections_by_state}, out, state, seconds=1)
+    stop_after(run, 2)
+    assert not run.isActive
+    assert spark.read.parquet(f"{out}/states").count() >= 2

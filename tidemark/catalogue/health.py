@@ -170,6 +170,11 @@ def _(t):
     )
 
 
+@query("rep_r16_files", "SELECT group_no, member, type, sequence_no FROM $log_files")
+def _(t):
+    return t.log_files.orderBy("group_no", "sequence_no")
+
+
 @query("rep_r17", f"""
     SELECT thread_no, strftime(first_time, '%Y-%m-%d') AS log_date, {HOURS}, count(*) AS total FROM $archived_log GROUP BY 1, 2""")
 def _(t):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.exprs import version_at_least
 from tidemark.operators.counters import SERIES, last_two_snapshots
 from tidemark.operators.skew import lookup_join
-from tidemark.specs import Rule
+from tidemark.specs import MINIMUM_VERSIONS, Rule
 
 
 def wait_percent_check(
@@ -103,7 +103,7 @@ def sequence_gap(df: DataFrame, limit: int = 5) -> DataFrame:
     )
 
 
-def version_gate(versions: DataFrame, minimums: Mapping[str, str]) -> DataFrame:
+def version_gate(versions: DataFrame, minimums: Mapping[str, str] = MINIMUM_VERSIONS) -> DataFrame:
     """Whether each component has at least the version asked for its type; types without a rule are left out."""
     required = F.lit(None).cast("string")
     for kind, least in minimums.items():

@@ -320,6 +320,9 @@ SHAPES = {
     "sgastat": """
         SELECT p_partkey % 3 + 1 AS inst_id, p_type AS pool, CASE WHEN p_size < 10 THEN 'free memory' ELSE p_name END AS name,
                CAST(floor(p_retailprice * 100000) AS BIGINT) AS bytes FROM $part""",
+    "log_files": """
+        SELECT s_nationkey AS group_no, '/redo/' || s_name AS member, CASE WHEN s_acctbal < 0 THEN 'STANDBY' ELSE 'ONLINE' END AS type,
+               s_suppkey * 7 AS sequence_no FROM $supplier""",
     "long_ops": """
         SELECT l_orderkey AS sid, l_linenumber AS serial_no, l_partkey AS target, l_suppkey AS opname,
                CAST(floor(l_quantity) AS BIGINT) AS totalwork, CAST(floor(l_quantity * (1 - l_discount)) AS BIGINT) AS sofar,

@@ -74,6 +74,11 @@ class Rule:
     required: float
 
 
+# Least versions by component type, and of the two layouts of a rack description.
+MINIMUM_VERSIONS = {"cell": "11.2.2.3", "tool": "1.8.10.3", "switch": "1.1.3-2", "agent": "12.1.0.2.0"}
+MINIMUM_SCHEMA = {"catalog": "868", "machine": "502"}
+
+
 @dataclass(frozen=True)
 class LeaderRule:
     """A log pattern that tells who leads: the logging node itself, or the captured name or number.

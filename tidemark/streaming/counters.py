@@ -74,6 +74,16 @@ def poll_report(deltas: DataFrame, spec: CounterSpec, poll: str = "snap_id", n:
     return with_ratios(best, spec).orderBy(poll, F.col("rank").desc())
 
 
+def stop_after(run, polls: int, wait_seconds: float = 0.2) -> None:
+    """Lets a running query take ``polls`` micro-batches and stops it."""
+    while run.isActive:
+        done = run.lastProgress
+        if done is not None and done["batchId"] + 1 >= polls:
+            break
+        run.awaitTermination(wait_seconds)
+    run.stop()
+
+
 def write_top_polls(deltas: DataFrame, spec: CounterSpec, folder: str, checkpoint: str, n: int = DEFAULT_TOP,
                     poll: str = "snap_id", poll_seconds: int | None = DEFAULT_POLL_SECONDS):
     """Starts a query that writes the top of every micro-batch; without ``poll_seconds`` it stops at the end.
