@@ -11,10 +11,26 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-BASE_TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
-)
+# Columns of the given tables. Declared, so that no read has to look into files for its schema.
+BASE_TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 SHAPES = {
     # One row per statement; a statement may have no executions at all.
@@ -637,16 +653,16 @@ SHAPES = {
 }
 
 
-def render(text: str, dialect: str, sf_dir: str = "") -> str:
-    """``text`` with every ``$name`` replaced for ``dialect`` (``spark`` or ``duckdb``)."""
+def render(text: str, dialect: str) -> str:
+    """``text`` with every ``$name`` filled in: shapes as subqueries, base tables as ``{name}`` for Spark or plain."""
 
     def fill(match: re.Match) -> str:
         name = match.group(1)
         if name == "NTZ":
             return "TIMESTAMP_NTZ" if dialect == "spark" else "TIMESTAMP"
         if name in BASE_TABLES:
-            return f"parquet.`{sf_dir}/{name}.parquet`" if dialect == "spark" else name
-        return f"({render(SHAPES[name], dialect, sf_dir)})"
+            return f"{{{name}}}" if dialect == "spark" else name
+        return f"({render(SHAPES[name], dialect)})"
 
     return re.sub(r"\$([A-Za-z_]+)", fill, text)
 
@@ -660,11 +676,13 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return self.spark.read.schema(BASE_TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
         if name in SHAPES:
             return self.sql(SHAPES[name])
         raise AttributeError(name)
 
     def sql(self, text: str) -> DataFrame:
         """A SELECT over tables and shapes."""
-        return self.spark.sql(render(text, "spark", self.sf_dir))
+        rendered = render(text, "spark")
+        used = set(re.findall(r"\{([a-z]+)\}", rendered))
+        return self.spark.sql(rendered, **{name: getattr(self, name) for name in used})
