@@ -1,8 +1,5 @@
 import random
 
-import pytest
-from pyspark.sql import functions as F
-
 from tidemark.operators import graph
 
 

@@ -79,3 +79,9 @@ def test_long_exclusion_lists_are_joined(spark):
     for size in (5, 400):
         kept = exclude_values(rows, "c", [f"v{n}" for n in range(size)])
         assert [r.c for r in kept.collect()] == ["v500"]
+
+
+def test_sketched_distinct_counts_stay_close(tables):
+    exact = A.distinct_counts(tables.lineitem, [], ["l_orderkey"]).collect()[0][0]
+    near = A.distinct_counts(tables.lineitem, [], ["l_orderkey"], 0.02).collect()[0][0]
+    assert abs(near - exact) < 0.1 * exact

@@ -356,9 +356,8 @@ def _(t):
     SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers
     FROM $lineitem GROUP BY 1""")
 def _(t):
-    return t.lineitem.groupBy("l_returnflag").agg(
-        F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers")
-    )
+    counts = A.distinct_counts(t.lineitem, ["l_returnflag"], ["l_partkey", "l_suppkey"])
+    return counts.withColumnsRenamed({"l_partkey": "parts", "l_suppkey": "suppliers"})
 
 
 @query("agg_having", "SELECT o_custkey, count(*) AS n FROM $orders GROUP BY 1 HAVING count(*) > 15")

@@ -8,6 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def distinct_counts(
+    df: DataFrame, groups: Sequence[str], columns: Sequence[str], error: float | None = None
+) -> DataFrame:
+    """Distinct values of each column per group: exact, or within the relative ``error`` by a sketch of fixed size."""
+    counts = [
+        F.count_distinct(c).alias(c) if error is None else F.approx_count_distinct(c, error).alias(c) for c in columns
+    ]
+    return df.groupBy(*groups).agg(*counts)
+
+
 def percent_of_total(df: DataFrame, measure: str, name: str = "pct", digits: int = 2) -> DataFrame:
     """Adds the share of ``measure`` in its grand total; the total is one scalar, not a window over all rows."""
     total = df.select(F.sum(measure)).scalar()

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.files import read_table
+
 # Columns of the given tables. Declared, so that no read has to look into files for its schema.
 BASE_TABLES = {
     "region": "r_regionkey int, r_name string",
@@ -676,7 +678,7 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.spark.read.schema(BASE_TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+            return read_table(self.spark, f"{self.sf_dir}/{name}.parquet", BASE_TABLES[name])
         if name in SHAPES:
             return self.sql(SHAPES[name])
         raise AttributeError(name)

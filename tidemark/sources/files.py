@@ -12,6 +12,11 @@ from pyspark.sql import types as T
 from tidemark.functions.exprs import unit_interval
 
 
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A landed table with declared columns, so that nothing is read to find them."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def union_instances(feeds: Mapping[int, DataFrame]) -> DataFrame:
     """One cluster-wide relation from the same relation of every instance, tagged with ``inst_id``."""
     tagged = [df.withColumn("inst_id", F.lit(inst)) for inst, df in feeds.items()]
