@@ -53,7 +53,8 @@ class CounterDelta(StatefulProcessor):
 def stream_counter_delta(polls: DataFrame, spec: CounterSpec, poll: str = "snap_id", first_poll: int = 1) -> DataFrame:
     """Growth of every counter from poll to poll. ``polls`` is a stream with whole-number poll ids.
 
-    State lives in the state store, so the query must run with the RocksDB provider.
+    State lives in the state store, so the query must run with the RocksDB provider. A micro-batch should hold few
+    polls of one key, as they are put in order in memory; limit it with ``maxFilesPerTrigger`` when catching up.
     """
     names = [*spec.keys, poll, *spec.counters]
     kinds = {f.name: f.dataType for f in polls.schema.fields}
