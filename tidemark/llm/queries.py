@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontaminate import contamination_digest
+from tidemark.llm.merge_encoding import encoding_digest
 from tidemark.llm.secrets import secret_digest
 
+#: The vocabulary file of the two token operators.
+VOCABULARY = "piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
@@ -27,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_pieces")
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encoding_digest(documents, public_tokenizers.path(VOCABULARY))
+
+
 @query("op2_secrets")
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
