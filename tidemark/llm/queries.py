@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.decontaminate import contamination_digest
 from tidemark.llm.merge_encoding import encoding_digest
 from tidemark.llm.secrets import secret_digest
+from tidemark.llm.token_counts import token_counts
 
 #: The vocabulary file of the two token operators.
 VOCABULARY = "piece_bpe_32k.model"
@@ -43,6 +44,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(documents, public_tokenizers.path(VOCABULARY), keep_text=False, ranked=True)
+
+
 @query(
     "op10_decontamination",
     r"""

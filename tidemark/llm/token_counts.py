@@ -14,6 +14,8 @@ which all sums are whole numbers; other vocabularies are worked out position by
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -122,10 +124,17 @@ def _single(value: int) -> int:
     return kept << extra if value >= 0 else -(kept << extra)
 
 
-def token_counts(df: DataFrame, path: str, text: str = "text", keep_text: bool = True) -> DataFrame:
+def by_rank(model: dict) -> dict:
+    """The model with each piece scored by its place in the file: Zipf's logarithm, in whole sixteenths."""
+    zipf = [-float(round(16 * math.log(k + 2))) for k in range(len(model["pieces"]))]
+    return model | {"pieces": [(piece, zipf[k], kind) for k, (piece, _, kind) in enumerate(model["pieces"])]}
+
+
+def token_counts(df: DataFrame, path: str, text: str = "text", keep_text: bool = True, ranked: bool = False) -> DataFrame:
     """Adds ``n_tokens``, the number of pieces of the best path of each text.
 
-    The pieces and scores of the file are read as a unigram vocabulary, whatever it says of its kind. A null or empty
+    The pieces of the file are read as a unigram vocabulary, with the scores of the file or, with ``ranked``, scored by
+    their place in it, which is how a merge vocabulary without probabilities is read. A null or empty
     text has none. Rows are counted each on their own, whatever their length; other columns pass through, one called
     ``n_tokens`` is replaced, and a table without rows stays empty.
     """
@@ -133,7 +142,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", keep_text: bool =
         data = file.read(MOST_BYTES + 1)
     if len(data) > MOST_BYTES:
         raise ValueError(f"{path} has more than {MOST_BYTES} bytes")
-    sent = df.sparkSession.sparkContext.broadcast({"model": read_model(data)})
+    sent = df.sparkSession.sparkContext.broadcast({"model": by_rank(read_model(data)) if ranked else read_model(data)})
 
     def compute(column: pa.Array) -> list[pa.Array]:
         held = sent.value
