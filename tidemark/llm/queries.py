@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.decontaminate import contamination_digest
 from tidemark.llm.language import language_digest
 from tidemark.llm.merge_encoding import encoding_digest
+from tidemark.llm.order_minhash import compare_edited
 from tidemark.llm.quality import quality_digest
 from tidemark.llm.secrets import secret_digest
 from tidemark.llm.token_counts import token_counts
@@ -51,6 +52,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(table(spark, sf_dir, "documents"))
 
 
+@query("op8_order_minhash")
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality")
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
