@@ -13,6 +13,7 @@ from tidemark.llm.merge_encoding import encoding_digest
 from tidemark.llm.order_minhash import compare_edited
 from tidemark.llm.quality import quality_digest
 from tidemark.llm.secrets import secret_digest
+from tidemark.llm.warc import archived_captures
 from tidemark.llm.token_counts import token_counts
 
 #: The vocabulary file of the two token operators.
@@ -52,6 +53,29 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op5_warc",
+    """
+    with payloads as (select page_id, url, encode(coalesce(html, '')) as body from pages),
+    firsts as (select body, min(page_id) as first from payloads group by body),
+    hashed as (
+        select p.page_id, octet_length(p.body) as payload_bytes, f.first, sha1(p.body) as hexed
+        from payloads p join firsts f on p.body = f.body)
+    select page_id, payload_bytes,
+        translate(
+            to_base(cast('0x' || substr(hexed, 1, 10) as bigint), 32, 8) || to_base(cast('0x' || substr(hexed, 11, 10) as bigint), 32, 8)
+            || to_base(cast('0x' || substr(hexed, 21, 10) as bigint), 32, 8) || to_base(cast('0x' || substr(hexed, 31, 10) as bigint), 32, 8),
+            '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest,
+        case when page_id = first then 'response' else 'revisit' end as record_type,
+        case when page_id <> first then first end as refers_to
+    from hashed
+    """,
+)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = archived_captures(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op8_order_minhash")
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(table(spark, sf_dir, "documents"))
