@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontaminate import contamination_digest
+from tidemark.llm.jaccard import near_duplicates
 from tidemark.llm.language import language_digest
 from tidemark.llm.merge_encoding import encoding_digest
 from tidemark.llm.order_minhash import compare_edited
@@ -76,6 +77,34 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query(
+    "op7_jaccard",
+    r"""
+    with recursive words as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+        from documents),
+    shingles as (
+        select distinct doc_id, array_to_string(w[p:p + 4], ' ') as s
+        from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as p from words where len(w) > 0)),
+    sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+    shared as (
+        select a.doc_id as x, b.doc_id as y, count(*) as k
+        from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+    links as (
+        select x, y from shared join sizes a on a.doc_id = x join sizes b on b.doc_id = y
+        where 100 * k >= 80 * (a.n + b.n - k)),
+    reach as (
+        select doc_id as x, doc_id as y from words
+        union
+        select r.x, l.y from reach r join links l on l.x = r.y)
+    select w.doc_id, coalesce(s.n, 0) as n_shingles, (select min(y) from reach r where r.x = w.doc_id) as component_id
+    from words w left join sizes s using (doc_id)
+    """,
+)
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op8_order_minhash")
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(table(spark, sf_dir, "documents"))
