@@ -273,3 +273,22 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", run:
         lookup = lookup.join(labels.select(F.col("node").alias("head"), "component"), "head", "left").select("class", F.coalesce("component", "head").alias("head"))
     member = hot_join(marked, lookup, "class", hot_keys(classes, "class", "k", total), "doc", "left")
     return member.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("head", "doc").alias("component_id"))
+
+
+#: Ids that may be sent to every task; 16 bytes each.
+MOST_SENT = 1_000_000
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, percent: int = PERCENT) -> DataFrame:
+    """``df`` with one document of each group that links connect, the one with the smallest id.
+
+    Rows with a null key stay, and so do texts without words; of rows that repeat a key one stays.
+    """
+    groups = near_duplicates(df, key, text, run, percent)
+    gone = written(groups.where(F.col("component_id") < F.col(key)).select(key).distinct(), "gone")
+    if gone.count() <= MOST_SENT:
+        gone = F.broadcast(gone)
+    kept = df.join(gone, key, "left_anti").select(*[column(c) for c in df.columns])
+    if groups.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").take(1):
+        kept = kept.where(column(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(column(key).isNull()))
+    return kept

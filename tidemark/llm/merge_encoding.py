@@ -8,10 +8,12 @@ earlier. The ids are then read off backwards. No merge is ever carried out on th
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tidemark.llm.batches import add_columns, sha256, texts_of
+from tidemark.llm.batches import add_columns, sha256
 from tidemark.llm.pieces import MERGES, SPACE, Vocabulary, matcher, read_model
 
 #: Entries of a memo of parts or pairs before it starts anew; bounds the memory of a worker.
@@ -172,13 +174,38 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast({"tables": load_merges(path)})
 
     def compute(column: pa.Array) -> list[pa.Array]:
-        encoder = encoder_of(sent.value)
-        ids = [[int(k) for part in encoder.written_ids(t) for k in part.split(",")] for t in texts_of(column)]
-        return [pa.array(ids, pa.list_(pa.int32()))]
+        return [_lists([",".join(encoder_of(sent.value).written_ids(value.as_py())) for value in column])]
 
     return add_columns(df, text, "ids array<int>", compute)
 
 
+def _lists(written: list[str]) -> pa.Array:
+    """Lists of ids from their written form."""
+    rows = [np.fromstring(ids, np.int32, sep=",") for ids in written]
+    offsets = np.concatenate(([0], np.cumsum([len(row) for row in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
+
+
+def encode_checked(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Adds ``ids``, ``n_tokens`` and ``decoded_sha256``, the hash of the text decoded from the ids; drops the text.
+
+    Nulls, repeated rows and clashing columns are handled as by ``encode_pieces``.
+    """
+    sent = df.sparkSession.sparkContext.broadcast({"tables": load_merges(path)})
+
+    def compute(column: pa.Array) -> list[pa.Array]:
+        encoder = encoder_of(sent.value)
+        ids, back = [], []
+        for value in column:
+            written = encoder.written_ids(value.as_py())
+            ids.append(",".join(written))
+            back.append(sha256(encoder.decoded(written)))
+        lists = _lists(ids)
+        return [lists, pc.list_value_length(lists).cast(pa.int64()), pa.array(back, pa.string())]
+
+    return add_columns(df, text, "ids array<int>, n_tokens bigint, decoded_sha256 string", compute, keep_text=False)
+
+
 def decode_pieces(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Adds ``decoded``, the text of each list of ids; null counts as no ids, null members are left out."""
     sent = df.sparkSession.sparkContext.broadcast({"tables": load_merges(path)})
