@@ -12,6 +12,7 @@ from tidemark.llm.jaccard import near_duplicates
 from tidemark.llm.language import language_digest
 from tidemark.llm.merge_encoding import encoding_digest
 from tidemark.llm.order_minhash import compare_edited
+from tidemark.llm.passages import repeated_passages
 from tidemark.llm.quality import quality_digest
 from tidemark.llm.secrets import secret_digest
 from tidemark.llm.warc import archived_captures
@@ -54,6 +55,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(table(spark, sf_dir, "documents"))
 
 
+@query("op4_passages")
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op5_warc",
     """
