@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from tidemark.catalogue.registry import QUERIES
 from tests.conftest import SF
 
 CHECKS = entry_point.oracle_sql()
@@ -37,7 +38,7 @@ def table(names, rows):
     return sorted(names), sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = entry_point.queries()[name](spark, SF)
     got = table(df.columns, [tuple(r) for r in df.collect()])

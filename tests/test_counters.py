@@ -45,7 +45,7 @@ def test_unknown_mode(readings):
 
 def test_raw_deltas_add_up_to_the_last_value(tables):
     rows = tables.counter_readings
-    out = D.counter_delta(rows, ["inst_id", "name"], ["event_id"], ["reading"], F.date_trunc("hour", "ts"), "raw", "full")
+    out = D.counter_delta(rows, ["inst_id", "name"], ["event_id"], ["reading"], 500, "raw", "full")
     sums = out.groupBy("inst_id", "name").agg(F.sum("reading").alias("total"))
     last = rows.groupBy("inst_id", "name").agg(F.max_by("reading", "event_id").alias("last"))
     assert sums.join(last, ["inst_id", "name"]).filter("total <> last").count() == 0

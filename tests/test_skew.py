@@ -43,6 +43,30 @@ def test_running_total(rows, width):
     assert same(got, want)
 
 
+def test_chunks_out_of_step_are_an_error(spark):
+    rows = spark.createDataFrame([("a", 1, 30), ("a", 2, 10), ("a", 3, 20)], "k string, n int, t int")
+    with pytest.raises(Exception, match="chunk decreases"):
+        with_neighbour(rows, ["k"], ["n"], ["t"], F.col("t")).collect()
+    got = with_neighbour(rows, ["k"], ["n"], ["t"], 2).orderBy("n").collect()
+    assert [r.previous and r.previous.t for r in got] == [None, 30, 10]
+
+
+def test_rows_are_shuffled_once(spark, rows):
+    """One exchange for the rows, two for one summary row per stretch, and no join."""
+    broadcast, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"
+    before = {key: spark.conf.get(key) for key in (broadcast, adaptive)}
+    spark.conf.set(broadcast, "-1")
+    spark.conf.set(adaptive, "false")
+    try:
+        wide = rows.withColumn("wide", F.repeat("k", 5))
+        for df in (with_neighbour(wide, ["k"], ["n"], ["v"], 100), with_running_total(wide, ["k"], ["n"], F.col("v"), 100)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 3 and "Join" not in plan
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_lookup_join(spark, rows, how):
     lookup = spark.createDataFrame([("hot", 1), ("a", 2), ("zzz", 3)], "k string, x int")

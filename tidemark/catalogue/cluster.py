@@ -569,8 +569,7 @@ def _(t):
         WINDOW w AS (PARTITION BY thread ORDER BY line_no)) c
     WHERE event_type IN ('signup', 'view') AND ne IN ('error', 'click')""")
 def _(t):
-    chunk = F.date_trunc("hour", F.col("logged_at"))
-    return V.pair_durations(t.compaction_log, "- Compacting ", "- Compacted to ", chunk)
+    return V.pair_durations(t.compaction_log, "- Compacting ", "- Compacted to ", 1000)
 
 
 @query("log_latest_history", "SELECT * FROM $backup_jobs ORDER BY end_time DESC, session_recid DESC LIMIT 1")

@@ -16,10 +16,8 @@ from tidemark.specs import COUNTER_SETS, LATENCY_BUCKETS, CounterSpec, Ratio, Ru
 KEYS = ["inst_id", "name"]
 
 
-def by_hour():
-    """Readings are worked on in stretches of one hour."""
-    return F.date_trunc("hour", F.col("ts"))
-
+# Readings are worked on in stretches of so many events.
+STRETCH = 1000
 
 RAW_DELTA = """
     SELECT inst_id, name, event_id, reading - coalesce(lag(reading) OVER
@@ -28,7 +26,7 @@ RAW_DELTA = """
 
 @query("delta_raw", RAW_DELTA)
 def _(t):
-    out = D.counter_delta(t.counter_readings, KEYS, ["event_id"], ["reading"], by_hour(), "raw", "full")
+    out = D.counter_delta(t.counter_readings, KEYS, ["event_id"], ["reading"], STRETCH, "raw", "full")
     return out.select("inst_id", "name", "event_id", "reading")
 
 
@@ -37,7 +35,7 @@ def _(t):
         SELECT *, lag(reading) OVER (PARTITION BY inst_id, name ORDER BY event_id) AS p FROM $counter_readings) r
     WHERE p IS NOT NULL""")
 def _(t):
-    out = D.counter_delta(t.counter_readings, KEYS, ["event_id"], ["reading"], by_hour())
+    out = D.counter_delta(t.counter_readings, KEYS, ["event_id"], ["reading"], STRETCH)
     return out.select("inst_id", "name", "event_id", "reading").filter("reading IS NOT NULL")
 
 
@@ -46,7 +44,7 @@ def _(t):
     FROM (SELECT *, lag(reading) OVER w AS p, lag(ts) OVER w AS pts FROM $counter_readings
           WINDOW w AS (PARTITION BY inst_id, name ORDER BY event_id)) r""")
 def _(t):
-    out = D.counter_rate(t.counter_readings, KEYS, "ts", ["event_id"], "reading", by_hour(), on_reset="raw")
+    out = D.counter_rate(t.counter_readings, KEYS, "ts", ["event_id"], "reading", STRETCH, on_reset="raw")
     return out.select("inst_id", "name", "event_id", F.round("rate", 6).alias("rate"))
 
 
@@ -70,7 +68,7 @@ def _(t):
 
 @query("agg_rollup_key", f"SELECT name, sum(reading)::BIGINT AS reading FROM ({RAW_DELTA}) d GROUP BY name")
 def _(t):
-    deltas = D.counter_delta(t.counter_readings, KEYS, ["event_id"], ["reading"], by_hour(), "raw", "full")
+    deltas = D.counter_delta(t.counter_readings, KEYS, ["event_id"], ["reading"], STRETCH, "raw", "full")
     return roll_up_key(deltas, ["name"], ["reading"])
 
 

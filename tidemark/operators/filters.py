@@ -56,13 +56,13 @@ def choose_instances(
     return df.filter(F.col("inst_id").isin([known[name.lower()] for name in wanted]))
 
 
-# A longer list of values is joined instead of written into the filter.
-LONGEST_LIST = 100
+def exclude_values(df: DataFrame, column: str, values: Sequence[str | None]) -> DataFrame:
+    """Rows whose ``column`` is none of ``values``, as NOT IN says it, for lists of any length.
 
-
-def exclude_values(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
-    """Drops rows whose ``column`` is one of ``values``; null rows go too, as with NOT IN."""
-    if len(values) <= LONGEST_LIST:
-        return df.filter(~F.col(column).isin(list(values)))
-    listed = df.sparkSession.createDataFrame([(v,) for v in values], df.select(column).schema)
-    return df.filter(F.col(column).isNotNull()).join(listed, column, "left_anti").select(*df.columns)
+    A null row is never kept, and a null among ``values`` leaves no row. An empty list keeps every row.
+    """
+    if not values:
+        return df
+    if any(v is None for v in values):
+        return df.filter(F.lit(False))
+    return df.filter(~F.col(column).isin(list(values)))

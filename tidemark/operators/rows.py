@@ -103,7 +103,7 @@ def quorum_value(rows: DataFrame, level: str, replicas: int, local_dc: str | Non
     return rows.select("key").distinct().join(chosen, "key", "left")
 
 
-def pair_durations(lines: DataFrame, start: str, finish: str, chunk: Column) -> DataFrame:
+def pair_durations(lines: DataFrame, start: str, finish: str, chunk: Column | int) -> DataFrame:
     """Start lines with the finish line that follows in the same thread, and the seconds between them.
 
     ``lines`` has ``thread``, ``line_no``, ``logged_at`` and ``line``.

@@ -2,7 +2,7 @@
 
 Neighbour and running-total operators work in two steps. Rows are first windowed inside
 ``(key, chunk)``, where ``chunk`` is a stretch of the ordering column (an hour, a thousand lines), so a
-frequent key is spread over as many tasks as it has chunks. One summary row per ``(key, chunk)`` then
+frequent key is spread over as many tasks as it has chunks. One summary row per ``(key, chunk)``
 carries values across chunk borders. The result equals the plain window over the key for any chunk size.
 """
 
@@ -15,38 +15,63 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
+def stretch(position: str, width: int) -> Column:
+    """The stretch of ``width`` positions that a whole-number or time column (in seconds) falls in."""
+    return F.floor(F.col(position).cast("double") / width)
+
+
+def _chunked(df: DataFrame, order: Sequence[str], chunk: Column | int) -> DataFrame:
+    if isinstance(chunk, Column):
+        return df.withColumn("_chunk", chunk)
+    if dict(df.dtypes)[order[0]] == "timestamp_ntz":
+        return df.withColumn("_chunk", F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / (chunk * 1_000_000)))
+    return df.withColumn("_chunk", stretch(order[0], chunk))
+
+
+def _in_step(edges: DataFrame, keys: Sequence[str], value: Column) -> Column:
+    """``value``, or an error where a stretch begins before the one ahead of it ends."""
+    ahead = F.lag("_high").over(Window.partitionBy(*keys).orderBy("_chunk"))
+    return F.when(ahead > F.col("_low"), F.raise_error(F.lit("chunk decreases along the order"))).otherwise(value)
+
+
+def _border_rows(df: DataFrame, keys: Sequence[str], borders: DataFrame, place: int, values: str) -> DataFrame:
+    """Border values as rows of their own: keys, stretch and values, nothing else."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    columns = [F.col(c) if c in keys else F.lit(None).cast(kinds[c]).alias(c) for c in df.columns]
+    return borders.select(*columns, "_chunk", F.lit(place).alias("_place"), F.col(values).alias("_value"))
+
+
 def with_neighbour(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     columns: Sequence[str],
-    chunk: Column,
+    chunk: Column | int,
     *,
     following: bool = False,
     name: str = "previous",
 ) -> DataFrame:
     """Adds a struct ``name`` with ``columns`` of the row before (or after) within ``keys`` by ``order``.
 
-    The struct is null for the first (or last) row of a key. ``chunk`` must not decrease along ``order``.
+    The struct is null for the first (or last) row of a key. ``chunk`` is a width in positions of the first order
+    column, or an expression that must not decrease along ``order``; one that does is an error. The rows are shuffled
+    once: the edges of the stretches are aggregated, and each carried edge joins the rows of its stretch as one more row.
     """
-    chunked = df.withColumn("_chunk", chunk)
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    chunked = _chunked(df, order, chunk)
     across = Window.partitionBy(*keys).orderBy("_chunk")
     step = F.lead if following else F.lag
     edge = F.min_by if following else F.max_by
-    near = chunked.withColumn("_near", step(F.struct(*columns)).over(inside))
     # One value per column rather than one struct: numbers then aggregate by hash, without a sort.
     position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    edges = chunked.groupBy(*keys, "_chunk").agg(*[edge(c, position).alias(f"_e_{c}") for c in columns])
-    edge_row = F.struct(*[F.col(f"_e_{c}").alias(c) for c in columns])
-    borders = edges.withColumn("_carried", step(edge_row).over(across)).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_c"), "_carried"
+    edges = chunked.groupBy(*keys, "_chunk").agg(
+        *[edge(c, position).alias(f"_e_{c}") for c in columns], F.min(order[0]).alias("_low"), F.max(order[0]).alias("_high")
     )
-    condition = F.col("_chunk").eqNullSafe(F.col("_c"))
-    for key in keys:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-    joined = near.join(borders, condition, "left")
-    return joined.select(*df.columns, F.coalesce("_near", "_carried").alias(name))
+    edge_row = F.struct(*[F.col(f"_e_{c}").alias(c) for c in columns])
+    borders = edges.select(*keys, "_chunk", _in_step(edges, keys, step(edge_row).over(across)).alias("_carried"))
+    rows = chunked.select(*df.columns, "_chunk", F.lit(1).alias("_place"), F.struct(*columns).alias("_value"))
+    both = rows.unionByName(_border_rows(df, keys, borders, 2 if following else 0, "_carried"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("_place", *order)
+    return both.withColumn(name, step("_value").over(inside)).filter("_place = 1").select(*df.columns, name)
 
 
 def with_running_total(
@@ -54,32 +79,27 @@ def with_running_total(
     keys: Sequence[str],
     order: Sequence[str],
     amount: Column,
-    chunk: Column,
+    chunk: Column | int,
     name: str = "running",
 ) -> DataFrame:
-    """Adds the sum of ``amount`` over the rows of the key up to and including each row."""
-    chunked = df.withColumn("_chunk", chunk).withColumn("_amount", amount)
+    """Adds the sum of ``amount`` over the rows of the key up to and including each row.
+
+    ``chunk`` is as for :func:`with_neighbour`, and so is the plan: the total before a stretch is one more row of it.
+    """
+    chunked = _chunked(df, order, chunk).withColumn("_value", F.coalesce(amount, F.lit(0)))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    edges = chunked.groupBy(*keys, "_chunk").agg(
+        F.sum("_value").alias("_total"), F.min(order[0]).alias("_low"), F.max(order[0]).alias("_high")
+    )
+    offset = F.coalesce(F.sum("_total").over(before), F.lit(0))
+    borders = edges.select(*keys, "_chunk", _in_step(edges, keys, offset).alias("_offset"))
+    rows = chunked.select(*df.columns, "_chunk", F.lit(1).alias("_place"), "_value")
+    both = rows.unionByName(_border_rows(df, keys, borders, 0, "_offset"))
     inside = (
-        Window.partitionBy(*keys, "_chunk")
-        .orderBy(*order)
+        Window.partitionBy(*keys, "_chunk").orderBy("_place", *order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    before = (
-        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = chunked.withColumn("_local", F.sum("_amount").over(inside))
-    offsets = (
-        chunked.groupBy(*keys, "_chunk")
-        .agg(F.sum("_amount").alias("_total"))
-        .withColumn("_offset", F.sum("_total").over(before))
-        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_c"), "_offset")
-    )
-    condition = F.col("_chunk").eqNullSafe(F.col("_c"))
-    for key in keys:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-    joined = local.join(offsets, condition, "left")
-    total = F.coalesce("_local", F.lit(0)) + F.coalesce("_offset", F.lit(0))
-    return joined.select(*df.columns, total.alias(name))
+    return both.withColumn(name, F.sum("_value").over(inside)).filter("_place = 1").select(*df.columns, name)
 
 
 def lookup_join(
