@@ -67,3 +67,18 @@ def test_contended_locks_count_both_sides(spark):
     rows = graph.contended_locks(df, ["r"], "s", "held", "NOT held").collect()
     assert {(r.r, r.s, r.role) for r in rows} == {(1, 10, "holder"), (1, 11, "waiter"), (1, 12, "waiter")}
     assert {(r.holders, r.waiters) for r in rows} == {(1, 2)}
+
+
+def test_one_session_id_on_several_instances(spark):
+    rows = [(1, 10, True, 9), (2, 10, False, 0), (1, 11, False, 0), (1, 10, False, 0)]
+    df = spark.createDataFrame([("t", *r) for r in rows], "r string, inst int, sid int, held boolean, age int")
+    found = graph.blocked_by(df, ["r"], ["inst", "sid"], "held", "NOT held", ["age", "inst", "sid"]).collect()
+    got = {(x.waiter_inst, x.waiter_sid): (x.blocker_inst, x.blocker_sid, x.n_blockers) for x in found}
+    assert got == {(2, 10): (1, 10, 1), (1, 11): (1, 10, 1)}
+
+
+def test_resources_of_odd_texts_stay_apart(spark):
+    rows = [("a|=b", "c", 1, True), ("a", "b|=c", 2, False), (None, "c", 3, True), (None, "c", 4, False)]
+    df = spark.createDataFrame(rows, "r string, q string, s int, held boolean")
+    found = graph.blocked_by(df, ["r", "q"], "s", "held", "NOT held", ["s"]).collect()
+    assert [(x.waiter, x.blocker) for x in found] == [(4, 3)]

@@ -320,21 +320,20 @@ def _(t):
 
 RESOURCE = ["lock_type", "id1", "id2"]
 BLOCKED = """
-    WITH h AS (SELECT lock_type, id1, id2, sid, max(ctime) AS ctime FROM $locks WHERE is_blocking = 1 GROUP BY ALL),
-    w AS (SELECT DISTINCT lock_type, id1, id2, sid FROM $locks WHERE request > 0)
-    SELECT w.lock_type, w.id1, w.id2, w.sid AS waiter,
-           (array_agg(h.sid ORDER BY h.ctime DESC, h.sid))[1] AS blocker, count(*) AS n_blockers
-    FROM w JOIN h ON h.lock_type = w.lock_type AND h.id1 = w.id1 AND h.id2 = w.id2 AND h.sid <> w.sid
-    GROUP BY 1, 2, 3, 4"""
-
-
-def blocked(t):
-    return graph.blocked_by(t.locks, RESOURCE, "sid", "is_blocking = 1", "request > 0", ["ctime", "sid"])
+    SELECT w.lock_type, w.id1, w.id2, w.inst_id AS waiter_inst_id, w.sid AS waiter_sid,
+           (array_agg(h.inst_id ORDER BY h.ctime DESC, h.inst_id, h.sid))[1] AS blocker_inst_id,
+           (array_agg(h.sid ORDER BY h.ctime DESC, h.inst_id, h.sid))[1] AS blocker_sid, count(*) AS n_blockers
+    FROM (SELECT DISTINCT lock_type, id1, id2, inst_id, sid FROM $cluster_locks WHERE request > 0) w
+    JOIN (SELECT lock_type, id1, id2, inst_id, sid, max(ctime) AS ctime FROM $cluster_locks WHERE is_blocking = 1 GROUP BY ALL) h
+      ON h.lock_type = w.lock_type AND h.id1 = w.id1 AND h.id2 = w.id2 AND (h.inst_id <> w.inst_id OR h.sid <> w.sid)
+    GROUP BY 1, 2, 3, 4, 5"""
 
 
 @query("graph_blocking_pairs", BLOCKED)
 def _(t):
-    return blocked(t)
+    return graph.blocked_by(
+        t.cluster_locks, RESOURCE, ["inst_id", "sid"], "is_blocking = 1", "request > 0", ["ctime", "inst_id", "sid"]
+    )
 
 
 @query("join_theta_residual", """

@@ -411,23 +411,27 @@ def _(t):
 
 
 BLOCKED = """
-    WITH h AS (SELECT lock_type, id1, id2, sid, max(ctime) AS ctime FROM $locks WHERE is_blocking = 1 GROUP BY ALL),
-    w AS (SELECT DISTINCT lock_type, id1, id2, sid FROM $locks WHERE request > 0),
-    b AS (SELECT w.lock_type, w.id1, w.id2, w.sid AS waiter, arg_max(h.sid, h.ctime * 100000000 - h.sid) AS blocker, count(*) AS n_blockers
-          FROM w JOIN h ON h.lock_type = w.lock_type AND h.id1 = w.id1 AND h.id2 = w.id2 AND h.sid <> w.sid GROUP BY 1, 2, 3, 4)"""
+    WITH h AS (SELECT lock_type, id1, id2, inst_id, sid, max(ctime) AS ctime FROM $cluster_locks WHERE is_blocking = 1 GROUP BY ALL),
+    w AS (SELECT DISTINCT lock_type, id1, id2, inst_id, sid FROM $cluster_locks WHERE request > 0),
+    b AS (SELECT lock_type, id1, id2, waiter_inst_id, waiter_sid, blocker_inst_id, blocker_sid, n_blockers FROM (
+        SELECT w.lock_type, w.id1, w.id2, w.inst_id AS waiter_inst_id, w.sid AS waiter_sid, h.inst_id AS blocker_inst_id,
+               h.sid AS blocker_sid, count(*) OVER p AS n_blockers, row_number() OVER (p ORDER BY h.ctime DESC, h.inst_id, h.sid) AS place
+        FROM w JOIN h ON h.lock_type = w.lock_type AND h.id1 = w.id1 AND h.id2 = w.id2 AND (h.inst_id, h.sid) <> (w.inst_id, w.sid)
+        WINDOW p AS (PARTITION BY w.lock_type, w.id1, w.id2, w.inst_id, w.sid)) x WHERE place = 1)"""
 
 
 @query("rep_r45", BLOCKED + " SELECT * FROM b")
 def _(t):
-    return R.who_blocks_whom(t.locks)
+    return R.who_blocks_whom(t.cluster_locks)
 
 
 @query("rep_r46", BLOCKED + """
-    SELECT lock_type, id1, id2, n_blockers, concat_ws('@', x.username, x.machine) || ' ( SID=' || blocker || ' )  is blocking ' ||
-           concat_ws('@', y.username, y.machine) || ' ( SID=' || waiter || ' ) ' AS blocking_status
-    FROM b JOIN $sessions x ON x.sid = blocker JOIN $sessions y ON y.sid = waiter""")
+    SELECT lock_type, id1, id2, n_blockers, concat_ws('@', x.username, x.machine) || ' ( SID=' || blocker_sid || ' )  is blocking ' ||
+           concat_ws('@', y.username, y.machine) || ' ( SID=' || waiter_sid || ' ) ' AS blocking_status
+    FROM b JOIN $cluster_sessions x ON x.sid = blocker_sid AND x.inst_id = blocker_inst_id
+    JOIN $cluster_sessions y ON y.sid = waiter_sid AND y.inst_id = waiter_inst_id""")
 def _(t):
-    return R.who_blocks_whom_text(t.locks, t.sessions)
+    return R.who_blocks_whom_text(t.cluster_locks, t.cluster_sessions)
 
 
 @query("rep_r47", """

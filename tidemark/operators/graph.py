@@ -83,39 +83,50 @@ def settled_tops(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def blocked_by(
-    locks: DataFrame, resource: Sequence[str], session: str, holds: str, waits: str, order: Sequence[str]
+    locks: DataFrame, resource: Sequence[str], session: str | Sequence[str], holds: str, waits: str, order: Sequence[str]
 ) -> DataFrame:
     """Every waiting session with the session that blocks it and how many sessions do.
 
     A resource with many holders and many waiters has holders times waiters pairs. This keeps one row per
     waiter: the first holder by ``order`` other than the waiter itself, and the number of such holders;
     ``contended_locks`` lists the holders themselves. Missing parts of the resource identity match each other.
+    A ``session`` of several columns, such as instance and id, gives a ``waiter_`` and a ``blocker_`` column for each.
     """
-    measures = [c for c in order if c != session]
-    # Null-safe key: each part becomes a text that tells null from every value.
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in resource]
+    parts = [session] if isinstance(session, str) else list(session)
+    measures = [c for c in order if c not in parts]
     holding, waiting = F.coalesce(F.expr(holds), F.lit(False)), F.coalesce(F.expr(waits), F.lit(False))
     rows = locks.select(
-        F.concat_ws("|", *parts).alias("_r"), *resource, F.col(session).alias("_s"), holding.alias("_h"),
-        waiting.alias("_w"), *[F.when(holding, F.col(c)).alias(f"_m_{c}") for c in measures],
+        *resource, *[F.col(c).alias(f"_s_{c}") for c in parts], holding.alias("_h"), waiting.alias("_w"),
+        *[F.when(holding, F.col(c)).alias(f"_m_{c}") for c in measures],
     ).filter("_h OR _w")
-    sessions = rows.groupBy("_r", "_s").agg(
-        F.max("_h").alias("_h"), F.max("_w").alias("_w"), *[F.max(f"_m_{c}").alias(f"_m_{c}") for c in measures],
-        *[F.min(c).alias(c) for c in resource],
+    who = [f"_s_{c}" for c in parts]
+    # Grouping takes two nulls for equal, so the columns themselves are the key.
+    sessions = rows.groupBy(*resource, *who).agg(
+        F.max("_h").alias("_h"), F.max("_w").alias("_w"), *[F.max(f"_m_{c}").alias(f"_m_{c}") for c in measures]
     )
-    best_first = [F.col(f"_m_{c}").desc() for c in measures] + [F.col("_s")]
-    holders = sessions.filter("_h").select("_r", "_s", *[f"_m_{c}" for c in measures])
-    leading = top_n_per_group(holders, ["_r"], best_first, 2, "_place").groupBy("_r").agg(
-        F.max(F.when(F.col("_place") == 1, F.col("_s"))).alias("_first"),
-        F.max(F.when(F.col("_place") == 2, F.col("_s"))).alias("_second"),
+    best_first = [F.col(f"_m_{c}").desc() for c in measures] + [F.col(c) for c in who]
+    holders = sessions.filter("_h").select(*resource, *who, *[f"_m_{c}" for c in measures])
+    leading = top_n_per_group(holders, list(resource), best_first, 2, "_place")
+    at = lambda place, c: F.max(F.when(F.col("_place") == place, F.col(f"_s_{c}")))
+    leading = leading.groupBy(*resource).agg(
+        *[at(1, c).alias(f"_first_{c}") for c in parts], *[at(2, c).alias(f"_second_{c}") for c in parts], F.max("_place").alias("_named")
     )
-    counts = holders.groupBy("_r").agg(F.count("*").alias("_holders"))
-    found = lookup_join(sessions.filter("_w"), leading.join(counts, "_r"), ["_r"], "inner")
-    blocker = F.when(F.col("_first") == F.col("_s"), F.col("_second")).otherwise(F.col("_first"))
+    counts = holders.groupBy(*resource).agg(F.count("*").alias("_holders"))
+    known = lookup_join(leading, counts, list(resource), "inner", 1, null_safe=True)
+    found = lookup_join(sessions.filter("_w"), known, list(resource), "inner", null_safe=True)
+    itself = F.lit(True)
+    for c in parts:
+        itself = itself & F.col(f"_first_{c}").eqNullSafe(F.col(f"_s_{c}"))
+    found = found.filter(~itself | (F.col("_named") > 1))
+    several = len(parts) > 1
     return found.select(
-        *resource, F.col("_s").alias("waiter"), blocker.alias("blocker"),
+        *resource, *[F.col(f"_s_{c}").alias(f"waiter_{c}" if several else "waiter") for c in parts],
+        *[
+            F.when(itself, F.col(f"_second_{c}")).otherwise(F.col(f"_first_{c}")).alias(f"blocker_{c}" if several else "blocker")
+            for c in parts
+        ],
         (F.col("_holders") - F.col("_h").cast("int")).alias("n_blockers"),
-    ).filter("blocker IS NOT NULL")
+    )
 
 
 def contended_locks(

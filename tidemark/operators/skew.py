@@ -108,18 +108,26 @@ def lookup_join(
     on: Sequence[str],
     how: str = "left",
     spread: int = 8,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Joins ``facts`` to a ``lookup`` with one or a few rows per key, spreading frequent keys over ``spread`` tasks.
 
     The spread number comes from the row and its input partition, so that copies of one row spread too and a
-    task that runs again sends its rows where it sent them before.
+    task that runs again sends its rows where it sent them before. With ``null_safe`` two nulls agree.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup_join is for left and inner joins")
     hashed = F.xxhash64(*[F.col(c) for c in on]) + F.spark_partition_id()
     salted = facts.withColumn("_spread", F.pmod(hashed, F.lit(spread)).cast("int"))
     copies = lookup.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    return salted.join(copies, [*on, "_spread"], how).drop("_spread")
+    if not null_safe:
+        return salted.join(copies, [*on, "_spread"], how).drop("_spread")
+    names = {c: f"_on_{k}" for k, c in enumerate(on)}
+    copies = copies.withColumnsRenamed({**names, "_spread": "_copy"})
+    condition = F.col("_spread") == F.col("_copy")
+    for column, renamed in names.items():
+        condition = condition & F.col(column).eqNullSafe(F.col(renamed))
+    return salted.join(copies, condition, how).drop("_spread", "_copy", *names.values())
 
 
 def semi_lookup(facts: DataFrame, wanted: DataFrame, on: Sequence[str], spread: int = 8) -> DataFrame:

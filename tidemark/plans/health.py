@@ -471,21 +471,30 @@ def lock_detail(locks: DataFrame, sessions: DataFrame, locked_objects: DataFrame
 LOCK_RESOURCE = ("lock_type", "id1", "id2")
 
 
+# A session id is unique within its instance alone.
+CLUSTER_SESSION = ("inst_id", "sid")
+
+
 def who_blocks_whom(locks: DataFrame) -> DataFrame:
     """Waiting sessions with the session that has blocked them longest and the number of blockers."""
-    return graph.blocked_by(locks, LOCK_RESOURCE, "sid", "is_blocking = 1", "request > 0", ["ctime", "sid"])
+    return graph.blocked_by(
+        locks, LOCK_RESOURCE, CLUSTER_SESSION, "is_blocking = 1", "request > 0", ["ctime", *CLUSTER_SESSION]
+    )
 
 
 def who_blocks_whom_text(locks: DataFrame, sessions: DataFrame) -> DataFrame:
     """The same as a sentence."""
-    people = sessions.select("sid", F.concat_ws("@", "username", "machine").alias("who"))
-    found = who_blocks_whom(locks)
-    named = lookup_join(found, people.select(F.col("sid").alias("blocker"), F.col("who").alias("_b")), ["blocker"], "inner")
-    named = lookup_join(named, people.select(F.col("sid").alias("waiter"), F.col("who").alias("_w")), ["waiter"], "inner")
+    people = sessions.select(*CLUSTER_SESSION, F.concat_ws("@", "username", "machine").alias("who"))
+
+    def named(found: DataFrame, side: str) -> DataFrame:
+        who = people.select(*[F.col(c).alias(f"{side}_{c}") for c in CLUSTER_SESSION], F.col("who").alias(f"_{side}"))
+        return lookup_join(found, who, [f"{side}_{c}" for c in CLUSTER_SESSION], "inner")
+
+    both = named(named(who_blocks_whom(locks), "blocker"), "waiter")
     text = F.concat(
-        "_b", F.lit(" ( SID="), "blocker", F.lit(" )  is blocking "), "_w", F.lit(" ( SID="), "waiter", F.lit(" ) ")
+        "_blocker", F.lit(" ( SID="), "blocker_sid", F.lit(" )  is blocking "), "_waiter", F.lit(" ( SID="), "waiter_sid", F.lit(" ) ")
     )
-    return named.select(*LOCK_RESOURCE, "n_blockers", text.alias("blocking_status"))
+    return both.select(*LOCK_RESOURCE, "n_blockers", text.alias("blocking_status"))
 
 
 def lock_list(locks: DataFrame) -> DataFrame:

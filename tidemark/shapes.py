@@ -138,6 +138,12 @@ SHAPES = {
                CAST(floor(o_totalprice / 100) AS BIGINT) AS ctime,
                o_orderkey AS lock_no
         FROM $orders""",
+    # The same session ids on three instances, as a cluster hands them out.
+    "cluster_locks": """
+        SELECT inst_id, CAST(floor(sid / 3) AS BIGINT) AS sid, lock_type, id1, id2, lmode, request, is_blocking, ctime, lock_no FROM $locks""",
+    "cluster_sessions": """
+        SELECT c_custkey % 3 + 1 AS inst_id, CAST(floor(c_custkey / 3) AS BIGINT) AS sid, c_name AS username,
+               'db' || (c_custkey % 3 + 1) AS machine FROM $customer""",
     # Lock identities with missing parts, as relation locks and transaction locks have.
     "pg_locks": """
         SELECT o_custkey AS pid,
