@@ -50,21 +50,14 @@ def replicas(spark):
     ])
 
 
-def test_replica_diff_and_repair(spark):
+def test_replica_diff(spark):
     rows = replicas(spark)
     assert [(r.key, r.versions, r.newest_payload) for r in V.replica_diff(rows).collect()] == [(1, 2, "new")]
-    repairs = V.read_repair(rows)
-    assert [(r.key, r.replica, r.payload) for r in repairs.collect()] == [(1, 2, "new")]
 
 
-def test_quorum_levels(spark):
-    def value(level, replicas_=3, dc=None):
-        return {r.key: r.value for r in V.quorum_value(replicas(spark), level, replicas_, dc).collect()}
-
-    assert value("ONE") == {1: "new", 2: "x"} and value("QUORUM") == {1: "new", 2: "x"}
-    assert value("ALL") == {1: None, 2: "x"}
-    assert value("LOCAL_QUORUM", 2, "a") == {1: None, 2: "x"}
-    assert value("EACH_QUORUM", 1) == {1: "new", 2: "x"}
+def test_trace_events_of_one_session(spark):
+    rows = spark.createDataFrame([("a", 2, day(1), "y"), ("b", 1, day(1), "n"), ("a", 1, day(1), "x"), ("a", 3, day(0), "w")], "thread string, line_no int, logged_at timestamp_ntz, line string")
+    assert [r.line for r in V.trace_events(rows, "a").collect()] == ["w", "x", "y"]
 
 
 def test_pairs_need_a_finish(spark):

@@ -91,11 +91,29 @@ def test_generated_numbers_repeat_and_spread(spark):
     assert {r.num1 for r in a} == set(range(11)) and all(0 <= r.num2 < 1 and 0 <= r.num3 < 142 for r in a)
 
 
-def test_csv_keeps_empty_and_null_apart(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "", None), (2, 'a,"b"\n', "x")], "n int, a string, b string")
+def test_csv_round_trip_keeps_every_text(spark, tmp_path):
+    texts = ["plain", "", None, "two\nlines", "a\r\nb", 'say "so"', '"', " spaced ", "a,b", "\\N", "\\\\N", "\\", "N", "é😀", '\n"\n,', "#x"]
+    rows = spark.createDataFrame([(n, t, None if n % 2 else 1.5) for n, t in enumerate(texts)], "n int, t string, v double")
     S.export_csv(rows, str(tmp_path / "t"))
-    back = spark.read.schema(rows.schema).option("header", True).option("nullValue", "").option("multiLine", True).csv(str(tmp_path / "t"))
-    assert back.filter("n = 1").collect()[0].b is None
+    back = S.import_csv(spark, str(tmp_path / "t"), rows.schema)
+    assert sorted(back.collect()) == sorted(rows.collect())
+
+
+def test_a_report_written_twice_is_there_once(spark, tmp_path):
+    rows = spark.range(3)
+    for _ in range(2):
+        S.write_report(rows, str(tmp_path / "r"), "a", "run1")
+    S.write_report(spark.range(5), str(tmp_path / "r"), "b", "run1")
+    assert S.read_report(spark, str(tmp_path / "r"), "a", "run1").count() == 3
+
+
+def test_parallel_lists_of_unequal_length_are_rejected(spark):
+    lines = ["Name: a", "Subnet: 1", "noise", "Name: b", "Subnet: 2"]
+    rows = [("n1", k, x) for k, x in enumerate(lines)] + [("n2", k, x) for k, x in enumerate(lines[:4])]
+    df = spark.createDataFrame(rows, "node string, line_no int, line string")
+    got = P.parse_parallel_lists(df, ["node"], {"name": "^Name: (.*)$", "subnet": "^Subnet: (.*)$"}).collect()
+    assert {(r.node, r.name, r.subnet, r.rejected) for r in got} == {
+        ("n1", "a", "1", False), ("n1", "b", "2", False), ("n2", "a", "1", True), ("n2", "b", None, True)}
 
 
 def test_xml_needs_a_known_kind(spark):

@@ -54,16 +54,37 @@ def _(t):
     return S.import_csv(t.spark, folder, rows.schema)
 
 
+@query("sink_csv_texts", """
+    SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '"' || text || '"' ELSE text END AS text FROM documents""")
+def _(t):
+    case = "CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '\"' || text || '\"' ELSE text END AS text"
+    rows = t.documents.selectExpr("doc_id", case)
+    folder = work_folder(t.spark, "csv")
+    S.export_csv(rows, folder)
+    return S.import_csv(t.spark, folder, rows.schema)
+
+
 @query("sink_report", """
     SELECT o_orderpriority, count(*) AS n FROM $orders GROUP BY 1""")
 def _(t):
     folder = work_folder(t.spark, "reports")
     counts = t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    # A run that is repeated leaves one copy of its report.
+    S.write_report(counts, folder, "priorities", "2024-01-20")
     S.write_report(counts, folder, "priorities", "2024-01-20")
     S.write_report(t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n")), folder, "states", "2024-01-20")
     return S.read_report(t.spark, folder, "priorities", "2024-01-20")
 
 
+@query("src_generate_series", "SELECT count(*) AS n, 0 AS below, 0 AS above FROM $orders")
+def _(t):
+    rows = S.generate_series_table(t.spark, t.orders.count())
+    return rows.agg(
+        F.count("*").alias("n"), F.count_if(F.expr("num1 < 0 OR num2 < 0 OR num3 < 0")).cast("int").alias("below"),
+        F.count_if(F.expr("num1 > 10 OR num2 > 1 OR num3 > 142")).cast("int").alias("above"),
+    )
+
+
 def field(new: str, old: str) -> str:
     def value(key):
         return f"max(CASE WHEN starts_with(trim(line), '{key}: ') THEN nullif(trim(substring(trim(line), {len(key) + 3})), '') END)"
@@ -184,6 +205,23 @@ def _(t):
     return P.parse_block_records(t.stanza_lines, ["node"], STANZA_FIELDS, 500).drop("record_no")
 
 
+LISTENERS = {"name": r"^Name: (.*)$", "subnet": r"^Subnet: (.*)$", "status": r"^Listener is (.*)\.$"}
+
+
+@query("src_parallel_lists", r"""
+    WITH m AS (
+        SELECT node, CASE WHEN regexp_matches(line, '^Name: ') THEN 'name' WHEN regexp_matches(line, '^Subnet: ') THEN 'subnet'
+                          WHEN regexp_matches(line, '^Listener is .*\.$') THEN 'status' END AS kind, line, line_no FROM $listener_lines),
+    n AS (SELECT *, row_number() OVER (PARTITION BY node, kind ORDER BY line_no) AS member FROM m WHERE kind IS NOT NULL),
+    r AS (SELECT node, member, max(CASE WHEN kind = 'name' THEN substring(line, 7) END) AS name,
+                 max(CASE WHEN kind = 'subnet' THEN substring(line, 9) END) AS subnet,
+                 max(CASE WHEN kind = 'status' THEN regexp_extract(line, '^Listener is (.*)\.$', 1) END) AS status, count(*) AS k
+          FROM n GROUP BY 1, 2)
+    SELECT node, CAST(member AS INT) AS member, name, subnet, status, min(k) OVER (PARTITION BY node) < 3 AS rejected FROM r""")
+def _(t):
+    return P.parse_parallel_lists(t.listener_lines, ["node"], LISTENERS)
+
+
 # --- cluster log mining
 
 
@@ -538,31 +576,6 @@ def _(t):
     return V.replica_diff(t.versioned_rows)
 
 
-@query("row_read_repair", """
-    SELECT r.key, r.replica, n.payload, n.write_ts, n.deleted_at FROM $versioned_rows r
-    JOIN (SELECT * FROM $versioned_rows WHERE replica = 1) n ON n.key = r.key
-    WHERE r.payload IS DISTINCT FROM n.payload OR r.write_ts IS DISTINCT FROM n.write_ts OR r.deleted_at IS DISTINCT FROM n.deleted_at""")
-def _(t):
-    return V.read_repair(t.versioned_rows)
-
-
-@query("row_quorum", """
-    SELECT k.key, v.value FROM (SELECT DISTINCT key FROM $versioned_rows) k LEFT JOIN (
-        SELECT key, max(payload) AS value FROM (SELECT key, payload, write_ts FROM $versioned_rows GROUP BY 1, 2, 3
-                                                HAVING count(DISTINCT replica) >= 3) q GROUP BY 1) v ON v.key = k.key""")
-def _(t):
-    return V.quorum_value(t.versioned_rows, "ALL", 3)
-
-
-@query("row_quorum_each", """
-    SELECT k.key, v.value FROM (SELECT DISTINCT key FROM $versioned_rows) k LEFT JOIN (
-        SELECT key, arg_max(payload, write_ts) AS value FROM (
-            SELECT key, payload, write_ts FROM (SELECT key, payload, write_ts, dc, count(DISTINCT replica) AS n FROM $versioned_rows GROUP BY 1, 2, 3, 4) d
-            WHERE n >= 1 GROUP BY 1, 2, 3 HAVING count(*) = 2) q GROUP BY 1) v ON v.key = k.key""")
-def _(t):
-    return V.quorum_value(t.versioned_rows, "EACH_QUORUM", 1)
-
-
 @query("log_pair_duration", """
     SELECT thread, line_no, logged_at AS started, nt AS finished, (epoch_us(nt) - epoch_us(logged_at)) / 1000000.0::DOUBLE AS seconds FROM (
         SELECT *, lead(event_type) OVER w AS ne, lead(logged_at) OVER w AS nt FROM $compaction_log WHERE event_type <> 'purchase'
@@ -572,6 +585,12 @@ def _(t):
     return V.pair_durations(t.compaction_log, "- Compacting ", "- Compacted to ", 1000)
 
 
+@query("log_trace_events", """
+    SELECT line_no, logged_at, line FROM $compaction_log WHERE thread = 'exec1' ORDER BY logged_at, line_no""")
+def _(t):
+    return V.trace_events(t.compaction_log, "exec1")
+
+
 @query("log_latest_history", "SELECT * FROM $backup_jobs ORDER BY end_time DESC, session_recid DESC LIMIT 1")
 def _(t):
     return top_n(t.backup_jobs, [F.col("end_time").desc(), F.col("session_recid").desc()], 1)

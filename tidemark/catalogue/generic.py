@@ -576,3 +576,42 @@ def _(t):
 @query("set_unique", "SELECT DISTINCT l_partkey, l_suppkey FROM $lineitem")
 def _(t):
     return t.lineitem.select("l_partkey", "l_suppkey").dropDuplicates()
+
+
+@query("set_unique_in_order", """
+    SELECT l_suppkey, min(l_orderkey * 10 + l_linenumber) AS first_place FROM $lineitem GROUP BY 1""")
+def _(t):
+    lines = t.lineitem.withColumn("place", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return J.unique_in_order(lines, ["l_suppkey"], "place", "first_place")
+
+
+@query("flt_exclusion_long", """
+    SELECT count(*) AS n FROM $lineitem WHERE l_suppkey > 150 OR l_suppkey < 1""")
+def _(t):
+    return P.exclude_values(t.lineitem, "l_suppkey", list(range(1, 151))).agg(F.count("*").alias("n"))
+
+
+@query("flt_exclusion_null", """
+    SELECT count(*) AS n FROM $orders WHERE o_orderpriority NOT IN ('1-URGENT', NULL)""")
+def _(t):
+    return P.exclude_values(t.orders, "o_orderpriority", ["1-URGENT", None]).agg(F.count("*").alias("n"))
+
+
+@query("join_residual", """
+    SELECT a.l_orderkey, a.l_linenumber AS line, b.l_linenumber AS other FROM $lineitem a JOIN $lineitem b
+    ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey AND a.l_linenumber < b.l_linenumber""")
+def _(t):
+    lines = t.lineitem.select("l_orderkey", "l_suppkey", F.col("l_linenumber").alias("line"))
+    others = lines.withColumnRenamed("line", "other")
+    return lines.join(others, ["l_orderkey", "l_suppkey"]).filter("line < other").select("l_orderkey", "line", "other")
+
+
+@query("join_null_safe_keys", """
+    SELECT l.pid, l.locktype, l.relation, l.transactionid, c.n FROM $pg_locks l JOIN (
+        SELECT locktype, relation, transactionid, count(*) AS n FROM $pg_locks GROUP BY 1, 2, 3) c
+    ON l.locktype IS NOT DISTINCT FROM c.locktype AND l.relation IS NOT DISTINCT FROM c.relation
+       AND l.transactionid IS NOT DISTINCT FROM c.transactionid""")
+def _(t):
+    keys = ["locktype", "relation", "transactionid"]
+    counts = t.pg_locks.groupBy(*keys).agg(F.count("*").alias("n"))
+    return J.null_safe_join(t.pg_locks.select("pid", *keys), counts, keys).select("pid", *keys, "n")

@@ -130,9 +130,9 @@ def _(t):
     return R.memory_usage(t.sgastat)
 
 
-@query("rep_r12", "SELECT * FROM $pg_activity WHERE state = 'active'")
+@query("rep_r12", "SELECT * FROM $running_jobs WHERE sid IS NOT NULL")
 def _(t):
-    return R.running_jobs(t.pg_activity)
+    return R.running_jobs(t.running_jobs)
 
 
 @query("rep_r13", "SELECT owner AS occupant, sum(bytes) / 1048576.0::DOUBLE AS mb FROM $segments GROUP BY 1")

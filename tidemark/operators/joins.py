@@ -76,6 +76,11 @@ def symmetric_difference(left: DataFrame, right: DataFrame, on: Sequence[str]) -
     return both.select(*on, F.when(F.col("in_left"), "right").otherwise("left").alias("missing_in"))
 
 
+def unique_in_order(df: DataFrame, columns: Sequence[str], position: str, name: str = "first_position") -> DataFrame:
+    """The distinct values of ``columns`` in the order they are first seen, with the position of the first."""
+    return df.groupBy(*columns).agg(F.min(position).alias(name)).orderBy(name, *columns)
+
+
 def previous_line(lines: DataFrame, chunk_lines: int = 10000) -> DataFrame:
     """Adds the text of the line before, within each file; long files are worked on in stretches of lines."""
     chunk = F.floor(F.col("line_no") / chunk_lines)

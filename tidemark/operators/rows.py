@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import lookup_join, with_neighbour
+from tidemark.operators.skew import with_neighbour
 
 
 def _seconds(amount: Column) -> Column:
@@ -68,39 +68,9 @@ def replica_diff(rows: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
     return per_key.filter("versions > 1")
 
 
-def read_repair(rows: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
-    """The writes that bring every lagging replica of a key to its newest version."""
-    place = F.struct("write_ts", F.col("deleted_at").isNotNull().alias("dead"), "payload")
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct("payload", "write_ts", "deleted_at"), place).alias("_n"))
-    joined = lookup_join(rows, newest, keys, "inner")
-    behind = joined.filter(
-        ~(F.col("payload").eqNullSafe(F.col("_n.payload")) & F.col("write_ts").eqNullSafe(F.col("_n.write_ts"))
-          & F.col("deleted_at").eqNullSafe(F.col("_n.deleted_at")))
-    )
-    return behind.select(*keys, "replica", "_n.payload", "_n.write_ts", "_n.deleted_at")
-
-
-def quorum_value(rows: DataFrame, level: str, replicas: int, local_dc: str | None = None) -> DataFrame:
-    """The newest payload that enough replicas of a key agree on, or null when too few do.
-
-    ``level`` is ONE, TWO, THREE, QUORUM, ALL, LOCAL_QUORUM (within ``local_dc``) or EACH_QUORUM (in every
-    data centre; ``replicas`` then counts those of one centre).
-    """
-    majority = replicas // 2 + 1
-    needs = {"ONE": 1, "TWO": 2, "THREE": 3, "QUORUM": majority, "ALL": replicas,
-             "LOCAL_QUORUM": majority, "EACH_QUORUM": majority}
-    need = needs[level]
-    if level == "LOCAL_QUORUM":
-        rows = rows.filter(F.col("dc") == local_dc)
-    groups = ["key", "payload", "write_ts"]
-    if level == "EACH_QUORUM":
-        centres = rows.groupBy("key").agg(F.count_distinct("dc").alias("_centres"))
-        votes = rows.groupBy(*groups, "dc").agg(F.count_distinct("replica").alias("_n")).filter(F.col("_n") >= need)
-        agreed = votes.groupBy(*groups).agg(F.count("*").alias("_ok")).join(centres, "key").filter("_ok = _centres")
-    else:
-        agreed = rows.groupBy(*groups).agg(F.count_distinct("replica").alias("_n")).filter(F.col("_n") >= need)
-    chosen = agreed.groupBy("key").agg(F.max_by("payload", F.struct("write_ts", "payload")).alias("value"))
-    return rows.select("key").distinct().join(chosen, "key", "left")
+def trace_events(lines: DataFrame, session: str, thread: str = "thread") -> DataFrame:
+    """The events of one traced session in the order they happened."""
+    return lines.filter(F.col(thread) == session).select("line_no", "logged_at", "line").orderBy("logged_at", "line_no")
 
 
 def pair_durations(lines: DataFrame, start: str, finish: str, chunk: Column | int) -> DataFrame:

@@ -213,8 +213,9 @@ def memory_usage(sgastat: DataFrame) -> DataFrame:
     )
 
 
-def running_jobs(activity: DataFrame) -> DataFrame:
-    return activity.filter("state = 'active'").orderBy("pid")
+def running_jobs(jobs: DataFrame) -> DataFrame:
+    """Jobs that a session is running, the longest running first."""
+    return jobs.filter("sid IS NOT NULL").orderBy("this_date", "job_no")
 
 
 def occupants(segments: DataFrame) -> DataFrame:
@@ -246,12 +247,13 @@ def in_flight(sessions: DataFrame, sqlarea: DataFrame, event_like: str | None =
     if event_like:
         active = active.filter(F.col("event").like(event_like))
     joined = session_sql(active, sqlarea, ["plan_hash_value", "disk_reads", "buffer_gets", "rows_processed", "sql_text"])
-    return joined.filter(~F.col("sql_text").like("%in_flight report%")).select(
+    longest_first = [F.col("last_call_et").desc(), F.col("inst_id"), F.col("sid")]
+    return joined.filter(~F.col("sql_text").like("%in_flight report%")).orderBy(*longest_first).select(
         "inst_id", "sid", "serial_no", "username", "sql_id", "plan_hash_value", "disk_reads", "buffer_gets",
         "rows_processed", "event", "osuser", "program", "module", "machine", "seconds_in_wait", "state", "sql_text",
         F.date_format("logon_time", "MM-dd-yyyy HH:mm:ss").alias("logontime"),
         duration_hms(F.col("last_call_et")).alias("running_since"),
-    ).orderBy(F.col("running_since").desc(), "inst_id", "sid")
+    )
 
 
 def with_process(sessions: DataFrame, processes: DataFrame) -> DataFrame:
@@ -298,10 +300,11 @@ def sequence_exhaustion(sequences: DataFrame, excluded_owners: Sequence[str], li
 def alert_errors(alert_log: DataFrame, as_of: Column) -> DataFrame:
     recent = alert_log.filter(since(F.col("originating_timestamp"), as_of, 86400))
     errors = recent.filter((F.col("component_id") == "rdbms") & F.col("message_text").like("%ORA-%"))
-    return errors.select(
+    newest_first = [F.col("originating_timestamp").desc(), *map(F.col, ("inst_id", "host_id", "message_text"))]
+    return errors.orderBy(*newest_first).select(
         F.date_format("originating_timestamp", "dd.MM.yyyy HH:mm:ss").alias("message_time"), "inst_id", "message_text",
         "host_id", "adr_home",
-    ).orderBy(F.col("message_time").desc(), "inst_id", "host_id", "message_text")
+    )
 
 
 # --- waits and load
@@ -599,12 +602,13 @@ def sql_profiles(profiles: DataFrame) -> DataFrame:
 
 def private_memory(samples: DataFrame, as_of: Column, seconds: int = 180, least: int = 2 * MB) -> DataFrame:
     kept = samples.filter((F.col("pga_allocated") > least) & since(F.col("sample_time"), as_of, seconds))
-    return kept.select(
+    in_time = [F.col("sample_time"), F.coalesce(F.col("qc_session_id"), F.lit(0)), F.col("session_id"), F.col("pga_allocated"), F.col("sql_id")]
+    return kept.orderBy(*in_time).select(
         F.date_format("sample_time", "HH:mm:ss").alias("hhmmss"),
         F.coalesce(F.col("qc_session_id").cast("string"), F.lit("n/a")).alias("qc"), "inst_id",
         F.col("session_id").alias("sid"), (F.col("pga_allocated") / 1024).alias("kb"), "sql_id",
         F.coalesce("module", F.concat(F.lit("<"), "program", F.lit(">"))).alias("module"),
-    ).orderBy("hhmmss", "qc", "sid", "kb", "sql_id")
+    )
 
 
 def top_segments(segments: DataFrame, n: int = 10) -> DataFrame:

@@ -511,6 +511,17 @@ SHAPES = {
         UNION ALL SELECT 'node' || (c_nationkey % 2), c_custkey * 4 + 1, CASE WHEN c_acctbal < 0 THEN 'STATE=x' ELSE 'ADDRESS: 10.0.0.' || c_nationkey END FROM $customer
         UNION ALL SELECT 'node' || (c_nationkey % 2), c_custkey * 4 + 2, 'version=' || c_mktsegment FROM $customer
         UNION ALL SELECT 'node' || (c_nationkey % 2), c_custkey * 4 + 3, '' FROM $customer""",
+    # Lists that run side by side; those of one node in four have not the same length.
+    "listener_lines": """
+        SELECT 'node' || s_suppkey % 40 AS node, s_suppkey * 3 AS line_no, 'Name: listener' || s_suppkey AS line FROM $supplier
+        UNION ALL SELECT 'node' || s_suppkey % 40, s_suppkey * 3 + 1, 'Subnet: 10.' || s_nationkey || '.0.0' FROM $supplier
+        UNION ALL SELECT 'node' || s_suppkey % 40, s_suppkey * 3 + 2, CASE WHEN s_suppkey % 4 = 0 AND s_suppkey < 30 THEN 'no listener'
+               WHEN s_acctbal < 0 THEN 'Listener is stopped.' ELSE 'Listener is running.' END FROM $supplier""",
+    # Jobs with the session that runs them; some jobs are not running.
+    "running_jobs": """
+        SELECT s_suppkey AS job_no, s_suppkey % 3 + 1 AS inst_id, CASE WHEN s_acctbal > 0 THEN s_suppkey * 7 END AS sid, s_nationkey % 3 AS failures,
+               CAST('2024-01-20 00:00:00' AS $NTZ) + s_nationkey * INTERVAL '1' HOUR AS this_date,
+               CAST('2024-01-19 00:00:00' AS $NTZ) + s_nationkey * INTERVAL '1' HOUR AS last_date FROM $supplier""",
     "compaction_log": """
         SELECT 'exec' || (user_id % 4) AS thread, event_id AS line_no, ts AS logged_at, event_type,
                CASE event_type WHEN 'signup' THEN 'CompactionTask - Compacting [files]' WHEN 'view' THEN 'CompactionTask - Compacting [files]'

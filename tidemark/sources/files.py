@@ -41,20 +41,38 @@ def generate_series_table(spark: SparkSession, n: int, seed: int = 0) -> DataFra
     return random_columns(spark.range(n), "id", seed).drop("id")
 
 
+# What a null is written as. A text that begins with the mark's backslash gets one more.
+_NULL = "\\N"
+
+
+def _csv_options(file):
+    """Quotes are doubled inside quotes, line breaks stay inside a field, and spaces at the ends are kept."""
+    return (
+        file.option("header", True).option("quote", '"').option("escape", '"').option("nullValue", _NULL)
+        .option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    )
+
+
+def _texts(schema: T.StructType) -> list[str]:
+    return [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
+
+
 def export_csv(df: DataFrame, path: str) -> None:
-    """Writes a table as CSV files with a header; an empty text stays apart from a null."""
-    df.write.option("header", True).option("emptyValue", '""').option("nullValue", "").csv(path)
+    """Writes a table as CSV files with a header; every text comes back as it was, empty ones and nulls apart."""
+    marked = {c: F.when(F.col(c).startswith("\\"), F.concat(F.lit("\\"), F.col(c))).otherwise(F.col(c)) for c in _texts(df.schema)}
+    _csv_options(df.withColumns(marked).write).option("quoteAll", True).csv(path)
 
 
 def import_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Reads what :func:`export_csv` wrote."""
-    return spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
+    rows = _csv_options(spark.read.schema(schema)).option("multiLine", True).csv(path)
+    plain = {c: F.when(F.col(c).startswith("\\"), F.expr(f"substring(`{c}`, 2)")).otherwise(F.col(c)) for c in _texts(schema)}
+    return rows.withColumns(plain)
 
 
 def write_report(df: DataFrame, folder: str, report: str, run: str) -> None:
-    """Appends a result to the report folder, partitioned by run and report name."""
-    tagged = df.withColumn("run", F.lit(run)).withColumn("report", F.lit(report))
-    tagged.write.mode("append").partitionBy("run", "report").parquet(folder)
+    """Writes a result to its place in the report folder; the same run and report written again replaces it."""
+    df.write.mode("overwrite").parquet(f"{folder}/run={run}/report={report}")
 
 
 def read_report(spark: SparkSession, folder: str, report: str, run: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from tidemark.operators.skew import with_running_total
 
@@ -101,6 +102,28 @@ def parse_block_records(
     return rows.withColumn("rejected", missing)
 
 
+def parse_parallel_lists(lines: DataFrame, keys: Sequence[str], patterns: Mapping[str, str], order: str = "line_no") -> DataFrame:
+    """One row per member of attribute lists that run side by side: the first match of each pattern belongs together,
+    then the second, and so on.
+
+    ``patterns`` maps columns to patterns with one group; their lines may stand anywhere among the others. ``member``
+    counts from 1. ``rejected`` is true for all rows of a key whose lists differ in length. The output of one command
+    is a short text, so a key is windowed whole.
+    """
+    line = F.col("line")
+    kind = F.lit(None).cast("string")
+    value = F.lit(None).cast("string")
+    for column, pattern in reversed(patterns.items()):
+        kind = F.when(line.rlike(pattern), F.lit(column)).otherwise(kind)
+        value = F.when(line.rlike(pattern), F.regexp_extract(line, pattern, 1)).otherwise(value)
+    found = lines.select(*keys, order, kind.alias("_kind"), value.alias("_value")).filter("_kind IS NOT NULL")
+    numbered = found.withColumn("member", F.row_number().over(Window.partitionBy(*keys, "_kind").orderBy(order)))
+    cells = [F.max(F.when(F.col("_kind") == c, F.col("_value"))).alias(c) for c in patterns]
+    rows = numbered.groupBy(*keys, "member").agg(*cells, F.count("*").alias("_cells"))
+    whole = F.min("_cells").over(Window.partitionBy(*keys)) == len(patterns)
+    return rows.withColumn("rejected", ~whole).drop("_cells")
+
+
 # Character entities and what they stand for; the ampersand comes last.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
