@@ -1,33 +1,69 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.catalogue.streams import rocksdb
 from tidemark.operators.counters import counter_delta
 from tidemark.session import work_folder
 from tidemark.specs import CounterSpec
-from tidemark.streaming.counters import stream_counter_delta
+from tidemark.streaming.counters import count_late, difference_batch, read_deltas, stream_counter_delta, stream_top_polls
+from tidemark.streaming.monitor import sliding_hour
 
 SPEC = CounterSpec(("k",), ("v",), "v")
+SCHEMA = "k string, snap_id bigint, v bigint"
+
+
+def run(spark, polls, start):
+    inbox = work_folder(spark, "in")
+    for rows in polls:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(inbox)
+        start(spark.readStream.schema(SCHEMA).parquet(inbox)).awaitTermination()
 
 
-def test_stream_equals_batch_over_restarts(spark):
+@pytest.mark.parametrize("shift", [0, 499])
+def test_stream_equals_batch_over_restarts(spark, shift):
     polls = [
         [("a", 1, 5), ("b", 1, 9)], [("a", 2, 7)], [("a", 3, 1), ("b", 3, 10), ("c", 3, 4)],
         [("a", 2, 99), ("c", 4, 4)],
     ]
-    schema = "k string, snap_id bigint, v bigint"
-    inbox, out, state = (work_folder(spark, n) for n in ("in", "out", "state"))
-    with rocksdb(spark):
-        for rows in polls:
-            spark.createDataFrame(rows, schema).write.mode("append").parquet(inbox)
-            stream = stream_counter_delta(spark.readStream.schema(schema).parquet(inbox), SPEC)
-            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(
-                availableNow=True).start().awaitTermination()
-    got = {(r.k, r.snap_id): r.v for r in spark.read.parquet(out).collect()}
-    # The late poll (a, 2, 99) is dropped; the rest is what the batch operator says after the baseline.
-    kept = spark.createDataFrame([r for rows in polls for r in rows if r != ("a", 2, 99)], schema)
-    batch = counter_delta(kept, ["k"], ["snap_id"], ["v"], F.floor(F.col("snap_id") / 2), "raw", "full").filter("snap_id > 1")
+    polls = [[(k, n + shift, v) for k, n, v in rows] for rows in polls]
+    out, state = work_folder(spark, "out"), work_folder(spark, "state")
+    run(spark, polls, lambda stream: stream_counter_delta(stream, SPEC, out, state, poll_seconds=None))
+    got = {(r.k, r.snap_id): r.v for r in read_deltas(spark, out).collect()}
+    # The late poll (a, 2, 99) is dropped and counted; the rest is what the batch operator says after the baseline.
+    late = ("a", 2 + shift, 99)
+    assert [(r.k, r.snap_id, r.v) for r in count_late(spark, out).collect()] == [late]
+    kept = spark.createDataFrame([r for rows in polls for r in rows if r != late], SCHEMA)
+    batch = counter_delta(kept, ["k"], ["snap_id"], ["v"], 2, "raw", "full").filter(F.col("snap_id") > 1 + shift)
     assert got == {(r.k, r.snap_id): r.v for r in batch.collect()}
-    assert got[("a", 3)] == -6 and got[("c", 3)] == 4 and ("a", 2) in got
+    assert got[("a", 3 + shift)] == -6 and got[("c", 3 + shift)] == 4 and ("a", 2 + shift) in got
+
+
+def test_a_poll_cut_over_batches_has_one_list(spark):
+    polls = [[(k, 1, 0) for k in "abcdef"], [("a", 2, 5), ("b", 2, 9)], [("c", 2, 7), ("d", 2, 1)], [("e", 2, 8), ("a", 3, 6)]]
+    out, state = work_folder(spark, "out"), work_folder(spark, "state")
+    run(spark, polls, lambda stream: stream_top_polls(stream, SPEC, out, state, 3, poll_seconds=None))
+    rows = spark.read.parquet(f"{out}/top").collect()
+    assert sorted((r.snap_id, r.rank, r.k) for r in rows) == [(2, 1, "b"), (2, 2, "e"), (2, 3, "c"), (3, 1, "a")]
+
+
+def test_null_readings_show_nothing(spark):
+    first = spark.createDataFrame([("a", 1, 5), (None, 1, 2)], SCHEMA)
+    _, state, _ = difference_batch(first, None, SPEC, "snap_id")
+    second = spark.createDataFrame([("a", 2, None), ("a", 3, 9), (None, 2, 3), ("n", None, 4)], SCHEMA)
+    deltas, last, late = difference_batch(second, state, SPEC, "snap_id")
+    assert {(r.k, r.snap_id): r.v for r in deltas.collect()} == {("a", 2): None, ("a", 3): 4, (None, 2): 1}
+    assert {(r.k, r.snap_id, r.v) for r in last.collect()} == {("a", 3, 9), (None, 2, 3)} and late.count() == 1
+
+
+def test_sliding_hour_equals_plain_windows(spark):
+    draw = random.Random(2)
+    rows = spark.createDataFrame([(draw.randrange(20_000), draw.choice("ab"), draw.randrange(9)) for _ in range(300)], "s int, k string, v int")
+    rows = rows.select(F.timestamp_seconds("s").alias("ts"), "k", "v")
+    got = sliding_hour(rows, "ts", ["k"], "v")
+    want = rows.groupBy(F.window("ts", "1 hour", "5 minutes").alias("w"), "k").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+    shown = want.select(F.col("w.start").cast("timestamp_ntz"), F.col("w.end").cast("timestamp_ntz"), "k", "n", "v")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, shown.collect()))
 
 
 def test_monitor_stops_after_some_polls(spark):

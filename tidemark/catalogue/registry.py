@@ -10,6 +10,7 @@ from tidemark.shapes import Tables, render
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
+BUILDS: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
 def query(name: str, check: str | None = None):
@@ -18,6 +19,7 @@ def query(name: str, check: str | None = None):
     def register(build: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
+        BUILDS[name] = build
         QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
         if check is not None:
             CHECKS[name] = render(check, "duckdb").strip()

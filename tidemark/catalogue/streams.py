@@ -2,46 +2,39 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.catalogue.registry import query
-from tidemark.plans import pg as H
+from tidemark.catalogue.counters import spec_check, spec_feed
+from tidemark.catalogue.registry import BUILDS, CHECKS, query
 from tidemark.session import work_folder
 from tidemark.specs import COUNTER_SETS
-from tidemark.streaming.counters import stream_counter_delta, write_top_polls
+from tidemark.streaming.counters import count_late, poll_report, read_deltas, stream_counter_delta, stream_top_polls
 from tidemark.streaming.monitor import sliding_hour, stream_monitor
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 SPEC = COUNTER_SETS["system_event"]
 
 
-@contextmanager
-def rocksdb(spark):
-    """The state store that keyed counter state needs; the session's own choice comes back afterwards."""
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        yield
-    finally:
-        spark.conf.set(PROVIDER, before)
+def daily_polls(t):
+    return t.counter_snapshots.select(
+        "snap_id", "inst_id", F.col("name").alias("event"), F.col("time_waited").alias("time_waited_micro"), "total_waits"
+    )
 
 
-def run_polls(t, start):
-    """Lands the daily values ten days at a time and runs the query to the end after each landing.
+def land(feed: DataFrame, landings, start) -> None:
+    """Lands parts of ``feed`` one after the other and runs the query to the end after each.
 
-    ``start`` gets the stream and starts the query; every run but the first resumes from the checkpoint.
+    ``landings`` are conditions; ``start`` gets the stream and starts the query, and every run but the first resumes
+    from the checkpoint.
     """
-    feed = t.counter_snapshots.select(
-        "snap_id", "inst_id", F.col("name").alias("event"), F.col("time_waited").alias("time_waited_micro"), "total_waits"
-    )
-    inbox = work_folder(t.spark, "inbox")
-    with rocksdb(t.spark):
-        for first, last in ((1, 10), (11, 20), (21, 31)):
-            feed.filter(F.col("snap_id").between(first, last)).write.mode("append").parquet(inbox)
-            start(t.spark.readStream.schema(feed.schema).parquet(inbox)).awaitTermination()
+    spark = feed.sparkSession
+    inbox = work_folder(spark, "inbox")
+    for condition in landings:
+        feed.filter(condition).write.mode("append").parquet(inbox)
+        # One file at a time: a poll whose rows lie in several files is cut over as many batches.
+        start(spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(inbox)).awaitTermination()
 
 
 GROWTH = """
@@ -49,17 +42,30 @@ GROWTH = """
            total_waits - coalesce(lag(total_waits) OVER w, 0) AS total_waits FROM $counter_snapshots
     WINDOW w AS (PARTITION BY inst_id, name ORDER BY snap_id)"""
 
+#: The days in three landings; in the second, odd and even instances come one after the other.
+DAYS = ("snap_id <= 10", "snap_id BETWEEN 11 AND 20 AND inst_id % 2 = 1", "snap_id BETWEEN 11 AND 20 AND inst_id % 2 = 0", "snap_id > 20")
+
 
 @query("stream_delta", f"SELECT * FROM ({GROWTH}) g WHERE snap_id > 1")
 def _(t):
     out, state = work_folder(t.spark, "deltas"), work_folder(t.spark, "state")
+    land(daily_polls(t).coalesce(1), DAYS, lambda polls: stream_counter_delta(polls, SPEC, out, state, poll_seconds=None))
+    return read_deltas(t.spark, out)
 
-    def start(polls):
-        writer = stream_counter_delta(polls, SPEC).writeStream.format("parquet").option("path", out)
-        return writer.option("checkpointLocation", state).trigger(availableNow=True).start()
 
-    run_polls(t, start)
-    return t.spark.read.parquet(out)
+@query("stream_delta_late", f"""
+    SELECT 'shown' AS kind, count(*) AS n, sum(total_waits)::BIGINT AS total_waits FROM (
+        {GROWTH.replace("$counter_snapshots", "(SELECT * FROM $counter_snapshots WHERE snap_id >= 7) c")}) g WHERE snap_id > 7
+    UNION ALL SELECT 'late', count(*), sum(total_waits)::BIGINT FROM $counter_snapshots WHERE snap_id BETWEEN 3 AND 6""")
+def _(t):
+    """A stream that begins at poll 7 and brings polls 3 to 6 when they are late."""
+    out, state = work_folder(t.spark, "deltas"), work_folder(t.spark, "state")
+    landings = ("snap_id BETWEEN 7 AND 20", "snap_id BETWEEN 3 AND 6", "snap_id > 20")
+    land(daily_polls(t).coalesce(1), landings, lambda polls: stream_counter_delta(polls, SPEC, out, state, poll_seconds=None))
+    kinds = {"shown": read_deltas(t.spark, out), "late": count_late(t.spark, out)}
+    return reduce(DataFrame.union, [
+        df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum("total_waits").alias("total_waits")) for kind, df in kinds.items()
+    ])
 
 
 @query("stream_topn", f"""
@@ -69,26 +75,53 @@ def _(t):
         FROM ({GROWTH}) g WHERE snap_id > 1) r WHERE rank <= 10""")
 def _(t):
     out, state = work_folder(t.spark, "top"), work_folder(t.spark, "state")
+    land(daily_polls(t).coalesce(1), DAYS, lambda polls: stream_top_polls(polls, SPEC, out, state, poll_seconds=None))
+    return t.spark.read.parquet(f"{out}/top").withColumn("snap_id", F.col("snap_id").cast("bigint"))
+
+
+def register_stream(kind: str) -> None:
+    spec = COUNTER_SETS[kind]
+
+    @query(f"stream_live_{kind}", f"SELECT * FROM ({spec_check(kind)}) s WHERE snap_id > 1")
+    def _(t):
+        out, state = work_folder(t.spark, "deltas"), work_folder(t.spark, "state")
+        feed = t.sql(spec_feed(kind)).coalesce(1)
+        land(feed, ("snap_id <= 12", "snap_id > 12"), lambda polls: stream_counter_delta(polls, spec, out, state, poll_seconds=None))
+        deltas = read_deltas(t.spark, out)
+        report = poll_report(deltas, spec, n=1_000_000).drop("rank")
+        names = {r.name for r in spec.ratios}
+        return report.select(*[F.round(c, 6).alias(c) if c in names else F.col(c) for c in report.columns])
+
+
+for _kind in ("sess_event", "librarycache", "event_histogram"):
+    register_stream(_kind)
+
+
+class Snapshot:
+    """The tables with one of them replaced by what has just arrived."""
+
+    def __init__(self, tables, **arrived: DataFrame):
+        self._tables, self._arrived = tables, arrived
+
+    def __getattr__(self, name: str):
+        return self._arrived[name] if name in self._arrived else getattr(self._tables, name)
 
-    def start(polls):
-        return write_top_polls(stream_counter_delta(polls, SPEC), SPEC, out, state, poll_seconds=None)
 
-    run_polls(t, start)
-    return t.spark.read.parquet(out).drop("batch")
+REPORTS = sorted(name for name in BUILDS if name.startswith("rep_h"))
 
 
-@query("stream_monitor", """
-    SELECT state, count(*) AS n FROM $pg_activity GROUP BY 1""")
+@query("stream_monitor", " UNION ALL ".join(f"SELECT '{name}' AS report, count(*) AS n FROM ({CHECKS[name]}) {name}" for name in REPORTS))
 def _(t):
+    """All PostgreSQL reports on an arriving snapshot of the activity; the rows each of them kept."""
     activity = t.pg_activity
-    folder = work_folder(t.spark, "activity")
-    activity.write.parquet(folder)
+    folder, out = work_folder(t.spark, "activity"), work_folder(t.spark, "monitor")
+    activity.coalesce(1).write.parquet(folder)
     stream = t.spark.readStream.schema(activity.schema).parquet(folder)
-    out = work_folder(t.spark, "monitor")
-    reports = {"states": H.connections_by_state, "sessions": lambda df: H.sessions_by_state(df, 7)}
+    reports = {name: (lambda arrived, build=BUILDS[name]: build(Snapshot(t, pg_activity=arrived))) for name in REPORTS}
     stream_monitor(stream, reports, out, work_folder(t.spark, "state"), None).awaitTermination()
-    # All files of the table make one snapshot here; the batches of a longer stream lie side by side.
-    return t.spark.read.parquet(f"{out}/states").groupBy("state").agg(F.sum("n").alias("n"))
+    return reduce(DataFrame.union, [
+        t.spark.read.parquet(f"{out}/{name}").agg(F.lit(name).alias("report"), F.count("*").alias("n")) for name in REPORTS
+    ])
 
 
 SLIDING = """

@@ -1,14 +1,16 @@
-"""Counter differencing over a stream of polls."""
+"""Counter differencing over a stream of polls.
 
-from __future__ import annotations
+Each micro-batch is set against a table of the last value of every key; all of it is DataFrame work. What a batch writes
+lies under its own number, so that a batch run again replaces its rows.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import Row
+from pyspark.sql import Window
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.counters import with_ratios
 from tidemark.operators.ranking import top_n_per_group
@@ -19,52 +21,88 @@ DEFAULT_TOP = 10
 DEFAULT_POLL_SECONDS = 1
 
 
-class CounterDelta(StatefulProcessor):
-    """Keeps the last values of one counter key and emits the growth at every later poll.
+def _kinds(rows: DataFrame, spec: CounterSpec, poll: str) -> T.StructType:
+    """Keys as they are, poll and counters as whole numbers."""
+    whole = (poll, *spec.counters)
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    return T.StructType([T.StructField(n, T.LongType() if n in whole else kinds[n]) for n in (*spec.keys, *whole)])
+
 
-    The first poll of all is the baseline: it fills the state and shows nothing. A key first seen at a later
-    poll grows by its whole value. Keys missing from a poll show nothing and keep their state.
+def difference_batch(rows: DataFrame, state: DataFrame | None, spec: CounterSpec, poll: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Growth, new state and late rows of one batch.
+
+    ``state`` has the last poll and values of every key and the first poll of all, ``_first``; none before the first batch. The
+    first poll seen is the baseline and shows nothing, whatever its number and however many batches bring it. A
+    key first seen later grows by its whole value. A row whose poll is not after the last one of its key is late and
+    dropped. A null reading shows no growth, and the next one grows from the last reading there was.
     """
+    kinds = _kinds(rows, spec, poll)
+    rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds.fields])
+    begin = (rows.agg(F.min(poll)) if state is None else state.agg(F.min("_first"))).first()[0]
+    first = F.lit(begin).cast("bigint")
+    both = rows.withColumn("_new", F.lit(1))
+    if state is not None:
+        both = both.unionByName(state.drop("_first").withColumn("_new", F.lit(0)))
+    known = F.max(F.when(F.col("_new") == 0, F.col(poll))).over(Window.partitionBy(*spec.keys))
+    late = (F.col("_new") == 1) & ((F.col(poll) <= F.col("_known")) | (F.col(poll) < first))
+    both = both.withColumn("_known", known).withColumn("_late", F.coalesce(late, F.col(poll).isNull()))
+    kept = both.filter("NOT _late")
+    before = Window.partitionBy(*spec.keys).orderBy("_new", poll).rowsBetween(Window.unboundedPreceding, -1)
+    grown = [(F.col(c) - F.coalesce(F.last(c, ignorenulls=True).over(before), F.lit(0))).alias(c) for c in spec.counters]
+    deltas = kept.select(*spec.keys, poll, *grown, "_new").filter((F.col("_new") == 1) & (F.col(poll) > first)).drop("_new")
+    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(poll))).alias(c) for c in spec.counters]
+    last = kept.groupBy(*spec.keys).agg(F.max(poll).alias(poll), *newest).withColumn("_first", first)
+    return deltas, last, both.filter("_late").select(*kinds.names)
+
+
+def _at(folder: str, kind: str, number: int) -> str:
+    return f"{folder}/{kind}/batch={number}"
+
+
+def _started(polls: DataFrame, emit, checkpoint: str, poll_seconds: int | None) -> StreamingQuery:
+    writer = polls.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint)
+    if poll_seconds is None:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=f"{poll_seconds} seconds").start()
 
-    def __init__(self, spec: CounterSpec, poll: str, first_poll: int):
-        self.spec, self.poll, self.first_poll = spec, poll, first_poll
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [T.StructField(c, T.LongType()) for c in (self.poll, *self.spec.counters)]
-        self.last = handle.getValueState("last", T.StructType(fields))
+def stream_counter_delta(
+    polls: DataFrame, spec: CounterSpec, folder: str, checkpoint: str, poll: str = "snap_id",
+    poll_seconds: int | None = DEFAULT_POLL_SECONDS, after=None,
+) -> StreamingQuery:
+    """Starts a query that writes the growth of every counter from poll to poll below ``folder``.
 
-    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
-        names = (*self.spec.keys, self.poll, *self.spec.counters)
-        for row in sorted(rows, key=lambda r: r[self.poll]):
-            before = self.last.get() if self.last.exists() else None
-            # A poll that comes late is dropped: growth is told against the newest poll kept.
-            if before is not None and row[self.poll] <= before[0]:
-                continue
-            old = before[1:] if before is not None else (0,) * len(self.spec.counters)
-            self.last.update((row[self.poll], *[row[c] for c in self.spec.counters]))
-            if row[self.poll] > self.first_poll:
-                grown = [row[c] - o for c, o in zip(self.spec.counters, old)]
-                yield Row(**dict(zip(names, (*[row[k] for k in self.spec.keys], row[self.poll], *grown))))
+    ``polls`` is a stream with whole-number poll ids. ``deltas``, ``late`` and ``state`` hold one folder per batch; ``after`` is
+    called with each batch's growth and number. Without ``poll_seconds`` the query stops at the end of its input.
+    """
 
-    def close(self) -> None:
-        pass
+    def emit(batch: DataFrame, number: int) -> None:
+        spark, schema = batch.sparkSession, _kinds(batch, spec, poll)
+        state = None
+        if number:
+            state = spark.read.schema(T.StructType([*schema.fields, T.StructField("_first", T.LongType())])).parquet(_at(folder, "state", number - 1))
+        batch = batch.persist()
+        try:
+            deltas, last, late = difference_batch(batch, state, spec, poll)
+            last.write.mode("overwrite").parquet(_at(folder, "state", number))
+            late.write.mode("overwrite").parquet(_at(folder, "late", number))
+            deltas.write.mode("overwrite").parquet(_at(folder, "deltas", number))
+            if after is not None:
+                after(spark.read.schema(schema).parquet(_at(folder, "deltas", number)), number)
+        finally:
+            batch.unpersist()
 
+    return _started(polls, emit, checkpoint, poll_seconds)
 
-def stream_counter_delta(polls: DataFrame, spec: CounterSpec, poll: str = "snap_id", first_poll: int = 1) -> DataFrame:
-    """Growth of every counter from poll to poll. ``polls`` is a stream with whole-number poll ids.
 
-    State lives in the state store, so the query must run with the RocksDB provider. A micro-batch should hold few
-    polls of one key, as they are put in order in memory; limit it with ``maxFilesPerTrigger`` when catching up.
-    """
-    names = [*spec.keys, poll, *spec.counters]
-    kinds = {f.name: f.dataType for f in polls.schema.fields}
-    schema = T.StructType([
-        T.StructField(n, T.LongType() if n == poll or n in spec.counters else kinds[n]) for n in names
-    ])
-    return polls.groupBy(*spec.keys).transformWithState(
-        statefulProcessor=CounterDelta(spec, poll, first_poll), outputStructType=schema, outputMode="append",
-        timeMode="none",
-    )
+def read_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    """All growth that a query has written."""
+    return spark.read.parquet(f"{folder}/deltas").drop("batch")
+
+
+def count_late(spark: SparkSession, folder: str) -> DataFrame:
+    """Late rows dropped, by poll."""
+    return spark.read.parquet(f"{folder}/late")
 
 
 def poll_report(deltas: DataFrame, spec: CounterSpec, poll: str = "snap_id", n: int = DEFAULT_TOP) -> DataFrame:
@@ -85,17 +123,19 @@ def stop_after(run, polls: int, wait_seconds: float = 0.2) -> None:
     run.stop()
 
 
-def write_top_polls(deltas: DataFrame, spec: CounterSpec, folder: str, checkpoint: str, n: int = DEFAULT_TOP,
-                    poll: str = "snap_id", poll_seconds: int | None = DEFAULT_POLL_SECONDS):
-    """Starts a query that writes the top of every micro-batch; without ``poll_seconds`` it stops at the end.
+def stream_top_polls(
+    polls: DataFrame, spec: CounterSpec, folder: str, checkpoint: str, n: int = DEFAULT_TOP, poll: str = "snap_id",
+    poll_seconds: int | None = DEFAULT_POLL_SECONDS,
+) -> StreamingQuery:
+    """As :func:`stream_counter_delta`, and keeps the top of every poll in ``top``, one folder per poll.
 
-    Each batch goes to a folder of its own number, so that a batch run again replaces its rows.
+    A poll that several batches bring is ranked anew over all of its growth each time, so it has one list.
     """
-    def emit(batch: DataFrame, number: int) -> None:
-        report = poll_report(batch, spec, poll, n)
-        report.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    writer = deltas.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint)
-    if poll_seconds is None:
-        return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime=f"{poll_seconds} seconds").start()
+    def rank(deltas: DataFrame, number: int) -> None:
+        touched = deltas.select(poll).distinct()
+        every = read_deltas(deltas.sparkSession, folder).join(touched, poll, "left_semi")
+        report = poll_report(every, spec, poll, n)
+        report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(poll).parquet(f"{folder}/top")
+
+    return stream_counter_delta(polls, spec, folder, checkpoint, poll, poll_seconds, rank)

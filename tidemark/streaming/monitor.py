@@ -36,8 +36,10 @@ def sliding_hour(samples: DataFrame, ts: str, keys: list[str], measure: str, lat
     rows = samples.withColumn(ts, F.col(ts).cast("timestamp"))
     if samples.isStreaming:
         rows = rows.withWatermark(ts, late)
-    windows = rows.groupBy(F.window(ts, "1 hour", "5 minutes").alias("_w"), *keys)
-    sums = windows.agg(F.count("*").alias("samples"), F.sum(measure).alias(measure))
+    # Five-minute sums first: these, not the samples, are then copied to the twelve hours they lie in.
+    short = rows.groupBy(F.window(ts, "5 minutes").alias("_s"), *keys).agg(F.count("*").alias("samples"), F.sum(measure).alias(measure))
+    hours = short.groupBy(F.window(F.window_time("_s"), "1 hour", "5 minutes").alias("_w"), *keys)
+    sums = hours.agg(F.sum("samples").alias("samples"), F.sum(measure).alias(measure))
     return sums.select(
         F.col("_w.start").cast("timestamp_ntz").alias("window_start"),
         F.col("_w.end").cast("timestamp_ntz").alias("window_end"), *keys, "samples", measure,
