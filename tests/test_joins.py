@@ -68,8 +68,9 @@ def test_percentages_add_up(tables):
 
 def test_member_list_pages_hold_every_member(spark):
     rows = spark.range(100).select(F.lit("k").alias("k"), F.col("id").cast("string").alias("m"))
-    lists = A.member_list(rows, ["k"], "m", page=F.floor(F.col("m").cast("int") / 30)).collect()
-    assert len(lists) == 4 and sum(len(r.members.split(",")) for r in lists) == 100
+    lists = A.member_list(rows.union(rows), ["k"], "m", page_size=30, prefix=1).orderBy("page").collect()
+    assert [len(r.members.split(",")) for r in lists] == [30, 30, 30, 10]
+    assert ",".join(r.members for r in lists).split(",") == sorted(str(n) for n in range(100))
 
 
 def test_exclusion_lists_say_not_in_at_every_length(spark):

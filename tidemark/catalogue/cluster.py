@@ -12,7 +12,7 @@ from tidemark.operators.filters import as_ntz
 from tidemark.operators.ranking import top_n
 from tidemark.operators.skew import lookup_join
 from tidemark.plans import gates as U
-from tidemark.session import work_folder, written
+from tidemark.session import work_folder
 from tidemark.sources import files as S
 from tidemark.sources import text as P
 from tidemark.specs import ATTACHMENT_PATTERNS, LEADER_RULES, MEMBER_PATTERN, RANK_PATTERN, STATE_PATTERN
@@ -248,8 +248,7 @@ def _(t):
                     WHEN line LIKE '%Master change%' THEN 'node' || regexp_extract(line, 'master: ([0-9]+)$', 1) ELSE node END AS who
         FROM $cluster_log) l WHERE role IS NOT NULL GROUP BY 1""")
 def _(t):
-    # Landed first, as collected logs are; the patterns then read a stored column.
-    return C.leaders(written(t.cluster_log, "cluster-log"), LEADER_RULES, t.roster)
+    return C.leaders(t.cluster_log, LEADER_RULES, t.roster)
 
 
 @query("rep_c02", r"""
@@ -286,13 +285,14 @@ def _(t):
 
 
 @query("rep_c05", ATTACHED + """
-    , lists AS (SELECT coalesce(hub, 'N/A') AS hub, string_agg(leaf, ',' ORDER BY leaf) AS leaves, CAST(page AS BIGINT) AS page
-                FROM (SELECT *, length(leaf) AS page FROM attached) a GROUP BY 1, 3),
+    , lists AS (SELECT hub, string_agg(leaf, ',' ORDER BY leaf) AS leaves, page FROM (
+                    SELECT hub, leaf, (row_number() OVER (PARTITION BY hub ORDER BY leaf) - 1) // 20 AS page
+                    FROM (SELECT DISTINCT coalesce(hub, 'N/A') AS hub, leaf FROM attached) d) a GROUP BY 1, 3),
     hubs AS (SELECT name AS hub FROM $roster WHERE role = 'Hub')
     SELECT coalesce(h.hub, l.hub) AS hub, h.hub IS NOT NULL AS in_roster, leaves, page FROM hubs h FULL JOIN lists l ON l.hub = h.hub""")
 def _(t):
     attached = C.leaf_attachment(t.cluster_log, ATTACHMENT_PATTERNS, MEMBER_PATTERN, t.roster)
-    return C.hub_listing(t.roster, attached, F.length("leaf").cast("bigint"))
+    return C.hub_listing(t.roster, attached, 20)
 
 
 @query("rep_c06", r"""

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import with_running_total
+
 
 def distinct_counts(
     df: DataFrame, groups: Sequence[str], columns: Sequence[str], error: float | None = None
@@ -51,18 +53,21 @@ def worst_age(df: DataFrame, keys: Sequence[str], ts: str, as_of: Column, name:
 
 
 def member_list(
-    df: DataFrame, keys: Sequence[str], member: str, name: str = "members", page: Column | None = None
+    df: DataFrame, keys: Sequence[str], member: str, name: str = "members", page_size: int | None = None, prefix: int = 3
 ) -> DataFrame:
     """Distinct members of each key, sorted and joined by commas.
 
-    One list is one value, so without ``page`` the members must come from a domain of limited size. With
-    ``page``, an expression over the member such as its range number, there is one list per key and page.
+    One list is one value, so without ``page_size`` the members must come from a domain of limited size. With it
+    there is one list for every so many members in their order, numbered by ``page`` from 0; members are counted in
+    stretches that share their first ``prefix`` characters.
     """
     groups = list(keys)
-    if page is not None:
-        df = df.withColumn("page", page)
+    distinct = df.select(*groups, F.col(member).cast("string").alias(member)).distinct()
+    if page_size is not None:
+        distinct = distinct.filter(F.col(member).isNotNull())
+        place = with_running_total(distinct, groups, [member], F.lit(1), F.substring(member, 1, prefix), "_number")
+        distinct = place.withColumn("page", F.floor((F.col("_number") - 1) / page_size)).drop("_number")
         groups.append("page")
-    distinct = df.select(*groups, member).distinct()
     return distinct.groupBy(*groups).agg(F.array_join(F.array_sort(F.collect_list(member)), ",").alias(name))
 
 

@@ -27,31 +27,32 @@ def wait_percent_check(
     """
     if warning > critical:
         raise ValueError("the warning level must not exceed the critical level")
-    newest_start = snaps.groupBy(*SERIES).agg(F.max("startup_time").alias("startup_time"))
-    since_start = (
-        snaps.join(newest_start, [*SERIES, "startup_time"]).groupBy(*SERIES).agg(F.count("*").alias("_snaps"))
-    )
+    # Snapshots per start time, then the number at the newest start: two small aggregates.
+    starts = snaps.groupBy(*SERIES, "startup_time").agg(F.count("*").alias("n"))
+    since_start = starts.groupBy(*SERIES).agg(F.max_by("n", "startup_time").alias("_snaps"))
     two = last_two_snapshots(snaps).select(
-        *SERIES, "snap_id", "age", "end_interval_time", "begin_interval_time"
-    )
-    elapsed = two.filter("age = 1").select(
-        *SERIES,
-        F.timestamp_diff("SECOND", F.col("begin_interval_time"), F.col("end_interval_time"))
-        .cast("double").alias("elapsed_sec"),
+        *SERIES, "snap_id", "age",
+        F.timestamp_diff("SECOND", F.col("begin_interval_time"), F.col("end_interval_time")).cast("double").alias("seconds"),
     )
-    points = two.select(*SERIES, "snap_id", "age")
+    elapsed = two.filter("age = 1").select(*SERIES, F.col("seconds").alias("elapsed_sec"))
 
-    def growth(df: DataFrame, name: Column, value: Column, source: int) -> DataFrame:
-        picked = lookup_join(df, points, [*SERIES, "snap_id"], "inner").groupBy(*SERIES, F.lower(name).alias("name"))
-        change = F.max(F.when(F.col("age") == 1, value)) - F.max(F.when(F.col("age") == 2, value))
-        return picked.agg((change / F.lit(1e6)).alias("sec")).filter("sec IS NOT NULL").withColumn(
-            "source", F.lit(source)
-        )
+    def readings(df: DataFrame, name: str, value: str, source: int) -> DataFrame:
+        rows = df.select(*SERIES, "snap_id", F.lower(name).alias("name"), F.col(value).cast("double").alias("value"), F.lit(source).alias("source"))
+        if names is None:
+            return rows
+        return rows.filter(F.col("name").isin(*{n.lower() for n in names}, "db time"))
+
+    # Events and time model together meet the two snapshots once and are reduced by one aggregate.
+    both = readings(events, "event_name", "time_waited_micro", 1).unionByName(readings(model, "stat_name", "value", 2))
+    picked = lookup_join(both, two.select(*SERIES, "snap_id", "age"), [*SERIES, "snap_id"], "inner")
+
+    def change(source: int) -> Column:
+        at = [F.max(F.when((F.col("age") == age) & (F.col("source") == source), F.col("value"))) for age in (1, 2)]
+        return (at[0] - at[1]) / F.lit(1e6)
 
-    from_model = growth(model, F.col("stat_name"), F.col("value"), 2)
-    found = growth(events, F.col("event_name"), F.col("time_waited_micro"), 1).unionByName(from_model)
-    waits = found.groupBy(*SERIES, "name").agg(F.round(F.min_by("sec", "source"), 2).alias("wait_sec"))
-    db_time = from_model.filter("name = 'db time'").select(*SERIES, F.col("sec").alias("db_sec"))
+    found = picked.groupBy(*SERIES, "name").agg(change(1).alias("_event"), change(2).alias("_model"))
+    waits = found.select(*SERIES, "name", F.round(F.coalesce("_event", "_model"), 2).alias("wait_sec")).filter("wait_sec IS NOT NULL")
+    db_time = found.filter("name = 'db time' AND _model IS NOT NULL").select(*SERIES, F.col("_model").alias("db_sec"))
     instances = elapsed.join(since_start, list(SERIES), "left").join(db_time, list(SERIES), "left")
     if names is None:
         rows = waits.join(instances, list(SERIES))

@@ -84,11 +84,11 @@ def leaf_attachment(lines: DataFrame, patterns: Sequence[str], member_pattern: s
     )
 
 
-def hub_listing(roster: DataFrame, attachments: DataFrame, page: Column | None = None) -> DataFrame:
-    """Hubs with their leaves, hubs without any, and leaves whose hub is unknown."""
+def hub_listing(roster: DataFrame, attachments: DataFrame, page_size: int | None = None) -> DataFrame:
+    """Hubs with their leaves, hubs without any, and leaves whose hub is unknown; ``page_size`` is that of ``member_list``."""
     hubs = roster.filter("role = 'Hub'").select(F.col("name").alias("hub"))
     known = full_reconcile(hubs, attachments.filter("hub IS NOT NULL"), ["hub"])
-    lists = member_list(attachments.withColumn("hub", F.coalesce("hub", F.lit("N/A"))), ["hub"], "leaf", "leaves", page)
+    lists = member_list(attachments.withColumn("hub", F.coalesce("hub", F.lit("N/A"))), ["hub"], "leaf", "leaves", page_size)
     listed = known.join(lists, "hub", "left").select("hub", "in_left", *[c for c in lists.columns if c != "hub"])
     stray = lists.filter("hub = 'N/A'").withColumn("in_left", F.lit(False))
     return listed.unionByName(stray).withColumnRenamed("in_left", "in_roster")

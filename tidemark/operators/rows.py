@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import top_n_per_group
 from tidemark.operators.skew import with_neighbour
 
 
@@ -47,11 +48,10 @@ def purge_tombstones(rows: DataFrame, as_of: Column, grace: int = GC_GRACE) -> D
 
 def compact_versions(rows: DataFrame, keys: Sequence[str], as_of: Column, grace: int = GC_GRACE) -> DataFrame:
     """The newest version of every key; a key whose newest version is an old tombstone is gone."""
-    rest = [c for c in rows.columns if c not in keys]
-    # Equal write times: a deletion wins, then the greater payload.
-    place = F.struct("write_ts", F.col("deleted_at").isNotNull().alias("dead"), "payload")
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), place).alias("_r"))
-    return purge_tombstones(newest.select(*keys, "_r.*"), as_of, grace).select(*rows.columns)
+    # Equal write times: a deletion wins, then the greater payload. Each input task keeps one row per key.
+    order = [F.col("write_ts").desc(), F.col("deleted_at").isNotNull().desc(), F.col("payload").desc()]
+    newest = top_n_per_group(rows, list(keys), order, 1, "_place").select(*rows.columns)
+    return purge_tombstones(newest, as_of, grace)
 
 
 def _fingerprint() -> Column:

@@ -6,6 +6,8 @@ key) to last value, extremes and sum; every figure of the scorecard is taken fro
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,7 +169,11 @@ def scorecard(
         fullest, tablespace_level(use, thresholds), data_filesystems(filesystems, datafiles),
         archive_filesystems(filesystems, parameters), standby_lag(standby), top_wait(series),
     ]
-    out = lookup_join(targets, hosts, ["host"], how)
-    for part in parts:
-        out = out.join(part, "target_name", "left")
-    return out.orderBy("target_name")
+    # One row per target and part, brought together by one aggregate instead of a join for each part.
+    kinds = {f.name: f.dataType for part in parts for f in part.schema.fields if f.name != "target_name"}
+    wide = [
+        part.select("target_name", *[F.col(c) if c in part.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()])
+        for part in parts
+    ]
+    figures = reduce(DataFrame.unionByName, wide).groupBy("target_name").agg(*[F.max(c).alias(c) for c in kinds])
+    return lookup_join(targets, hosts, ["host"], how).join(figures, "target_name", "left").orderBy("target_name")
