@@ -10,7 +10,6 @@ from tidemark.catalogue.registry import query
 from tidemark.operators.aggregates import hourly_volume
 from tidemark.operators.counters import gap_extremes
 from tidemark.operators.filters import as_ntz
-from tidemark.operators.graph import wait_chains
 from tidemark.plans import health as R
 
 NOW = "2024-01-20 12:00:00"
@@ -18,8 +17,8 @@ IDLE = ", ".join(f"'{event}'" for event in R.IDLE_EVENTS)
 
 
 @query("rep_r01", """
-    SELECT name, unq_name, strftime(startup_time, '%d-%m-%y %H:%M:%S') AS starttime, open_mode, log_mode,
-           CAST(scn AS VARCHAR) AS scn, version FROM $databases JOIN $db_instances ON name = upper(instance_name)""")
+    SELECT name, unq_name, strftime(startup_time, '%d-%m-%y %H:%M:%S') AS starttime, open_mode, instance_role, log_mode,
+           CAST(scn AS VARCHAR) AS scn, database_role, flashback_on, version, logins FROM $databases JOIN $db_instances ON name = upper(instance_name)""")
 def _(t):
     return R.identity(t.databases, t.db_instances)
 
@@ -30,9 +29,13 @@ def _(t):
                  sum(CASE WHEN name = 'pga_aggregate_target' THEN value END) AS pga FROM $parameters),
     o AS (SELECT sum(CASE WHEN stat_name = 'NUM_CPU_CORES' THEN value END) AS cores, sum(CASE WHEN stat_name = 'NUM_CPUS' THEN value END) AS cpus,
                  sum(CASE WHEN stat_name = 'PHYSICAL_MEMORY_BYTES' THEN value END) AS ram FROM $osstat)
-    SELECT 'Databases:' AS item, CAST(count(*) AS VARCHAR) AS value FROM $databases
-    UNION ALL SELECT 'Database block size:', '8 KB'
-    UNION ALL SELECT 'Database size:', printf('%.3f TB', round(((SELECT sum(bytes) FROM $data_files) + (SELECT sum(bytes) FROM $temp_files)) / 1e12, 3))
+    SELECT 'Database name:' AS item, name AS value FROM $databases
+    UNION ALL SELECT DISTINCT 'Database version:', version FROM $db_instances
+    UNION ALL SELECT 'Database block size:', max(value) // 1024 || ' KB' FROM $parameters WHERE name = 'db_block_size'
+    UNION ALL SELECT 'Database size:', printf('%.3f TB', round(((SELECT sum(bytes) FROM $data_files) + (SELECT sum(bytes) FROM $temp_files)
+        + (SELECT sum(bytes) * max(members) FROM $log_groups) + (SELECT sum(block_size * blocks) FROM $control_files)) / 1e12, 3))
+    UNION ALL SELECT 'Hardware:', 'Engineered System with ' || count(DISTINCT cell_name) || ' storage servers' FROM $cells
+    UNION ALL SELECT 'Processor:', 'x86-64'
     UNION ALL SELECT 'Datafiles:', count(*) || ' (on ' || count(DISTINCT tablespace_name) || ' tablespaces)' FROM $data_files
     UNION ALL SELECT 'Database configuration:', v FROM rac
     UNION ALL SELECT 'Database memory:', printf('MEMORY %.1f GB, ', round(mem / 1073741824.0::DOUBLE, 1)) || printf('SGA %.1f GB, ', round(sga / 1073741824.0::DOUBLE, 1))
@@ -42,7 +45,7 @@ def _(t):
     UNION ALL SELECT 'Physical RAM:', printf('%.1f GB', round(ram / 1073741824.0::DOUBLE, 1)) || ', on ' || v FROM o, rac
     UNION ALL SELECT 'Operating system:', max(platform_name) FROM $databases""")
 def _(t):
-    return R.configuration_summary(t.databases, t.db_instances, t.parameters, t.data_files, t.temp_files, t.osstat)
+    return R.configuration_summary(t.databases, t.db_instances, t.parameters, t.data_files, t.temp_files, t.log_groups, t.control_files, t.osstat, t.cells, "x86-64")
 
 
 @query("rep_r03", "SELECT comp_id, comp_name, status, version FROM $components_registry")
@@ -460,20 +463,17 @@ def _(t):
 
 
 @query("rep_r50", """
-    SELECT 'Current Process: ' || waiter AS w_proc, 'Blocking Process: ' || coalesce(CAST(blocker AS VARCHAR), '<none>') AS blocker_proc,
-           'Number of waiters: ' || num_waiters AS waiters, 'Seconds in Wait: ' || in_wait_secs AS seconds,
-           'Wait Chain: ' || chain_id AS chain FROM (
+    SELECT 'Current Process: ' || waiter AS w_proc, 'SID ' || coalesce(i.instance_name, '') AS instance, 'INST #: ' || instance AS inst,
+           'Blocking Process: ' || coalesce(CAST(blocker AS VARCHAR), '<none>') || ' from Instance ' || coalesce(CAST(blocker_instance AS VARCHAR), '') AS blocker_proc,
+           'Number of waiters: ' || num_waiters AS waiters, 'Wait Event: ' || wait_event_text AS wait_event,
+           'P1: ' || p1 AS p1, 'P2: ' || p2 AS p2, 'P3: ' || coalesce(CAST(p3 AS VARCHAR), '') AS p3,
+           'Seconds in Wait: ' || in_wait_secs AS seconds, 'Seconds Since Last Wait: ' || since_last_wait_secs AS sincelw,
+           'Wait Chain: ' || chain_id || ': ' || chain_signature AS chain_signature,
+           'Blocking Wait Chain: ' || coalesce(CAST(blocker_chain_id AS VARCHAR), '<none>') AS blocker_chain FROM (
         SELECT * FROM $wait_chains WHERE num_waiters > 0 OR (blocker IS NOT NULL AND in_wait_secs > 10)
-        ORDER BY chain_id, num_waiters DESC, waiter LIMIT 100) w""")
+        ORDER BY chain_id, num_waiters DESC, waiter LIMIT 100) w LEFT JOIN $db_instances i ON i.instance_number = w.instance""")
 def _(t):
-    def said(text, column):
-        return F.concat(F.lit(text), F.coalesce(F.col(column).cast("string"), F.lit("<none>")))
-
-    return wait_chains(t.wait_chains).select(
-        said("Current Process: ", "waiter").alias("w_proc"), said("Blocking Process: ", "blocker").alias("blocker_proc"),
-        said("Number of waiters: ", "num_waiters").alias("waiters"), said("Seconds in Wait: ", "in_wait_secs").alias("seconds"),
-        said("Wait Chain: ", "chain_id").alias("chain"),
-    )
+    return R.wait_chain_report(t.wait_chains, t.db_instances)
 
 
 @query("rep_r51", """

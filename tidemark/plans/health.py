@@ -77,15 +77,18 @@ def identity(databases: DataFrame, instances: DataFrame) -> DataFrame:
     named = instances.withColumn("name", F.upper("instance_name"))
     return databases.join(named, "name").select(
         "name", "unq_name", F.date_format("startup_time", "dd-MM-yy HH:mm:ss").alias("starttime"), "open_mode",
-        "log_mode", F.col("scn").cast("string").alias("scn"), "version",
+        "instance_role", "log_mode", F.col("scn").cast("string").alias("scn"), "database_role", "flashback_on", "version", "logins",
     )
 
 
 def configuration_summary(
     databases: DataFrame, instances: DataFrame, parameters: DataFrame, data_files: DataFrame, temp_files: DataFrame,
-    osstat: DataFrame, block_size: int = 8192,
+    log_groups: DataFrame, control_files: DataFrame, osstat: DataFrame, cells: DataFrame, processor: str,
 ) -> DataFrame:
-    """Sizes, memory and hardware as item and value rows; one aggregate per source table."""
+    """Names, sizes, memory and hardware as item and value rows; one aggregate per source table.
+
+    Every database and every version in use has a row. ``processor`` is the model that the operating system tells.
+    """
     nodes = instances.agg(F.count("*").alias("n")).select(
         F.when(F.col("n") == 1, "Single-instance").otherwise(F.concat(F.col("n"), F.lit("-node cluster"))).alias("v")
     )
@@ -94,7 +97,14 @@ def configuration_summary(
         F.sum("bytes").alias("bytes"), F.count("*").alias("files"), F.count_distinct("tablespace_name").alias("spaces")
     )
     temp_bytes = temp_files.select(F.sum("bytes")).scalar()
-    size = files.select(F.format_string("%.3f TB", F.round((F.col("bytes") + temp_bytes) / 1e12, 3)))
+    log_bytes = log_groups.select(F.sum("bytes") * F.max("members")).scalar()
+    control_bytes = control_files.select(F.sum(F.col("block_size") * F.col("blocks"))).scalar()
+    total = F.col("bytes") + temp_bytes + log_bytes + control_bytes
+    size = files.select(F.format_string("%.3f TB", F.round(total / 1e12, 3)))
+    blocks = parameters.filter("name = 'db_block_size'").agg(F.concat((F.max("value") / 1024).cast("int").cast("string"), F.lit(" KB")))
+    servers = cells.agg(F.count_distinct("cell_name").alias("n")).select(
+        F.when(F.col("n") > 0, F.concat(F.lit("Engineered System with "), "n", F.lit(" storage servers"))).otherwise("Unknown")
+    )
 
     def target(name: str) -> Column:
         return F.sum(F.when(F.col("name") == name, F.col("value")))
@@ -120,12 +130,15 @@ def configuration_summary(
     )
     ram = F.format_string("%.1f GB", F.round(F.col("ram") / float(GB), 1))
     return _facts([
-        ("Databases:", databases.agg(F.count("*").cast("string"))),
-        ("Database block size:", instances.agg(F.lit(f"{block_size // 1024} KB"))),
+        ("Database name:", databases.select("name")),
+        ("Database version:", instances.select("version").distinct()),
+        ("Database block size:", blocks),
         ("Database size:", size),
         ("Datafiles:", files.select(F.concat("files", F.lit(" (on "), "spaces", F.lit(" tablespaces)")))),
         ("Database configuration:", nodes),
         ("Database memory:", memory),
+        ("Hardware:", servers),
+        ("Processor:", nodes.select(F.lit(processor))),
         ("Physical CPUs:", hardware.select(F.concat("cores", F.lit(" cores, on "), node_text))),
         ("CPUs:", hardware.select(F.concat("cpus", F.lit(" CPUs (threads), on "), node_text))),
         ("Physical RAM:", hardware.select(F.concat(ram, F.lit(", on "), node_text))),
@@ -575,6 +588,27 @@ def latch_waits(latches: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
+def wait_chain_report(chains: DataFrame, instances: DataFrame, n: int = 100) -> DataFrame:
+    """The first ``n`` wait chains in words; the instance may be unknown."""
+
+    def said(text: str, column: str, missing: str = "") -> Column:
+        return F.concat(F.lit(text), F.coalesce(F.col(column).cast("string"), F.lit(missing)))
+
+    # At most n rows are left before the join.
+    named = instances.select(F.col("instance_number").alias("instance"), "instance_name")
+    rows = graph.wait_chains(chains, n).join(named, "instance", "left")
+    return rows.orderBy("chain_id", F.col("num_waiters").desc(), "waiter").select(
+        said("Current Process: ", "waiter").alias("w_proc"), said("SID ", "instance_name").alias("instance"),
+        said("INST #: ", "instance").alias("inst"),
+        F.concat(said("Blocking Process: ", "blocker", "<none>"), said(" from Instance ", "blocker_instance")).alias("blocker_proc"),
+        said("Number of waiters: ", "num_waiters").alias("waiters"), said("Wait Event: ", "wait_event_text").alias("wait_event"),
+        *[said(f"{p.upper()}: ", p).alias(p) for p in ("p1", "p2", "p3")], said("Seconds in Wait: ", "in_wait_secs").alias("seconds"),
+        said("Seconds Since Last Wait: ", "since_last_wait_secs").alias("sincelw"),
+        F.concat(said("Wait Chain: ", "chain_id"), said(": ", "chain_signature")).alias("chain_signature"),
+        said("Blocking Wait Chain: ", "blocker_chain_id", "<none>").alias("blocker_chain"),
+    )
+
+
 def latch_immediate(latches: DataFrame, limit: float = 0.99) -> DataFrame:
     tried = F.col("immediate_gets") + F.col("immediate_misses")
     kept = latches.filter(tried > 0).withColumn("hit_ratio", F.round(F.col("immediate_gets") / tried, 3))

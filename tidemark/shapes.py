@@ -264,8 +264,20 @@ SHAPES = {
         SELECT p_brand AS sequence_owner, 'SEQ' || p_partkey AS sequence_name, CAST(1 AS BIGINT) AS min_value,
                CAST(p_size AS BIGINT) * 100 AS max_value,
                CAST(floor(p_retailprice * p_size / 11) AS BIGINT) AS last_number FROM $part""",
+    "log_groups": """
+        SELECT s_suppkey AS group_no, CAST(s_nationkey + 1 AS BIGINT) * 1048576 AS bytes, 2 AS members FROM $supplier""",
+    "control_files": """
+        SELECT s_suppkey AS file_no, 16384 AS block_size, CAST(s_nationkey + 10 AS BIGINT) AS blocks FROM $supplier""",
+    "cells": "SELECT 'cell' || s_nationkey AS cell_name FROM $supplier",
+    "component_schemas": """
+        SELECT s_name AS host, CASE WHEN s_suppkey % 2 = 0 THEN 'catalog' ELSE 'machine' END AS type,
+               CAST(480 + s_suppkey * 5 AS VARCHAR(10)) AS version, s_suppkey * 5 + 480 AS schema_no FROM $supplier""",
     "wait_chains": """
-        SELECT CAST(floor(c_custkey / 5) AS BIGINT) AS chain_id, c_custkey AS waiter,
+        SELECT CAST(floor(c_custkey / 5) AS BIGINT) AS chain_id, c_custkey AS waiter, c_nationkey AS instance,
+               CASE WHEN c_acctbal < 6000 THEN c_nationkey % 3 + 1 END AS blocker_instance,
+               c_nationkey + 1 AS p1, c_nationkey * 2 AS p2, CAST(NULL AS BIGINT) AS p3, c_nationkey % 7 AS since_last_wait_secs,
+               c_mktsegment || '<=' || c_nationkey AS chain_signature,
+               CASE WHEN c_acctbal < 3000 THEN CAST(floor(c_custkey / 5) AS BIGINT) + 1 END AS blocker_chain_id,
                CASE WHEN c_acctbal < 6000 THEN c_custkey + 1 END AS blocker,
                CASE WHEN c_acctbal > 5000 THEN c_nationkey % 4 ELSE 0 END AS num_waiters,
                CAST(floor(abs(c_acctbal) / 100) AS BIGINT) AS in_wait_secs, c_mktsegment AS wait_event_text
@@ -283,17 +295,21 @@ SHAPES = {
     # --- frames for the health reports
     "databases": """
         SELECT upper(s_name) AS name, 'U' || s_suppkey AS unq_name, CASE WHEN s_acctbal < 0 THEN 'MOUNTED' ELSE 'READ WRITE' END
-                   AS open_mode, 'ARCHIVELOG' AS log_mode, 'Linux x86 64-bit' AS platform_name, s_suppkey * 1000 AS scn
+                   AS open_mode, 'ARCHIVELOG' AS log_mode, 'Linux x86 64-bit' AS platform_name, s_suppkey * 1000 AS scn,
+               CASE WHEN s_suppkey % 5 = 0 THEN 'PHYSICAL STANDBY' ELSE 'PRIMARY' END AS database_role,
+               CASE WHEN s_suppkey % 2 = 0 THEN 'YES' ELSE 'NO' END AS flashback_on
         FROM $supplier""",
     "db_instances": """
         SELECT s_suppkey % 3 + 1 AS inst_id, lower(s_name) AS instance_name, 'host' || s_suppkey || '.example.org' AS host_name,
                s_nationkey || '.2' AS version, s_suppkey AS instance_number,
+               'PRIMARY_INSTANCE' AS instance_role, CASE WHEN s_suppkey % 9 = 0 THEN 'RESTRICTED' ELSE 'ALLOWED' END AS logins,
                CAST('2024-01-01 00:00:00' AS $NTZ) + s_suppkey * INTERVAL '1' HOUR AS startup_time
         FROM $supplier WHERE s_nationkey > 1""",
     "parameters": """
         SELECT s_suppkey % 3 + 1 AS inst_id, CASE WHEN s_nationkey < 8 THEN 'memory_target' WHEN s_nationkey < 16 THEN 'sga_target'
                ELSE 'pga_aggregate_target' END AS name, CAST(floor(abs(s_acctbal)) AS BIGINT) * 1048576 AS value
-        FROM $supplier""",
+        FROM $supplier
+        UNION ALL SELECT s_suppkey % 3 + 1, 'db_block_size', 8192 FROM $supplier""",
     "data_files": """
         SELECT p_type || (p_size % 7) AS tablespace_name, p_partkey AS file_no,
                CAST(floor(p_retailprice * 10000) AS BIGINT) AS bytes FROM $part""",
