@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidemark.operators.ranking import latest_row, rank_top, top_n_per_group
-from tidemark.operators.skew import lookup_join, semi_lookup, with_neighbour, with_running_total
+from tidemark.operators.skew import lookup_join, measured_join, semi_lookup, with_neighbour, with_running_total
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +25,20 @@ def same(a, b):
     return sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
 
 
+@pytest.fixture
+def no_coalesce(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, before)
+
+
+def largest_share(df):
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
 @pytest.mark.parametrize("width", [1, 17, 1000, 10**6])
 @pytest.mark.parametrize("following", [False, True])
 def test_neighbour(rows, width, following):
@@ -73,6 +87,27 @@ def test_lookup_join(spark, rows, how):
     assert same(lookup_join(rows, lookup, ["k"], how), rows.join(lookup, "k", how))
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+@pytest.mark.parametrize("hot_rows", [1, 50, 10**6])
+def test_measured_join(spark, rows, how, hot_rows):
+    lookup = spark.createDataFrame([("hot", 1), ("a", 2), ("a", 4), ("zzz", 3)], "k string, x int")
+    assert same(measured_join(rows, lookup, ["k"], how, hot_rows), rows.join(lookup, "k", how))
+
+
+def test_measured_join_deals_one_key_evenly(spark, no_coalesce):
+    key, width = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions"
+    before = {name: spark.conf.get(name) for name in (key, width)}
+    spark.conf.set(key, "-1")
+    spark.conf.set(width, "64")
+    try:
+        hot = spark.range(64_000, numPartitions=8).select(F.lit("hot").alias("k"), F.col("id").alias("n"))
+        lookup = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, x int")
+        assert largest_share(measured_join(hot, lookup, ["k"], "inner", 300)) < 0.05
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_lookup_join_spreads_copies(spark):
     copies = spark.range(1000, numPartitions=8).select(F.lit("same").alias("k"))
     lookup = spark.createDataFrame([("same", 1)], "k string, x int")
@@ -98,20 +133,6 @@ def test_top_n_per_group_and_latest_row(rows):
     assert same(got, latest_row(rows, ["k"], ["n"]))
 
 
-@pytest.fixture
-def no_coalesce(spark):
-    key = "spark.sql.adaptive.coalescePartitions.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    yield
-    spark.conf.set(key, before)
-
-
-def largest_share(df):
-    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
-    return max(sizes) / sum(sizes)
-
-
 def test_one_single_key_uses_many_tasks(spark, no_coalesce):
     hot = spark.range(100000).select(F.lit("hot").alias("k"), F.col("id").alias("n"), (F.col("id") % 7).alias("v"))
     chunk = F.floor(F.col("n") / 1000)

@@ -217,7 +217,7 @@ def _(t):
     FROM {JOINED} JOIN $sqlarea a ON a.inst_id = s.inst_id AND a.address = s.sql_address AND a.hash_value = s.sql_hash_value
     WHERE status = 'INACTIVE' AND last_call_et > 1000""")
 def _(t):
-    return R.inactive_detail(t.sessions, t.processes, t.sqlarea, 1000)
+    return R.inactive_detail(t.sessions, t.processes, t.sqlarea, 1000, width=30)
 
 
 EXCLUDED_OWNERS = ["Brand#1", "Brand#2", "SYS", "SYSTEM"]
@@ -348,7 +348,7 @@ def _(t):
                round(concurrency_wait_time::DOUBLE * 100 / sum(concurrency_wait_time) OVER (), 2) AS pct_of_con_time,
                rank() OVER (ORDER BY concurrency_wait_time DESC) AS rank FROM $sqlarea WHERE elapsed_time > 0) c WHERE rank <= 10""")
 def _(t):
-    return R.concurrency_sql(t.sqlarea)
+    return R.concurrency_sql(t.sqlarea, width=80)
 
 
 @query("rep_r37", f"""

@@ -130,6 +130,33 @@ def lookup_join(
     return salted.join(copies, condition, how).drop("_spread", "_copy", *names.values())
 
 
+#: A key with more rows than this is dealt over several tasks by :func:`measured_join`.
+HOT_ROWS = 1_000_000
+
+
+def measured_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Joins ``facts`` to a ``lookup`` and deals a key over as many tasks as it has multiples of ``hot_rows``.
+
+    The keys are counted first, with map-side combine; lookup rows of frequent keys alone are copied. There are at most
+    as many frequent keys as ``facts`` has multiples of ``hot_rows``.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError("measured_join is for left and inner joins")
+    counts = facts.groupBy(*on).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
+    hot = counts.select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts"))
+    # From the row itself and its input partition, so that a task run again deals its rows as before.
+    plain = [f.name for f in facts.schema.fields if "map<" not in f.dataType.simpleString()]
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in plain]) + F.spark_partition_id()
+    # Marked before the shuffle: the join with the few frequent keys is a broadcast as long as their size allows.
+    salted = facts.withColumn("_hash", hashed).join(hot, list(on), "left").withColumn(
+        "_spread", F.coalesce(F.pmod(F.col("_hash"), F.col("_parts")), F.lit(0)).cast("int")
+    ).drop("_hash", "_parts")
+    copies = lookup.join(hot, list(on), "left").withColumn(
+        "_spread", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    ).drop("_parts")
+    return salted.join(copies, [*on, "_spread"], how).drop("_spread")
+
+
 def semi_lookup(facts: DataFrame, wanted: DataFrame, on: Sequence[str], spread: int = 8) -> DataFrame:
     """Rows of ``facts`` whose key is in ``wanted``; keys are made distinct before they travel."""
     return lookup_join(facts, wanted.select(*on).distinct(), on, "inner", spread).select(*facts.columns)

@@ -16,7 +16,7 @@ from tidemark.operators.checks import sequence_gap
 from tidemark.operators.filters import since, trailing_window
 from tidemark.operators.joins import any_one
 from tidemark.operators.ranking import rank_top, top_n
-from tidemark.operators.skew import lookup_join, semi_lookup
+from tidemark.operators.skew import lookup_join, measured_join, semi_lookup
 
 MB = 1024 * 1024
 GB = 1024 * MB
@@ -251,7 +251,7 @@ def session_sql(sessions: DataFrame, sqlarea: DataFrame, columns: Sequence[str])
     statements = sqlarea.select(
         "inst_id", F.col("address").alias("sql_address"), F.col("hash_value").alias("sql_hash_value"), *columns
     )
-    return sessions.join(statements, ["inst_id", "sql_address", "sql_hash_value"])
+    return measured_join(sessions, statements, ["inst_id", "sql_address", "sql_hash_value"], "inner")
 
 
 def in_flight(sessions: DataFrame, sqlarea: DataFrame, event_like: str | None = None) -> DataFrame:
@@ -294,11 +294,15 @@ def inactive_by_program(sessions: DataFrame, processes: DataFrame, idle_seconds:
     return counts.orderBy(F.col("inactive_sessions").desc(), "program")
 
 
-def inactive_detail(sessions: DataFrame, processes: DataFrame, sqlarea: DataFrame, idle_seconds: int = 10800) -> DataFrame:
+def inactive_detail(
+    sessions: DataFrame, processes: DataFrame, sqlarea: DataFrame, idle_seconds: int = 10800, width: int | None = None
+) -> DataFrame:
+    """Long inactive sessions with their last statement, cut or filled to ``width`` characters if one is given."""
+    shown = F.col("sql_text") if width is None else F.lpad("sql_text", width, " ")
     rows = session_sql(_long_inactive(sessions, processes, idle_seconds), sqlarea, ["disk_reads", "sql_text"])
     return rows.select(
         "spid", "sid", "serial_no", (F.col("last_call_et") / 3600).alias("last_call_hours"), "status", "module",
-        "program", "disk_reads", F.lpad("sql_text", 30, " ").alias("last_sql"),
+        "program", "disk_reads", shown.alias("last_sql"),
     ).orderBy("last_call_hours", "sid", "spid")
 
 
@@ -376,7 +380,7 @@ def waiting_sessions(sessions: DataFrame, sqlarea: DataFrame) -> DataFrame:
     """Sessions that wait for something, longest first."""
     waiting = sessions.filter(~F.col("event").isin(list(IDLE_EVENTS)) & (F.col("seconds_in_wait") > 0))
     statements = sqlarea.select("inst_id", F.col("address").alias("sql_address"), F.col("sql_text").alias("last_sql"))
-    return waiting.join(statements, ["inst_id", "sql_address"]).select(
+    return measured_join(waiting, statements, ["inst_id", "sql_address"], "inner").select(
         "inst_id", "sql_id", "sid", "state", "event", F.col("seconds_in_wait").alias("seconds"), "p1", "last_sql"
     ).orderBy(F.col("seconds").desc(), "inst_id", "sid")
 
@@ -385,7 +389,9 @@ def top_waiting_sql(samples: DataFrame, sqlarea: DataFrame, users: DataFrame, as
     """Statements with most wait time in the last hour; samples are summed before the joins."""
     recent = samples.filter(trailing_window(F.col("sample_time"), as_of, 3600))
     sums = recent.groupBy("sql_id", "user_id").agg(F.sum(F.col("wait_time") + F.col("time_waited")).alias("ttl_wait_time"))
-    joined = sums.join(any_one(sqlarea, ["sql_id"], "sql_text"), "sql_id").join(users, "user_id")
+    # Sums by statement and user: a statement has at most one row per user, a user one per statement.
+    joined = measured_join(sums, any_one(sqlarea, ["sql_id"], "sql_text"), ["sql_id"], "inner")
+    joined = measured_join(joined, users, ["user_id"], "inner")
     best = joined.select("sql_id", "username", "sql_text", "ttl_wait_time")
     return top_n(best, [F.col("ttl_wait_time").desc(), F.col("sql_id"), F.col("username")], n)
 
@@ -408,15 +414,19 @@ def top_sql(
     return top_n(kept.select(*columns), [F.col(order).desc(), F.col("sql_id"), F.col("inst_id")], n, "rank")
 
 
-def concurrency_sql(sqlarea: DataFrame, n: int = 10) -> DataFrame:
-    """Statements with most concurrency wait: share of their own time and of all such waits."""
+def concurrency_sql(sqlarea: DataFrame, n: int = 10, width: int | None = None) -> DataFrame:
+    """Statements with most concurrency wait: share of their own time and of all such waits.
+
+    With ``width`` only so many first characters of a statement are shown.
+    """
+    text = F.col("sql_text") if width is None else F.substring("sql_text", 1, width)
     run = sqlarea.filter("elapsed_time > 0").withColumn(
         "con_time_pct", F.round(F.col("concurrency_wait_time") * 100 / F.col("elapsed_time"), 2)
     )
     shares = percent_of_total(run, "concurrency_wait_time", "pct_of_con_time")
     best = rank_top(shares, F.col("concurrency_wait_time"), n)
     return best.select(
-        "sql_id", "inst_id", F.substring("sql_text", 1, 80).alias("sql_text"),
+        "sql_id", "inst_id", text.alias("sql_text"),
         (F.col("concurrency_wait_time") / 1000).alias("con_time_ms"), "con_time_pct", "pct_of_con_time", "rank",
     )
 
@@ -545,7 +555,7 @@ def top_object_waits(samples: DataFrame, objects: DataFrame, as_of: Column, n: i
     sums = recent.groupBy(F.col("current_obj").alias("object_id"), "event").agg(
         F.sum(F.col("wait_time") + F.col("time_waited")).alias("wait")
     )
-    named = sums.join(objects.select("object_id", "object_name", "object_type"), "object_id")
+    named = measured_join(sums, objects.select("object_id", "object_name", "object_type"), ["object_id"], "inner")
     totals = named.groupBy("object_name", "object_type", "event").agg(F.sum("wait").alias("ttl_wait_time"))
     return top_n(totals, [F.col("ttl_wait_time").desc(), F.col("object_name"), F.col("event")], n)
 
@@ -625,7 +635,7 @@ def unshared_cursors(cursors: DataFrame, sqlarea: DataFrame, least: int = 99) ->
     values = counts.groupBy("child_cursors").agg(F.count("*").alias("_n"))
     before = Window.orderBy(F.col("child_cursors").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ranks = values.select("child_cursors", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).cast("int").alias("sql_rank"))
-    ranked = counts.join(ranks, "child_cursors")
+    ranked = measured_join(counts, ranks, ["child_cursors"], "inner")
     texts = any_one(sqlarea, ["sql_id"], "sql_text")
     return ranked.join(texts, "sql_id", "left").orderBy("sql_rank", "sql_id")
 
