@@ -138,24 +138,23 @@ def _(t):
 
 
 @query("rep_h14", """
-    WITH w AS (SELECT schemaname, tablename, CAST(sum((100 - null_pct) * avg_width) AS BIGINT) / 100.0::DOUBLE AS datawidth,
-                      max(null_pct) / 100.0::DOUBLE AS maxfrac, sum(CASE WHEN null_pct <> 0 THEN 1 ELSE 0 END)::BIGINT AS nullable
-               FROM $pg_stats GROUP BY 1, 2),
-    r AS (SELECT *, datawidth + (23 + 4 - 23 % 4) AS datahdr,
-                 maxfrac * ((24 + nullable // 8) + 4 - CASE WHEN (24 + nullable // 8) % 4 = 0 THEN 4 ELSE (24 + nullable // 8) % 4 END) AS nullhdr
-          FROM w),
-    s AS (SELECT r.schemaname, r.tablename, c.relpages, ceil(c.reltuples * (datahdr + 4 - CASE WHEN datahdr % 4 = 0 THEN 4 ELSE datahdr % 4 END
-                     + nullhdr + 4) / 8172.0::DOUBLE) AS otta,
-                 coalesce(x.relname, '?') AS iname, coalesce(x.relpages, 0) AS ipages,
-                 coalesce(ceil(x.reltuples * (datahdr - 12) / 8172.0::DOUBLE), 0) AS iotta
-          FROM r JOIN $pg_class c ON c.relname = r.tablename JOIN $pg_namespace n ON n.oid = c.relnamespace AND n.nspname = r.schemaname
-               AND n.nspname <> 'information_schema'
-          LEFT JOIN $pg_index i ON i.indrelid = c.oid LEFT JOIN $pg_class x ON x.oid = i.indexrelid)
-    SELECT schemaname, tablename, CASE WHEN otta = 0 THEN 0 ELSE round(relpages / otta, 1) END AS tbloat,
-           CASE WHEN relpages < otta THEN 0 ELSE CAST(round(8192 * (relpages - otta) / 1024 / 1024, 0) AS BIGINT) END AS wasted_mb, iname,
-           CASE WHEN iotta = 0 OR ipages = 0 THEN 0 ELSE round(ipages / iotta, 1) END AS ibloat,
-           CASE WHEN ipages < iotta THEN 0 ELSE 8192 * (ipages - iotta) / 1024 / 1024 END AS wasted_index_mb
-    FROM s ORDER BY wasted_mb DESC, tablename, iname LIMIT 25""")
+    WITH columns AS (
+        SELECT schemaname, tablename, CAST(sum((100 - null_pct) * avg_width) AS BIGINT) / 100.0::DOUBLE + 24 AS bare_row,
+               max(null_pct) / 100.0::DOUBLE AS null_share, 24 + sum(CASE WHEN null_pct <> 0 THEN 1 ELSE 0 END)::BIGINT // 8 AS map_bytes
+        FROM $pg_stats GROUP BY 1, 2),
+    needed AS (
+        SELECT k.schemaname, k.tablename, c.relpages AS has,
+               ceil(c.reltuples * (4 * ceil(bare_row / 4) + null_share * 4 * ceil(map_bytes / 4.0::DOUBLE) + 4) / 8172.0::DOUBLE) AS needs,
+               coalesce(x.relname, '?') AS iname, coalesce(x.relpages, 0) AS index_has,
+               coalesce(ceil(x.reltuples * (bare_row - 12) / 8172.0::DOUBLE), 0) AS index_needs
+        FROM columns k JOIN $pg_class c ON c.relname = k.tablename JOIN $pg_namespace n ON n.oid = c.relnamespace AND n.nspname = k.schemaname
+             AND n.nspname <> 'information_schema'
+        LEFT JOIN $pg_index i ON i.indrelid = c.oid LEFT JOIN $pg_class x ON x.oid = i.indexrelid)
+    SELECT schemaname, tablename, coalesce(round(has / nullif(needs, 0), 1), 0) AS tbloat,
+           CAST(round(greatest(0, 8192 * (has - needs) / 1024 / 1024), 0) AS BIGINT) AS wasted_mb, iname,
+           coalesce(round(index_has / nullif(index_needs, 0), 1), 0) AS ibloat,
+           greatest(0, 8192 * (index_has - index_needs) / 1024 / 1024) AS wasted_index_mb
+    FROM needed ORDER BY wasted_mb DESC, tablename, iname LIMIT 25""")
 def _(t):
     stats = t.pg_stats.withColumn("null_frac", (F.col("null_pct") / 100).cast("decimal(10,2)"))
     return H.bloat(stats, t.pg_class, t.pg_namespace, t.pg_index)

@@ -142,23 +142,32 @@ def largest_keyed_tables(classes: DataFrame, namespaces: DataFrame, keyed: DataF
     return best.withColumn("total_size", fmt_bytes(F.col("total_bytes")))
 
 
+def _pages_needed(rows: Column, row_bytes: Column, block: int) -> Column:
+    """Pages that so many rows would fill without gaps; each page has a header of 20 bytes."""
+    return F.ceil(rows * row_bytes / F.lit(float(block - 20)))
+
+
 def bloat(
     stats: DataFrame, classes: DataFrame, namespaces: DataFrame, indexes: DataFrame, block: int = 8192, align: int = 4,
     header: int = 23, n: int = 25,
 ) -> DataFrame:
-    """Estimated waste in tables and their indexes; ``stats`` has ``null_frac`` and ``avg_width`` per column."""
-    def padded(size: Column) -> Column:
-        rest = size % align
-        return size + align - F.when(rest == 0, F.lit(align)).otherwise(rest)
+    """Estimated waste in tables and their indexes; ``stats`` has ``null_frac`` and ``avg_width`` per column.
 
-    widths = stats.groupBy("schemaname", "tablename").agg(
-        F.sum((1 - F.col("null_frac")) * F.col("avg_width")).alias("datawidth"), F.max("null_frac").alias("maxfrac"),
+    A row takes its mean column widths and its header, both filled up to the alignment, a null map if a column can be
+    null, and a pointer of 4 bytes. An index entry goes without 12 bytes of the row header. What a relation has
+    beyond the pages its rows need counts as waste.
+    """
+    def aligned(size: Column) -> Column:
+        return F.ceil(size / align) * align
+
+    columns = stats.groupBy("schemaname", "tablename").agg(
+        F.sum((1 - F.col("null_frac")) * F.col("avg_width")).alias("width"), F.max("null_frac").alias("null_share"),
         F.count_if(F.col("null_frac") != 0).alias("nullable"),
     )
-    null_header = F.lit(header) + 1 + F.floor(F.col("nullable") / 8)
-    rows = widths.select(
-        "schemaname", "tablename", (F.col("datawidth") + padded(F.lit(header))).alias("datahdr"),
-        (F.col("maxfrac") * padded(null_header)).alias("nullhdr"),
+    null_map = F.col("null_share") * aligned(F.lit(header) + 1 + F.floor(F.col("nullable") / 8))
+    # A part that is aligned already is not filled up, but for the header, which always is.
+    shape = columns.select(
+        "schemaname", "tablename", (F.col("width") + (header + align - header % align)).alias("bare_row"), null_map.alias("null_map")
     )
     spaces = namespaces.filter("nspname <> 'information_schema'").select(
         F.col("oid").alias("relnamespace"), F.col("nspname").alias("schemaname")
@@ -166,33 +175,28 @@ def bloat(
     tables = lookup_join(classes, spaces, ["relnamespace"], "inner").select(
         F.col("oid").alias("indrelid"), "schemaname", F.col("relname").alias("tablename"), "reltuples", "relpages"
     )
-    index_rows = indexes.join(
-        classes.select(
-            F.col("oid").alias("indexrelid"), F.col("relname").alias("_iname"), F.col("reltuples").alias("_ituples"),
-            F.col("relpages").alias("_ipages"),
-        ), "indexrelid",
-    ).drop("indexrelid")
-    joined = rows.join(tables, ["schemaname", "tablename"]).join(index_rows, "indrelid", "left")
-    datahdr, per_page = F.col("datahdr"), F.lit(float(block - 20))
-    rest = datahdr % align
-    row_size = datahdr + align - F.when(rest == 0, F.lit(align)).otherwise(rest) + F.col("nullhdr") + 4
-    sized = joined.withColumn("otta", F.ceil(F.col("reltuples") * row_size / per_page)).select(
-        "schemaname", "tablename", "relpages", "otta", F.coalesce("_iname", F.lit("?")).alias("iname"),
-        F.coalesce("_ipages", F.lit(0)).alias("ipages"),
-        F.coalesce(F.ceil(F.col("_ituples") * (datahdr - 12) / per_page), F.lit(0)).alias("iotta"),
+    own = classes.select(
+        F.col("oid").alias("indexrelid"), F.col("relname").alias("index_name"), F.col("reltuples").alias("entries"),
+        F.col("relpages").alias("index_pages"),
+    )
+    both = shape.join(tables, ["schemaname", "tablename"]).join(indexes.join(own, "indexrelid").drop("indexrelid"), "indrelid", "left")
+    full_row = aligned(F.col("bare_row")) + F.col("null_map") + 4
+    needs = both.select(
+        "schemaname", "tablename", F.col("relpages").alias("has"), _pages_needed(F.col("reltuples"), full_row, block).alias("needs"),
+        F.coalesce("index_name", F.lit("?")).alias("iname"), F.coalesce("index_pages", F.lit(0)).alias("index_has"),
+        F.coalesce(_pages_needed(F.col("entries"), F.col("bare_row") - 12, block), F.lit(0)).alias("index_needs"),
     )
-    def ratio(pages: str, ideal: str, nothing: Column) -> Column:
-        return F.when(nothing, F.lit(0.0)).otherwise(F.round(F.col(pages) / F.col(ideal), 1))
-
-    def wasted(pages: str, ideal: str) -> Column:
-        mb = F.lit(block) * (F.col(pages) - F.col(ideal)) / 1024 / 1024
-        return F.when(F.col(pages) < F.col(ideal), F.lit(0.0)).otherwise(mb)
-
-    out = sized.select(
-        "schemaname", "tablename", ratio("relpages", "otta", F.col("otta") == 0).alias("tbloat"),
-        F.round(wasted("relpages", "otta"), 0).cast("bigint").alias("wasted_mb"), "iname",
-        ratio("ipages", "iotta", (F.col("iotta") == 0) | (F.col("ipages") == 0)).alias("ibloat"),
-        wasted("ipages", "iotta").alias("wasted_index_mb"),
+
+    def times(has: str, wanted: str) -> Column:
+        return F.round(F.col(has) / F.when(F.col(wanted) != 0, F.col(wanted)), 1)
+
+    def waste(has: str, wanted: str) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(block) * (F.col(has) - F.col(wanted)) / 1024 / 1024)
+
+    out = needs.select(
+        "schemaname", "tablename", F.coalesce(times("has", "needs"), F.lit(0.0)).alias("tbloat"),
+        F.round(waste("has", "needs"), 0).cast("bigint").alias("wasted_mb"), "iname",
+        F.coalesce(times("index_has", "index_needs"), F.lit(0.0)).alias("ibloat"), waste("index_has", "index_needs").alias("wasted_index_mb"),
     )
     return top_n(out, [F.col("wasted_mb").desc(), F.col("tablename"), F.col("iname")], n)
 
