@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import column, set_aside
 from tidemark.llm.decontaminate import remove_contaminated
 from tidemark.llm.jaccard import one_of_each
 from tidemark.llm.merge_encoding import encode_checked
@@ -21,10 +22,9 @@ from tidemark.session import written
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from ``labels``, scores 0.5 or more; null texts are scored as empty ones."""
     model = learn_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    own = {"score": "_score", "predicted": "_predicted"}
-    clashing = {c: own[c.lower()] for c in docs.columns if c.lower() in own}
-    scored = score_quality(docs.withColumnsRenamed(clashing), model).where(F.col("predicted") == 1).drop("score", "predicted")
-    return scored.withColumnsRenamed({new: old for old, new in clashing.items()}).select(*docs.columns)
+    named, back = set_aside(docs, ("score", "predicted"))
+    kept = score_quality(named, model).where(F.col("predicted") == 1).drop("score", "predicted")
+    return kept.withColumnsRenamed(back).select(*[column(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
