@@ -64,6 +64,7 @@ def test_rows(spark, documents):
     assert not got[2]["contaminated"] and got[2]["n_words"] == 0 and not got[5]["contaminated"] and got[5]["n_hit"] == 3
     kept = remove_contaminated(df, bench)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 5]
+    assert {r["items"] for r in kept.collect()} == {"src0"}
     cut = {r["doc_id"]: r["text"] for r in remove_contaminated(df, bench, longest=2).collect()}
     assert cut[5] == "w " * 99 and cut[2] is None and cut[3] == ""
     assert contamination_digest(df.where("false"), bench).count() == 0

@@ -67,6 +67,13 @@ def add_columns(
     return rows.mapInArrow(run, schema)
 
 
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns of these names (in either case) renamed, and the way back for ``withColumnsRenamed``."""
+    taken = {name.lower() for name in names}
+    renamed = {c: f"_aside_{k}" for k, c in enumerate(df.columns) if c.lower() in taken}
+    return df.withColumnsRenamed(renamed), {new: old for old, new in renamed.items()}
+
+
 def hot_join(facts: DataFrame, lookup: DataFrame, key: str, hot: DataFrame, spread_by: str, how: str = "inner") -> DataFrame:
     """Joins ``facts`` to ``lookup`` on ``key`` with the keys in ``hot`` dealt over several tasks.
 

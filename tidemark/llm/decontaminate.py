@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.batches import buffer_of, column, sha256
+from tidemark.llm.batches import buffer_of, column, set_aside
 from tidemark.llm.words import LETTERED, slices, word_bounds, word_hashes
 
 #: Words of one item in a window.
@@ -268,8 +268,11 @@ def remove_contaminated(
 ) -> DataFrame:
     """``df`` without the contaminated documents; with ``longest``, hit stretches of more words are cut from the others.
 
-    Rows that hold nothing of the benchmark stay as they are, nulls and empty texts among them.
+    Rows that hold nothing of the benchmark stay as they are, nulls and empty texts among them, and so do columns with
+    the names of those that judging adds.
     """
+    columns = df.columns
+    df, back = set_aside(df, [c for c in ("n_words", "hits", "items", "n_hit", "n_items", "contaminated") if c != text])
     judged = contamination(benchmark_hits(df, benchmark, text), one_in).where(~F.col("contaminated"))
     if longest is not None:
         raw = column(text).cast("binary")
@@ -281,4 +284,4 @@ def remove_contaminated(
         )
         whole = F.decode(F.aggregate(kept, F.lit(b""), lambda joined, piece: F.concat(joined, piece)), "UTF-8")
         judged = judged.withColumn(text, F.when(F.size(cuts) > 0, whole).otherwise(column(text)))
-    return judged.select(*[column(c) for c in df.columns])
+    return judged.select(*[column(c) for c in df.columns]).withColumnsRenamed(back).select(*[column(c) for c in columns])
