@@ -385,6 +385,10 @@ CLUSTER_FACTS = (
     ("mode", r'running in "(\w+)" mode'),
     ("listener nodes", r"is running on node\(s\): (.*)$"),
     ("name service domain", r"^GNS domain: (.*)$"),
+    ("software version", r"version on node \S+ is \[([0-9.]+)\]"),
+    ("release version", r"release version on the local node is \[([0-9.]+)\]"),
+    ("management listener", r"^Listener MGMTLSNR is (enabled|disabled)$"),
+    ("management database", r"^Instance -MGMTDB is running on node (\S+)$"),
 )
 
 

@@ -496,12 +496,17 @@ SHAPES = {
                ' ' || (p_partkey % 5 + 1) || '. ONLINE   ' || md5(p_brand) || ' (/dev/' || p_type || ') [' || p_brand || ']' AS line
         FROM $part""",
     "fact_lines": """
-        SELECT 'node' || (o_custkey % 200) AS node, o_orderkey AS line_no, CASE o_orderpriority
-               WHEN '1-URGENT' THEN 'Active version on the cluster is [' || (o_custkey % 9 + 10) || '.2.0.1.0]'
+        SELECT 'node' || (o_custkey % 200) AS node, o_orderkey AS line_no, CASE o_orderkey % 11
+               WHEN 1 THEN 'Clusterware version on node [n1] is [' || (o_custkey % 9 + 10) || '.2.0.1.0]'
+               WHEN 2 THEN 'Clusterware version on node n1 is [' || (o_custkey % 9 + 10) || '.2.0.1.0]'
+               WHEN 3 THEN 'Clusterware release version on the local node is [' || (o_custkey % 9 + 10) || '.2.0.1.0]'
+               WHEN 4 THEN 'Listener MGMTLSNR is ' || CASE WHEN o_orderstatus = 'F' THEN 'enabled' ELSE 'disabled' END
+               WHEN 5 THEN 'Instance -MGMTDB is running on node node' || o_custkey
+               ELSE CASE o_orderpriority WHEN '1-URGENT' THEN 'Active version on the cluster is [' || (o_custkey % 9 + 10) || '.2.0.1.0]'
                WHEN '2-HIGH' THEN 'SCAN name: scan' || o_custkey || '.example.org, Network: 1'
                WHEN '3-MEDIUM' THEN 'Cluster is running in "' || CASE WHEN o_orderstatus = 'F' THEN 'flex' ELSE 'standard' END || '" mode'
                WHEN '4-NOT SPECIFIED' THEN 'Listener LISTENER is running on node(s): node' || o_custkey
-               ELSE 'GNS domain: d' || o_custkey || '.example.org' END AS line FROM $orders""",
+               ELSE 'GNS domain: d' || o_custkey || '.example.org' END END AS line FROM $orders""",
     "db_config_lines": """
         SELECT 'db' || s_suppkey AS host, 1 AS line_no, 'Database name: db' || s_suppkey AS line FROM $supplier
         UNION ALL SELECT 'db' || s_suppkey, 2, 'Disk Groups: DATA' || s_nationkey || ',data' || s_nationkey || ',FRA' FROM $supplier
