@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.words import slices
+
 
 def column(name: str):
     """The column of exactly this name, dots included."""
@@ -62,11 +64,27 @@ def add_columns(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *compute(batch.column(at))], names=names)
+            for part in in_slices(batch, at):
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], *compute(part.column(at))], names=names)
 
     return rows.mapInArrow(run, schema)
 
 
+#: Bytes of text that are worked on at once; what is made of them is passed on before the next ones.
+SLICE_BYTES = 4 << 20
+
+
+def in_slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of rows of ``batch`` with about ``SLICE_BYTES`` in column ``at``, at least one row each."""
+    kind = batch.column(at).type
+    if not batch.num_rows or not (pa.types.is_string(kind) or pa.types.is_large_string(kind)):
+        yield batch
+        return
+    offsets, _ = buffer_of(batch.column(at))
+    for first, last in slices(offsets, SLICE_BYTES):
+        yield batch.slice(first, last - first)
+
+
 def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with its columns of these names (in either case) renamed, and the way back for ``withColumnsRenamed``."""
     taken = {name.lower() for name in names}

@@ -79,7 +79,7 @@ class MergeEncoder(Vocabulary):
         """Tokens of a part: the table forwards, then the ids backwards."""
         last: list[str | None] = [None] * (len(part) + 1)
         pairs = self.pairs
-        if len(pairs) > 3 * MEMO:
+        if len(pairs) > MEMO:
             pairs.clear()
         done = 0
         for end, token in self.automaton.iter(part):
