@@ -54,9 +54,13 @@ class MergeEncoder(Vocabulary):
     def __init__(self, tables: dict):
         super().__init__(tables)
         self.made, self.rank, self.ranks = tables["made"], tables["rank"], tables["ranks"]
-        tokens = [*self.made, *{c for piece in self.normal for c in piece}]
-        self.automaton = matcher({token: token for token in tokens})
-        self.pairs: dict[tuple[str, str], bool] = {}
+        tokens = {*self.made, *{c for piece in self.normal for c in piece}}
+        #: For each token the tokens that were asked about before it, and whether they may stand there.
+        self.ahead: dict[str, dict[str, bool]] = {token: {} for token in tokens}
+        self.asked = 0
+        self.automaton = matcher({token: (token, len(token), self.ahead[token]) for token in tokens})
+        self.id_texts = {piece: str(k) for piece, k in self.normal.items()}
+        self.piece_texts = {str(k): piece.replace(SPACE, " ") for piece, k in self.normal.items()}
         self.ids_by_part: dict[str, str] = {}
         self.text_by_ids: dict[str, str] = {}
 
@@ -76,35 +80,35 @@ class MergeEncoder(Vocabulary):
                 bound, right = right_rank + 1, made[right][0]
 
     def tokens(self, part: str) -> list[str]:
-        """Tokens of a part: the table forwards, then the ids backwards."""
+        """Tokens of a part: the table forwards, then the ids backwards. A character beyond the vocabulary stands alone."""
         last: list[str | None] = [None] * (len(part) + 1)
-        pairs = self.pairs
-        if len(pairs) > MEMO:
-            pairs.clear()
-        done = 0
-        for end, token in self.automaton.iter(part):
-            while done < end:  # characters beyond the vocabulary stand alone
-                done += 1
-                last[done] = last[done] or part[done - 1]
-            if last[end + 1] is not None:
+        if self.asked > 3 * MEMO:
+            for known in self.ahead.values():
+                known.clear()
+            self.asked = 0
+        for end, (token, size, known) in self.automaton.iter(part):
+            end += 1
+            if last[end] is not None:
                 continue
-            start = end + 1 - len(token)
+            start = end - size
             if start:
-                pair = (last[start], token)
-                fits = pairs.get(pair)
+                before = last[start]
+                if before is None:
+                    before = last[start] = part[start - 1]
+                fits = known.get(before)
                 if fits is None:
-                    fits = pairs[pair] = self.fits(*pair)
+                    fits = known[before] = self.fits(before, token)
+                    self.asked += 1
                 if not fits:
                     continue
-            last[end + 1] = token
-        while done < len(part):
-            done += 1
-            last[done] = last[done] or part[done - 1]
+            last[end] = token
         found, at = [], len(part)
         while at:
-            found.append(last[at])
-            at -= len(found[-1])
-        return found[::-1]
+            token = last[at] or part[at - 1]
+            found.append(token)
+            at -= len(token)
+        found.reverse()
+        return found
 
     def part_ids(self, part: str) -> list[int]:
         ids: list[int] = []
@@ -121,11 +125,14 @@ class MergeEncoder(Vocabulary):
 
     def written_ids(self, text: str | None) -> list[str]:
         """Ids of each part, joined by commas; repeated parts come from the memo."""
-        memo, found = self.ids_by_part, []
+        memo, id_texts, found = self.ids_by_part, self.id_texts, []
         for part in self.parts(text):
             ids = memo.get(part)
             if ids is None:
-                ids = ",".join(map(str, self.part_ids(part)))
+                try:
+                    ids = ",".join([id_texts[token] for token in self.tokens(part)])
+                except KeyError:  # a character without a piece
+                    ids = ",".join(map(str, self.part_ids(part)))
                 if len(part) <= 64:
                     if len(memo) >= MEMO:
                         memo.clear()
@@ -135,11 +142,14 @@ class MergeEncoder(Vocabulary):
 
     def decoded(self, written: list[str]) -> str:
         """Text of the ids of whole parts, as ``decode`` gives it for all ids at once."""
-        memo, found = self.text_by_ids, []
+        memo, piece_texts, found = self.text_by_ids, self.piece_texts, []
         for ids in written:
             text = memo.get(ids)
             if text is None:
-                text = self.surface([int(k) for k in ids.split(",")])
+                try:
+                    text = "".join([piece_texts[k] for k in ids.split(",")])
+                except KeyError:  # bytes
+                    text = self.surface([int(k) for k in ids.split(",")])
                 if len(text) <= 64:
                     if len(memo) >= MEMO:
                         memo.clear()
