@@ -72,6 +72,19 @@ def test_structures_are_confirmed():
     assert not [s for s in spans(token({"typ": "JWT"})) if s[0] == "jwt"]
 
 
+def test_keys_with_a_password():
+    body = base64.encodebytes(bytes(range(7, 167))).decode()
+    for name, method in (("RSA", "AES-128-CBC"), ("EC", "DES-EDE3-CBC")):
+        block = f"-----BEGIN {name} PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: {method},{'0A' * 16}\n\n{body}-----END {name} PRIVATE KEY-----"
+        for held in (block, block.replace("\n", "\r\n")):
+            text = "x " + held + " y"
+            assert ("pem", 2, 2 + len(held)) in spans(text)
+            assert masked(text, spans(text), "[removed]") == "x [removed] y"
+            assert ("pem", 32, 32 + len(held)) in spans("-----BEGIN RSA PRIVATE KEY-----\n" + held)
+        assert not [s for s in spans(block.replace("Proc-Type: 4,ENCRYPTED\n", "")) if s[0] == "pem"]
+        assert not [s for s in spans(block.replace(body, "c2hvcnQ=\n")) if s[0] == "pem"]
+
+
 def test_shell_key():
     string = lambda data: len(data).to_bytes(4, "big") + data
     key = b"openssh-key-v1\0" + string(b"none") * 2 + string(b"") + (1).to_bytes(4, "big") + string(string(b"ssh-ed25519") + string(b"k" * 32)) + string(b"p" * 64)
