@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.decontaminate import contamination_digest
 from tidemark.llm.jaccard import near_duplicates
 from tidemark.llm.language import language_digest
+from tidemark.llm.mask_search import ranked_search
 from tidemark.llm.merge_encoding import encoding_digest
+from tidemark.llm.mixing import mixing_digest
 from tidemark.llm.order_minhash import compare_edited
 from tidemark.llm.passages import repeated_passages
+from tidemark.llm.periodic_runs import runs_digest, with_planted_runs
 from tidemark.llm.quality import quality_digest
 from tidemark.llm.secrets import secret_digest
 from tidemark.llm.warc import archived_captures
@@ -159,3 +162,40 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_mixing")
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_digest(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_mask_search",
+    r"""
+    with found as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+        from documents),
+    docs as (select doc_id, w, cast(len(w) as bigint) as n from found where len(w) > 0),
+    totals as (select cast(count(*) as bigint) as d, cast(sum(n) as bigint) as l from docs),
+    postings as (select doc_id, n, term, count(*) as tf from (select doc_id, n, unnest(w) as term from docs) group by all),
+    terms as (
+        select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as term
+        from benchmark),
+    weights as (
+        select term, cast(floor(1000 * ln((2 * d + 2) / (2 * count(*) + 1))) as bigint) as w from postings, totals group by term, d),
+    scored as (
+        select t.item_id, p.doc_id, cast(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * p.n * o.d) // o.l)))) as bigint) as score
+        from terms t join weights w using (term) join postings p using (term), totals o group by all),
+    ranked as (
+        select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+        from scored where score > 0)
+    select item_id, rank, doc_id, score from ranked where rank <= 50
+    """,
+)
+def op12_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_runs")
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_digest(with_planted_runs(table(spark, sf_dir, "documents")))
