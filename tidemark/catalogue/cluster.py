@@ -9,11 +9,14 @@ from tidemark.operators import checks as G
 from tidemark.operators import logs as C
 from tidemark.operators import rows as V
 from tidemark.operators.filters import as_ntz
+from tidemark.operators.partitions import rewrite_partitions
+from tidemark.operators.ranges import range_diff
 from tidemark.operators.ranking import top_n
 from tidemark.operators.skew import lookup_join
 from tidemark.plans import gates as U
 from tidemark.session import work_folder
 from tidemark.sources import files as S
+from tidemark.sources.lines import read_log_files
 from tidemark.sources import text as P
 from tidemark.specs import ATTACHMENT_PATTERNS, LEADER_RULES, MEMBER_PATTERN, RANK_PATTERN, STATE_PATTERN
 
@@ -168,6 +171,23 @@ def _(t):
     return found.select("node", "line_no", "logged_at")
 
 
+def landed_texts(t) -> str:
+    """The texts as log files, one per node, each far larger than a split; one is packed."""
+    folder = work_folder(t.spark, "logs")
+    rows = t.text_lines.repartitionByRange("node").sortWithinPartitions("node", "doc_id")
+    for node, codec in (("node0", "none"), ("node1", "gzip"), ("node2", "none")):
+        rows.filter(F.col("node") == node).coalesce(1).select("text").write.option("compression", codec).text(f"{folder}/{node}")
+    return folder
+
+
+@query("src_log_files", """
+    SELECT node, row_number() OVER (PARTITION BY node ORDER BY doc_id, i) AS line_no, line FROM (
+        SELECT node, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM $text_lines) l""")
+def _(t):
+    """The documents written as one file for each of three nodes and read back with the numbers of their lines."""
+    return read_log_files(t.spark, landed_texts(t) + "/*/part-*", split_bytes=1 << 17).select("node", "line_no", "line")
+
+
 @query("src_ws_table", r"""
     SELECT line_no, CASE WHEN ok THEN regexp_extract(line, p, 1) END AS name, CASE WHEN ok THEN regexp_extract(line, p, 2) END AS id,
            CASE WHEN ok THEN regexp_extract(line, p, 3) END AS state, CASE WHEN NOT ok THEN line END AS rejected FROM (
@@ -227,7 +247,7 @@ def _(t):
 
 @query("log_leader", """
     SELECT arg_max(CASE WHEN regexp_matches(line, 'NEW OCR MASTER IS') THEN 'node' || regexp_extract(line, 'MASTER IS ([0-9]+)', 1) ELSE node END,
-                   (ts, node, line_no)) AS leader, max(ts) AS since FROM $cluster_log
+                   (ts, node, file, line_no)) AS leader, max(ts) AS since FROM $cluster_log
     WHERE regexp_matches(line, 'I AM THE NEW OCR MASTER at incar|NEW OCR MASTER IS [0-9]')""")
 def _(t):
     rules = [rule for rule in LEADER_RULES if rule.role == "registry"]
@@ -235,7 +255,7 @@ def _(t):
 
 
 @query("rep_c01", r"""
-    SELECT role, arg_max(who, (ts, node, line_no)) AS leader, max(ts) AS since FROM (
+    SELECT role, arg_max(who, (ts, node, file, line_no)) AS leader, max(ts) AS since FROM (
         SELECT *, CASE WHEN line LIKE '%clssgmCMReconfig%' THEN 'group' WHEN line LIKE '%OCR MASTER%' THEN 'registry'
                        WHEN line LIKE '%PE MASTER NAME%' THEN 'policy' WHEN line LIKE '%STANDBY MASTER' OR line LIKE '%STANDBY SERVERS%' THEN 'standby'
                        WHEN line LIKE '%CTSS master' THEN 'time' WHEN line LIKE '%Master change notification%' THEN 'ui'
@@ -256,7 +276,7 @@ def _(t):
            my_rank >= min_rank AS passed FROM (
         SELECT node, CAST(regexp_extract(line, 'My Rank:\[([0-9]+)\]', 1) AS INT) AS my_rank,
                CAST(regexp_extract(line, 'Min Rank:\[([0-9]+)\]', 1) AS INT) AS min_rank,
-               row_number() OVER (PARTITION BY node ORDER BY line_no DESC) AS rn FROM $cluster_log WHERE line LIKE '%My Rank%') r WHERE rn = 1""")
+               row_number() OVER (PARTITION BY node ORDER BY ts DESC, file DESC, line_no DESC) AS rn FROM $cluster_log WHERE line LIKE '%My Rank%') r WHERE rn = 1""")
 def _(t):
     return C.rank_check(t.cluster_log, RANK_PATTERN)
 
@@ -264,15 +284,15 @@ def _(t):
 @query("rep_c03", r"""
     SELECT node, regexp_extract(line, 'old role \[([A-Z]+)\]', 1) AS old_role, regexp_extract(line, 'new \[([A-Z]+)\];', 1) AS new_role,
            'Starting' AS old_state, 'Running' AS new_state, ts AS logged_at FROM (
-        SELECT *, row_number() OVER (PARTITION BY node ORDER BY line_no DESC) AS rn FROM $cluster_log WHERE line LIKE '%PE Role%') r WHERE rn = 1""")
+        SELECT *, row_number() OVER (PARTITION BY node ORDER BY ts DESC, file DESC, line_no DESC) AS rn FROM $cluster_log WHERE line LIKE '%PE Role%') r WHERE rn = 1""")
 def _(t):
     return C.latest_match(t.cluster_log, STATE_PATTERN, ["old_role", "new_role", "old_state", "new_state"])
 
 
 ATTACHED = r"""
-    WITH own AS (SELECT node, max_by(regexp_extract(line, '(host |gipcha://|interconnect.)(node[0-9]+)', 2), line_no) AS hub FROM $cluster_log
+    WITH own AS (SELECT node, max_by(regexp_extract(line, '(host |gipcha://|interconnect.)(node[0-9]+)', 2), (ts, file, line_no)) AS hub FROM $cluster_log
                  WHERE regexp_matches(line, 'PeriodicPing_CB|clssscPipeConnect|clssgmSendEventsToClients') GROUP BY 1),
-    told AS (SELECT regexp_extract(line, 'memnum ([0-9]+)', 1) AS leaf_id, max_by(regexp_extract(line, 'value .([0-9]+)/', 1), line_no) AS hub_id
+    told AS (SELECT regexp_extract(line, 'memnum ([0-9]+)', 1) AS leaf_id, max_by(regexp_extract(line, 'value .([0-9]+)/', 1), (ts, node, file, line_no)) AS hub_id
              FROM $cluster_log WHERE line LIKE '%clssgmGetMemberAttr%' GROUP BY 1),
     attached AS (SELECT r.name AS leaf, coalesce(own.hub, h.name) AS hub FROM $roster r LEFT JOIN own ON own.node = r.name
                  LEFT JOIN told ON told.leaf_id = CAST(r.id AS VARCHAR) LEFT JOIN $roster h ON CAST(h.id AS VARCHAR) = told.hub_id
@@ -351,13 +371,13 @@ def _(t):
 
 
 TIMEOUT_COLUMNS = ", ".join(
-    f"max_by(CASE WHEN name = '{n}' THEN value END, CASE WHEN name = '{n}' THEN line_no END) AS {n}" for n in C.TIMEOUTS
+    f"max_by(CASE WHEN name = '{n}' THEN value END, CASE WHEN name = '{n}' THEN (file, line_no) END) AS {n}" for n in C.TIMEOUTS
 )
 
 
 @query("rep_c12", f"""
     SELECT node, {TIMEOUT_COLUMNS} FROM (
-        SELECT node, line_no, regexp_extract(line, 'get (\\S+) ([0-9]+) for', 1) AS name,
+        SELECT node, file, line_no, regexp_extract(line, 'get (\\S+) ([0-9]+) for', 1) AS name,
                CAST(regexp_extract(line, 'get (\\S+) ([0-9]+) for', 2) AS INT) AS value FROM $css_lines) v GROUP BY 1""")
 def _(t):
     return C.timeouts(t.css_lines)
@@ -393,7 +413,7 @@ CLUSTER_FACTS = (
 
 
 @query("rep_c15", " UNION ALL ".join(
-    f"SELECT node, '{fact}' AS fact, max_by(regexp_extract(line, '{p}', 1), line_no) AS value FROM $fact_lines "
+    f"SELECT node, '{fact}' AS fact, max_by(regexp_extract(line, '{p}', 1), (file, line_no)) AS value FROM $fact_lines "
     f"WHERE regexp_matches(line, '{p}') GROUP BY 1" for fact, p in CLUSTER_FACTS
 ))
 def _(t):
@@ -409,8 +429,8 @@ def _(t):
 
 @query("rep_c17", r"""
     SELECT node, coalesce(l.v, p.v) AS instance FROM
-        (SELECT node, max_by(regexp_extract(line, '^(\+ASM[0-9]*):', 1), line_no) AS v FROM $instance_roster_lines WHERE line LIKE '+ASM%' GROUP BY 1) l
-        FULL JOIN (SELECT node, max_by(regexp_extract(line, '_pmon_(\+ASM[0-9]+)$', 1), line_no) AS v FROM $process_lines
+        (SELECT node, max_by(regexp_extract(line, '^(\+ASM[0-9]*):', 1), (file, line_no)) AS v FROM $instance_roster_lines WHERE line LIKE '+ASM%' GROUP BY 1) l
+        FULL JOIN (SELECT node, max_by(regexp_extract(line, '_pmon_(\+ASM[0-9]+)$', 1), (file, line_no)) AS v FROM $process_lines
                    WHERE line LIKE '%_pmon_%' GROUP BY 1) p USING (node)""")
 def _(t):
     return C.instance_names(t.instance_roster_lines, t.process_lines, "+ASM")
@@ -574,12 +594,38 @@ def _(t):
 
 
 @query("row_replica_diff", """
-    SELECT key, count(DISTINCT (payload, write_ts, deleted_at)) AS versions, arg_max(payload, write_ts) AS newest_payload,
-           max(write_ts) AS newest_write FROM $versioned_rows GROUP BY 1 HAVING count(DISTINCT (payload, write_ts, deleted_at)) > 1""")
+    WITH newest AS (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, replica ORDER BY write_ts DESC, deleted_at IS NOT NULL DESC, payload DESC) AS rn
+                       FROM $versioned_rows) r WHERE rn = 1)
+    SELECT key, count(DISTINCT (payload, write_ts, deleted_at)) AS versions, (SELECT count(DISTINCT replica) FROM newest) - count(*) AS missing,
+           arg_max(payload, (write_ts, deleted_at IS NOT NULL, payload)) AS newest_payload, max(write_ts) AS newest_write FROM newest GROUP BY 1
+    HAVING count(DISTINCT (payload, write_ts, deleted_at)) > 1 OR count(*) < (SELECT count(DISTINCT replica) FROM newest)""")
 def _(t):
     return V.replica_diff(t.versioned_rows)
 
 
+@query("row_range_diff", """
+    WITH a AS (SELECT * FROM $copied_rows WHERE copy = 'a'), b AS (SELECT * FROM $copied_rows WHERE copy = 'b')
+    SELECT 'b' AS copy, coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'missing' WHEN a.key IS NULL THEN 'extra' ELSE 'changed' END AS difference
+    FROM a FULL JOIN b ON a.key = b.key
+    WHERE a.key IS NULL OR b.key IS NULL OR (a.part_key, a.payload, a.write_ts) IS DISTINCT FROM (b.part_key, b.payload, b.write_ts)""")
+def _(t):
+    copies = {name: t.copied_rows.filter(F.col("copy") == name).drop("copy") for name in ("a", "b")}
+    return range_diff(copies, ["key"], ["part_key", "payload", "write_ts"])
+
+
+@query("row_rewrite_partitions", f"""
+    SELECT key, replica, part FROM $parted_rows WHERE deleted_at IS NULL OR deleted_at > TIMESTAMP '{AS_OF}' - INTERVAL 864000 SECOND""")
+def _(t):
+    """A landed table with its old tombstones purged; only partitions that had some are written."""
+    folder, as_of = work_folder(t.spark, "parted"), as_ntz(AS_OF)
+    t.parted_rows.write.partitionBy("part").parquet(folder)
+    schema = t.parted_rows.schema
+    gone = F.col("deleted_at") <= as_of - F.expr(f"INTERVAL {V.GC_GRACE} SECOND")
+    rewrite_partitions(t.spark, folder, schema, ["part"], gone, lambda rows: V.purge_tombstones(rows, as_of))
+    return t.spark.read.schema(schema).parquet(folder).select("key", "replica", "part")
+
+
 @query("log_pair_duration", """
     SELECT thread, line_no, logged_at AS started, nt AS finished, (epoch_us(nt) - epoch_us(logged_at)) / 1000000.0::DOUBLE AS seconds FROM (
         SELECT *, lead(event_type) OVER w AS ne, lead(logged_at) OVER w AS nt FROM $compaction_log WHERE event_type <> 'purchase'

@@ -8,7 +8,7 @@ from tidemark.catalogue.registry import query
 from tidemark.functions import exprs as X
 from tidemark.operators import checks as G
 from tidemark.operators import counters as D
-from tidemark.operators import graph
+from tidemark.operators import graph, waits
 from tidemark.operators.aggregates import roll_up_key, worst_age
 from tidemark.operators.filters import as_ntz
 from tidemark.specs import COUNTER_SETS, LATENCY_BUCKETS, MINIMUM_SCHEMA, CounterSpec, Ratio, Rule
@@ -326,6 +326,27 @@ def _(t):
     return graph.blocking_tree(tree_edges(t)).orderBy("path")
 
 
+REACH = """
+    WITH RECURSIVE e AS (SELECT DISTINCT blocker, waiter FROM $wait_edges w),
+    reach AS (SELECT waiter AS x, blocker AS y FROM e UNION SELECT r.x, e.blocker FROM reach r JOIN e ON e.waiter = r.y)"""
+
+
+@query("graph_wait_cycles", REACH + """
+    , pairs AS (SELECT a.x, a.y FROM reach a JOIN reach b ON b.x = a.y AND b.y = a.x)
+    SELECT min(y) AS circle, x AS waiter, count(*) AS n_waiters FROM pairs GROUP BY 2""")
+def _(t):
+    return waits.wait_cycles(t.wait_edges)
+
+
+@query("graph_wait_tree", REACH + """
+    SELECT e.blocker, e.waiter, (SELECT count(*) FROM e o WHERE o.waiter = e.waiter) AS n_blockers,
+           e.blocker NOT IN (SELECT waiter FROM e) OR e.blocker IN (SELECT x FROM reach WHERE y NOT IN (SELECT waiter FROM e)) AS placed
+    FROM e UNION ALL SELECT NULL, blocker, 0, true FROM (SELECT DISTINCT blocker FROM e WHERE blocker NOT IN (SELECT waiter FROM e)) r""")
+def _(t):
+    rows = waits.wait_tree(t.wait_edges)
+    return rows.select("blocker", "waiter", "n_blockers", F.col("path").isNotNull().alias("placed"))
+
+
 RESOURCE = ["lock_type", "id1", "id2"]
 BLOCKED = """
     SELECT w.lock_type, w.id1, w.id2, w.inst_id AS waiter_inst_id, w.sid AS waiter_sid,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from tidemark.operators.aggregates import member_list
 from tidemark.operators.checks import first_match
 from tidemark.operators.joins import full_reconcile, previous_line
 from tidemark.operators.skew import lookup_join, with_neighbour
+from tidemark.sources.lines import newest
 from tidemark.sources.text import scan_log, with_stamp
 from tidemark.specs import LeaderRule
 
@@ -22,20 +24,25 @@ def leaders(lines: DataFrame, rules: Sequence[LeaderRule], roster: DataFrame) ->
     A line can say that its own node leads, or give the leader's name, or its number in ``roster`` (id, name).
     """
     line = F.col("line")
-    claims = F.array_compact(F.array(*[
-        F.when(line.contains(rule.needle) & line.rlike(rule.pattern), F.struct(
-            F.lit(rule.role).alias("role"), F.lit(rule.names).alias("names"),
-            (F.col("node") if rule.names == "self" else F.trim(F.regexp_extract(line, rule.pattern, 1))).alias("who"),
-        )) for rule in rules
-    ]))
-    named = F.lit(False)
-    for rule in rules:
-        named = named | line.contains(rule.needle)
-    found = with_stamp(lines.filter(named)).withColumn("_c", F.explode(claims))
-    newest = found.groupBy("_c.role").agg(
-        F.max_by(F.struct("_c.names", "_c.who", "logged_at"), F.struct("logged_at", "node", "line_no")).alias("_l")
-    )
-    rows = newest.select(
+    # The first rule whose needle a line holds and whose pattern it fits; one pattern is tried for most lines.
+    rule_no = F.lit(None).cast("int")
+    for number, rule in reversed(list(enumerate(rules))):
+        rule_no = F.when(line.contains(rule.needle) & line.rlike(rule.pattern), F.lit(number)).otherwise(rule_no)
+    # One look at the line for all needles: a computed line is then computed once.
+    named = line.rlike("|".join(re.escape(needle) for needle in sorted({rule.needle for rule in rules})))
+    found = with_stamp(lines.filter(named)).withColumn("_rule", rule_no)
+    last = found.groupBy("_rule").agg(
+        F.max_by(F.struct("node", "line", "logged_at"), _place(found)).alias("_l"), F.max(_place(found)).alias("_p"), F.max("_rule").alias("_known")
+    ).filter("_known IS NOT NULL")
+    # One line for each rule is left: its name is cut out here, and the newest rule of each role counts.
+    who, role, names = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for number, rule in enumerate(rules):
+        own = F.col("_rule") == number
+        said = F.col("_l.node") if rule.names == "self" else F.trim(F.regexp_extract("_l.line", rule.pattern, 1))
+        who, role, names = F.when(own, said).otherwise(who), F.when(own, F.lit(rule.role)).otherwise(role), F.when(own, F.lit(rule.names)).otherwise(names)
+    claims = last.select(role.alias("role"), names.alias("names"), who.alias("who"), F.col("_l.logged_at").alias("logged_at"), "_p")
+    newest_claim = claims.groupBy("role").agg(F.max_by(F.struct("names", "who", "logged_at"), "_p").alias("_l"))
+    rows = newest_claim.select(
         "role", "_l.names", "_l.who", F.col("_l.logged_at").alias("since"),
         F.when(F.col("_l.names") == "id", F.col("_l.who")).alias("id"),
     )
@@ -45,12 +52,18 @@ def leaders(lines: DataFrame, rules: Sequence[LeaderRule], roster: DataFrame) ->
     return named.select("role", F.coalesce(leader, F.lit("N/A")).alias("leader"), "since")
 
 
+def _place(lines: DataFrame):
+    """The order of lines of all nodes: stamp, node, file, line."""
+    place = newest(lines)
+    return F.struct(place["logged_at"].alias("logged_at"), "node", place.alias("place"))
+
+
 def latest_match(lines: DataFrame, pattern: str, columns: Sequence[str]) -> DataFrame:
     """The groups of the newest line of each node that fits ``pattern``."""
     found = scan_log(lines, pattern)
     groups = F.struct(*[F.regexp_extract("line", pattern, i + 1).alias(c) for i, c in enumerate(columns)], "logged_at")
-    newest = found.groupBy("node").agg(F.max_by(groups, F.struct("logged_at", "line_no")).alias("_g"))
-    return newest.select("node", "_g.*")
+    latest = found.groupBy("node").agg(F.max_by(groups, newest(found)).alias("_g"))
+    return latest.select("node", "_g.*")
 
 
 def rank_check(lines: DataFrame, pattern: str) -> DataFrame:
@@ -71,12 +84,11 @@ def leaf_attachment(lines: DataFrame, patterns: Sequence[str], member_pattern: s
     by_name = roster.select(F.col("id").cast("string").alias("id"), "name", "role")
     leaves = by_name.filter("role = 'Leaf'").select(F.col("name").alias("node"), F.col("id").alias("leaf_id"))
     any_pattern = "|".join(f"(?:{p})" for p in patterns)
-    own = lines.filter(F.col("line").rlike(any_pattern)).groupBy("node").agg(
-        first_match(F.col("line"), patterns, F.col("line_no")).alias("own_hub")
+    answers, members = scan_log(lines, any_pattern), scan_log(lines, member_pattern)
+    own = answers.groupBy("node").agg(first_match(F.col("line"), patterns, newest(answers)).alias("own_hub"))
+    said = members.groupBy(F.regexp_extract("line", member_pattern, 1).alias("leaf_id")).agg(
+        F.max_by(F.regexp_extract("line", member_pattern, 2), _place(members)).alias("hub_id")
     )
-    said = lines.filter(F.col("line").rlike(member_pattern)).groupBy(
-        F.regexp_extract("line", member_pattern, 1).alias("leaf_id")
-    ).agg(F.max_by(F.regexp_extract("line", member_pattern, 2), F.col("line_no")).alias("hub_id"))
     hubs = by_name.select(F.col("id").alias("hub_id"), F.col("name").alias("said_hub"))
     told = said.join(hubs, "hub_id")
     return leaves.join(own, "node", "left").join(told, "leaf_id", "left").select(
@@ -105,8 +117,8 @@ def storage_connections(lines: DataFrame, pattern: str, chunk_lines: int = 10000
         F.col("previous_line").try_cast("timestamp_ntz").alias("connected_at"),
     )
     per_server = events.groupBy("client", "node").agg(F.max("connected_at").alias("connected_at"))
-    newest = per_server.groupBy("client").agg(F.max("connected_at").alias("connected_at"))
-    servers = per_server.join(newest, ["client", "connected_at"])
+    latest = per_server.groupBy("client").agg(F.max("connected_at").alias("connected_at"))
+    servers = per_server.join(latest, ["client", "connected_at"])
     return member_list(servers, ["client", "connected_at"], "node", "servers")
 
 
@@ -155,11 +167,12 @@ TIMEOUTS = ("diagwait", "disktimeout", "misscount", "leafmisscount", "reboottime
 def timeouts(lines: DataFrame) -> DataFrame:
     """The timeout settings of each node, one column per setting."""
     pattern = r"Successful get (\w+) (\d+) for Cluster Synchronization Services"
-    found = lines.filter(F.col("line").rlike(pattern)).select(
-        "node", "line_no", F.regexp_extract("line", pattern, 1).alias("name"),
+    found = scan_log(lines, pattern)
+    found = found.select(
+        "node", newest(found).alias("place"), F.regexp_extract("line", pattern, 1).alias("name"),
         F.regexp_extract("line", pattern, 2).cast("int").alias("value"),
     )
-    return found.groupBy("node").pivot("name", list(TIMEOUTS)).agg(F.max_by("value", "line_no"))
+    return found.groupBy("node").pivot("name", list(TIMEOUTS)).agg(F.max_by("value", "place"))
 
 
 def interfaces(getif: DataFrame, iflist: DataFrame) -> DataFrame:
@@ -178,14 +191,14 @@ def interfaces(getif: DataFrame, iflist: DataFrame) -> DataFrame:
 
 
 def facts(lines: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    """Named facts from command output: ``rules`` are (fact, pattern with one group); the last line counts."""
+    """Named facts from command output: ``rules`` are (fact, pattern with one group); the newest line counts."""
     line = F.col("line")
     found = F.array_compact(F.array(*[
         F.when(line.rlike(p), F.struct(F.lit(fact).alias("fact"), F.regexp_extract(line, p, 1).alias("value")))
         for fact, p in rules
     ]))
-    pairs = lines.withColumn("_f", F.explode(found))
-    return pairs.groupBy("node", "_f.fact").agg(F.max_by("_f.value", "line_no").alias("value"))
+    pairs = with_stamp(lines).withColumn("_f", F.explode(found))
+    return pairs.groupBy("node", "_f.fact").agg(F.max_by("_f.value", newest(pairs)).alias("value"))
 
 
 def first_answer(answers: DataFrame, order: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -201,13 +214,13 @@ def monitor_master(answers: DataFrame, version: Column, newest: str, new_key: st
 
 
 def instance_names(roster_lines: DataFrame, process_lines: DataFrame, prefix: str) -> DataFrame:
-    """Instance per node: the last entry of the instance roster, else what the process list shows."""
+    """Instance per node: the newest entry of the instance roster, else what the process list shows."""
     entry = rf"^(\{prefix}\d*):"
     process = rf"_pmon_(\{prefix}\d+)$"
 
     def last(df: DataFrame, pattern: str, name: str) -> DataFrame:
-        fit = df.filter(F.col("line").rlike(pattern))
-        return fit.groupBy("node").agg(F.max_by(F.regexp_extract("line", pattern, 1), "line_no").alias(name))
+        fit = scan_log(df, pattern)
+        return fit.groupBy("node").agg(F.max_by(F.regexp_extract("line", pattern, 1), newest(fit)).alias(name))
 
     joined = last(roster_lines, entry, "listed").join(last(process_lines, process, "running"), "node", "full")
     return joined.select("node", F.coalesce("listed", "running").alias("instance"))

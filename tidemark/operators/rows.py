@@ -58,14 +58,21 @@ def _fingerprint() -> Column:
     return F.xxhash64("payload", "write_ts", "deleted_at")
 
 
-def replica_diff(rows: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
-    """Keys whose replicas disagree, with the number of versions found and the newest payload."""
-    place = F.struct("write_ts", F.col("deleted_at").isNotNull().alias("dead"), "payload")
-    per_key = rows.withColumn("_h", _fingerprint()).groupBy(*keys).agg(
-        F.count_distinct("_h").alias("versions"), F.max_by("payload", place).alias("newest_payload"),
-        F.max("write_ts").alias("newest_write"),
+def replica_diff(rows: DataFrame, keys: Sequence[str] = ("key",), replica: str = "replica") -> DataFrame:
+    """Keys whose replicas disagree: how many newest versions there are, how many replicas lack the key, and the newest one.
+
+    Only the newest version counts that a replica has of a key; older ones that were not compacted yet make no difference.
+    """
+    version = F.struct("write_ts", F.col("deleted_at").isNotNull().alias("dead"), "payload", _fingerprint().alias("hash"))
+    held = rows.select(*keys, replica, version.alias("_v")).groupBy(*keys, replica).agg(F.max("_v").alias("_v"))
+    replicas = rows.select(replica).distinct().agg(F.count("*").alias("_replicas"))
+    per_key = held.groupBy(*keys).agg(
+        F.count_distinct("_v.hash").alias("versions"), F.count("*").alias("_held"), F.max("_v").alias("_n")
+    ).crossJoin(F.broadcast(replicas))
+    missing = (F.col("_replicas") - F.col("_held")).alias("missing")
+    return per_key.filter("versions > 1 OR _held < _replicas").select(
+        *keys, "versions", missing, F.col("_n.payload").alias("newest_payload"), F.col("_n.write_ts").alias("newest_write")
     )
-    return per_key.filter("versions > 1")
 
 
 def trace_events(lines: DataFrame, session: str, thread: str = "thread") -> DataFrame:

@@ -9,6 +9,7 @@ carries values across chunk borders. The result equals the plain window over the
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,29 +135,48 @@ def lookup_join(
 HOT_ROWS = 1_000_000
 
 
-def measured_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+def measured_join(
+    facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS, rows: int | None = None
+) -> DataFrame:
     """Joins ``facts`` to a ``lookup`` and deals a key over as many tasks as it has multiples of ``hot_rows``.
 
     The keys are counted first, with map-side combine; lookup rows of frequent keys alone are copied. There are at most
-    as many frequent keys as ``facts`` has multiples of ``hot_rows``.
+    as many frequent keys as ``facts`` has multiples of ``hot_rows``. Rows with a null in a key join nothing; those of a left
+    join are dealt by their other values. Who knows that ``facts`` has no more than ``rows`` rows may say so: no key can be
+    frequent then if these are not.
     """
     if how not in ("left", "inner"):
         raise ValueError("measured_join is for left and inner joins")
+    if rows is not None and rows <= hot_rows:
+        return facts.join(lookup, list(on), how)
     counts = facts.groupBy(*on).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
     hot = counts.select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts"))
     # From the row itself and its input partition, so that a task run again deals its rows as before.
     plain = [f.name for f in facts.schema.fields if "map<" not in f.dataType.simpleString()]
     hashed = F.xxhash64(*[F.col(f"`{c}`") for c in plain]) + F.spark_partition_id()
     # Marked before the shuffle: the join with the few frequent keys is a broadcast as long as their size allows.
-    salted = facts.withColumn("_hash", hashed).join(hot, list(on), "left").withColumn(
-        "_spread", F.coalesce(F.pmod(F.col("_hash"), F.col("_parts")), F.lit(0)).cast("int")
-    ).drop("_hash", "_parts")
+    marked = facts.withColumn("_hash", hashed).join(hot, list(on), "left")
+    salt = F.coalesce(F.pmod(F.col("_hash"), F.col("_parts")), F.lit(0)).cast("int")
+    if how == "left":
+        # A row with a null key has no partner in any part, so its part may be anything: a number of its own below zero.
+        none = reduce(Column.__or__, [F.col(c).isNull() for c in on])
+        salt = F.when(none, -1 - F.pmod(F.col("_hash"), F.lit(1 << 30))).otherwise(salt).cast("int")
+    salted = marked.withColumn("_spread", salt).drop("_hash", "_parts")
     copies = lookup.join(hot, list(on), "left").withColumn(
         "_spread", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
     ).drop("_parts")
     return salted.join(copies, [*on, "_spread"], how).drop("_spread")
 
 
+#: Bytes of a table that may be sent to every executor.
+MOST_SENT_BYTES = 64 << 20
+
+
+def bounded(df: DataFrame, row_bytes: int, most: int = MOST_SENT_BYTES) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its rows are few enough; else as it is, for Spark to choose."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 def semi_lookup(facts: DataFrame, wanted: DataFrame, on: Sequence[str], spread: int = 8) -> DataFrame:
     """Rows of ``facts`` whose key is in ``wanted``; keys are made distinct before they travel."""
     return lookup_join(facts, wanted.select(*on).distinct(), on, "inner", spread).select(*facts.columns)

@@ -436,8 +436,9 @@ SHAPES = {
     "roster": """
         SELECT c_custkey + 1 AS id, 'node' || (c_custkey + 1) AS name,
                CASE WHEN c_acctbal < 2000 THEN 'Leaf' ELSE 'Hub' END AS role FROM $customer""",
+    # Every node has two files; the second one's line numbers are far ahead, whatever the times.
     "cluster_log": """
-        SELECT 'node' || (user_id + 1) AS node, 'log' AS file, event_id AS line_no, ts,
+        SELECT 'node' || (user_id + 1) AS node, 'log' || event_id % 2 AS file, event_id + event_id % 2 * 1000000000 AS line_no, ts,
                CAST(ts AS VARCHAR(40)) || ': ' || CASE event_type
                  WHEN 'signup' THEN CASE user_id % 4
                    WHEN 0 THEN 'clssgmCMReconfig: reconfiguration successful, incarnation 7 with 3 nodes, master node node' || (user_id + 1) || ', own number 1'
@@ -476,12 +477,15 @@ SHAPES = {
                CASE WHEN p_size <> 5 THEN p_retailprice END AS size_mb FROM $part""",
     "storage_users": """
         SELECT s_suppkey AS group_number, 'client' || s_nationkey AS client FROM $supplier WHERE s_acctbal > 3000""",
+    "text_lines": """
+        SELECT 'node' || doc_id % 3 AS node, doc_id, 'doc ' || doc_id || ' ' || coalesce(source, '') || chr(10) || chr(10) || replace(replace(coalesce(text, ''), chr(13), ' '), chr(133), ' ') AS text
+        FROM $documents""",
     "roster_lines": """
         SELECT c_custkey AS line_no, 'node' || c_custkey || '  ' || c_custkey || '  ' ||
                CASE WHEN c_acctbal < 0 THEN 'Inactive  None' WHEN c_acctbal < 4000 THEN 'Active  Leaf'
                     WHEN c_acctbal < 9500 THEN 'Active   Hub' ELSE 'broken' END AS line FROM $customer""",
     "css_lines": """
-        SELECT 'node' || (c_custkey % 40) AS node, c_custkey AS line_no, 'CRS-4678: Successful get ' ||
+        SELECT 'node' || (c_custkey % 40) AS node, 'out' || c_nationkey % 2 AS file, c_custkey AS line_no, 'CRS-4678: Successful get ' ||
                CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'diagwait' WHEN 'BUILDING' THEN 'disktimeout' WHEN 'FURNITURE' THEN 'misscount'
                     WHEN 'HOUSEHOLD' THEN 'leafmisscount' ELSE 'reboottime' END || ' ' || (c_nationkey + 1) ||
                ' for Cluster Synchronization Services.' AS line FROM $customer""",
@@ -496,7 +500,7 @@ SHAPES = {
                ' ' || (p_partkey % 5 + 1) || '. ONLINE   ' || md5(p_brand) || ' (/dev/' || p_type || ') [' || p_brand || ']' AS line
         FROM $part""",
     "fact_lines": """
-        SELECT 'node' || (o_custkey % 200) AS node, o_orderkey AS line_no, CASE o_orderkey % 11
+        SELECT 'node' || (o_custkey % 200) AS node, 'out' || o_custkey % 7 AS file, o_orderkey AS line_no, CASE o_orderkey % 11
                WHEN 1 THEN 'Clusterware version on node [n1] is [' || (o_custkey % 9 + 10) || '.2.0.1.0]'
                WHEN 2 THEN 'Clusterware version on node n1 is [' || (o_custkey % 9 + 10) || '.2.0.1.0]'
                WHEN 3 THEN 'Clusterware release version on the local node is [' || (o_custkey % 9 + 10) || '.2.0.1.0]'
@@ -517,10 +521,10 @@ SHAPES = {
                CASE WHEN s_nationkey < 10 THEN '' ELSE 'node' || s_suppkey END AS answer,
                CASE WHEN s_acctbal < 4000 THEN '11.2.0.4' ELSE '12.1.0.2' END AS version FROM $supplier""",
     "instance_roster_lines": """
-        SELECT 'node' || (p_partkey % 300) AS node, p_partkey AS line_no, CASE WHEN p_size < 10 THEN '+ASM' || (p_partkey % 9) || ':/home:N'
+        SELECT 'node' || (p_partkey % 300) AS node, 'out' || p_size % 2 AS file, p_partkey AS line_no, CASE WHEN p_size < 10 THEN '+ASM' || (p_partkey % 9) || ':/home:N'
                ELSE '# other' END AS line FROM $part""",
     "process_lines": """
-        SELECT 'node' || (p_partkey % 300) AS node, p_partkey AS line_no, CASE WHEN p_size > 20 THEN 'grid 1 asm_pmon_+ASM' || (p_partkey % 9)
+        SELECT 'node' || (p_partkey % 300) AS node, 'out' || p_size % 2 AS file, p_partkey AS line_no, CASE WHEN p_size > 20 THEN 'grid 1 asm_pmon_+ASM' || (p_partkey % 9)
                ELSE 'root 2 init' END AS line FROM $part""",
     "param_lines": """
         SELECT s_suppkey AS line_no, CASE WHEN s_nationkey < 8 THEN 'EM_CELLS=(cel' || s_suppkey || ' cel' || s_nationkey || 'b )'
@@ -674,16 +678,37 @@ SHAPES = {
                p_size AS v1, p_partkey % 20 AS v2, CASE WHEN p_type = 'PROMO' THEN -1 ELSE p_partkey % 3 END AS v3,
                CASE WHEN p_type = 'ECONOMY' THEN CAST(p_partkey % 4 AS VARCHAR(4)) ELSE '' END AS sfx
         FROM $part""",
-    # Three replicas of every row; the second one lags for cheap orders.
+    # Three replicas of most rows; the second one lags for cheap orders and lacks some, the third one has not compacted all.
     "replica_writes": """
         SELECT 1 AS replica, 'dc1' AS dc, o_orderkey, o_orderpriority AS payload, o_orderdate AS write_ts, o_orderstatus, o_orderpriority,
                o_orderdate FROM $orders
         UNION ALL
         SELECT 2, 'dc1', o_orderkey, CASE WHEN o_totalprice < 20000 THEN 'old' ELSE o_orderpriority END,
                CASE WHEN o_totalprice < 20000 THEN o_orderdate - INTERVAL 1 DAY ELSE o_orderdate END, o_orderstatus, o_orderpriority,
-               o_orderdate FROM $orders
+               o_orderdate FROM $orders WHERE o_orderkey % 40 <> 7
+        UNION ALL
+        SELECT 3, 'dc2', o_orderkey, 'older', o_orderdate - INTERVAL 5 DAY, o_orderstatus, o_orderpriority, o_orderdate FROM $orders
+        WHERE o_orderkey % 10 = 3
         UNION ALL
         SELECT 3, 'dc2', o_orderkey, o_orderpriority, o_orderdate, o_orderstatus, o_orderpriority, o_orderdate FROM $orders""",
+    # Two copies of a table: the second one lacks some rows, has others besides, and holds some with another value.
+    "copied_rows": """
+        SELECT 'a' AS copy, o_orderkey AS key, o_custkey AS part_key, o_orderpriority AS payload, o_orderdate AS write_ts FROM $orders
+        UNION ALL
+        SELECT 'b', CASE WHEN o_orderkey % 101 = 5 THEN -o_orderkey ELSE o_orderkey END, o_custkey,
+               CASE WHEN o_orderkey % 89 = 2 THEN NULL ELSE o_orderpriority END, o_orderdate FROM $orders WHERE o_orderkey % 97 <> 3""",
+    # Rows in partitions: some hold no tombstones, one holds nothing else.
+    "parted_rows": """
+        SELECT key, replica, payload, write_ts, deleted_at,
+               CASE WHEN deleted_at IS NOT NULL AND key % 5 = 0 THEN 'a/b: dead' WHEN key % 7 = 1 AND deleted_at IS NULL THEN 'live'
+                    ELSE 'part ' || key % 3 END AS part FROM $versioned_rows""",
+    # Waits of sessions with up to three blockers; some wait for those that wait for them.
+    "wait_edges": """
+        SELECT 's' || CAST(floor(c_custkey / 2) AS BIGINT) AS blocker, 's' || c_custkey AS waiter FROM $customer WHERE c_custkey > 1 AND c_acctbal < 8000
+        UNION ALL SELECT 's' || c_custkey * 2, 's' || c_custkey FROM $customer WHERE c_nationkey = 3
+        UNION ALL SELECT 's' || (c_custkey + 5), 's' || c_custkey FROM $customer WHERE c_nationkey = 4
+        UNION ALL SELECT 's' || c_custkey, 's' || c_custkey FROM $customer WHERE c_nationkey = 6 AND c_acctbal < 0
+        UNION ALL SELECT 'ring' || ((c_custkey % 50 + 1) % 50), 'ring' || c_custkey % 50 FROM $customer""",
     "versioned_rows": """
         SELECT o_orderkey AS key, replica, dc, payload, write_ts,
                CASE WHEN o_orderstatus = 'P' THEN o_orderdate END AS deleted_at,
