@@ -109,15 +109,31 @@ def solved(words: list[int], anchors: list[int], octave: int) -> dict[int, list[
     return found
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Numbers of words as two bytes each, or four where there are too many, after a byte that says which."""
+    known, own = np.unique(ids, return_inverse=True)
+    return b"\x02" + own.astype("<u2").tobytes() if len(known) < 1 << 16 else b"\x04" + own.astype("<u4").tobytes()
+
+
+def _unpacked(raw: bytes) -> list[int]:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).tolist()
+
+
+def _result(words: bytes, keep_text: bool) -> str:
+    return words.decode("utf-8", "surrogatepass") if keep_text else hashlib.sha256(words).hexdigest()
+
+
 def tiles(df: DataFrame, key: str, text: str, tile_words: int, keep_text: bool) -> DataFrame:
     """One row per document (``octave`` null) and one per tile that can hold a run, both with the document's ``row``.
 
-    Documents carry their words, joined by spaces; without ``keep_text`` those without such a tile only the hash of them.
+    A document without such a tile has its result at once in ``collapsed``: its words joined by spaces, or without
+    ``keep_text`` the hash of that. One with tiles has its joined words in ``words``. Words of a tile are numbered anew, so that
+    two bytes are enough for each of them in all but the largest.
     """
     rows = df.select(F.monotonically_increasing_id().alias("row"), column(key).alias("key"), column(text).cast("string").alias("text"))
     schema = T.StructType([
         rows.schema["row"], rows.schema["key"],
-        *T._parse_datatype_string("n bigint, sha256 string, words binary, octave int, at bigint, anchors binary, ids binary").fields,
+        *T._parse_datatype_string("n bigint, collapsed string, words binary, octave int, at bigint, anchors binary, ids binary").fields,
     ])
     names = schema.names
 
@@ -145,8 +161,8 @@ def tiles(df: DataFrame, key: str, text: str, tile_words: int, keep_text: bool)
                         sent["octave"].append(octave)
                         sent["at"].append(start - first)
                         sent["anchors"].append((anchors[a:b] - start).astype(np.int32).tobytes())
-                        sent["ids"].append(ids[start:end].tobytes())
-                marked = set(range(len(texts)) if keep_text else sent["doc"])
+                        sent["ids"].append(_packed(ids[start:end]))
+                marked = set(sent["doc"])
                 joined = [b" ".join(words) for words in texts]
                 whole_rows = len(texts)
                 order = pa.array([*range(whole_rows), *sent["doc"]], pa.int64())
@@ -154,7 +170,7 @@ def tiles(df: DataFrame, key: str, text: str, tile_words: int, keep_text: bool)
                 none = [None] * len(sent["doc"])
                 cells = [
                     pa.array([*map(len, texts), *none], pa.int64()),
-                    pa.array([None if k in marked else hashlib.sha256(j).hexdigest() for k, j in enumerate(joined)] + none, pa.string()),
+                    pa.array([None if k in marked else _result(j, keep_text) for k, j in enumerate(joined)] + none, pa.string()),
                     pa.array([j if k in marked else None for k, j in enumerate(joined)] + none, pa.binary()),
                     pa.array([*nothing, *sent["octave"]], pa.int32()), pa.array([*nothing, *sent["at"]], pa.int64()),
                     pa.array([*nothing, *sent["anchors"]], pa.binary()), pa.array([*nothing, *sent["ids"]], pa.binary()),
@@ -171,7 +187,7 @@ def fragments(cut: DataFrame) -> DataFrame:
         for batch in batches:
             out = ([], [], [], [])
             for row, octave, at, anchors, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                got = solved(np.frombuffer(ids, np.int32).tolist(), np.frombuffer(anchors, np.int32).tolist(), octave)
+                got = solved(_unpacked(ids), np.frombuffer(anchors, np.int32).tolist(), octave)
                 for period, stretches in got.items():
                     for start, end in stretches:
                         for column_, cell in zip(out, (row, period, at + start, at + end)):
@@ -202,20 +218,17 @@ def _collapsed(rows: DataFrame, keep_text: bool) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for known, raw, runs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                if raw is None:
-                    out.append(known)
-                    continue
+            for raw, runs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if runs:
                     words, kept, at = raw.split(b" "), [], 0
                     for first, last in sorted((r["start"] + r["period"], r["start"] + r["length"]) for r in runs):
                         kept.extend(words[at : max(at, first)])
                         at = max(at, last)
                     raw = b" ".join(kept + words[at:])
-                out.append(raw.decode("utf-8", "surrogatepass") if keep_text else hashlib.sha256(raw).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(out, pa.string())], names=names)
+                out.append(_result(raw, keep_text))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out, pa.string())], names=names)
 
-    return rows.select("key", "n", "sha256", "words", "runs").mapInArrow(run, schema)
+    return rows.select("key", "n", "words", "runs").mapInArrow(run, schema)
 
 
 def periodic_runs(df: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = True, tile_words: int = TILE_WORDS) -> DataFrame:
@@ -230,9 +243,11 @@ def periodic_runs(df: DataFrame, key: str = "doc_id", text: str = "text", keep_t
     cut = written(tiles(df, key, text, tile_words, keep_text), "tiles")
     runs = stitched(fragments(cut)).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "length", "period"))).alias("runs"))
     none = F.array().cast("array<struct<start:bigint,length:bigint,period:bigint>>")
-    documents = cut.where("octave is null").select("row", "key", "n", "sha256", "words")
-    joined = documents.join(runs, "row", "left").withColumn("runs", F.coalesce("runs", none))
-    return _collapsed(joined, keep_text).withColumnRenamed("key", key)
+    documents = cut.where("octave is null")
+    # Only documents with tiles meet their runs; the others are done.
+    joined = documents.where("words is not null").select("row", "key", "n", "words").join(runs, "row", "left")
+    done = documents.where("words is null").select("key", "n", none.alias("runs"), "collapsed")
+    return done.unionByName(_collapsed(joined.withColumn("runs", F.coalesce("runs", none)), keep_text)).withColumnRenamed("key", key)
 
 
 def runs_digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
