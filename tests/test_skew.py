@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidemark.operators.ranking import latest_row, rank_top, top_n_per_group
-from tidemark.operators.skew import lookup_join, measured_join, semi_lookup, with_neighbour, with_running_total
+from tidemark.operators.skew import HOT_BYTES, hot_hashes, lookup_join, semi_lookup, with_neighbour, with_running_total
 
 
 @pytest.fixture(scope="module")
@@ -82,38 +82,46 @@ def test_rows_are_shuffled_once(spark, rows):
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_lookup_join(spark, rows, how):
-    lookup = spark.createDataFrame([("hot", 1), ("a", 2), ("zzz", 3)], "k string, x int")
-    assert same(lookup_join(rows, lookup, ["k"], how), rows.join(lookup, "k", how))
-
-
-@pytest.mark.parametrize("how", ["left", "inner"])
-@pytest.mark.parametrize("hot_rows", [1, 50, 10**6])
-def test_measured_join(spark, rows, how, hot_rows):
-    lookup = spark.createDataFrame([("hot", 1), ("a", 2), ("a", 4), ("zzz", 3)], "k string, x int")
-    assert same(measured_join(rows, lookup, ["k"], how, hot_rows), rows.join(lookup, "k", how))
-
-
-def test_measured_join_deals_one_key_evenly(spark, no_coalesce):
-    key, width = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions"
-    before = {name: spark.conf.get(name) for name in (key, width)}
-    spark.conf.set(key, "-1")
-    spark.conf.set(width, "64")
+@pytest.mark.parametrize("null_safe", [False, True])
+@pytest.mark.parametrize("hot_rows, hot_bytes", [(1, 0), (50, 0), (10**6, 0), (1, HOT_BYTES)])
+def test_lookup_join(spark, rows, how, null_safe, hot_rows, hot_bytes):
+    lookup = spark.createDataFrame([("hot", 1), ("a", 2), ("a", 4), ("zzz", 3), (None, 9), *[("hot", k) for k in range(60)]], "k string, x int")
+    odd = rows.unionByName(rows.limit(5).withColumn("k", F.lit(None).cast("string"))).unionByName(rows.limit(3).withColumn("k", F.lit("zzz")))
+    got = lookup_join(odd, lookup, ["k"], how, null_safe, hot_rows, hot_bytes)
+    other = lookup.withColumnRenamed("k", "_k")
+    plain = odd.join(other, F.col("k").eqNullSafe(F.col("_k")), how).drop("_k") if null_safe else odd.join(lookup, "k", how)
+    assert same(got.select(*plain.columns), plain)
+
+
+@pytest.mark.parametrize("side", ["facts", "lookup", "null"])
+def test_lookup_join_deals_one_key_evenly(spark, no_coalesce, side):
+    """A key with all rows, in the facts or in the lookup, and rows without a key: no task has a twentieth."""
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "64"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
     try:
-        hot = spark.range(64_000, numPartitions=8).select(F.lit("hot").alias("k"), F.col("id").alias("n"))
-        lookup = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, x int")
-        assert largest_share(measured_join(hot, lookup, ["k"], "inner", 300)) < 0.05
+        key = F.when(F.col("id") < 0, F.lit("never")) if side == "null" else F.lit("hot")
+        many = spark.range(64_000, numPartitions=8).select(key.alias("k"), F.col("id").alias("n"))
+        few = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, x int")
+        joined = lookup_join(few, many, ["k"], "left", hot_rows=300, hot_bytes=0) if side == "lookup" else lookup_join(many, few, ["k"], "left", hot_rows=300, hot_bytes=0)
+        assert joined.count() == (64_001 if side == "lookup" else 64_000)
+        assert largest_share(joined) < 0.05
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
 
 
-def test_lookup_join_spreads_copies(spark):
-    copies = spark.range(1000, numPartitions=8).select(F.lit("same").alias("k"))
-    lookup = spark.createDataFrame([("same", 1)], "k string, x int")
-    assert lookup_join(copies, lookup, ["k"]).count() == 1000
+def test_hot_hashes_are_few_and_true(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 4 == 0, F.lit("a")).when(F.col("id") % 4 == 1, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"))
+    found = hot_hashes(rows, ["k"], 1000)
+    want = {r.h for r in spark.sql("SELECT xxhash64('a') AS h UNION ALL SELECT xxhash64(CAST(NULL AS STRING))").collect()}
+    assert set(found) == want and all(parts == 5 for parts in found.values())
+
+
+def test_lookup_join_kinds(spark, rows):
     with pytest.raises(ValueError):
-        lookup_join(copies, lookup, ["k"], "full")
+        lookup_join(rows, rows, ["k"], "full")
 
 
 def test_semi_lookup(rows):
@@ -143,6 +151,6 @@ def test_one_single_key_uses_many_tasks(spark, no_coalesce):
         assert largest_share(with_neighbour(hot, ["k"], ["n"], ["v"], chunk)) < 0.5
         assert largest_share(with_running_total(hot, ["k"], ["n"], F.col("v"), chunk)) < 0.5
         lookup = spark.createDataFrame([("hot", 1)], "k string, x int")
-        assert largest_share(lookup_join(hot, lookup, ["k"])) < 0.5
+        assert largest_share(lookup_join(hot, lookup, ["k"], hot_rows=1000, hot_bytes=0)) < 0.5
     finally:
         spark.conf.set(broadcast, before)

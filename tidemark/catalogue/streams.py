@@ -12,6 +12,7 @@ from tidemark.catalogue.registry import BUILDS, CHECKS, query
 from tidemark.session import work_folder
 from tidemark.specs import COUNTER_SETS
 from tidemark.streaming.counters import count_late, poll_report, read_deltas, stream_counter_delta, stream_top_polls
+from tidemark.streaming.state import read_kind, start_state_deltas, state_deltas
 from tidemark.streaming.monitor import sliding_hour, stream_monitor
 
 SPEC = COUNTER_SETS["system_event"]
@@ -68,6 +69,41 @@ def _(t):
     ])
 
 
+def run_state(t, landings, **options):
+    """The polls in several landings through the state store; (folder, schema) of what was written."""
+    out, checkpoint, inbox = work_folder(t.spark, "kinds"), work_folder(t.spark, "state"), work_folder(t.spark, "inbox")
+    for feed in landings:
+        feed.write.mode("append").parquet(inbox)
+        deltas = state_deltas(t.spark.readStream.schema(feed.schema).parquet(inbox), SPEC, **options)
+        start_state_deltas(deltas, out, checkpoint).awaitTermination()
+    return out, deltas.schema
+
+
+@query("stream_delta_state", f"SELECT * FROM ({GROWTH}) g WHERE snap_id > 1")
+def _(t):
+    """As ``stream_delta``, with the last values in the state store."""
+    feed = daily_polls(t)
+    out, schema = run_state(t, [feed.filter("snap_id <= 12"), feed.filter("snap_id > 12")], baseline=1)
+    return read_kind(t.spark, out, schema, "growth")
+
+
+@query("stream_late_polls", f"""
+    SELECT 'growth' AS kind, count(*) AS n, sum(total_waits)::BIGINT AS total_waits FROM (
+        {GROWTH.replace("$counter_snapshots", "(SELECT * FROM $counter_snapshots WHERE snap_id >= 7) c")}) g WHERE snap_id > 7
+    UNION ALL SELECT 'late', count(*), sum(total_waits)::BIGINT FROM $counter_snapshots WHERE snap_id BETWEEN 5 AND 6
+    UNION ALL SELECT 'repeat', count(*), sum(total_waits)::BIGINT FROM $counter_snapshots WHERE snap_id = 20""")
+def _(t):
+    """Polls from 7 on, out of order within a landing, some twice; the second landing brings 5 and 6 late and 20 again."""
+    feed = daily_polls(t)
+    first = feed.filter("snap_id BETWEEN 7 AND 20").orderBy(F.desc("snap_id"))
+    second = feed.filter("snap_id > 20").unionByName(feed.filter("snap_id IN (5, 6, 20)"))
+    out, schema = run_state(t, [first, second], baseline=7)
+    return reduce(DataFrame.unionByName, [
+        read_kind(t.spark, out, schema, kind).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum("total_waits").alias("total_waits"))
+        for kind in ("growth", "late", "repeat")
+    ])
+
+
 @query("stream_topn", f"""
     SELECT snap_id, inst_id, event, time_waited_micro, total_waits, CAST(rank AS INT) AS rank,
            CASE WHEN total_waits > 0 THEN time_waited_micro * 0.001::DOUBLE / total_waits ELSE 0 END AS ms_per_wait FROM (

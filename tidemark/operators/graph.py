@@ -112,7 +112,7 @@ def blocked_by(
         *[at(1, c).alias(f"_first_{c}") for c in parts], *[at(2, c).alias(f"_second_{c}") for c in parts], F.max("_place").alias("_named")
     )
     counts = holders.groupBy(*resource).agg(F.count("*").alias("_holders"))
-    known = lookup_join(leading, counts, list(resource), "inner", 1, null_safe=True)
+    known = lookup_join(leading, counts, list(resource), "inner", null_safe=True)
     found = lookup_join(sessions.filter("_w"), known, list(resource), "inner", null_safe=True)
     itself = F.lit(True)
     for c in parts:

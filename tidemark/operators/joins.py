@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import lookup_join, measured_join, with_neighbour
+from tidemark.operators.skew import lookup_join, with_neighbour
 
 
 def left_prefiltered(left: DataFrame, right: DataFrame, on: Sequence[str], keep: Column) -> DataFrame:
     """Left join with a condition on the optional side; it is applied before the join and loses no left row."""
-    return measured_join(left, right.filter(keep), list(on))
+    return lookup_join(left, right.filter(keep), list(on))
 
 
 def any_one(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:

@@ -103,69 +103,89 @@ def with_running_total(
     return both.withColumn(name, F.sum("_value").over(inside)).filter("_place = 1").select(*df.columns, name)
 
 
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    spread: int = 8,
-    null_safe: bool = False,
-) -> DataFrame:
-    """Joins ``facts`` to a ``lookup`` with one or a few rows per key, spreading frequent keys over ``spread`` tasks.
+#: A key with more rows than this is dealt over several tasks by :func:`lookup_join`.
+HOT_ROWS = 1_000_000
+#: Tables of fewer bytes than this have no key that is too large for a task.
+HOT_BYTES = 256 << 20
+#: Frequent keys that are looked for, and keys that are counted for them at once: one with more than 14 rows in a million is found.
+MOST_HOT, COUNTED = 1_000, 200_000
+
+
+def leaf_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that ``df`` is made of, by what Spark knows of them without a job."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
 
-    The spread number comes from the row and its input partition, so that copies of one row spread too and a
-    task that runs again sends its rows where it sent them before. With ``null_safe`` two nulls agree.
+
+def hot_hashes(df: DataFrame, on: Sequence[str], hot_rows: int) -> dict[int, int]:
+    """Hashes of the keys that have more rows than ``hot_rows``, at most ``MOST_HOT``, with the number of parts to deal them into.
+
+    One pass with a sketch of bounded size in each task; no key is shuffled. Rows with a null in the key count as well.
     """
-    if how not in ("left", "inner"):
-        raise ValueError("lookup_join is for left and inner joins")
-    hashed = F.xxhash64(*[F.col(c) for c in on]) + F.spark_partition_id()
-    salted = facts.withColumn("_spread", F.pmod(hashed, F.lit(spread)).cast("int"))
-    copies = lookup.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    if not null_safe:
-        return salted.join(copies, [*on, "_spread"], how).drop("_spread")
-    names = {c: f"_on_{k}" for k, c in enumerate(on)}
-    copies = copies.withColumnsRenamed({**names, "_spread": "_copy"})
-    condition = F.col("_spread") == F.col("_copy")
-    for column, renamed in names.items():
-        condition = condition & F.col(column).eqNullSafe(F.col(renamed))
-    return salted.join(copies, condition, how).drop("_spread", "_copy", *names.values())
+    counted = df.select(F.xxhash64(*[F.col(c) for c in on]).alias("h")).agg(F.expr(f"approx_top_k(h, {MOST_HOT}, {COUNTED})").alias("top"))
+    return {row["item"]: -(-row["count"] // hot_rows) for row in counted.first()["top"] if row["count"] > hot_rows}
 
 
-#: A key with more rows than this is dealt over several tasks by :func:`measured_join`.
-HOT_ROWS = 1_000_000
+def _parts(on: Sequence[str], hot: dict[int, int]) -> Column:
+    """The number of parts of the row's key: 1 for all but the hot ones."""
+    if not hot:
+        return F.lit(1)
+    known = F.create_map(*[F.lit(v) for pair in hot.items() for v in pair])
+    return F.coalesce(F.try_element_at(known, F.xxhash64(*[F.col(c) for c in on])), F.lit(1)).cast("int")
+
+
+def _row_number(df: DataFrame) -> Column:
+    """A number from the row's values and its input partition, so that a task run again deals its rows as before."""
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain]) + F.spark_partition_id()
 
 
-def measured_join(
-    facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS, rows: int | None = None
+def lookup_join(
+    facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", null_safe: bool = False,
+    hot_rows: int = HOT_ROWS, hot_bytes: int = HOT_BYTES,
 ) -> DataFrame:
-    """Joins ``facts`` to a ``lookup`` and deals a key over as many tasks as it has multiples of ``hot_rows``.
+    """Joins ``facts`` to ``lookup``; a frequent key of either side is dealt over as many tasks as its rows need.
 
-    The keys are counted first, with map-side combine; lookup rows of frequent keys alone are copied. There are at most
-    as many frequent keys as ``facts`` has multiples of ``hot_rows``. Rows with a null in a key join nothing; those of a left
-    join are dealt by their other values. Who knows that ``facts`` has no more than ``rows`` rows may say so: no key can be
-    frequent then if these are not.
+    Frequent keys are found by a bounded sketch over each side that is larger than ``hot_bytes``. Only they are dealt, into one
+    part for each ``hot_rows`` rows, and only their rows of the other side are copied, once to each part. All other rows are
+    joined as they are. In a left join rows with a null in the key, which match nothing, are dealt by their other values; with
+    ``null_safe`` two nulls agree. Smaller tables are joined plainly.
     """
     if how not in ("left", "inner"):
-        raise ValueError("measured_join is for left and inner joins")
-    if rows is not None and rows <= hot_rows:
-        return facts.join(lookup, list(on), how)
-    counts = facts.groupBy(*on).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
-    hot = counts.select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts"))
-    # From the row itself and its input partition, so that a task run again deals its rows as before.
-    plain = [f.name for f in facts.schema.fields if "map<" not in f.dataType.simpleString()]
-    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in plain]) + F.spark_partition_id()
-    # Marked before the shuffle: the join with the few frequent keys is a broadcast as long as their size allows.
-    marked = facts.withColumn("_hash", hashed).join(hot, list(on), "left")
-    salt = F.coalesce(F.pmod(F.col("_hash"), F.col("_parts")), F.lit(0)).cast("int")
-    if how == "left":
-        # A row with a null key has no partner in any part, so its part may be anything: a number of its own below zero.
-        none = reduce(Column.__or__, [F.col(c).isNull() for c in on])
-        salt = F.when(none, -1 - F.pmod(F.col("_hash"), F.lit(1 << 30))).otherwise(salt).cast("int")
-    salted = marked.withColumn("_spread", salt).drop("_hash", "_parts")
-    copies = lookup.join(hot, list(on), "left").withColumn(
-        "_spread", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
-    ).drop("_parts")
-    return salted.join(copies, [*on, "_spread"], how).drop("_spread")
+        raise ValueError("lookup_join is for left and inner joins")
+    on = list(on)
+    hot_facts, hot_lookup = (hot_hashes(df, on, hot_rows) if leaf_bytes(df) >= hot_bytes else {} for df in (facts, lookup))
+    if hot_lookup and how == "left":
+        # A key that is frequent in the lookup has a match, so its rows may be joined as in an inner join.
+        dealt = F.coalesce(F.array_contains(F.array(*[F.lit(h) for h in hot_lookup]), F.xxhash64(*[F.col(c) for c in on])), F.lit(False))
+        there = reduce(Column.__and__, [F.col(c).isNotNull() for c in on]) if not null_safe else F.lit(True)
+        rest = _dealt(facts.filter(~(dealt & there)), lookup, on, "left", null_safe, hot_facts, {})
+        return _dealt(facts.filter(dealt & there), lookup, on, "inner", null_safe, hot_facts, hot_lookup).unionByName(rest)
+    return _dealt(facts, lookup, on, how, null_safe, hot_facts, hot_lookup)
+
+
+def _dealt(
+    facts: DataFrame, lookup: DataFrame, on: list[str], how: str, null_safe: bool, hot_facts: dict[int, int], hot_lookup: dict[int, int]
+) -> DataFrame:
+    salts: list[str] = []
+    if hot_facts:
+        part = F.pmod(_row_number(facts), _parts(on, hot_facts)).cast("int")
+        if how == "left" and not null_safe:
+            none = reduce(Column.__or__, [F.col(c).isNull() for c in on])
+            part = F.when(none, -1 - F.pmod(_row_number(facts), F.lit(1 << 30)).cast("int")).otherwise(part)
+        facts = facts.withColumn("_part", part)
+        lookup = lookup.withColumn("_part", F.explode(F.sequence(F.lit(0), _parts(on, hot_facts) - 1)))
+        salts.append("_part")
+    if hot_lookup:
+        facts = facts.withColumn("_piece", F.explode(F.sequence(F.lit(0), _parts(on, hot_lookup) - 1)))
+        lookup = lookup.withColumn("_piece", F.pmod(_row_number(lookup), _parts(on, hot_lookup)).cast("int"))
+        salts.append("_piece")
+    if not null_safe:
+        return facts.join(lookup, [*on, *salts], how).drop(*salts)
+    names = {c: f"_on_{k}" for k, c in enumerate([*on, *salts])}
+    copies = lookup.withColumnsRenamed(names)
+    condition = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(renamed)) for c, renamed in names.items()])
+    return facts.join(copies, condition, how).drop(*salts, *names.values())
 
 
 #: Bytes of a table that may be sent to every executor.
@@ -177,6 +197,6 @@ def bounded(df: DataFrame, row_bytes: int, most: int = MOST_SENT_BYTES) -> DataF
     return F.broadcast(df) if df.count() * row_bytes <= most else df
 
 
-def semi_lookup(facts: DataFrame, wanted: DataFrame, on: Sequence[str], spread: int = 8) -> DataFrame:
+def semi_lookup(facts: DataFrame, wanted: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of ``facts`` whose key is in ``wanted``; keys are made distinct before they travel."""
-    return lookup_join(facts, wanted.select(*on).distinct(), on, "inner", spread).select(*facts.columns)
+    return lookup_join(facts, wanted.select(*on).distinct(), on, "inner").select(*facts.columns)

@@ -11,17 +11,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import measured_join
+from tidemark.operators.skew import lookup_join
 from tidemark.session import written
 
 
-def _edges(edges: DataFrame) -> tuple[DataFrame, int]:
-    """Distinct waits and their number; a row without a blocker or a waiter is none. No table of the steps has more rows."""
-    distinct = written(edges.select("blocker", "waiter").filter("blocker IS NOT NULL AND waiter IS NOT NULL").distinct(), "waits")
-    return distinct, distinct.count()
+def _edges(edges: DataFrame) -> DataFrame:
+    """Distinct waits; a row without a blocker or a waiter is none."""
+    return written(edges.select("blocker", "waiter").filter("blocker IS NOT NULL AND waiter IS NOT NULL").distinct(), "waits")
 
 
-def _chains(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _chains(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(waiters, settled, circling): every waiter with its number of blockers, the waiters with one blocker, each with the
     root or branching waiter (``top``) that its chain ends at and the path from there, and those whose chain never ends.
 
@@ -31,7 +30,7 @@ def _chains(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFram
     waiters = written(edges.groupBy("waiter").agg(F.count("*").alias("n_blockers"), F.min("blocker").alias("blocker")), "waiters")
     links = waiters.filter("n_blockers = 1").select("waiter", F.col("blocker").alias("top"), F.array("waiter").alias("path"))
     single = links.select(F.col("waiter").alias("top"), F.lit(1).alias("open"))
-    rows = written(measured_join(links, single, ["top"], rows=most), "chains")
+    rows = written(lookup_join(links, single, ["top"]), "chains")
     done, steps = [rows.filter("open IS NULL").drop("open")], 1
     rows = rows.filter("open = 1").drop("open")
     left = rows.count()
@@ -41,7 +40,7 @@ def _chains(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFram
         known = ends.withColumn("ended", F.lit(True)).unionByName(rows.withColumn("ended", F.lit(False)))
         jumps = known.select(F.col("waiter").alias("top"), F.col("top").alias("_next"), F.col("path").alias("_path"), "ended")
         moved = written(
-            measured_join(rows, jumps, ["top"], "inner", rows=most).select(
+            lookup_join(rows, jumps, ["top"], "inner").select(
                 "waiter", F.col("_next").alias("top"), F.concat("_path", "path").alias("path"), "ended"
             ), "chains",
         )
@@ -51,7 +50,7 @@ def _chains(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFram
     return waiters, written(reduce(DataFrame.unionByName, done), "chains"), rows.select("waiter")
 
 
-def _links(edges: DataFrame, waiters: DataFrame, settled: DataFrame, most: int) -> DataFrame:
+def _links(edges: DataFrame, waiters: DataFrame, settled: DataFrame) -> DataFrame:
     """(waiter, blocker, top, path) for every wait of a branching waiter: the end of the blocker's chain and the way from it.
 
     A blocker that is a root or a branching waiter is its own end; one that waits in a circle has none.
@@ -60,7 +59,7 @@ def _links(edges: DataFrame, waiters: DataFrame, settled: DataFrame, most: int)
     own = edges.join(branching, "waiter", "left_semi")
     known = waiters.select(F.col("waiter").alias("blocker"), F.col("n_blockers").alias("_n"))
     chain = settled.select(F.col("waiter").alias("blocker"), F.col("top").alias("_top"), F.col("path").alias("_path"))
-    joined = measured_join(measured_join(own, known, ["blocker"], rows=most), chain, ["blocker"], rows=most)
+    joined = lookup_join(lookup_join(own, known, ["blocker"]), chain, ["blocker"])
     itself = F.col("_n").isNull() | (F.col("_n") > 1)
     return written(
         joined.select("waiter", "blocker", F.when(itself, F.col("blocker")).otherwise(F.col("_top")).alias("top"),
@@ -77,9 +76,9 @@ def wait_tree(edges: DataFrame) -> DataFrame:
     leads to no root. Roots, which wait for nobody, have kind ``root``. Repeated edges count once, rows with a null are left
     out, so the rows are the roots and the distinct waits, and none is lost. Sort by ``path`` for the listing.
     """
-    edges, most = _edges(edges)
-    waiters, settled, _ = _chains(edges, most)
-    links = _links(edges, waiters, settled, most)
+    edges = _edges(edges)
+    waiters, settled, _ = _chains(edges)
+    links = _links(edges, waiters, settled)
     blockers = edges.select(F.col("blocker").alias("waiter")).distinct()
     roots = blockers.join(waiters, "waiter", "left_anti").select(
         F.col("waiter").alias("top"), F.col("waiter").alias("root"), F.array("waiter").alias("whole"), F.lit(None).cast("string").alias("under")
@@ -87,7 +86,7 @@ def wait_tree(edges: DataFrame) -> DataFrame:
     known = [written(roots, "tops")]
     fresh, open_links = known[0], links.filter("top IS NOT NULL")
     while True:
-        reached = measured_join(open_links, fresh.select("top", "root", "whole"), ["top"], "inner", rows=most)
+        reached = lookup_join(open_links, fresh.select("top", "root", "whole"), ["top"], "inner")
         ways = reached.groupBy("waiter").agg(F.min_by(F.struct("blocker", "root", F.concat("whole", "path").alias("whole")), "blocker").alias("w"))
         fresh = written(ways.select(
             F.col("waiter").alias("top"), "w.root", F.concat("w.whole", F.array("waiter")).alias("whole"), F.col("w.blocker").alias("under")
@@ -97,15 +96,15 @@ def wait_tree(edges: DataFrame) -> DataFrame:
         known.append(fresh)
         open_links = written(open_links.join(fresh.select(F.col("top").alias("waiter")), "waiter", "left_anti"), "links")
     tops = reduce(DataFrame.unionByName, known)
-    below = measured_join(settled, tops.select("top", "root", "whole"), ["top"], "inner", rows=most).select(
+    below = lookup_join(settled, tops.select("top", "root", "whole"), ["top"], "inner").select(
         "waiter", "root", F.concat("whole", "path").alias("whole"), F.lit(None).cast("string").alias("under")
     )
     places = written(tops.withColumnRenamed("top", "waiter").unionByName(below), "places")
     count = waiters.select("waiter", "n_blockers", F.when(F.col("n_blockers") == 1, F.col("blocker")).alias("_only"))
     own = places.select("waiter", F.col("under").alias("_under"))
     above = places.select(F.col("waiter").alias("blocker"), "root", F.col("whole").alias("_above"))
-    waits = measured_join(measured_join(edges, count, ["waiter"], rows=most), own, ["waiter"], rows=most)
-    waits = measured_join(waits, above, ["blocker"], rows=most)
+    waits = lookup_join(lookup_join(edges, count, ["waiter"]), own, ["waiter"])
+    waits = lookup_join(waits, above, ["blocker"])
     main = F.col("blocker") == F.coalesce("_under", "_only")
     kind = F.when(F.col("_above").isNull(), "circle").when(main, "wait").otherwise("again")
     rows = waits.select(
@@ -121,7 +120,7 @@ def wait_tree(edges: DataFrame) -> DataFrame:
     )
 
 
-def _circles(edges: DataFrame, circling: DataFrame, most: int) -> DataFrame:
+def _circles(edges: DataFrame, circling: DataFrame) -> DataFrame:
     """(waiter, circle) of the circles that consist of waiters with one blocker; ``circle`` is the least of its waiters.
 
     After as many steps as there are waiters everybody stands on a circle, so a circle is what is arrived at. Steps double.
@@ -131,13 +130,13 @@ def _circles(edges: DataFrame, circling: DataFrame, most: int) -> DataFrame:
     while steps < left:
         ahead = rows.select(F.col("waiter").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"))
         rows, steps = written(
-            measured_join(rows, ahead, ["to"], "inner", rows=most).select("waiter", F.col("_to").alias("to"), F.least("least", "_least").alias("least")), "circles"
+            lookup_join(rows, ahead, ["to"], "inner").select("waiter", F.col("_to").alias("to"), F.least("least", "_least").alias("least")), "circles"
         ), steps * 2
     on = rows.select(F.col("to").alias("waiter")).distinct()
     return rows.join(on, "waiter", "left_semi").select("waiter", F.col("least").alias("circle"))
 
 
-def _least_reached(edges: DataFrame, most: int) -> DataFrame:
+def _least_reached(edges: DataFrame) -> DataFrame:
     """(waiter, least): the least of everybody that a waiter of ``edges`` (waiter, top) leads to, itself included.
 
     What is known of the least one so far is passed on as well, so that the way to it is cut short every round.
@@ -146,16 +145,16 @@ def _least_reached(edges: DataFrame, most: int) -> DataFrame:
     known = written(ends.withColumn("least", F.col("waiter")), "least")
     while True:
         ahead = known.select(F.col("waiter").alias("top"), F.col("least").alias("_ahead"))
-        offered = measured_join(edges, ahead, ["top"], "inner", rows=most).groupBy("waiter").agg(F.min("_ahead").alias("_offered"))
+        offered = lookup_join(edges, ahead, ["top"], "inner").groupBy("waiter").agg(F.min("_ahead").alias("_offered"))
         beyond = known.select(F.col("waiter").alias("least"), F.col("least").alias("_beyond"))
-        both = measured_join(known.join(offered, "waiter", "left"), beyond, ["least"], rows=most)
+        both = lookup_join(known.join(offered, "waiter", "left"), beyond, ["least"])
         moved = written(both.select("waiter", F.least("least", "_offered", "_beyond").alias("_now"), "least"), "least")
         known = moved.select("waiter", F.col("_now").alias("least"))
         if moved.filter("_now < least").isEmpty():
             return known
 
 
-def _components(edges: DataFrame, most: int) -> DataFrame:
+def _components(edges: DataFrame) -> DataFrame:
     """(waiter, circle): the branching waiters that wait for each other; ``edges`` are (waiter, top).
 
     Those of a circle lead to the same least waiter, so only waits between waiters that do are kept, and then only those
@@ -164,10 +163,10 @@ def _components(edges: DataFrame, most: int) -> DataFrame:
     """
     found = []
     while not edges.isEmpty():
-        ahead = _least_reached(edges, most)
-        inside = written(_within(edges, ahead, most), "inside")
-        behind = _least_reached(inside.select(F.col("top").alias("waiter"), F.col("waiter").alias("top")), most)
-        inside = written(_within(inside, behind, most), "inside")
+        ahead = _least_reached(edges)
+        inside = written(_within(edges, ahead), "inside")
+        behind = _least_reached(inside.select(F.col("top").alias("waiter"), F.col("waiter").alias("top")))
+        inside = written(_within(inside, behind), "inside")
         whole = ahead.join(behind.withColumnRenamed("least", "_behind"), "waiter").filter("least = _behind").select("waiter", F.col("least").alias("circle"))
         whole = written(whole, "whole")
         # One waiter alone is a circle only if it waits for itself.
@@ -176,10 +175,10 @@ def _components(edges: DataFrame, most: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found) if found else edges.select("waiter", F.col("waiter").alias("circle"))
 
 
-def _within(edges: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+def _within(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Edges whose ends have the same label."""
     own, other = labels.withColumnRenamed("least", "_own"), labels.select(F.col("waiter").alias("top"), F.col("least").alias("_other"))
-    return measured_join(measured_join(edges, own, ["waiter"], "inner", rows=most), other, ["top"], "inner", rows=most).filter("_own = _other").select("waiter", "top")
+    return lookup_join(lookup_join(edges, own, ["waiter"], "inner"), other, ["top"], "inner").filter("_own = _other").select("waiter", "top")
 
 
 def wait_cycles(edges: DataFrame) -> DataFrame:
@@ -189,16 +188,16 @@ def wait_cycles(edges: DataFrame) -> DataFrame:
     too. ``circle`` is the least session of it. Nobody who merely waits for a circle is listed. Repeated edges count once and
     rows with a null are left out; a graph without circles has no rows.
     """
-    edges, most = _edges(edges)
-    waiters, settled, circling = _chains(edges, most)
-    links = _links(edges, waiters, settled, most).filter("top IS NOT NULL")
+    edges = _edges(edges)
+    waiters, settled, circling = _chains(edges)
+    links = _links(edges, waiters, settled).filter("top IS NOT NULL")
     branching = waiters.filter("n_blockers > 1").select(F.col("waiter").alias("top"))
     between = written(links.join(branching, "top", "left_semi"), "between")
-    groups = _components(between.select("waiter", "top").distinct(), most)
+    groups = _components(between.select("waiter", "top").distinct())
     ends = groups.select(F.col("waiter").alias("top"), F.col("circle").alias("_end"))
     # The chains between two branching waiters of a circle are part of it.
-    chained = measured_join(measured_join(between, groups, ["waiter"], "inner", rows=most), ends, ["top"], "inner", rows=most).filter("circle = _end")
+    chained = lookup_join(lookup_join(between, groups, ["waiter"], "inner"), ends, ["top"], "inner").filter("circle = _end")
     parts = chained.select("circle", F.explode(F.concat("path", F.array("waiter"))).alias("waiter"))
-    members = parts.unionByName(_circles(edges, circling, most).select("circle", "waiter")).distinct()
+    members = parts.unionByName(_circles(edges, circling).select("circle", "waiter")).distinct()
     named = members.groupBy("circle").agg(F.min("waiter").alias("_least"), F.count("*").alias("n_waiters"))
-    return measured_join(members, named, ["circle"], "inner", rows=most).select(F.col("_least").alias("circle"), "waiter", "n_waiters")
+    return lookup_join(members, named, ["circle"], "inner").select(F.col("_least").alias("circle"), "waiter", "n_waiters")

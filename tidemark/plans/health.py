@@ -16,7 +16,7 @@ from tidemark.operators.checks import sequence_gap
 from tidemark.operators.filters import since, trailing_window
 from tidemark.operators.joins import any_one
 from tidemark.operators.ranking import rank_top, top_n
-from tidemark.operators.skew import lookup_join, measured_join, semi_lookup
+from tidemark.operators.skew import lookup_join, semi_lookup
 
 MB = 1024 * 1024
 GB = 1024 * MB
@@ -251,7 +251,7 @@ def session_sql(sessions: DataFrame, sqlarea: DataFrame, columns: Sequence[str])
     statements = sqlarea.select(
         "inst_id", F.col("address").alias("sql_address"), F.col("hash_value").alias("sql_hash_value"), *columns
     )
-    return measured_join(sessions, statements, ["inst_id", "sql_address", "sql_hash_value"], "inner")
+    return lookup_join(sessions, statements, ["inst_id", "sql_address", "sql_hash_value"], "inner")
 
 
 def in_flight(sessions: DataFrame, sqlarea: DataFrame, event_like: str | None = None) -> DataFrame:
@@ -380,7 +380,7 @@ def waiting_sessions(sessions: DataFrame, sqlarea: DataFrame) -> DataFrame:
     """Sessions that wait for something, longest first."""
     waiting = sessions.filter(~F.col("event").isin(list(IDLE_EVENTS)) & (F.col("seconds_in_wait") > 0))
     statements = sqlarea.select("inst_id", F.col("address").alias("sql_address"), F.col("sql_text").alias("last_sql"))
-    return measured_join(waiting, statements, ["inst_id", "sql_address"], "inner").select(
+    return lookup_join(waiting, statements, ["inst_id", "sql_address"], "inner").select(
         "inst_id", "sql_id", "sid", "state", "event", F.col("seconds_in_wait").alias("seconds"), "p1", "last_sql"
     ).orderBy(F.col("seconds").desc(), "inst_id", "sid")
 
@@ -390,8 +390,8 @@ def top_waiting_sql(samples: DataFrame, sqlarea: DataFrame, users: DataFrame, as
     recent = samples.filter(trailing_window(F.col("sample_time"), as_of, 3600))
     sums = recent.groupBy("sql_id", "user_id").agg(F.sum(F.col("wait_time") + F.col("time_waited")).alias("ttl_wait_time"))
     # Sums by statement and user: a statement has at most one row per user, a user one per statement.
-    joined = measured_join(sums, any_one(sqlarea, ["sql_id"], "sql_text"), ["sql_id"], "inner")
-    joined = measured_join(joined, users, ["user_id"], "inner")
+    joined = lookup_join(sums, any_one(sqlarea, ["sql_id"], "sql_text"), ["sql_id"], "inner")
+    joined = lookup_join(joined, users, ["user_id"], "inner")
     best = joined.select("sql_id", "username", "sql_text", "ttl_wait_time")
     return top_n(best, [F.col("ttl_wait_time").desc(), F.col("sql_id"), F.col("username")], n)
 
@@ -555,7 +555,7 @@ def top_object_waits(samples: DataFrame, objects: DataFrame, as_of: Column, n: i
     sums = recent.groupBy(F.col("current_obj").alias("object_id"), "event").agg(
         F.sum(F.col("wait_time") + F.col("time_waited")).alias("wait")
     )
-    named = measured_join(sums, objects.select("object_id", "object_name", "object_type"), ["object_id"], "inner")
+    named = lookup_join(sums, objects.select("object_id", "object_name", "object_type"), ["object_id"], "inner")
     totals = named.groupBy("object_name", "object_type", "event").agg(F.sum("wait").alias("ttl_wait_time"))
     return top_n(totals, [F.col("ttl_wait_time").desc(), F.col("object_name"), F.col("event")], n)
 
@@ -635,7 +635,7 @@ def unshared_cursors(cursors: DataFrame, sqlarea: DataFrame, least: int = 99) ->
     values = counts.groupBy("child_cursors").agg(F.count("*").alias("_n"))
     before = Window.orderBy(F.col("child_cursors").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ranks = values.select("child_cursors", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).cast("int").alias("sql_rank"))
-    ranked = measured_join(counts, ranks, ["child_cursors"], "inner")
+    ranked = lookup_join(counts, ranks, ["child_cursors"], "inner")
     texts = any_one(sqlarea, ["sql_id"], "sql_text")
     return ranked.join(texts, "sql_id", "left").orderBy("sql_rank", "sql_id")
 
