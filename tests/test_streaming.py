@@ -56,6 +56,13 @@ def test_null_readings_show_nothing(spark):
     assert {(r.k, r.snap_id, r.v) for r in last.collect()} == {("a", 3, 9), (None, 2, 3)} and late.count() == 1
 
 
+def test_a_row_that_comes_twice_counts_once(spark):
+    first = spark.createDataFrame([("a", 1, 5), ("a", 1, 5)], SCHEMA)
+    _, state, _ = difference_batch(first, None, SPEC, "snap_id")
+    deltas, _, late = difference_batch(spark.createDataFrame([("a", 2, 7), ("a", 2, 7), ("a", 3, 7)], SCHEMA), state, SPEC, "snap_id")
+    assert sorted((r.snap_id, r.v) for r in deltas.collect()) == [(2, 2), (3, 0)] and late.count() == 0
+
+
 def test_sliding_hour_equals_plain_windows(spark):
     draw = random.Random(2)
     rows = spark.createDataFrame([(draw.randrange(20_000), draw.choice("ab"), draw.randrange(9)) for _ in range(300)], "s int, k string, v int")

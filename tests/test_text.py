@@ -1,3 +1,7 @@
+import random
+import re
+from html.parser import HTMLParser
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import logs as C
@@ -43,6 +47,60 @@ def test_html(spark):
     assert text == "T & U\na b\n<c>"
 
 
+def shown(spark, pages):
+    rows = spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "k int, html string")
+    return [r.text for r in rows.select("k", P.html_to_text(F.col("html")).alias("text")).orderBy("k").collect()]
+
+
+def test_attributes_comments_and_references(spark):
+    pages = {
+        '<p title="a > b">caf&eacute; &#8212;': "caf\u00e9 \u2014", "<p title='x>y' class=it's>z</p>": "z", '<a href="no end>text</a>': "text",
+        "1 < 2 &amp;lt; <b x=1/>c": "1 < 2 &lt; c", "<!-- a > b --> <!DOCTYPE html><SCRIPT>if (a < b) {'</p>'}</SCRIPT >d": "d",
+        "&#x1F600;&#0;&#xD800;&#150;&#99999999;&nosuch;&amp": "\U0001f600\ufffd\ufffd\u2013\ufffd&nosuch;&amp", "&#65 &#x42;&apos;&&": "A B'&&",
+        "<preface>x</preface><pre>y": "xy", "<br/>a<br>b<P>c": "a\nb\nc", "": "", "<p": "<p", "&": "&",
+    }
+    assert dict(zip(pages, shown(spark, list(pages)))) == pages
+    assert shown(spark, [None]) == [None]
+
+
+class _Words(HTMLParser):
+    """Text by the parser of the standard library."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.skip = [], 0
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in P.RAW
+        self.out.append("\n" if re.fullmatch("|".join(P.BLOCKS), tag) else "")
+
+    def handle_startendtag(self, tag, attrs):
+        self.out.append("\n" if re.fullmatch("|".join(P.BLOCKS), tag) else "")
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in P.RAW
+        self.out.append("\n" if re.fullmatch("|".join(P.BLOCKS), tag) else "")
+
+    def handle_data(self, data):
+        self.out.append("" if self.skip else data)
+
+
+def test_random_pages_equal_a_parser(spark):
+    draw = random.Random(4)
+    parts = [
+        "word ", "caf&eacute; ", "&#8364;", "&#x263a; ", "&lt;b&gt;", "<b>", "</b>", '<p title="a > b">', "<div class='x>y' id=z>", "</div>", "<br/>",
+        "<script>var x = '<p>' + 1;</script>", "<style>p > b</style>", "<!-- <p> - > x -->", "<!doctype html>", '<img alt="&quot;>" src=a>', "\n", "R&amp;D ", "2 > 1 ",
+    ]
+    pages = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 25))) for _ in range(300)]
+    want = []
+    for page in pages:
+        lines = [re.sub("[ \t\r\u00a0]+", " ", line).strip(" ") for line in "".join(_Words(page).out).split("\n")]
+        want.append("\n".join(line for line in lines if line and not line.startswith("file:")))
+    assert shown(spark, pages) == want
+
+
 def test_whole_text_is_kept(spark):
     long = "<p>" + "word " * 50000 + "</p>"
     text = spark.range(1).select(P.html_to_text(F.lit(long)).alias("x")).collect()[0].x

@@ -12,6 +12,7 @@ from tidemark.operators.filters import as_ntz
 from tidemark.operators.partitions import rewrite_partitions
 from tidemark.operators.ranges import range_diff
 from tidemark.operators.ranking import top_n
+from tidemark.operators.rules import match_rules
 from tidemark.operators.skew import lookup_join
 from tidemark.plans import gates as U
 from tidemark.session import work_folder
@@ -23,15 +24,15 @@ from tidemark.specs import ATTACHMENT_PATTERNS, LEADER_RULES, MEMBER_PATTERN, RA
 # --- sources and sinks
 
 
-@query("src_union_instances", """
-    SELECT 1 AS inst_id, c_custkey, c_acctbal FROM $customer WHERE c_mktsegment = 'BUILDING'
-    UNION ALL SELECT 2, c_custkey, c_acctbal FROM $customer WHERE c_mktsegment = 'MACHINERY'""")
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@query("src_union_instances", " UNION ALL ".join(
+    f"SELECT {inst} AS inst_id, c_custkey, c_acctbal FROM $customer WHERE c_mktsegment = '{name}'" for inst, name in enumerate(SEGMENTS, 1)
+))
 def _(t):
     rows = t.customer.select("c_custkey", "c_acctbal", "c_mktsegment")
-    return S.union_instances({
-        inst: rows.filter(F.col("c_mktsegment") == name).drop("c_mktsegment")
-        for inst, name in ((1, "BUILDING"), (2, "MACHINERY"))
-    })
+    return S.union_instances({inst: rows.filter(F.col("c_mktsegment") == name).drop("c_mktsegment") for inst, name in enumerate(SEGMENTS, 1)})
 
 
 def drawn(column: int) -> str:
@@ -196,18 +197,25 @@ def _(t):
     return P.parse_whitespace_table(t.roster_lines, r"^(\S+)\s+([0-9]+)\s+(Active|Inactive)\s+\S+$", ["name", "id", "state"])
 
 
-BLOCK_TAGS = "(?i)<(br|/?p|/?div|/?li|/?ul|/?tr|/?table|/?h[1-6]|/?title|/?article|/?nav)[^>]*>"
-DROPPED = "(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->|<!doctype[^>]*>"
+RE2_TAG = P.ATTRIBUTES.replace("'", "''")
+RE2_RAW = "|".join(f"<{name}\\b{RE2_TAG}>.*?</{name}\\s*>" for name in P.RAW)
+RE2_BLOCK = "|".join(P.BLOCKS)
+SEEN = {
+    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&eacute;": "\u00e9", "&#8212;": "\u2014", "&#x41;": "A", "&#151;": "\u2014",
+    "&euro;": "\u20ac", "&copy;": "\u00a9", "&middot;": "\u00b7", "&amp;": "&",
+}
+REPLACED = "stripped"
+for _entity, _char in SEEN.items():
+    REPLACED = f"replace({REPLACED}, '{_entity}', '{_char}')"
 
 
 @query("src_html_to_text", f"""
-    SELECT page_id, array_to_string([trim(x) for x in string_split(regexp_replace(
-        replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '{DROPPED}', '', 'g'),
-            '{BLOCK_TAGS}', chr(10), 'g'), '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''),
-            '&amp;', '&'), '[ \\t\\r\u00a0]+', ' ', 'g'), chr(10)) if trim(x) <> '' AND NOT starts_with(trim(x), 'file:')], chr(10)) AS text
-    FROM $pages""")
+    SELECT page_id, array_to_string([trim(x) for x in string_split(regexp_replace({REPLACED}, '[ \\t\\r\u00a0]+', ' ', 'g'), chr(10))
+                                     if trim(x) <> '' AND NOT starts_with(trim(x), 'file:')], chr(10)) AS text
+    FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|{RE2_RAW}|<[!?][^>]*>', '', 'g'),
+              '(?i)</?({RE2_BLOCK})([\\s/]{RE2_TAG})?>', chr(10), 'g'), '</?[a-zA-Z]{RE2_TAG}>', '', 'g') AS stripped FROM $saved_pages) s""")
 def _(t):
-    return t.pages.select("page_id", P.html_to_text(F.col("html")).alias("text"))
+    return t.saved_pages.select("page_id", P.html_to_text(F.col("html")).alias("text"))
 
 
 STANZA_FIELDS = {"NAME": "name", "ADDRESS": "address", "VERSION": "version"}
@@ -411,6 +419,12 @@ CLUSTER_FACTS = (
     ("management database", r"^Instance -MGMTDB is running on node (\S+)$"),
 )
 
+#: Plain text that every line of the fact holds.
+FACT_NEEDLES = (
+    "Active version on the cluster", "SCAN name: ", "running in ", "is running on node(s): ", "GNS domain: ", "version on node ",
+    "release version on the local node", "Listener MGMTLSNR is ", "Instance -MGMTDB is ",
+)
+
 
 @query("rep_c15", " UNION ALL ".join(
     f"SELECT node, '{fact}' AS fact, max_by(regexp_extract(line, '{p}', 1), (file, line_no)) AS value FROM $fact_lines "
@@ -420,6 +434,20 @@ def _(t):
     return C.facts(t.fact_lines, CLUSTER_FACTS)
 
 
+@query("log_rule_table", " UNION ALL ".join(
+    f"SELECT node, '{fact}' AS rule, max_by(regexp_extract(line, '{p}', 1), (file, line_no)) AS value FROM $fact_lines "
+    f"WHERE regexp_matches(line, '{p}') GROUP BY 1" for fact, p in CLUSTER_FACTS
+))
+def _(t):
+    """The cluster facts with the rules as a table; the rest of a thousand rules fits no line."""
+    known = [(fact, needle, pattern) for (fact, pattern), needle in zip(CLUSTER_FACTS, FACT_NEEDLES)]
+    others = [(f"other {k}", f"rule number {k} ", f"rule number {k} ([0-9]+)") for k in range(1000 - len(known))]
+    rules = t.spark.createDataFrame(known + others, "rule string, needle string, pattern string")
+    found = match_rules(t.fact_lines, rules)
+    newest = found.groupBy("node", "rule").agg(F.max_by(F.col("groups")[0], F.struct("file", "line_no")).alias("value"))
+    return newest.select("node", "rule", "value")
+
+
 @query("rep_c16", """
     SELECT min_by(answer, node_order) AS answer, min(node_order) AS node_order FROM $monitor_answers
     WHERE answer <> '' AND question = CASE version WHEN '12.1.0.2' THEN 'new key' ELSE 'old key' END""")

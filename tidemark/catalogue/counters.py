@@ -9,6 +9,7 @@ from tidemark.functions import exprs as X
 from tidemark.operators import checks as G
 from tidemark.operators import counters as D
 from tidemark.operators import graph, waits
+from tidemark.operators import rules as R
 from tidemark.operators.aggregates import roll_up_key, worst_age
 from tidemark.operators.filters import as_ntz
 from tidemark.specs import COUNTER_SETS, LATENCY_BUCKETS, MINIMUM_SCHEMA, CounterSpec, Ratio, Rule
@@ -73,7 +74,7 @@ def _(t):
 
 
 MATRIX = ", ".join(
-    f"sum(CASE WHEN wait_time_milli = {b} THEN wait_count ELSE 0 END)::BIGINT AS b_{b}" for b in LATENCY_BUCKETS
+    f"sum(CASE WHEN wait_time_milli <= {b} AND wait_time_milli > {b // 2} THEN wait_count ELSE 0 END)::BIGINT AS b_{b}" for b in LATENCY_BUCKETS
 )
 
 
@@ -87,7 +88,7 @@ def _(t):
 @query("heat_delta", """
     SELECT bucket, snap_id, greatest(waits - p, 0)::BIGINT AS waits FROM (
         SELECT *, lag(waits) OVER (PARTITION BY bucket ORDER BY snap_id) AS p FROM (
-            SELECT wait_time_milli AS bucket, snap_id, sum(wait_count) AS waits FROM $latency_hist GROUP BY 1, 2) c) d
+            SELECT CASE wait_time_milli WHEN 3 THEN 4 ELSE wait_time_milli END AS bucket, snap_id, sum(wait_count) AS waits FROM $latency_hist GROUP BY 1, 2) c) d
     WHERE p IS NOT NULL""")
 def _(t):
     return D.latency_heatmap(t.latency_hist, snaps_per_chunk=7)
@@ -264,6 +265,20 @@ def _(t):
     return gated.select("host", "type", "version", "required", "passed")
 
 
+@query("audit_version_rules", """
+    SELECT host, type, version, required, passed FROM (
+        SELECT *, CASE type WHEN 'cell' THEN '7.10' WHEN 'switch' THEN '20.3.1' WHEN 'agent' THEN '35.5.1-2' END
+                      AS required,
+               CASE type WHEN 'cell' THEN (v1, v2, v3, sfx) >= (7, 10, -1, '')
+                    WHEN 'switch' THEN (v1, v2, v3, sfx) >= (20, 3, 1, '')
+                    WHEN 'agent' THEN (v1, v2, v3, sfx) >= (35, 5, 1, '2') END AS passed FROM $versions) v
+    WHERE required IS NOT NULL""")
+def _(t):
+    """The same gate with the least versions as a table."""
+    rules = t.spark.createDataFrame([("cell", "7.10"), ("switch", "20.3.1"), ("agent", "35.5.1-2")], "type string, required string")
+    return R.version_audit(t.versions, rules).select("host", "type", "version", "required", "passed")
+
+
 @query("cls_schema_gate", """
     SELECT host, type, version, CASE type WHEN 'catalog' THEN '868' ELSE '502' END AS required,
            schema_no >= CASE type WHEN 'catalog' THEN 868 ELSE 502 END AS passed FROM $component_schemas""")

@@ -10,7 +10,9 @@ from tidemark.operators import aggregates as A
 from tidemark.operators import filters as P
 from tidemark.operators import joins as J
 from tidemark.operators import ranking as T
+from tidemark.operators import sketches as K
 from tidemark.operators.skew import lookup_join, semi_lookup, with_neighbour
+from tidemark.session import written
 
 # --- predicates and projections
 
@@ -352,6 +354,29 @@ def _(t):
     )
 
 
+@query("agg_sketch_rollup", """
+    SELECT event_type, count(*) AS rows, true AS distinct_holds, true AS median_holds, true AS p95_holds FROM $events
+    WHERE extract(day FROM ts) BETWEEN 3 AND 21 GROUP BY 1""")
+def _(t):
+    """Nineteen days merged from daily sketches, and whether they keep their stated errors against the rows themselves."""
+    days = F.dayofmonth("ts")
+    kept = written(K.daily_sketches(t.events, days, ["event_type"], "user_id", "value"), "sketches")
+    merged = K.rolled_up(kept, ["event_type"], F.lit(3), F.lit(21))
+    near = merged.select("event_type", F.col("rows"), F.col("distinct"), "p50", "p95")
+    rows = t.events.filter(days.between(3, 21)).join(F.broadcast(near.select("event_type", "p50", "p95")), "event_type")
+    exact = rows.groupBy("event_type").agg(
+        F.count_distinct("user_id").alias("exact"), *[
+            F.avg((F.col("value") <= F.col(p)).cast("double")).alias(f"{p}_to") for p in ("p50", "p95")
+        ], *[F.avg((F.col("value") < F.col(p)).cast("double")).alias(f"{p}_from") for p in ("p50", "p95")]
+    )
+    joined = near.join(exact, "event_type")
+    holds = lambda p, share: (F.col(f"{p}_from") <= share + K.RANK_ERROR) & (F.col(f"{p}_to") >= share - K.RANK_ERROR)
+    return joined.select(
+        "event_type", "rows", (F.abs(F.col("distinct") - F.col("exact")) <= 4 * K.DISTINCT_ERROR * F.col("exact") + 1).alias("distinct_holds"),
+        holds("p50", 0.5).alias("median_holds"), holds("p95", 0.95).alias("p95_holds"),
+    )
+
+
 @query("agg_count_distinct", """
     SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers
     FROM $lineitem GROUP BY 1""")

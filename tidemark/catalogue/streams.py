@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.catalogue.counters import spec_check, spec_feed
 from tidemark.catalogue.registry import BUILDS, CHECKS, query
+from tidemark.operators.counters import spec_report
 from tidemark.session import work_folder
 from tidemark.specs import COUNTER_SETS
-from tidemark.streaming.counters import count_late, poll_report, read_deltas, stream_counter_delta, stream_top_polls
+from tidemark.streaming.counters import count_late, read_deltas, stream_counter_delta, stream_top_polls
 from tidemark.streaming.state import read_kind, start_state_deltas, state_deltas
 from tidemark.streaming.monitor import sliding_hour, stream_monitor
 
@@ -34,8 +35,7 @@ def land(feed: DataFrame, landings, start) -> None:
     inbox = work_folder(spark, "inbox")
     for condition in landings:
         feed.filter(condition).write.mode("append").parquet(inbox)
-        # One file at a time: a poll whose rows lie in several files is cut over as many batches.
-        start(spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(inbox)).awaitTermination()
+        start(spark.readStream.schema(feed.schema).parquet(inbox)).awaitTermination()
 
 
 GROWTH = """
@@ -50,7 +50,7 @@ DAYS = ("snap_id <= 10", "snap_id BETWEEN 11 AND 20 AND inst_id % 2 = 1", "snap_
 @query("stream_delta", f"SELECT * FROM ({GROWTH}) g WHERE snap_id > 1")
 def _(t):
     out, state = work_folder(t.spark, "deltas"), work_folder(t.spark, "state")
-    land(daily_polls(t).coalesce(1), DAYS, lambda polls: stream_counter_delta(polls, SPEC, out, state, poll_seconds=None))
+    land(daily_polls(t), DAYS, lambda polls: stream_counter_delta(polls, SPEC, out, state, poll_seconds=None))
     return read_deltas(t.spark, out)
 
 
@@ -62,7 +62,7 @@ def _(t):
     """A stream that begins at poll 7 and brings polls 3 to 6 when they are late."""
     out, state = work_folder(t.spark, "deltas"), work_folder(t.spark, "state")
     landings = ("snap_id BETWEEN 7 AND 20", "snap_id BETWEEN 3 AND 6", "snap_id > 20")
-    land(daily_polls(t).coalesce(1), landings, lambda polls: stream_counter_delta(polls, SPEC, out, state, poll_seconds=None))
+    land(daily_polls(t), landings, lambda polls: stream_counter_delta(polls, SPEC, out, state, poll_seconds=None))
     kinds = {"shown": read_deltas(t.spark, out), "late": count_late(t.spark, out)}
     return reduce(DataFrame.union, [
         df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum("total_waits").alias("total_waits")) for kind, df in kinds.items()
@@ -111,7 +111,7 @@ def _(t):
         FROM ({GROWTH}) g WHERE snap_id > 1) r WHERE rank <= 10""")
 def _(t):
     out, state = work_folder(t.spark, "top"), work_folder(t.spark, "state")
-    land(daily_polls(t).coalesce(1), DAYS, lambda polls: stream_top_polls(polls, SPEC, out, state, poll_seconds=None))
+    land(daily_polls(t), DAYS, lambda polls: stream_top_polls(polls, SPEC, out, state, poll_seconds=None))
     return t.spark.read.parquet(f"{out}/top").withColumn("snap_id", F.col("snap_id").cast("bigint"))
 
 
@@ -121,15 +121,15 @@ def register_stream(kind: str) -> None:
     @query(f"stream_live_{kind}", f"SELECT * FROM ({spec_check(kind)}) s WHERE snap_id > 1")
     def _(t):
         out, state = work_folder(t.spark, "deltas"), work_folder(t.spark, "state")
-        feed = t.sql(spec_feed(kind)).coalesce(1)
+        feed = t.sql(spec_feed(kind))
         land(feed, ("snap_id <= 12", "snap_id > 12"), lambda polls: stream_counter_delta(polls, spec, out, state, poll_seconds=None))
         deltas = read_deltas(t.spark, out)
-        report = poll_report(deltas, spec, n=1_000_000).drop("rank")
+        report = spec_report(deltas, spec, ["snap_id"])
         names = {r.name for r in spec.ratios}
         return report.select(*[F.round(c, 6).alias(c) if c in names else F.col(c) for c in report.columns])
 
 
-for _kind in ("sess_event", "librarycache", "event_histogram"):
+for _kind in COUNTER_SETS:
     register_stream(_kind)
 
 
@@ -151,7 +151,7 @@ def _(t):
     """All PostgreSQL reports on an arriving snapshot of the activity; the rows each of them kept."""
     activity = t.pg_activity
     folder, out = work_folder(t.spark, "activity"), work_folder(t.spark, "monitor")
-    activity.coalesce(1).write.parquet(folder)
+    activity.write.parquet(folder)
     stream = t.spark.readStream.schema(activity.schema).parquet(folder)
     reports = {name: (lambda arrived, build=BUILDS[name]: build(Snapshot(t, pg_activity=arrived))) for name in REPORTS}
     stream_monitor(stream, reports, out, work_folder(t.spark, "state"), None).awaitTermination()

@@ -72,22 +72,28 @@ def spec_report(df: DataFrame, spec: CounterSpec, interval: Sequence[str]) -> Da
     return with_ratios(df.select(*interval, *spec.shown_keys, *spec.counters), spec)
 
 
+def latency_bucket(latency: Column) -> Column:
+    """The least power of two that is not below the latency, up to the largest bucket; null above that."""
+    bounds = F.array(*[F.lit(bound) for bound in LATENCY_BUCKETS])
+    return F.get(F.filter(bounds, lambda bound: bound >= latency), F.lit(0)).cast("bigint")
+
+
 def latency_matrix(df: DataFrame, snap: str = "snap_id") -> DataFrame:
-    """Waits per snapshot and power-of-two bucket: columns ``b_1`` to ``b_4194304`` and ``b_over``."""
+    """Waits per snapshot and power-of-two bucket: columns ``b_1`` to ``b_4194304`` and ``b_over``.
+
+    A latency between two powers counts for the greater one, a null latency nowhere.
+    """
     names = [f"b_{bound}" for bound in LATENCY_BUCKETS] + ["b_over"]
-    bucket = F.when(F.col("wait_time_milli") > LATENCY_BUCKETS[-1], F.lit("b_over")).otherwise(
-        F.concat(F.lit("b_"), F.col("wait_time_milli").cast("string"))
-    )
-    tagged = df.select(snap, "wait_count", bucket.alias("_bucket"))
+    bucket = F.coalesce(F.concat(F.lit("b_"), latency_bucket(F.col("wait_time_milli")).cast("string")), F.lit("b_over"))
+    tagged = df.filter("wait_time_milli IS NOT NULL").select(snap, "wait_count", bucket.alias("_bucket"))
     return tagged.groupBy(snap).pivot("_bucket", names).agg(F.sum("wait_count")).na.fill(0, names)
 
 
 def latency_heatmap(df: DataFrame, snap: str = "snap_id", snaps_per_chunk: int = 1000) -> DataFrame:
     """Growth of every latency bucket from snapshot to snapshot, in long form; a restart counts as zero."""
-    bucket = F.when(F.col("wait_time_milli") > LATENCY_BUCKETS[-1], F.lit(2 * LATENCY_BUCKETS[-1])).otherwise(
-        F.col("wait_time_milli")
-    )
-    cells = df.groupBy(bucket.cast("bigint").alias("bucket"), snap).agg(F.sum("wait_count").alias("waits"))
+    bucket = F.coalesce(latency_bucket(F.col("wait_time_milli")), F.lit(2 * LATENCY_BUCKETS[-1]))
+    known = df.filter("wait_time_milli IS NOT NULL")
+    cells = known.groupBy(bucket.cast("bigint").alias("bucket"), snap).agg(F.sum("wait_count").alias("waits"))
     chunk = F.floor(F.col(snap) / snaps_per_chunk)
     return counter_delta(cells, ["bucket"], [snap], ["waits"], chunk).filter("waits IS NOT NULL")
 

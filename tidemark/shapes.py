@@ -86,10 +86,10 @@ SHAPES = {
                'db' || (inst_id % 2 + 1) AS db_name, 'host' || inst_id || '.example.org' AS host_name
         FROM (SELECT DISTINCT user_id % 4 + 1 AS inst_id, CAST(extract(day FROM ts) AS BIGINT) AS snap_id,
                      CAST(CAST(ts AS DATE) AS $NTZ) AS day FROM $events) d""",
-    # Cumulative wait counts per day and power-of-two millisecond bucket.
+    # Cumulative wait counts per day and millisecond bucket; one bucket lies between two powers of two.
     "latency_days": """
         SELECT event_type AS event_name, CAST(extract(day FROM ts) AS BIGINT) AS snap_id,
-               CASE WHEN value <= 1 THEN 1 WHEN value <= 2 THEN 2 WHEN value <= 4 THEN 4 WHEN value <= 8 THEN 8
+               CASE WHEN value <= 1 THEN 1 WHEN value <= 2 THEN 2 WHEN value <= 3 THEN 3 WHEN value <= 4 THEN 4 WHEN value <= 8 THEN 8
                     WHEN value <= 16 THEN 16 WHEN value <= 32 THEN 32 WHEN value <= 64 THEN 64
                     WHEN value <= 128 THEN 128 WHEN value <= 256 THEN 256 ELSE 512 END AS wait_time_milli,
                count(*) AS n
@@ -642,6 +642,11 @@ SHAPES = {
         FROM $supplier
         UNION ALL
         SELECT s_name, 5, 'not a field line' FROM $supplier""",
+    # Saved pages with attributes that hold a bracket, and references to characters.
+    "saved_pages": """
+        SELECT page_id, CASE page_id % 4 WHEN 0 THEN '<p title="a > b" class=''x>y''>caf&eacute; &#8212; &#x41;&#151;&amp;lt; 1 < 2</p>' || html
+                        WHEN 1 THEN html || '<div data-q="</p>">&euro;&unknown; R&D</div><!-- <b>"x" > --><br/>end'
+                        WHEN 2 THEN '<script>if (a > "</p>") x();</script><style>p > b</style>' || html ELSE html END AS html FROM $pages""",
     "mounts": """
         SELECT host AS target, '/' || host AS mount FROM
             (SELECT DISTINCT split_part(url, '/', 3) AS host FROM $pages) h

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,17 +125,55 @@ def parse_parallel_lists(lines: DataFrame, keys: Sequence[str], patterns: Mappin
     return rows.withColumn("rejected", ~whole).drop("_cells")
 
 
-# Character entities and what they stand for; the ampersand comes last.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+# Elements that begin a new line, and those whose content is no text.
+BLOCKS = ("br", "p", "div", "li", "ul", "tr", "table", "h[1-6]", "title", "article", "nav")
+RAW = ("script", "style")
+
+#: What stands in a tag up to its end: quoted values may hold a closing bracket, a quote without its other half does not matter.
+ATTRIBUTES = r"""(?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*"""
+_POSSESSIVE = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+"""
+
+
+def _code_point(number: Column) -> Column:
+    """The character of a code point; what is none is the replacement character."""
+    # Numbers 128 to 159 mean what they do in the Windows code page.
+    windows = {n: bytes([n]).decode("cp1252", "replace") for n in range(128, 160)}
+    moved = F.create_map(*[F.lit(x) for n, char in windows.items() for x in (n, char)])
+    valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return F.when(~valid, F.lit("\ufffd")).when(number.between(128, 159), F.try_element_at(moved, number.cast("int"))).otherwise(char)
+
+
+def unescaped(text: Column) -> Column:
+    """Character references as the characters they stand for: all numbers, and the names of HTML 4 with a semicolon.
+
+    What is no such reference, an ampersand alone among them, stays as it is. Nothing is unescaped twice.
+    """
+    names = F.create_map(*[F.lit(x) for name, code in sorted({**name2codepoint, "apos": 39}.items()) for x in (name, chr(code))])
+    reference = "^(?:#[xX]([0-9a-fA-F]{1,8});?|#([0-9]{1,9});?|([a-zA-Z][a-zA-Z0-9]*);)"
+
+    def part(piece: Column) -> Column:
+        whole = F.regexp_extract(piece, reference, 0)
+        hexed, number, name = (F.regexp_extract(piece, reference, k) for k in (1, 2, 3))
+        code = F.when(hexed != "", F.conv(hexed, 16, 10).cast("bigint")).when(number != "", number.cast("bigint"))
+        char = F.when(code.isNotNull(), _code_point(code)).otherwise(F.try_element_at(names, name))
+        return F.when((whole != "") & char.isNotNull(), F.concat(char, F.substr(piece, F.length(whole) + 1))).otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    rest = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), part)
+    return F.when(F.instr(text, "&") == 0, text).otherwise(F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, "")))
 
 
 def html_to_text(html: Column) -> Column:
-    """Readable text of a saved page, one block element per line, without ``file:`` lines and blank lines."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->|<!doctype[^>]*>", "")
-    text = F.regexp_replace(text, r"(?i)<(br|/?p|/?div|/?li|/?ul|/?tr|/?table|/?h[1-6]|/?title|/?article|/?nav)[^>]*>", "\n")
-    text = F.regexp_replace(text, "<[^>]*>", "")
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    lines = F.split(F.regexp_replace(text, "[ \t\r\u00a0]+", " "), "\n")
+    """Readable text of a saved page, one block element per line, without ``file:`` lines and blank lines.
+
+    Comments, declarations and the content of scripts and styles go, tags end at the first bracket outside a quoted value, a
+    bracket that begins no tag is text, and character references are replaced last.
+    """
+    raw = "|".join(rf"<{name}\b{_POSSESSIVE}>.*?</{name}\s*>" for name in RAW)
+    text = F.regexp_replace(html, f"(?is)<!--.*?-->|{raw}|<[!?][^>]*>", "")
+    text = F.regexp_replace(text, rf"(?i)</?(?:{'|'.join(BLOCKS)})(?=[\s/>]){_POSSESSIVE}>", "\n")
+    text = F.regexp_replace(text, f"</?[a-zA-Z]{_POSSESSIVE}>", "")
+    lines = F.split(F.regexp_replace(unescaped(text), "[ \t\r\u00a0]+", " "), "\n")
     kept = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda line: (line != "") & ~line.startswith("file:"))
     return F.array_join(kept, "\n")

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.counters import with_ratios
 from tidemark.operators.ranking import top_n_per_group
+from tidemark.session import remove_folder
 from tidemark.specs import CounterSpec
 
 # Rows shown per poll and seconds between polls.
@@ -34,10 +35,12 @@ def difference_batch(rows: DataFrame, state: DataFrame | None, spec: CounterSpec
     ``state`` has the last poll and values of every key and the first poll of all, ``_first``; none before the first batch. The
     first poll seen is the baseline and shows nothing, whatever its number and however many batches bring it. A
     key first seen later grows by its whole value. A row whose poll is not after the last one of its key is late and
-    dropped. A null reading shows no growth, and the next one grows from the last reading there was.
+    dropped. A null reading shows no growth, and the next one grows from the last reading there was. A poll's row of a key that
+    comes several times in the batch counts once, with its greatest readings.
     """
     kinds = _kinds(rows, spec, poll)
     rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds.fields])
+    rows = rows.groupBy(*spec.keys, poll).agg(*[F.max(c).alias(c) for c in spec.counters])
     begin = (rows.agg(F.min(poll)) if state is None else state.agg(F.min("_first"))).first()[0]
     first = F.lit(begin).cast("bigint")
     both = rows.withColumn("_new", F.lit(1))
@@ -87,6 +90,8 @@ def stream_counter_delta(
             last.write.mode("overwrite").parquet(_at(folder, "state", number))
             late.write.mode("overwrite").parquet(_at(folder, "late", number))
             deltas.write.mode("overwrite").parquet(_at(folder, "deltas", number))
+            # The state before the last one is read by no batch any more, not even by one that is run again.
+            remove_folder(spark, _at(folder, "state", number - 2))
             if after is not None:
                 after(spark.read.schema(schema).parquet(_at(folder, "deltas", number)), number)
         finally:
@@ -129,12 +134,18 @@ def stream_top_polls(
 ) -> StreamingQuery:
     """As :func:`stream_counter_delta`, and keeps the top of every poll in ``top``, one folder per poll.
 
-    A poll that several batches bring is ranked anew over all of its growth each time, so it has one list.
+    A poll that several batches bring is ranked anew over the sums of these batches, so it has one list.
     """
 
     def rank(deltas: DataFrame, number: int) -> None:
-        touched = deltas.select(poll).distinct()
-        every = read_deltas(deltas.sparkSession, folder).join(touched, poll, "left_semi")
+        spark, sums = deltas.sparkSession, f"{folder}/sums"
+        own = deltas.groupBy(poll, *spec.shown_keys).agg(*[F.sum(c).alias(c) for c in spec.counters]).withColumn("batch", F.lit(number))
+        own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(poll, "batch").parquet(sums)
+        touched = [row[0] for row in deltas.select(poll).distinct().collect()]
+        if not touched:
+            return
+        # Only the sums of the polls that this batch brought are read, whatever has been written before.
+        every = spark.read.schema(own.schema).option("basePath", sums).parquet(*[f"{sums}/{poll}={value}" for value in touched])
         report = poll_report(every, spec, poll, n)
         report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(poll).parquet(f"{folder}/top")
 
