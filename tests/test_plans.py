@@ -9,7 +9,7 @@ from tidemark.catalogue.registry import QUERIES
 from tests.conftest import SF
 
 # Streams are built by running them.
-LAZY = sorted(name for name in QUERIES if not name.startswith(("stream_delta", "stream_top", "stream_mon", "stream_sl", "stream_live")))
+LAZY = sorted(name for name in QUERIES if not name.startswith(("stream_delta", "stream_top", "stream_mon", "stream_sl", "stream_live", "stream_late")))
 
 
 def plan_of(df):
@@ -45,3 +45,12 @@ def test_day_filter_reaches_the_scan(spark):
 def test_scan_reads_only_needed_columns(spark):
     plan = plan_of(entry_point.queries()["agg_having"](spark, SF))
     assert "ReadSchema: struct<o_custkey:bigint>" in plan
+
+
+def test_gate_reads_each_table_once(spark, tables):
+    import __spark_entry__ as entry_point
+    from tests.conftest import SF
+
+    plan = entry_point.queries()["cls_gate_scan"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    once = sum(table._jdf.queryExecution().executedPlan().toString().count("FileScan") for table in (tables.segments, tables.objects))
+    assert plan.count("FileScan") == once

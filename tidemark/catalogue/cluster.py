@@ -448,6 +448,15 @@ def _(t):
     return newest.select("node", "rule", "value")
 
 
+@query("rep_c15_addresses", """
+    SELECT 'node' || s_nationkey % 3 AS node, 'host' || s_suppkey AS name,
+           CASE WHEN s_nationkey < 14 THEN '10.0.' || s_nationkey || '.' || s_suppkey % 200 ELSE 'vip' || s_suppkey || '.example.org' END AS address,
+           CASE WHEN s_nationkey < 14 THEN 'dynamic' ELSE 'static' END AS kind, '12.1.0.' || s_nationkey AS version
+    FROM $supplier WHERE s_acctbal >= 0 AND s_nationkey >= 4""")
+def _(t):
+    return C.node_addresses(t.profile_lines, 100)
+
+
 @query("rep_c16", """
     SELECT min_by(answer, node_order) AS answer, min(node_order) AS node_order FROM $monitor_answers
     WHERE answer <> '' AND question = CASE version WHEN '12.1.0.2' THEN 'new key' ELSE 'old key' END""")

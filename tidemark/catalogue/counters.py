@@ -316,6 +316,22 @@ def _(t):
     ])
 
 
+@query("cls_gate_scan", """
+    SELECT 'segments in bytes' AS rule, sum(bytes)::DOUBLE AS observed, '>=' AS comparison, 5368709120.0::DOUBLE AS required, sum(bytes) >= 5368709120 AS passed FROM $segments
+    UNION ALL SELECT 'largest segment', max(bytes)::DOUBLE, '<=', 536870912.0, max(bytes) <= 536870912 FROM $segments
+    UNION ALL SELECT 'empty segments', count(*) FILTER (WHERE bytes = 0)::DOUBLE, '=', 0.0, count(*) FILTER (WHERE bytes = 0) = 0 FROM $segments
+    UNION ALL SELECT 'invalid objects', count(*) FILTER (WHERE status = 'INVALID')::DOUBLE, '=', 0.0, count(*) FILTER (WHERE status = 'INVALID') = 0 FROM $objects
+    UNION ALL SELECT 'objects', count(*)::DOUBLE, '>', 10.0, count(*) > 10 FROM $objects""")
+def _(t):
+    return G.gate_scan([
+        (t.segments, [
+            (Rule("segments in bytes", ">=", 5 * 2**30), F.sum("bytes")), (Rule("largest segment", "<=", 2**29), F.max("bytes")),
+            (Rule("empty segments", "=", 0), F.count_if(F.col("bytes") == 0)),
+        ]),
+        (t.objects, [(Rule("invalid objects", "=", 0), F.count_if(F.col("status") == "INVALID")), (Rule("objects", ">", 10), F.count("*"))]),
+    ])
+
+
 # --- waits between sessions
 
 LK = """(SELECT blocking_instance || '.' || blocking_session AS blocker, inst_id || '.' || sid AS waiter

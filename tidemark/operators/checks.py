@@ -134,6 +134,25 @@ def gate(observations: Sequence[tuple[Rule, DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, [judge(rule, seen) for rule, seen in observations])
 
 
+def gate_scan(scans: Sequence[tuple[DataFrame, Sequence[tuple[Rule, Column]]]]) -> DataFrame:
+    """As :func:`gate` for rules over the same tables: each table comes with its rules and what each of them observes, an
+    aggregate over it. All rules of a table are answered by one pass over it; a condition of a rule goes into its aggregate."""
+
+    def judged(table: DataFrame, rules: Sequence[tuple[Rule, Column]]) -> DataFrame:
+        seen = table.agg(*[observed.cast("double").alias(f"r{k}") for k, (_, observed) in enumerate(rules)])
+        rows = [
+            F.struct(
+                F.lit(rule.name).alias("rule"), F.col(f"r{k}").alias("observed"), F.lit(rule.comparison).alias("comparison"),
+                F.lit(float(rule.required)).alias("required"),
+                F.coalesce(COMPARISONS[rule.comparison](F.col(f"r{k}"), F.lit(float(rule.required))), F.lit(False)).alias("passed"),
+            )
+            for k, (rule, _) in enumerate(rules)
+        ]
+        return seen.select(F.inline(F.array(*rows)))
+
+    return reduce(DataFrame.unionByName, [judged(table, rules) for table, rules in scans])
+
+
 def first_match(line: Column, patterns: Sequence[str], position: Column) -> Column:
     """Aggregate: capture 1 of the newest line that fits the first pattern, else of the next pattern, and so on."""
     tries = []

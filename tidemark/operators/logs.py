@@ -14,7 +14,7 @@ from tidemark.operators.checks import first_match
 from tidemark.operators.joins import full_reconcile, previous_line
 from tidemark.operators.skew import lookup_join, with_neighbour
 from tidemark.sources.lines import newest
-from tidemark.sources.text import scan_log, with_stamp
+from tidemark.sources.text import parse_block_records, scan_log, with_stamp
 from tidemark.specs import LeaderRule
 
 
@@ -201,6 +201,20 @@ def facts(lines: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     return pairs.groupBy("node", "_f.fact").agg(F.max_by("_f.value", newest(pairs)).alias("value"))
 
 
+def node_addresses(lines: DataFrame, lines_per_chunk: int = 10000) -> DataFrame:
+    """(node, name, address, kind, version) of the virtual address of every cluster node, from resource profiles.
+
+    Profiles are stanzas with ``NAME=ora.<name>.vip`` and ``USR_ORA_VIP=<address>``; others are left out. An address in
+    numbers is ``dynamic``, a name is ``static``.
+    """
+    fields = {"NAME": "name", "USR_ORA_VIP": "address", "VERSION": "version"}
+    records = parse_block_records(lines, ["node"], fields, lines_per_chunk)
+    pattern = r"^ora\.(.*)\.vip$"
+    kind = F.when(F.col("address").rlike(r"^\d+(\.\d+){3}$"), "dynamic").otherwise("static")
+    found = records.filter(F.col("name").rlike(pattern) & F.col("address").isNotNull())
+    return found.select("node", F.regexp_extract("name", pattern, 1).alias("name"), "address", kind.alias("kind"), "version")
+
+
 def first_answer(answers: DataFrame, order: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """The non-empty value of the first node in ``order`` that gives one."""
     given = answers.filter(F.trim(F.coalesce(F.col(value), F.lit(""))) != "")

@@ -65,10 +65,10 @@ def replica_diff(rows: DataFrame, keys: Sequence[str] = ("key",), replica: str =
     """
     version = F.struct("write_ts", F.col("deleted_at").isNotNull().alias("dead"), "payload", _fingerprint().alias("hash"))
     held = rows.select(*keys, replica, version.alias("_v")).groupBy(*keys, replica).agg(F.max("_v").alias("_v"))
-    replicas = rows.select(replica).distinct().agg(F.count("*").alias("_replicas"))
+    replicas = rows.select(replica).distinct().agg(F.count("*")).scalar()
     per_key = held.groupBy(*keys).agg(
         F.count_distinct("_v.hash").alias("versions"), F.count("*").alias("_held"), F.max("_v").alias("_n")
-    ).crossJoin(F.broadcast(replicas))
+    ).withColumn("_replicas", replicas)
     missing = (F.col("_replicas") - F.col("_held")).alias("missing")
     return per_key.filter("versions > 1 OR _held < _replicas").select(
         *keys, "versions", missing, F.col("_n.payload").alias("newest_payload"), F.col("_n.write_ts").alias("newest_write")

@@ -536,6 +536,14 @@ SHAPES = {
         UNION ALL SELECT 'node' || (c_nationkey % 2), c_custkey * 4 + 1, CASE WHEN c_acctbal < 0 THEN 'STATE=x' ELSE 'ADDRESS: 10.0.0.' || c_nationkey END FROM $customer
         UNION ALL SELECT 'node' || (c_nationkey % 2), c_custkey * 4 + 2, 'version=' || c_mktsegment FROM $customer
         UNION ALL SELECT 'node' || (c_nationkey % 2), c_custkey * 4 + 3, '' FROM $customer""",
+    # Profiles of cluster resources: virtual addresses of nodes and other resources.
+    "profile_lines": """
+        SELECT 'node' || s_nationkey % 3 AS node, s_suppkey * 4 AS line_no, CASE WHEN s_acctbal < 0 THEN 'NAME=ora.db' || s_suppkey || '.db'
+               ELSE 'NAME=ora.host' || s_suppkey || '.vip' END AS line FROM $supplier
+        UNION ALL SELECT 'node' || s_nationkey % 3, s_suppkey * 4 + 1, CASE WHEN s_nationkey < 4 THEN 'TYPE=other' WHEN s_nationkey < 14 THEN
+               'USR_ORA_VIP=10.0.' || s_nationkey || '.' || s_suppkey % 200 ELSE 'USR_ORA_VIP=vip' || s_suppkey || '.example.org' END FROM $supplier
+        UNION ALL SELECT 'node' || s_nationkey % 3, s_suppkey * 4 + 2, 'VERSION=12.1.0.' || s_nationkey FROM $supplier
+        UNION ALL SELECT 'node' || s_nationkey % 3, s_suppkey * 4 + 3, '' FROM $supplier""",
     # Lists that run side by side; those of one node in four have not the same length.
     "listener_lines": """
         SELECT 'node' || s_suppkey % 40 AS node, s_suppkey * 3 AS line_no, 'Name: listener' || s_suppkey AS line FROM $supplier
