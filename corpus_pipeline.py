@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import column, set_aside
-from tidemark.llm.decontaminate import remove_contaminated
+from tidemark.llm.decontaminate import WINDOW, remove_contaminated
 from tidemark.llm.jaccard import one_of_each
 from tidemark.llm.merge_encoding import encode_checked
 from tidemark.llm.quality import learn_quality, score_quality
@@ -32,18 +32,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return one_of_each(docs)
 
 
+def recounted(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``n_chars``, where it is there and not null, as the length of the text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    counted = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return docs.withColumn("n_chars", F.when(F.col("n_chars").isNull(), F.col("n_chars")).otherwise(F.coalesce(counted, F.col("n_chars"))))
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lies in windows of benchmark items; they stay as they are."""
-    return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents of which less than a twentieth of the words lies in windows of benchmark items, without these passages.
+
+    Passages of ``WINDOW`` words or more are cut out; what holds none stays as it is. ``n_chars`` is counted anew where it was.
+    """
+    return recounted(remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), longest=WINDOW - 1))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in the text replaced by a mask and ``n_chars`` counted anew where it was."""
-    redacted = redact_secrets(docs)
-    if "n_chars" not in docs.columns:
-        return redacted
-    counted = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return redacted.withColumn("n_chars", F.when(F.col("n_chars").isNull(), F.col("n_chars")).otherwise(F.coalesce(counted, F.col("n_chars"))))
+    return recounted(redact_secrets(docs))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
