@@ -14,8 +14,11 @@ def tables(spark, documents, tmp_path):
     clean = [" ".join(draw[k : k + 40]) for k in range(0, 240, 7)]
     rows = [(k, t) for k, t in enumerate(clean)]
     rows += [(100 + k, t + " more") for k, t in enumerate(clean[:5])] + [(200, "one two three four five"), (201, "it has token=abcdef in it"), (202, "it has  token=abcdef in it")]
+    # A long text with one passage of the benchmark, too short a part of it to drop the text.
+    item = " ".join(f"item{k}" for k in range(15))
+    rows += [(203, " ".join(f"own{k}" for k in range(200)) + " " + item + " " + " ".join(f"more{k}" for k in range(200)))]
     labels = spark.createDataFrame([(k, 1) for k in range(40)], "doc_id long, quality int")
-    bench = spark.createDataFrame([("q", "one two three four five")], "item_id string, text string")
+    bench = spark.createDataFrame([("q", "one two three four five"), ("long", item)], "item_id string, text string")
     documents(rows).write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -36,6 +39,9 @@ def test_stages_take_effect(spark, tables):
     assert set(kept["quality"]) == {k for k, _ in rows}
     assert set(kept["quality"]) - set(kept["near_duplicates"]) == {100, 101, 102, 103, 104, 202}
     assert set(kept["near_duplicates"]) - set(kept["decontamination"]) == {200}
+    cut = kept["decontamination"][203]
+    assert cut["text"] == kept["quality"][203]["text"].replace(" ".join(f"item{k}" for k in range(15)), "") and cut["n_chars"] == len(cut["text"])
+    assert all(kept["decontamination"][k] == kept["near_duplicates"][k] for k in kept["decontamination"] if k != 203)
     assert set(kept["secrets"]) == set(kept["decontamination"]) and kept["secrets"][201]["text"] == "it has [removed] in it"
     assert kept["secrets"][201]["n_chars"] == 22 and kept["secrets"][1] == kept["decontamination"][1]
     encoder = MergeEncoder(load_merges(PATH))
