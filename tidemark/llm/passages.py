@@ -8,10 +8,12 @@
    ones every ``SEED``-th and the last stay. Ordered points are chained for the best score, where gaps cost in proportion
    to the words skipped in both texts; the best chain up to each point comes from a Fenwick tree of prefix maxima over the
    places there.
-3. A run of ``LEAST`` words that others may have whole, but whose seeds first stand at several places, is a key itself. Its
-   first holder has it whole, so every exact passage is found, however its parts are spread over earlier documents.
+3. Where a run of ``LEAST`` words may stand whole elsewhere, but its seeds first stand at several places, that nine tenths of it
+   whose hash is least is a key itself. Its first holder has it whole, so every exact passage is found, however its parts
+   are spread over earlier documents; neighbouring runs mostly choose the same part.
 4. A chain is aligned word by word, through its gaps and beyond its ends, and reported if the passage has at least
-   ``LEAST`` words here and there of which ``PERCENT`` percent match.
+   ``LEAST`` words here and there of which ``PERCENT`` percent match. Up to here only places travel; words are read again
+   for the documents that a chain names, and for no others.
 
 Of passages of the same two documents that overlap, as many are reported as it takes to cover their words. A passage is
 linked to its first holder, so the report grows with the number of holders, not of their pairs.
@@ -24,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import buffer_of, column, hot_join, hot_keys
+from tidemark.llm.batches import buffer_of, column, hot_join, hot_keys, in_slices
 from tidemark.llm.words import SPACED, mixed, slices, word_bounds, word_hashes
+from tidemark.operators.skew import bounded
 from tidemark.session import written
 
 SEED, LEAST, PERCENT = 5, 50, 80
@@ -66,6 +69,16 @@ def _from_planes(data: bytes, half: str, whole: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, half).reshape(2, -1).T).view(whole).ravel()
 
 
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as the steps between them, byte by byte of equal worth, so that the high ones, mostly zero, pack away."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint32(0))).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
 def _text(table: pa.Table) -> pa.Array:
     held = table.column("text").cast(pa.large_string()).combine_chunks()
     return held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held
@@ -121,12 +134,12 @@ def _shared_keys(blocks: DataFrame, buckets: int, least: int) -> DataFrame:
         filled = np.flatnonzero(np.diff(cuts))
         return pa.table({
             "block": pa.array(np.full(len(filled), table.column("block")[0].as_py()), pa.int32()), "bucket": pa.array(filled, pa.int32()),
-            "keys": pa.array([keys[cuts[k] : cuts[k + 1]].tobytes() for k in filled], pa.binary()),
+            "keys": pa.array([_steps(keys[cuts[k] : cuts[k + 1]]) for k in filled], pa.binary()),
             "several": pa.array([np.packbits(several[cuts[k] : cuts[k + 1]]).tobytes() for k in filled], pa.binary()),
         })
 
     def answer(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(v.as_py(), np.uint32) for v in table.column("keys")]
+        keys = [_from_steps(v.as_py()) for v in table.column("keys")]
         several = [np.unpackbits(np.frombuffer(v.as_py(), np.uint8))[: len(own)] for v, own in zip(table.column("several"), keys)]
         # A key and its mark in one number: sorting brings the entries of a key together.
         both = np.sort((np.concatenate(keys).astype(np.uint64) << _HALF) | np.concatenate(several))
@@ -166,11 +179,11 @@ def _first_places(blocks: DataFrame, shared: DataFrame, buckets: int, least: int
             docs, places = block.ids[row], (spot - block.first[row]).astype(np.uint32)
             for bucket, bits in zip(answers.column("bucket").to_pylist(), answers.column("shared").to_pylist()):
                 a, b = before[block.cuts[bucket]], before[block.cuts[bucket + 1]]
-                rows.append((key[0].as_py(), bucket, bits, keys[a:b].tobytes(), _planes(docs[a:b], "<u4"), _planes(places[a:b], "<u2")))
+                rows.append((key[0].as_py(), bucket, bits, _steps(keys[a:b]), _planes(docs[a:b], "<u4"), _planes(places[a:b], "<u2")))
         return pa.table({name: pa.array([r[c] for r in rows], kind) for c, (name, kind) in enumerate(kinds)})
 
     def answer(table: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(v.as_py(), np.uint32) for v in table.column("keys")]
+        lists = [_from_steps(v.as_py()) for v in table.column("keys")]
         keys = np.concatenate(lists)
         docs = np.concatenate([_from_planes(v.as_py(), "<u4", "<i8") for v in table.column("docs")])
         places = np.concatenate([_from_planes(v.as_py(), "<u2", "<u4") for v in table.column("places")])
@@ -389,6 +402,25 @@ def scattered(block: _Block, spot: np.ndarray, other: np.ndarray, there: np.ndar
     return np.flatnonzero((held[span:] - held[:-span] == span) & (broken[span - 1 :] - broken[: n - span + 1] > 0))
 
 
+def parts_of(words: np.ndarray, spots: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the parts that stand for the runs of ``least`` words at the places ``spots``: of all parts of
+    ``part_size(least)`` words of a run the one with the least hash. That depends on the words of the run alone."""
+    size = part_size(least)
+    if not len(spots):
+        return spots, np.empty(0, np.int64)
+    best, place = run_hashes(words, spots, size), spots.copy()
+    for k in range(1, least - size + 1):
+        other = run_hashes(words, spots + k, size)
+        less = other < best
+        best[less], place[less] = other[less], spots[less] + k
+    place, at = np.unique(place, return_index=True)
+    return place, best[at]
+
+
+def part_size(least: int) -> int:
+    return least - least // 10
+
+
 def run_hashes(words: np.ndarray, spots: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` words from each of the places."""
     runs = np.zeros(len(spots), np.uint64)
@@ -397,7 +429,21 @@ def run_hashes(words: np.ndarray, spots: np.ndarray, size: int) -> np.ndarray:
     return mixed(runs + np.uint64(size)).view(np.int64)
 
 
-def _whole_runs(found: DataFrame, least: int) -> DataFrame:
+def _words_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, words): the words of the documents with these ids, read from the texts once more. The ids are sent to the
+    texts where they are few enough, by their count; else both meet in a shuffle."""
+    wanted = bounded(written(ids.select("doc").distinct(), "named"), 16)
+
+    def cut(batches):
+        for batch in batches:
+            for part in in_slices(batch, 1):
+                words = [(own >> _HALF).astype(np.uint32).tobytes() for own in documents_words(part.column(1).cast(pa.large_string()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.binary())], names=["doc", "words"])
+
+    return rows.join(wanted, "doc", "left_semi").select("doc", "text").mapInArrow(cut, "doc bigint, words binary")
+
+
+def _whole_runs(found: DataFrame, rows: DataFrame, least: int) -> DataFrame:
     """Links like those of chains: the scattered runs of each document to the first document that has them whole."""
     runs = found.where(F.col("whole").isNotNull()).select("doc", F.explode("whole").alias("w")).select("doc", "w.run", "w.at")
     counted = runs.groupBy("run").agg(F.min(F.struct("doc", F.col("at")[0].alias("place"))).alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -405,20 +451,23 @@ def _whole_runs(found: DataFrame, least: int) -> DataFrame:
     total = counted.agg(F.sum("n")).first()[0]
     met = hot_join(runs, counted.select("run", "other", "there"), "run", hot_keys(counted, "run", "n", total or 0), "doc").where("doc <> other")
     points = met.select("doc", F.struct("other", "there", "at").alias("p")).groupBy("doc").agg(F.collect_list("p").alias("points"))
+    points = written(points, "points")
     kinds = [("doc", pa.int64()), *_CHAIN]
+    size = part_size(least)
 
     def cut(batches):
         for batch in batches:
             for row in pa.Table.from_batches([batch]).to_pylist():
                 words, rows = np.frombuffer(row["words"], np.uint32), []
                 places = sorted((p["other"], at - p["there"], at) for p in row["points"] for at in p["at"])
-                begin, exact = 0, {}
-                for k in range(1, len(places) + 1):
-                    if k < len(places) and places[k][:2] == places[k - 1][:2] and places[k][2] == places[k - 1][2] + 1:
-                        continue
-                    other, shift, start = places[begin]
-                    exact.setdefault(other, []).append((start, places[k - 1][2] + least, shift))
-                    begin = k
+                exact: dict[int, list[tuple[int, int, int]]] = {}
+                for other, shift, at in places:
+                    own = exact.setdefault(other, [])
+                    # Parts that meet or overlap at one shift are one stretch of equal words.
+                    if own and own[-1][2] == shift and at <= own[-1][1]:
+                        own[-1] = (own[-1][0], at + size, shift)
+                    else:
+                        own.append((at, at + size, shift))
                 for other, passages in exact.items():
                     for start, stop, shift in covering(passages):
                         end, first = stop - SEED, max(0, start - MARGIN)
@@ -426,13 +475,13 @@ def _whole_runs(found: DataFrame, least: int) -> DataFrame:
                         rows.append((row["doc"], other, first, words[first : stop + MARGIN].tobytes(), here, [x - shift for x in here]))
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, (_, kind) in enumerate(kinds)], names=[name for name, _ in kinds])
 
-    texts = found.where(F.col("whole").isNotNull()).select("doc", "words")
+    texts = _words_of(rows, points)
     return texts.join(points, "doc").select("doc", "words", "points").mapInArrow(cut, "doc bigint, other bigint, first int, words binary, here array<int>, there array<int>")
 
 
 def _chained(blocks: DataFrame, firsts: DataFrame, buckets: int, least: int, percent: int) -> DataFrame:
-    """One row per document that shares seeds: its chains, and its words if others are chained to it."""
-    kinds = [("doc", pa.int64()), ("words", pa.binary()), ("chains", pa.list_(pa.struct(_CHAIN))), ("whole", pa.list_(pa.struct(_WHOLE)))]
+    """One row per document with chains or scattered runs."""
+    kinds = [("doc", pa.int64()), ("chains", pa.list_(pa.struct(_CHAIN))), ("whole", pa.list_(pa.struct(_WHOLE)))]
 
     def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -450,14 +499,11 @@ def _chained(blocks: DataFrame, firsts: DataFrame, buckets: int, least: int, per
             shared = np.flatnonzero(held[entry])
             there, other = place_of[before[entry[shared]]], doc_of[before[entry[shared]]]
             row, at = row[shared], at[shared]
-            lent = np.unique(row[other == ids[row]])
-            spots = scattered(block, block.spot[shared], other, there, least)
-            # Rows of an id are in one block; one of them lends its words.
-            lent = np.unique(np.concatenate((lent, block.row[spots])))
-            lent = lent[np.unique(ids[lent], return_index=True)[1]]
+            spots, keys = parts_of(block.every, scattered(block, block.spot[shared], other, there, least), least)
+            # Rows of an id are in one block; one of them has its runs.
+            held_by = np.unique(block.row[spots])
+            lenders = set(held_by[np.unique(ids[held_by], return_index=True)[1]].tolist())
             whole: dict[int, list[dict]] = {}
-            lenders = set(lent.tolist())
-            keys = run_hashes(block.every, spots, least)
             order = np.lexsort((spots, keys, block.row[spots]))
             spots, keys = spots[order], keys[order]
             mine = block.row[spots]
@@ -485,12 +531,12 @@ def _chained(blocks: DataFrame, firsts: DataFrame, buckets: int, least: int, per
                         "other": whose, "first": first, "words": (words[mine][first : here[-1] + SEED + MARGIN] >> _HALF).astype(np.uint32).tobytes(),
                         "here": here, "there": yonder,
                     })
-            for k in sorted({*lent.tolist(), *linked}):
-                rows.append((int(ids[k]), (words[k] >> _HALF).astype(np.uint32).tobytes() if k in lenders else None, linked.get(k), whole.get(k)))
+            for k in sorted({*whole, *linked}):
+                rows.append((int(ids[k]), linked.get(k), whole.get(k)))
         return pa.table({name: pa.array([r[c] for r in rows], kind) for c, (name, kind) in enumerate(kinds)})
 
     chain = "array<struct<other:bigint,first:int,words:binary,here:array<int>,there:array<int>>>"
-    return blocks.groupBy("block").cogroup(firsts.groupBy("block")).applyInArrow(run, f"doc bigint, words binary, chains {chain}, whole array<struct<run:bigint,at:array<int>>>")
+    return blocks.groupBy("block").cogroup(firsts.groupBy("block")).applyInArrow(run, f"doc bigint, chains {chain}, whole array<struct<run:bigint,at:array<int>>>")
 
 
 def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, percent: int = PERCENT) -> DataFrame:
@@ -508,8 +554,8 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", le
     firsts = _first_places(dealt, _shared_keys(dealt, buckets, least), buckets, least)
     found = written(_chained(dealt, firsts, buckets, least, percent), "chains")
     links = found.select("doc", F.explode("chains").alias("c")).select("doc", "c.*")
-    links = links.unionByName(written(_whole_runs(found, least), "whole"))
-    holders = found.where(F.col("words").isNotNull()).select(F.col("doc").alias("other"), "words")
+    links = links.unionByName(written(_whole_runs(found, rows, least), "whole"))
+    holders = _words_of(rows, links.select(F.col("other").alias("doc"))).withColumnRenamed("doc", "other")
     counted = links.groupBy("other").agg(F.count(F.lit(1)).alias("n"))
     # A document in which very many passages stand first is copied to several parts; the others go to one each.
     salts = F.broadcast(hot_keys(counted, "other", "n", links.count()))
