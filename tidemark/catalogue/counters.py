@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.catalogue.registry import query
@@ -12,6 +14,8 @@ from tidemark.operators import graph, waits
 from tidemark.operators import rules as R
 from tidemark.operators.aggregates import roll_up_key, worst_age
 from tidemark.operators.filters import as_ntz
+from tidemark.operators.layout import land_series, series_delta
+from tidemark.session import work_folder
 from tidemark.specs import COUNTER_SETS, LATENCY_BUCKETS, MINIMUM_SCHEMA, CounterSpec, Ratio, Rule
 
 KEYS = ["inst_id", "name"]
@@ -31,6 +35,14 @@ def _(t):
     return out.select("inst_id", "name", "event_id", "reading")
 
 
+@query("delta_bucketed", RAW_DELTA)
+def _(t):
+    """As ``delta_raw``, over a table landed in buckets of key and stretch."""
+    table, folder = f"readings_{uuid.uuid4().hex}", work_folder(t.spark, "series")
+    land_series(t.counter_readings, table, folder, KEYS, "event_id", STRETCH, 16)
+    return series_delta(t.spark, table, KEYS, "event_id", ["reading"], "raw", "full").select("inst_id", "name", "event_id", "reading")
+
+
 @query("delta_clamped", """
     SELECT inst_id, name, event_id, greatest(reading - p, 0) AS reading FROM (
         SELECT *, lag(reading) OVER (PARTITION BY inst_id, name ORDER BY event_id) AS p FROM $counter_readings) r

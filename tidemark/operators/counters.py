@@ -29,9 +29,14 @@ def counter_delta(
     ``on_new`` says what the first row of a key becomes: ``full`` its value, ``null`` nothing. Columns in
     ``carry`` are added as ``prev_<name>``.
     """
+    paired = with_neighbour(df, keys, order, [*counters, *carry], chunk, name="_p")
+    return paired.select(*growth_columns(df.columns, counters, on_reset, on_new), *[F.col(f"_p.{c}").alias(f"prev_{c}") for c in carry])
+
+
+def growth_columns(columns: Sequence[str], counters: Sequence[str], on_reset: str, on_new: str) -> list[Column]:
+    """``columns`` with each counter as its growth since the row before, which stands in a struct ``_p``."""
     if on_reset not in ("clamp", "raw", "null") or on_new not in ("full", "null"):
         raise ValueError("on_reset is clamp, raw or null; on_new is full or null")
-    paired = with_neighbour(df, keys, order, [*counters, *carry], chunk, name="_p")
 
     def growth(counter: str) -> Column:
         delta = F.col(counter) - F.col(f"_p.{counter}")
@@ -42,8 +47,7 @@ def counter_delta(
         first = F.col(counter) if on_new == "full" else F.lit(None)
         return F.when(F.col("_p").isNull(), first).otherwise(delta).alias(counter)
 
-    kept = [growth(c) if c in counters else F.col(c) for c in df.columns]
-    return paired.select(*kept, *[F.col(f"_p.{c}").alias(f"prev_{c}") for c in carry])
+    return [growth(c) if c in counters else F.col(c) for c in columns]
 
 
 def counter_rate(
