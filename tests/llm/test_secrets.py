@@ -83,6 +83,52 @@ def test_keys_with_a_password():
             assert ("pem", 32, 32 + len(held)) in spans("-----BEGIN RSA PRIVATE KEY-----\n" + held)
         assert not [s for s in spans(block.replace("Proc-Type: 4,ENCRYPTED\n", "")) if s[0] == "pem"]
         assert not [s for s in spans(block.replace(body, "c2hvcnQ=\n")) if s[0] == "pem"]
+        # Some bytes under such a head are no key unless the cipher is known and they fill its blocks.
+        assert not [s for s in spans(block.replace(method, "ROT-13")) if s[0] == "pem"]
+        odd = base64.encodebytes(bytes(range(7, 164))).decode()
+        assert not [s for s in spans(block.replace(body, odd)) if s[0] == "pem"]
+
+
+def wrapped(key, width=64, before="", end="\n"):
+    text = base64.b64encode(key).decode()
+    return end.join(before + text[k : k + width] for k in range(0, len(text), width))
+
+
+def test_keys_as_they_stand_in_files_mail_and_code():
+    for key in (RSA, WRAPPED):
+        block = "-----BEGIN PRIVATE KEY-----\n" + wrapped(key) + "\n-----END PRIVATE KEY-----"
+        escaped = block.replace("\n", "\\n") + "\\n"
+        text = '{"type": "service", "private_key": "' + escaped + '", "id": 1}'
+        start = text.index("-----BEGIN")
+        assert [s for s in spans(text) if s[0] == "pem"] == [("pem", start, start + len(escaped) - 2)]
+        quoted = "\n".join("> " + line for line in block.split("\n"))
+        assert [s for s in spans("a\n" + quoted + "\nb") if s[0] in ("pem", "key")] == [("pem", 4, 2 + len(quoted))]
+        for before, end in (("", "\n"), ("", "\r\n"), ("  ", "\n"), ("# ", "\n")):
+            body = wrapped(key, 64, before, end)
+            text = "see " + body + "\nRegards and so on"
+            shift = 4 + len(before)
+            assert [s for s in spans(text) if s[0] == "key"] == [("key", shift, 4 + len(body))], (before, end)
+        whole = base64.b64encode(block.encode()).decode()
+        assert ("key", 4, 4 + len(whole)) in spans("b64=" + whole + " x") and ("key", 2, 2 + len(whole)) in spans("x " + whole)
+        flat = base64.b64encode(key).decode()
+        path = "https://example.org/keys/" + flat + " next"
+        assert [s for s in spans(path) if s[0] == "key"] == [("key", 25, 25 + len(flat))]
+        assert [s[1:] for s in spans("z 1" + key.hex()) if s[0] == "key"] == [(3, 3 + 2 * len(key))]
+        colons = ":".join(f"{b:02X}" for b in key)
+        assert [s for s in spans("k " + colons + " z") if s[0] == "key"] == [("key", 2, 2 + len(colons))]
+        lines = ":\n    ".join(":".join(f"{b:02x}" for b in key[k : k + 15]) for k in range(0, len(key), 15))
+        assert [s for s in spans(lines) if s[0] == "key"] == [("key", 0, len(lines))]
+        for text in ("see " + wrapped(key[:-1] + b"\0\0\0\0") + "\n", "https://a/b/" + flat[:-8], colons[:-3], "x" * 80 + "\n" + "y" * 80):
+            assert not [s for s in spans(text) if s[0] in ("key", "pem")]
+
+
+def test_pgp_keys():
+    packet = b"\x95" + (600).to_bytes(2, "big") + b"\x04" + bytes(599)
+    newer = b"\xc5\xff" + (600).to_bytes(4, "big") + b"\x04" + bytes(599)
+    public = b"\x99" + (600).to_bytes(2, "big") + b"\x04" + bytes(599)
+    for data, secret in ((packet, True), (newer, True), (public, False), (packet[:300], False), (b"\x95", False)):
+        body = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 2\n\n" + wrapped(data) + "\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----"
+        assert [s for s in spans("x " + body) if s[0] == "pem"] == ([("pem", 2, 2 + len(body))] if secret else [])
 
 
 def test_shell_key():

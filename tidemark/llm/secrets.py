@@ -2,6 +2,10 @@
 
 Three plain kinds are found by pattern. Further kinds are reported only when their content parses: a base64 or hex run
 must decode to a private key whose nested lengths add up, a token must have a JSON header that names a signature.
+
+Keys are found as they stand in files, mail and code: in a line or wrapped over several, with or without head and foot lines, in a
+JSON string whose line ends are written as two characters, quoted or commented at the begin of lines, as the end of a path,
+packed once more as a whole, and as hexadecimal digits with or without colons. The outer length of a key says where it ends.
 """
 
 from __future__ import annotations
@@ -29,9 +33,18 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Long runs in which a structure may hide; none of the patterns below can match without one.
 _LONG = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:(?!-----)[\s\S])*)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?)-----((?:(?!-----)[\s\S])*)-----END \1-----")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{44,}={0,2}")
+#: What quotes or comments a line, and a base64 text over several lines.
+_HEADS = " \t>|#*;"
+_LINES = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}(?:\r?\x20?\n[\x20\t>|#*;]*[A-Za-z0-9+/]+)+={0,2}")
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]{64,}")
+_COLONS = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::\s{0,80}[0-9A-Fa-f]{2}){31,}")
+#: Where a key can begin in a run: first letters of a DER sequence, of a shell key and of a head line, after a separator.
+_MARK = re.compile(r"(?:^|(?<=[/+_-]))(?=M[A-Za-z0-9+/_-]{3}|b3BlbnNzaC1rZXkt|LS0tLS1CRUdJTi)")
+#: Ciphers of keys with a password and the size of their blocks.
+_CIPHERS = {"AES-128-CBC": 16, "AES-192-CBC": 16, "AES-256-CBC": 16, "DES-EDE3-CBC": 8, "DES-CBC": 8, "CAMELLIA-256-CBC": 16, "IDEA-CBC": 8}
+_DEK = re.compile(r"DEK-Info:\s*([A-Z0-9-]+),\s*((?:[0-9A-Fa-f]{2}){8,})")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])ey[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 
 _SEQUENCE, _INTEGER, _BITS, _OCTETS, _OID = 0x30, 0x02, 0x03, 0x04, 0x06
@@ -126,6 +139,101 @@ def is_key(data: bytes | None) -> bool:
     return data is not None and (is_der_key(data) or is_shell_key(data))
 
 
+def is_pgp_key(data: bytes | None) -> bool:
+    """A secret key packet of OpenPGP at the begin, whose length lies within the data."""
+    if not data or len(data) < 8 or not data[0] & 0x80:
+        return False
+    if data[0] & 0x40:
+        tag, first = data[0] & 0x3F, data[1]
+        if first < 192:
+            size, at = first, 2
+        elif first < 224:
+            size, at = ((first - 192) << 8) + data[2] + 192, 3
+        elif first == 255:
+            size, at = int.from_bytes(data[2:6], "big"), 6
+        else:
+            return False
+    else:
+        tag, width = (data[0] >> 2) & 0x0F, (1, 2, 4, 0)[data[0] & 3]
+        size, at = int.from_bytes(data[1 : 1 + width], "big"), 1 + width
+        if not width:
+            return False
+    return tag == 5 and size >= 16 and at + size <= len(data) and data[at] in (3, 4, 5, 6)
+
+
+def der_size(head: bytes | None) -> int:
+    """Bytes of the DER sequence that begins with ``head``, or 0."""
+    if not head or len(head) < 6 or head[0] != _SEQUENCE:
+        return 0
+    if head[1] < 0x80:
+        return head[1] + 2
+    width = head[1] & 0x7F
+    return int.from_bytes(head[2 : 2 + width], "big") + 2 + width if 1 <= width <= 4 else 0
+
+
+def keys_in(run: str) -> list[tuple[int, int]]:
+    """Start and end of the keys in a base64 run: at its begin or after a separator, up to where their length says."""
+    found, done = [], 0
+    for mark in _MARK.finditer(run):
+        start, end = mark.start(), 0
+        if start < done:
+            continue
+        if run[start] == "M":
+            size = der_size(decode64(run[start : start + 8]))
+            stop = start + -(-size * 4 // 3)
+            # Not a letter further: what follows a key is padding, a separator or the end.
+            if size and stop <= len(run) and run[stop : stop + 1] in ("", "=", "/", "-", "_", "+") and is_key(decode64(run[start:stop])):
+                end = stop + len(run[stop : stop + 2]) - len(run[stop : stop + 2].lstrip("="))
+        else:
+            data = decode64(run[start:])
+            whole = data is not None and data.startswith(b"-----BEGIN ") and pem_spans(data.decode("ascii", "replace"))
+            end = len(run) if whole or is_key(data) else 0
+        if end:
+            found.append((start, end))
+            done = end
+    return found
+
+
+def pem_spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of the blocks with head and foot lines that hold a private key."""
+    found = []
+    for m in _PEM.finditer(text):
+        lines = [line.strip(_HEADS + "\r\"',") for line in m[2].split("\n")]
+        body = "".join(line for line in lines if ":" not in line and not line.startswith("="))
+        raw = decode64("".join(body.split()))
+        locked = _DEK.search(m[2]) if "Proc-Type:" in m[2] else None
+        block = _CIPHERS.get(locked[1].upper()) if locked else None
+        if (is_pgp_key(raw) if m[1].endswith("BLOCK") else is_key(raw)) or (block and raw and len(raw) >= 64 and len(raw) % block == 0):
+            found.append(m.span())
+    return found
+
+
+def line_spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of keys in base64 that is wrapped over lines without head and foot."""
+    found = []
+    for m in _LINES.finditer(text):
+        places = [m.start() + k for k, c in enumerate(m[0]) if c.isalnum() or c in "+/="]
+        run = "".join(text[k] for k in places)
+        found += [(places[a], places[b - 1] + 1) for a, b in keys_in(run) if a == 0]
+    return found
+
+
+def hex_spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of keys in hexadecimal digits, which may have one digit before them, or a colon after each byte."""
+    found = []
+    for m in _HEX_RUN.finditer(text):
+        for start in (0, 1):
+            size = 2 * der_size(bytes.fromhex(m[0][start : start + 12]))
+            if size and start + size <= len(m[0]) and is_key(bytes.fromhex(m[0][start : start + size])):
+                found.append((m.start() + start, m.start() + start + size))
+                break
+    for m in _COLONS.finditer(text):
+        data = bytes.fromhex("".join(m[0].replace(":", " ").split()))
+        if is_key(data):
+            found.append(m.span())
+    return found
+
+
 def is_signed_token(run: str) -> bool:
     """Three base64 parts: a JSON header with a signature algorithm, JSON claims, a signature."""
     header, claims, signature = run.split(".")
@@ -146,20 +254,19 @@ def is_signed_token(run: str) -> bool:
 def spans(text: str) -> list[tuple[str, int, int]]:
     """All (kind, start, end) of a text in code points, by start, then kind as listed."""
     found = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[1]) >= 6]
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            body = "".join(line for line in m[2].split("\n") if ":" not in line)
-            raw = decode64("".join(body.split()))
-            if is_key(raw) or (raw and len(raw) >= 64 and "Proc-Type:" in m[2]):
-                found.append(("pem", *m.span()))
+    # A line end that is written as two characters takes the place of both, so that spans stay where they are.
+    plain = text.replace("\\r", "\r ").replace("\\n", "\n ") if "\\n" in text else text
+    blocks = pem_spans(plain) if "-----BEGIN " in text else []
+    found += [("pem", *span) for span in blocks]
     if _LONG.search(text):
         found += [("access", *m.span()) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
         found += [("hex", *m.span()) for m in _HEX.finditer(text)]
         found += [("jwt", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
-        found += [("key", *m.span()) for m in _RUN.finditer(text) if is_key(decode64(m[0]))]
-        found += [
-            ("key", *m.span()) for m in _HEX_RUN.finditer(text) if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0]))
-        ]
+        keys = [(m.start() + a, m.start() + b) for m in _RUN.finditer(plain) for a, b in keys_in(m[0])]
+        keys += line_spans(plain) + hex_spans(text)
+        found += [("key", a, b) for a, b in keys if not any(x <= a and b <= y for x, y in blocks)]
+    elif ":" in text:
+        found += [("key", *span) for span in hex_spans(text)]
     rank = {kind: k for k, kind in enumerate(KINDS)}
     return sorted(set(found), key=lambda s: (s[1], rank[s[0]], s[2]))
 
