@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.batches import buffer_of, column, in_slices
-from tidemark.llm.words import mixed
+from tidemark.llm.batches import buffer_of, column
+from tidemark.llm.words import mixed, slices
 from tidemark.session import written
 
 #: A run repeats its period so often at least, and has so many words at least.
@@ -30,6 +30,9 @@ TIMES, LEAST = 4, 6
 #: Words between the first anchors of neighbouring tiles; of four largest-octave blocks where those are longer.
 TILE_WORDS = 4_096
 
+#: Bytes of text that are cut to words at once.
+SLICE_BYTES = 1 << 20
+
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -139,7 +142,8 @@ def tiles(df: DataFrame, key: str, text: str, tile_words: int, keep_text: bool)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in in_slices(whole, 2):
+            borders_of = buffer_of(whole.column(2))[0]
+            for batch in (whole.slice(a, b - a) for a, b in slices(borders_of, SLICE_BYTES)):
                 offsets, data = buffer_of(batch.column(2))
                 raw = data[offsets[0] : offsets[-1]].tobytes()
                 cuts = (offsets - offsets[0]).tolist()
@@ -186,7 +190,8 @@ def fragments(cut: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = ([], [], [], [])
-            for row, octave, at, anchors, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            # Row by row, so that only one tile is unpacked at a time.
+            for row, octave, at, anchors, ids in ([c[k].as_py() for c in batch.columns] for k in range(batch.num_rows)):
                 got = solved(_unpacked(ids), np.frombuffer(anchors, np.int32).tolist(), octave)
                 for period, stretches in got.items():
                     for start, end in stretches:
@@ -218,7 +223,7 @@ def _collapsed(rows: DataFrame, keep_text: bool) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for raw, runs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for raw, runs in ((batch.column(2)[k].as_py(), batch.column(3)[k].as_py()) for k in range(batch.num_rows)):
                 if runs:
                     words, kept, at = raw.split(b" "), [], 0
                     for first, last in sorted((r["start"] + r["period"], r["start"] + r["length"]) for r in runs):
