@@ -63,6 +63,32 @@ def test_edited_texts_equal_brute_force(documents):
         assert (row["near_edited"], row["near_next"]) == (likeness(a, b), likeness(a, c))
 
 
+def test_hot_ids_are_cut(documents, monkeypatch):
+    """A third of the rows without an id and a third with one: the same neighbours, in many partitions."""
+    import collections
+
+    from tidemark.llm import order_minhash as M
+
+    monkeypatch.setattr(M, "STRETCH", 20)
+    draw = random.Random(11)
+    text = lambda: "".join(draw.choice("abc ") for _ in range(draw.choice([0, 3, 8, 30])))
+    rows = [(None, text()) for _ in range(600)] + [(77, text()) for _ in range(600)] + [(k, text()) for k in range(600)]
+    df = documents(rows)
+    placed = M.in_descending_order(df, "doc_id", "text")
+    parts = collections.Counter(r[0] for r in placed.where("not carried").selectExpr("spark_partition_id()").collect())
+    texts = collections.Counter(t for _, t in rows)
+    assert max(parts.values()) <= 100 + max(texts.values())
+    hashes = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) AS h").distinct().collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]], r[1]))
+    want = collections.Counter()
+    for k, (key, own) in enumerate(ordered):
+        following = ordered[(k + 1) % len(ordered)][1]
+        half = len(own) // 2
+        want[key, hashlib.sha256((own[: len(own) - half] + following[:half]).encode()).hexdigest()] += 1
+    got = collections.Counter((r["doc_id"], r["edited_sha256"]) for r in compare_edited(df).collect())
+    assert got == want
+
+
 def test_rows(documents):
     rows = [(1, "some text here"), (2, None), (2, ""), (None, "lost id"), (3, "some text here"), (3, "some text here"), (9, "z" * 60_000)]
     df = documents(rows).withColumnRenamed("source", "fingerprint")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.batches import add_columns, column, sha256, texts_of
 from tidemark.llm.words import mixed
+from tidemark.operators.skew import hot_hashes
 
 RUN, SLOTS, PICKED = 5, 32, 2
 #: Rows of one stretch of neighbours, and how many stretches there can be.
@@ -106,25 +107,49 @@ def in_descending_order(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Rows go by descending ``key``, nulls last, equal keys by a hash of the text. They are cut into stretches of about
     ``STRETCH`` rows; the first row of each stretch is also carried to the end of the one before, that of the first to the end
-    of the last. Texts move once; only ids are read to place the borders, of which there are at most ``MOST_STRETCHES``.
+    of the last. A key with more rows than two stretches is cut at hashes of its texts, into ``piece`` after ``piece``; rows that
+    are equal stay together. Texts move once; only ids and hashes are read to place the borders, of which there are at most
+    ``MOST_STRETCHES`` between keys.
     """
     lowest = -(1 << 63)
-    rows = df.select(F.coalesce(column(key).cast("long"), F.lit(lowest)).alias("_key"), column(key).alias("key"), F.coalesce(column(text), F.lit("")).alias("text"))
+    rows = df.select(
+        F.coalesce(column(key).cast("long"), F.lit(lowest)).alias("_key"), column(key).alias("key"), F.coalesce(column(text), F.lit("")).alias("text")
+    ).withColumn("_hash", F.xxhash64("text"))
     total = df.count()
     parts = max(1, min(MOST_STRETCHES, max(48, total // STRETCH)))
     shares = [k / parts for k in range(1, parts)]
     found = rows.agg(F.percentile_approx("_key", F.array(*[F.lit(s) for s in shares]) if shares else F.array(F.lit(0.5)), 20 * MOST_STRETCHES)).first()[0] if total else []
     borders = sorted({b for b in found or [] if b > lowest}, reverse=True)
+    width = max(STRETCH, -(-total // parts))
+    hot = {h: n for h, n in hot_hashes(rows, ["_key"], width).items() if n > 2} if total > 2 * width else {}
     placed = rows.withColumn("stretch", _stretch(F.col("_key"), borders))
-    heads = sorted((row["stretch"], row["head"]) for row in rows.select(_stretch(F.col("_key"), borders).alias("stretch"), "_key").groupBy("stretch").agg(F.max("_key").alias("head")).collect())
+    if hot:
+        pieces = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]), F.xxhash64("_key")), F.lit(1))
+        # The place of the hash among all hashes, in as many pieces: it grows with the hash, as the order of the rows does.
+        piece = F.least(F.floor((F.col("_hash") / F.lit(2.0**64) + 0.5) * pieces), pieces - 1).cast("int")
+        # A key of more than two stretches is a border, so it shares its stretch with no other such key; the keys before it stay together.
+        known = placed.where(pieces > 1).groupBy("stretch").agg(F.max("_key").alias("_hot"), F.min("_key").alias("_least")).where("_hot = _least").drop("_least")
+        own = F.col("_key") == F.col("_hot")
+        placed = placed.join(F.broadcast(known), "stretch", "left").withColumns({
+            "side": F.when(F.col("_hot").isNull() | (F.col("_key") > F.col("_hot")), 0).when(own, 1).otherwise(2),
+            "piece": F.when(own, piece).otherwise(0),
+        }).drop("_hot")
+    else:
+        placed = placed.withColumns({"side": F.lit(0), "piece": F.lit(0)})
+    group = ["stretch", "side", "piece"]
+    heads = placed.groupBy(*group).agg(F.min(F.struct(F.bitwise_not("_key").alias("k"), F.col("_hash").alias("h"))).alias("head")).orderBy(*group).collect()
     rows = placed.withColumn("carried", F.lit(False))
     if heads:
-        before = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}
-        to = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_key"))
-        copies = placed.where(F.col("_key").isin(*before)).withColumn("stretch", to).withColumn("carried", F.lit(True))
+        spark = df.sparkSession
+        before = [(~row["head"]["k"], row["head"]["h"], *[heads[k - 1][g] for g in group]) for k, row in enumerate(heads)]
+        carried = spark.createDataFrame(before, "_key long, _hash long, _stretch int, _side int, _piece int")
+        copies = placed.join(F.broadcast(carried), ["_key", "_hash"]).select(
+            "_key", "key", "text", "_hash", *[F.col(f"_{g}").alias(g) for g in group], F.lit(True).alias("carried")
+        )
         rows = rows.unionByName(copies)
-    dealt = rows.repartition(max(1, len(heads)), "stretch")
-    return dealt.sortWithinPartitions("stretch", "carried", F.desc("_key"), F.xxhash64("text"), "text").select("stretch", "carried", "key", "text")
+    dealt = rows.repartitionByRange(max(1, len(heads)), *group)
+    ordered = dealt.sortWithinPartitions(*group, "carried", F.desc("_key"), "_hash", "text")
+    return ordered.select(F.concat_ws("/", *group).alias("stretch"), "carried", "key", "text")
 
 
 def compare_edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
