@@ -8,6 +8,7 @@ carries values across chunk borders. The result equals the plain window over the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -107,8 +108,10 @@ def with_running_total(
 HOT_ROWS = 1_000_000
 #: Tables of fewer bytes than this have no key that is too large for a task.
 HOT_BYTES = 256 << 20
-#: Frequent keys that are looked for, and keys that are counted for them at once: one with more than 14 rows in a million is found.
-MOST_HOT, COUNTED = 1_000, 200_000
+#: Frequent keys that are dealt, the most frequent first, and bytes of a table whose keys are counted; of a larger one a sample is.
+MOST_HOT, COUNTED_BYTES = 1_000, 8 << 30
+#: What Spark takes for the size of a table it knows nothing of, or more.
+_UNKNOWN = 1 << 62
 
 
 def leaf_bytes(df: DataFrame) -> int:
@@ -120,10 +123,15 @@ def leaf_bytes(df: DataFrame) -> int:
 def hot_hashes(df: DataFrame, on: Sequence[str], hot_rows: int) -> dict[int, int]:
     """Hashes of the keys that have more rows than ``hot_rows``, at most ``MOST_HOT``, with the number of parts to deal them into.
 
-    One pass with a sketch of bounded size in each task; no key is shuffled. Rows with a null in the key count as well.
+    Keys are counted with map-side combine, in a table of more than ``COUNTED_BYTES`` those of a sample of that size: what is
+    shuffled is bounded, and goes to many tasks. A key that is missed for that is joined as it is. Nulls count as well.
     """
-    counted = df.select(F.xxhash64(*[F.col(c) for c in on]).alias("h")).agg(F.expr(f"approx_top_k(h, {MOST_HOT}, {COUNTED})").alias("top"))
-    return {row["item"]: -(-row["count"] // hot_rows) for row in counted.first()["top"] if row["count"] > hot_rows}
+    size = leaf_bytes(df)
+    share = 1.0 if size >= _UNKNOWN else min(1.0, COUNTED_BYTES / max(size, 1))
+    hashes = df.select(F.xxhash64(*[F.col(c) for c in on]).alias("h"))
+    counted = (hashes if share == 1 else hashes.sample(share, seed=0)).groupBy("h").agg(F.count("*").alias("n"))
+    most = counted.filter(F.col("n") > hot_rows * share).orderBy(F.desc("n"), "h").limit(MOST_HOT).collect()
+    return {row["h"]: math.ceil(row["n"] / share / hot_rows) for row in most}
 
 
 def _parts(on: Sequence[str], hot: dict[int, int]) -> Column:
@@ -146,7 +154,7 @@ def lookup_join(
 ) -> DataFrame:
     """Joins ``facts`` to ``lookup``; a frequent key of either side is dealt over as many tasks as its rows need.
 
-    Frequent keys are found by a bounded sketch over each side that is larger than ``hot_bytes``. Only they are dealt, into one
+    Frequent keys are found by a count, of a bounded sample at most, over each side that is larger than ``hot_bytes``. Only they are dealt, into one
     part for each ``hot_rows`` rows, and only their rows of the other side are copied, once to each part. All other rows are
     joined as they are. In a left join rows with a null in the key, which match nothing, are dealt by their other values; with
     ``null_safe`` two nulls agree. Smaller tables are joined plainly.
