@@ -1,10 +1,12 @@
 import shutil
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from tests.conftest import SF
 
 from tidemark.llm.merge_encoding import MergeEncoder, load_merges
+from tidemark.session import BATCH_ROWS
 from tests.llm.test_pieces import PATH
 
 
@@ -67,6 +69,26 @@ def test_odd_rows_pass(spark, documents):
             assert sorted(after.collect(), key=str) == sorted(df.collect(), key=str)
 
 
+@pytest.mark.parametrize("own", [None, "70"])
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_texts_go_to_python_in_small_batches(spark, documents, name, stage, own):
+    """Batches of 10,000 texts, which executor and worker hold at once, took the pipeline beyond an executor's memory."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting, None)
+    try:
+        spark.conf.unset(setting) if own is None else spark.conf.set(setting, own)
+        assert stage(spark, documents([(1, "one two three four five six")]), SF).count() <= 1
+        rows = spark.range(3000, numPartitions=1).mapInArrow(sizes, "n bigint").collect()
+        assert max(r["n"] for r in rows) == (BATCH_ROWS if own is None else int(own)) and sum(r["n"] for r in rows) == 3000
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
 def test_guard(tmp_path):
     """Without this package and the pipeline the entry module still imports."""
     import pathlib

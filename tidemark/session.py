@@ -52,6 +52,20 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: Rows of texts that go to a Python worker at once. Executor and worker both hold the buffers of a batch.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session sends ``BATCH_ROWS`` rows at once to Python workers, unless it has a number of its own.
+
+    Frames run later than they are made, so the setting stays. It changes no results.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Removes a folder of intermediate files, wherever the shared folder lies; one that is not there is no error."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
