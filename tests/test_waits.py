@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import waits
 from tidemark.operators.waits import wait_cycles, wait_tree
@@ -120,3 +121,16 @@ def test_circles_are_found_without_paths(spark, frames):
     # As many rounds as the logarithm of the longest chain and circle, not of the number of rows that go round.
     purposes = [purpose for purpose, _ in frames]
     assert purposes.count("chains") <= 3 and purposes.count("circles") <= 6
+
+
+def test_paths_are_as_long_as_the_tree_is_deep(spark, frames):
+    chain = [("r", "a"), ("a", "b"), ("b", "c"), ("r", "d"), ("c", "d"), ("d", "e")]
+    rows = wait_tree(spark.createDataFrame([*CIRCLING, *TAIL, *chain], "blocker string, waiter string")).collect()
+    want = {
+        ("root", None, "r", "r"), ("wait", "r", "a", "r/a"), ("wait", "a", "b", "r/a/b"), ("wait", "b", "c", "r/a/b/c"),
+        ("wait", "c", "d", "r/a/b/c/d"), ("again", "r", "d", "r/d"), ("wait", "d", "e", "r/a/b/c/d/e"),
+    }
+    assert {(r.kind, r.blocker, r.waiter, r.path) for r in rows if r.kind != "circle"} == want
+    assert sorted((r.blocker, r.waiter) for r in rows if r.kind == "circle") == sorted([*CIRCLING, *TAIL])
+    paths = [df.agg(F.max(F.size(c))).first()[0] for _, df in frames for c, kind in df.dtypes if kind.startswith("array")]
+    assert max(p or 0 for p in paths) <= 5
